@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skillweave.llm import source_mixing
+from skillweave.llm import embedding_dedup, html_text, source_mixing, topk_search
 
-_MODULES = (source_mixing,)
+_MODULES = (source_mixing, html_text, topk_search, embedding_dedup)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
