@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,3 +190,93 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def frame(schema: str, **columns) -> pd.DataFrame:
     """A pandas frame with the columns in the order of a 'name type, ...' schema."""
     return pd.DataFrame({name: columns[name] for name in (c.split()[0] for c in schema.split(","))})
+
+
+PACKED = "shard int, ids binary, nulls binary, flags binary, sizes binary, body binary"
+
+
+def packed(docs: DataFrame, keys: list[int], by: list | None = None) -> DataFrame:
+    """docs (doc_id long, flag boolean, text) as compressed bundles, dealt evenly to len(keys) shards and partitioned by shard.
+
+    Each Arrow batch gives at most one bundle for each shard, so a text crosses the network once and compressed. by names
+    the columns whose hash picks the shard (doc_id by default).
+    """
+    rows = docs.select("doc_id", "flag", "text", shard_of(by or [F.col("doc_id")], keys).alias("shard"))
+
+    def run(batches):
+        for batch in batches:
+            shard = batch.column(3).to_numpy(zero_copy_only=False)
+            texts = batch.column(2).to_pylist()
+            null = np.array(batch.column(0).is_null().to_numpy(zero_copy_only=False), bool)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            order = np.argsort(shard, kind="stable")
+            out = []
+            for group in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+                body = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in group]
+                sizes = np.array([len(t) for t in body], np.int64)
+                out.append((int(shard[group[0]]), ids[group].tobytes(), null[group].tobytes(), flags[group].tobytes(), sizes.tobytes(), squeeze(b"".join(body))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] + [pa.binary()] * 5)] if out else [pa.array([], t) for t in [pa.int32()] + [pa.binary()] * 5], ["shard", "ids", "nulls", "flags", "sizes", "body"])
+
+    return rows.mapInArrow(run, PACKED).repartition(len(keys), "shard")
+
+
+def unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """ids, null marks, flags and texts of the bundles of one shard, by id."""
+    ids = np.frombuffer(b"".join(pdf["ids"]), np.int64)
+    null = np.frombuffer(b"".join(pdf["nulls"]), bool)
+    flags = np.frombuffer(b"".join(pdf["flags"]), bool)
+    texts: list[bytes] = []
+    for sizes, body in zip(pdf["sizes"], pdf["body"]):
+        data, at = unsqueeze(body), 0
+        for n in np.frombuffer(sizes, np.int64):
+            texts.append(data[at : at + n])
+            at += n
+    order = np.lexsort((ids, null))
+    return ids[order], null[order], flags[order], [texts[i] for i in order]
+
+
+#: What shards ask the key buckets, and what the buckets answer.
+ASKED = "bucket int, shard int, kind int, keys binary, counts binary"
+ANSWERED = "shard int, bucket int, kind int, counts binary, present long, total long"
+
+
+def ask(shard: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: list[int]) -> list[tuple]:
+    """Rows that ask for the corpus counts of a shard's sorted distinct keys, one for each bucket, even if empty."""
+    n = len(buckets)
+    cuts = np.searchsorted(keys, np.array([(i << 64) // n for i in range(1, n)], np.uint64), "left") if n > 1 else np.zeros(0, np.int64)
+    at = np.concatenate([[0], cuts, [len(keys)]])
+    return [(buckets[i], shard, kind, pack_sorted(keys[at[i] : at[i + 1]]), pack_counts(counts[at[i] : at[i + 1]])) for i in range(n)]
+
+
+def summed(asked: DataFrame, buckets: list[int], apart: int | None = None) -> DataFrame:
+    """Answers each row of ask with the keys' sums over all shards, in the keys' order.
+
+    present and total are the bucket's number of keys with a positive sum, and the sum of all; the key apart, if any, is
+    left out of both.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, part in pdf.groupby("kind"):
+            keys = [unpack_sorted(x) for x in part["keys"]]
+            counts = np.concatenate([unpack_counts(x) for x in part["counts"]]) if len(keys) else np.zeros(0, np.int64)
+            distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros(len(distinct), np.int64)
+            np.add.at(total, back, counts)
+            own = total if apart is None else np.where(distinct == np.uint64(apart), 0, total)
+            present, whole, at = int((own > 0).sum()), int(own.sum()), 0
+            for shard, k in zip(part["shard"], keys):
+                out.append((shard, key[0], kind, pack_counts(total[back[at : at + len(k)]]), present, whole))
+                at += len(k)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERED.split(", ")])
+
+    return asked.repartition(len(buckets), "bucket").groupBy("bucket").applyInPandas(run, ANSWERED)
+
+
+def answers(pdf: pd.DataFrame, kind: int, buckets: list[int]) -> tuple[np.ndarray, int, int]:
+    """The counts of a shard's keys of a kind, in the keys' order, and the corpus' present and total."""
+    place = {b: i for i, b in enumerate(buckets)}
+    part = pdf[pdf["kind"] == kind]
+    part = part.iloc[np.argsort(part["bucket"].map(place).to_numpy(), kind="stable")]
+    return np.concatenate([unpack_counts(x) for x in part["counts"]]), int(part["present"].sum()), int(part["total"].sum())

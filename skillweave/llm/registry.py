@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skillweave.llm import embedding_dedup, html_text, source_mixing, topk_search
+from skillweave.llm import embedding_dedup, html_text, lm_scoring, source_mixing, topk_search, toxicity
 
-_MODULES = (source_mixing, html_text, topk_search, embedding_dedup)
+_MODULES = (source_mixing, toxicity, html_text, topk_search, lm_scoring, embedding_dedup)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
