@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skillweave.llm.common import LOWER, SEPARATORS, mixed, prefix_hash, span_hash, table
 
@@ -312,7 +313,7 @@ def score_texts(docs: DataFrame, net: Network) -> DataFrame:
     """
     docs = docs.drop("score")
     at = docs.columns.index("text")
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -321,7 +322,7 @@ def score_texts(docs: DataFrame, net: Network) -> DataFrame:
             for i, t in enumerate(texts):
                 some.append(t)
                 size += len(t)
-                if size > 4_000_000 or i == len(texts) - 1:
+                if size > 2_000_000 or i == len(texts) - 1:
                     out.append(net.scores(some))
                     size, some = 0, []
             score = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
