@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skillweave.llm import embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, pieces, source_mixing, topk_search, toxicity
+from skillweave.llm import embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, pieces, source_mixing, suffix_dedup, topk_search, toxicity
 
-_MODULES = (source_mixing, line_dedup, toxicity, html_text, topk_search, lm_scoring, jaccard_join, embedding_dedup, pieces)
+_MODULES = (suffix_dedup, source_mixing, line_dedup, toxicity, html_text, topk_search, lm_scoring, jaccard_join, embedding_dedup, pieces)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
