@@ -1 +1,68 @@
-STAGES = []
+"""The corpus pipeline: documents to mixed, deduplicated, encoded training data.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again
+as the next one's docs. All but the last return the columns of documents. Rows that repeat an id stand or fall together.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skillweave.llm import jaccard_join, line_dedup, pieces, source_mixing, toxicity
+from skillweave.llm.common import stored, table
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network does not reject; it learns from the labels of docs' own ids."""
+    net = toxicity.fitted(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score_texts(docs, net).filter("score < 0.5").drop("score")
+
+
+def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines whose template recurs; n_chars follows the text."""
+    cut = line_dedup.drop_recurring_lines(docs)
+    cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    copies = source_mixing.mix_sources(docs.select("doc_id", "source", "text"))
+    copies = copies.groupBy(F.col("doc_id").alias("of"), F.col("source").alias("from")).agg(F.max("copies").alias("copies")).filter("copies > 0")
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("from")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_pieces) of every row."""
+    return pieces.encode(docs.select("doc_id", "text"), pieces.load()).withColumn("n_pieces", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("toxicity", clean),
+    ("line dedup", without_recurring_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("mixing sources", mixed),
+    ("SentencePiece encoding", encoded),
+]
+
+#: The first stage is a fitted network, which SQL does not express; tests hold the stages against brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; what each returns is stored in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for at, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{at}")
+    return docs

@@ -1,8 +1,20 @@
-"""Queries and oracle SQL of the training-data operators."""
+"""Queries and oracle SQL of the training-data operators and of the pipeline over them."""
 
 from __future__ import annotations
 
-from skillweave.llm import embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, pieces, source_mixing, suffix_dedup, topk_search, toxicity
+import corpus_pipeline
+from skillweave.llm import (
+    embedding_dedup,
+    html_text,
+    jaccard_join,
+    line_dedup,
+    lm_scoring,
+    pieces,
+    source_mixing,
+    suffix_dedup,
+    topk_search,
+    toxicity,
+)
 
 _MODULES = (suffix_dedup, source_mixing, line_dedup, toxicity, html_text, topk_search, lm_scoring, jaccard_join, embedding_dedup, pieces)
 
@@ -11,3 +23,6 @@ ORACLES: dict[str, str] = {}
 for _m in _MODULES:
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
