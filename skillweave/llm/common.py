@@ -151,20 +151,31 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mixed((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words_of(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts in order, first and end word of each text, and the word's length in bytes."""
+#: Bytes of text hashed at once; a longer text is hashed whole.
+CHUNK_BYTES = 1 << 20
+
+
+def chunks(sizes: np.ndarray, most: int = CHUNK_BYTES) -> list[tuple[int, int]]:
+    """Ranges of texts whose bytes together stay near most."""
+    if not len(sizes):
+        return []
+    part = np.cumsum(sizes + 1) // most
+    at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]])
+    return list(zip(at[:-1].tolist(), at[1:].tolist()))
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts in order (A-Z lowered), and the first and the end word of each text."""
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    if lower:
-        data = LOWER[data]
-    apart = SEPARATORS[data]
-    edge = np.flatnonzero(np.diff(apart, prepend=True) != 0)
-    starts, ends = edge[0::2], edge[1::2]
-    hashes = span_hash(prefix_hash(data), starts, ends)
-    text_end = np.cumsum(sizes + 1)
-    upto = np.searchsorted(starts, text_end, "left")
-    first = np.concatenate([[0], upto[:-1]]) if len(texts) else upto
-    return hashes, first, upto, ends - starts
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in chunks(sizes):
+        data = LOWER[np.frombuffer(b"\n".join(texts[a:b]) + b"\n", np.uint8)]
+        edge = np.flatnonzero(np.diff(SEPARATORS[data], prepend=True))
+        starts, ends = edge[0::2], edge[1::2]
+        hashes.append(span_hash(prefix_hash(data), starts, ends))
+        counts.append(np.diff(np.searchsorted(starts, np.cumsum(sizes[a:b] + 1), "left"), prepend=0))
+    upto = np.cumsum(np.concatenate(counts))
+    return np.concatenate(hashes), upto - np.concatenate(counts), upto
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

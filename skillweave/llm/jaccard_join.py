@@ -36,10 +36,10 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
 
     A text with fewer words than a shingle has its whole sequence as one; a text without words has none.
     """
-    hashes, first, upto, _ = words_of(texts)
+    hashes, first, upto = words_of(texts)
     size = upto - first
     count = np.where(size >= words, size - words + 1, np.minimum(size, 1))
-    owner = np.repeat(np.arange(len(texts)), count)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), count)
     start = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     span = np.minimum(size[owner], words)
     out = span.astype(np.uint64)

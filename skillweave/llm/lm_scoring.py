@@ -32,7 +32,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of all texts (start, words, end of each), each token's place in its text, and each text's first token."""
-    words, first, upto, _ = words_of(texts)
+    words, first, upto = words_of(texts)
     size = upto - first + 2
     begin = np.cumsum(size) - size
     tokens = np.empty(int(size.sum()), np.uint64)
