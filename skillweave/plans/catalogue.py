@@ -1,6 +1,791 @@
-"""The query catalogue: name -> callable, and name -> oracle SQL."""
+"""The query catalogue: name -> callable(spark, sf_dir), and name -> oracle SQL.
+
+The operators run on proxies in the driver's tables: a job is an order, its role the customer's market segment, its skills
+the brands of its lines' parts; a candidate is a customer, who owns the brands of their urgent orders. Frequencies lie
+between 10 and 20 per cent there, so cuts are lower than the operators' defaults. Arrays leave as text joined by '|'.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from skillweave.functions import sets, text
+from skillweave.functions.repair import repaired_json
+from skillweave.operators import evaluate, fuzzy, gap, graph, market, matching, roadmap, sections, transitions
+from skillweave.plans import fixtures as fx
+from skillweave.session import table
+from skillweave.sources import tables
+
+NOISE, IMPORTANT, CORE, CRITICAL = 12.0, 14.0, 15.0, 16.0
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def _join(c):
+    return F.array_join(c, "|")
+
+
+def _jobs(s: SparkSession, d: str) -> DataFrame:
+    orders, customer = table(s, d, "orders"), table(s, d, "customer")
+    return orders.join(customer, orders.o_custkey == customer.c_custkey).select(F.col("o_orderkey").alias("job_id"), F.col("c_mktsegment").alias("role"))
+
+
+def _brands(s: SparkSession, d: str) -> DataFrame:
+    lines, part = table(s, d, "lineitem").select("l_orderkey", "l_partkey"), table(s, d, "part").select("p_partkey", "p_brand")
+    return lines.join(part, lines.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("job_id"), F.col("p_brand").alias("skill")).distinct()
+
+
+def _matrix(s: SparkSession, d: str, noise: float = NOISE) -> DataFrame:
+    jobs = _jobs(s, d)
+    return market.role_skill_matrix(jobs, jobs.join(_brands(s, d), "job_id").select("job_id", "role", "skill"), noise)
+
+
+def _owned(s: SparkSession, d: str) -> DataFrame:
+    urgent = table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("candidate"))
+    return urgent.join(_brands(s, d), "job_id").select("candidate", "skill").distinct()
+
+
+def _targets(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").select(F.col("c_custkey").alias("candidate"), F.col("c_mktsegment").alias("role"))
+
+
+_BASE = """
+WITH jobs AS (SELECT o_orderkey AS job_id, c_mktsegment AS role, o_custkey AS candidate, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
+brands AS (SELECT DISTINCT l_orderkey AS job_id, p_brand AS skill FROM lineitem JOIN part ON l_partkey = p_partkey),
+totals AS (SELECT role, count(*) AS total FROM jobs GROUP BY role),
+allskills AS (SELECT role, skill, round(100.0 * count(*) / any_value(total), 2) AS frequency_pct, count(*) AS count, any_value(total) AS total_jobs_in_role
+  FROM jobs JOIN brands USING (job_id) JOIN totals USING (role) GROUP BY role, skill),
+matrix AS (SELECT * FROM allskills WHERE frequency_pct >= 12),
+owned AS (SELECT DISTINCT o_custkey AS candidate, skill FROM orders JOIN brands ON o_orderkey = job_id WHERE o_orderpriority = '1-URGENT'),
+targets AS (SELECT c_custkey AS candidate, c_mktsegment AS role FROM customer)
+"""
+
+
+# Sources and profiles
+
+
+@_add(
+    "q_union_sources",
+    "SELECT source, count(*) AS n, CAST(sum(length(coalesce(txt, ''))) AS BIGINT) AS chars, min(record_id) AS first_id FROM ("
+    " SELECT 'documents' AS source, text AS txt, 'DOC_' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), CAST(greatest(4, length(CAST((SELECT count(*) FROM documents) AS VARCHAR))) AS INTEGER), '0') AS record_id FROM documents"
+    " UNION ALL SELECT 'conversations', text, 'CONV_' || lpad(CAST(row_number() OVER (ORDER BY conv_id, turn) AS VARCHAR), CAST(greatest(4, length(CAST((SELECT count(*) FROM conversations) AS VARCHAR))) AS INTEGER), '0') FROM conversations"
+    " UNION ALL SELECT 'benchmark', text, 'BENCH_' || lpad(CAST(row_number() OVER (ORDER BY item_id) AS VARCHAR), CAST(greatest(4, length(CAST((SELECT count(*) FROM benchmark) AS VARCHAR))) AS INTEGER), '0') FROM benchmark) GROUP BY source",
+)
+def q_union_sources(s, d):
+    docs = tables.unified(table(s, d, "documents"), "DOC", "documents", "text", "doc_id", description=F.col("text"))
+    conv = table(s, d, "conversations").withColumn("at", F.struct("conv_id", "turn"))
+    rows = tables.union_records(
+        docs,
+        tables.unified(conv, "CONV", "conversations", "text", "at", description=F.col("text")),
+        tables.unified(table(s, d, "benchmark"), "BENCH", "benchmark", "text", "item_id", description=F.col("text")),
+    )
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("description", F.lit("")))).alias("chars"), F.min("record_id").alias("first_id"))
+
+
+@_add(
+    "q_value_counts",
+    "SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang",
+)
+def q_value_counts(s, d):
+    return market.value_counts(table(s, d, "documents"), "source", "lang")
+
+
+@_add(
+    "q_null_profile",
+    "WITH j AS (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)) "
+    + " UNION ALL ".join(f'SELECT \'{c}\' AS "column", count(*) FILTER ({c} IS NULL) AS nulls, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct FROM j' for c in ("doc_id", "lang", "quality", "toxic")),
+)
+def q_null_profile(s, d):
+    return market.null_profile(table(s, d, "documents").select("doc_id", "lang").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", "lang", "quality", "toxic"))
+
+
+_SIZES = "count(*) AS n, round(avg(CASE WHEN k > 0 THEN 1.0 ELSE 0.0 END) * 100, 2) AS coverage_pct, round(avg(CAST(k AS DOUBLE)), 4) AS mean_size, median(CAST(k AS DOUBLE)) AS median_size, CAST(min(k) AS BIGINT) AS min_size, CAST(max(k) AS BIGINT) AS max_size"
+
+
+def _candidate_sizes(s, d):
+    n = _owned(s, d).groupBy("candidate").agg(F.count(F.lit(1)).alias("k"))
+    return _targets(s, d).join(n, "candidate", "left").fillna({"k": 0})
+
+
+@_add("q_size_summary", _BASE + f"SELECT {_SIZES} FROM (SELECT t.candidate, count(o.skill) AS k FROM targets t LEFT JOIN owned o USING (candidate) GROUP BY 1)")
+def q_size_summary(s, d):
+    return market.size_summary(_candidate_sizes(s, d), F.col("k"))
+
+
+@_add("q_size_summary_by_role", _BASE + f"SELECT role, {_SIZES} FROM (SELECT t.candidate, any_value(t.role) AS role, count(o.skill) AS k FROM targets t LEFT JOIN owned o USING (candidate) GROUP BY 1) GROUP BY role")
+def q_size_summary_by_role(s, d):
+    return market.size_summary(_candidate_sizes(s, d), F.col("k"), "role")
+
+
+@_add("q_distinct_counts", _BASE + "SELECT count(DISTINCT role) AS roles, count(DISTINCT skill) AS skills, count(*) AS cells FROM matrix")
+def q_distinct_counts(s, d):
+    return _matrix(s, d).agg(F.countDistinct("role").alias("roles"), F.countDistinct("skill").alias("skills"), F.count(F.lit(1)).alias("cells"))
+
+
+@_add("q_table_summary", "SELECT 'documents' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'part', count(*) FROM part")
+def q_table_summary(s, d):
+    return market.table_summary(**{n: table(s, d, n) for n in ("documents", "labels", "part")})
+
+
+# Market
+
+
+@_add("q_role_skill_matrix", _BASE + "SELECT * FROM matrix")
+def q_role_skill_matrix(s, d):
+    return market.ordered_matrix(_matrix(s, d))
+
+
+@_add("q_skill_frequency_top", "SELECT p_brand AS skill, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n DESC, skill LIMIT 10")
+def q_skill_frequency_top(s, d):
+    lines, part = table(s, d, "lineitem"), table(s, d, "part")
+    return market.top_values(lines.join(part, lines.l_partkey == part.p_partkey).select(F.col("p_brand").alias("skill")), "skill", 10)
+
+
+@_add(
+    "q_top_skills_per_role",
+    _BASE + "SELECT role, CAST(rank AS INTEGER) AS rank, skill, frequency_pct FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY frequency_pct DESC, skill) AS rank FROM matrix) WHERE rank <= 5",
+)
+def q_top_skills_per_role(s, d):
+    return market.top_skills_per_role(_matrix(s, d))
+
+
+@_add(
+    "q_role_stats_exact",
+    _BASE + "SELECT role, skill, frequency_pct, CAST(row_number() OVER (PARTITION BY role ORDER BY frequency_pct DESC, skill) AS INTEGER) AS rank FROM matrix WHERE lower(role) = 'building'",
+)
+def q_role_stats_exact(s, d):
+    return market.role_stats(_matrix(s, d), "Building").select("role", "skill", "frequency_pct", "rank")
+
+
+@_add(
+    "q_role_stats_lookup",
+    _BASE + "SELECT role, skill, frequency_pct, CAST(row_number() OVER (PARTITION BY role ORDER BY frequency_pct DESC, skill) AS INTEGER) AS rank FROM matrix WHERE contains(lower(role), 'u')",
+)
+def q_role_stats_lookup(s, d):
+    return market.role_stats(_matrix(s, d), "U").select("role", "skill", "frequency_pct", "rank")
+
+
+# Gaps
+
+
+@_add(
+    "q_strengths",
+    _BASE + "SELECT t.candidate, t.role, m.skill, m.frequency_pct, CASE WHEN frequency_pct >= 15 THEN 'Core' WHEN frequency_pct >= 14 THEN 'Important' ELSE 'Bonus' END AS level FROM targets t JOIN matrix m USING (role) JOIN owned o ON o.candidate = t.candidate AND o.skill = m.skill",
+)
+def q_strengths(s, d):
+    return gap.strengths(_owned(s, d), _targets(s, d), _matrix(s, d), CORE, IMPORTANT).select("candidate", "role", "skill", "frequency_pct", "level")
+
+
+_WEAK = "weak AS (SELECT t.candidate, t.role, m.skill, m.frequency_pct, CASE WHEN frequency_pct >= 16 THEN 'critical' WHEN frequency_pct >= 15 THEN 'medium' ELSE 'optional' END AS severity FROM targets t JOIN matrix m USING (role) WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.candidate = t.candidate AND o.skill = m.skill))"
+
+
+def _weak(s, d):
+    return gap.weaknesses(_owned(s, d), _targets(s, d), _matrix(s, d), CRITICAL, CORE)
+
+
+@_add("q_weaknesses", _BASE + f", {_WEAK} SELECT candidate, role, skill, frequency_pct, severity FROM weak")
+def q_weaknesses(s, d):
+    return _weak(s, d).select("candidate", "role", "skill", "frequency_pct", "severity")
+
+
+@_add("q_severity", _BASE + f", {_WEAK} SELECT role, severity, count(*) AS n, count(DISTINCT candidate) AS candidates FROM weak GROUP BY 1, 2")
+def q_severity(s, d):
+    return _weak(s, d).groupBy("role", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("candidate").alias("candidates"))
+
+
+@_add("q_extra_skills", _BASE + "SELECT o.candidate, t.role, o.skill FROM owned o JOIN targets t USING (candidate) WHERE NOT EXISTS (SELECT 1 FROM matrix m WHERE m.role = t.role AND m.skill = o.skill)")
+def q_extra_skills(s, d):
+    return gap.extra_skills(_owned(s, d), _targets(s, d), _matrix(s, d)).select("candidate", "role", "skill")
+
+
+@_add(
+    "q_readiness",
+    _BASE + "SELECT t.candidate, t.role, round(sum(CASE WHEN o.skill IS NOT NULL THEN frequency_pct ELSE 0 END), 2) AS owned_weight, round(sum(frequency_pct), 2) AS total_weight,"
+    " CAST(round_even(round(sum(CASE WHEN o.skill IS NOT NULL THEN frequency_pct ELSE 0 END), 2) / round(sum(frequency_pct), 2) * 100, 0) AS BIGINT) AS readiness"
+    " FROM targets t JOIN matrix m USING (role) LEFT JOIN owned o ON o.candidate = t.candidate AND o.skill = m.skill GROUP BY 1, 2",
+)
+def q_readiness(s, d):
+    return gap.readiness(_owned(s, d), _targets(s, d), _matrix(s, d)).select("candidate", "role", "owned_weight", "total_weight", "readiness")
+
+
+@_add(
+    "q_market_gap",
+    _BASE + ", need AS (SELECT role, skill FROM (SELECT *, max(CASE WHEN frequency_pct >= 15 THEN 1 ELSE 0 END) OVER (PARTITION BY role) AS hi FROM matrix) WHERE hi = 0 OR frequency_pct >= 15)"
+    " SELECT t.candidate, t.role, count(*) AS required, coalesce(string_agg(n.skill, '|' ORDER BY n.skill) FILTER (o.skill IS NOT NULL), '') AS have, coalesce(string_agg(n.skill, '|' ORDER BY n.skill) FILTER (o.skill IS NULL), '') AS need,"
+    " round(count(o.skill) / count(*) * 100, 2) AS match_pct FROM targets t JOIN need n USING (role) LEFT JOIN owned o ON o.candidate = t.candidate AND o.skill = n.skill GROUP BY 1, 2",
+)
+def q_market_gap(s, d):
+    out = gap.market_gap(_owned(s, d), _targets(s, d), _matrix(s, d), CORE)
+    return out.select("candidate", "role", "required", _join("have").alias("have"), _join("need").alias("need"), "match_pct")
+
+
+@_add(
+    "q_improvement_actions",
+    _BASE + f", {_WEAK}, ranked AS (SELECT *, CASE severity WHEN 'critical' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END AS priority,"
+    " row_number() OVER (PARTITION BY candidate, role ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, frequency_pct DESC, skill) AS rank FROM weak)"
+    " SELECT candidate, role, skill, priority, CAST(rank AS INTEGER) AS rank, 'Learn and practise ' || skill AS action FROM ranked WHERE rank <= 5",
+)
+def q_improvement_actions(s, d):
+    return gap.improvement_actions(_weak(s, d)).select("candidate", "role", "skill", "priority", "rank", "action")
+
+
+@_add(
+    "q_merged_order",
+    _BASE + f", {_WEAK}, lists AS (SELECT candidate, role, skill, 0 AS prio, row_number() OVER (PARTITION BY candidate, role ORDER BY skill DESC) AS pos FROM weak WHERE severity = 'critical'"
+    " UNION ALL SELECT candidate, role, skill, 1, row_number() OVER (PARTITION BY candidate, role ORDER BY frequency_pct, skill) FROM weak),"
+    " firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate, role, skill ORDER BY prio, pos) AS rn FROM lists) WHERE rn = 1)"
+    " SELECT candidate, role, skill, prio, CAST(row_number() OVER (PARTITION BY candidate, role ORDER BY prio, pos, skill) AS INTEGER) AS step FROM firsts",
+)
+def q_merged_order(s, d):
+    weak = _weak(s, d)
+    at = lambda rows, *order: rows.withColumn("pos", F.row_number().over(W.partitionBy("candidate", "role").orderBy(*order)))
+    return gap.merged_order(at(weak.filter("severity = 'critical'"), F.desc("skill")), at(weak, "frequency_pct", "skill"))
+
+
+@_add("q_gap_document")
+def q_gap_document(s, d):
+    return gap.gap_document(_owned(s, d), _targets(s, d), _matrix(s, d)).select("candidate", "role", "readiness", F.to_json("strengths").alias("strengths"), F.to_json("optional_gaps").alias("optional_gaps"), _join("extra_skills").alias("extra_skills"), F.to_json("actions").alias("actions"))
+
+
+@_add(
+    "q_market_insights",
+    _BASE + f", {_WEAK} SELECT k.candidate, m.role, m.skill, m.frequency_pct, CASE w.severity WHEN 'critical' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END AS priority"
+    " FROM (SELECT DISTINCT candidate, role FROM weak) k JOIN matrix m USING (role) LEFT JOIN weak w ON w.candidate = k.candidate AND w.role = m.role AND w.skill = m.skill",
+)
+def q_market_insights(s, d):
+    return roadmap.market_insights(_matrix(s, d), _weak(s, d))
+
+
+# Transitions
+
+_SETS = "sets AS (SELECT role, skill FROM allskills WHERE frequency_pct >= 14.7), sizes AS (SELECT role, count(*) AS n FROM sets GROUP BY role), tops AS (SELECT role, skill FROM allskills WHERE frequency_pct >= 15)"
+_LISTS = (
+    " coalesce((SELECT string_agg(x.skill, '|' ORDER BY x.skill) FROM sets x JOIN sets y ON x.skill = y.skill WHERE x.role = e.f AND y.role = e.t), '') AS shared_skills,"
+    " coalesce((SELECT string_agg(x.skill, '|' ORDER BY x.skill) FROM tops x WHERE x.role = e.t AND NOT EXISTS (SELECT 1 FROM tops y WHERE y.role = e.f AND y.skill = x.skill)), '') AS new_skills_needed"
+)
+_PAIRS = (
+    "ov AS (SELECT a.role AS a, b.role AS b, count(*) AS shared FROM sets a JOIN sets b ON a.skill = b.skill AND a.role < b.role GROUP BY 1, 2),"
+    " found AS (SELECT CASE WHEN x.n > y.n THEN b ELSE a END AS f, CASE WHEN x.n > y.n THEN a ELSE b END AS t, round(CAST(shared AS DOUBLE) / (x.n + y.n - shared), 4) AS weight"
+    " FROM ov JOIN sizes x ON x.role = a JOIN sizes y ON y.role = b WHERE CAST(shared AS DOUBLE) / (x.n + y.n - shared) >= 0.25)"
+)
+
+
+def _transitions(s, d):
+    return transitions.transitions(_matrix(s, d), 14.7, 15.0, 0.25)
+
+
+def _flat(rows):
+    return rows.select(F.col("from").alias("from_role"), F.col("to").alias("to_role"), "weight", _join("shared_skills").alias("shared_skills"), _join("new_skills_needed").alias("new_skills_needed"))
+
+
+@_add("q_role_transitions", _BASE + f", {_SETS}, {_PAIRS} SELECT f AS from_role, t AS to_role, weight, {_LISTS} FROM found e")
+def q_role_transitions(s, d):
+    return _flat(_transitions(s, d))
+
+
+_SEEDS = [("AUTOMOBILE", "BUILDING"), ("MACHINERY", "FURNITURE"), ("ASTRONAUT", "PILOT")]
+
+
+@_add(
+    "q_predefined_transitions",
+    _BASE + f", {_SETS}, {_PAIRS}, seeds(f, t) AS (VALUES {', '.join(map(str, _SEEDS))}),"
+    " added AS (SELECT s.f, s.t, CASE WHEN x.n IS NULL AND y.n IS NULL THEN 0.3 ELSE coalesce(round(CAST((SELECT count(*) FROM sets p JOIN sets q ON p.skill = q.skill WHERE p.role = s.f AND q.role = s.t) AS DOUBLE)"
+    " / (x.n + y.n - (SELECT count(*) FROM sets p JOIN sets q ON p.skill = q.skill WHERE p.role = s.f AND q.role = s.t)), 4), 0) END AS weight"
+    " FROM seeds s LEFT JOIN sizes x ON x.role = s.f LEFT JOIN sizes y ON y.role = s.t WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.f = s.f AND o.t = s.t))"
+    f" SELECT f AS from_role, t AS to_role, weight, {_LISTS} FROM (SELECT * FROM found UNION ALL SELECT * FROM added) e",
+)
+def q_predefined_transitions(s, d):
+    seeds = s.createDataFrame(_SEEDS, "from string, to string")
+    return _flat(transitions.seeded(_transitions(s, d), seeds, _matrix(s, d), 14.7, 15.0))
+
+
+@_add(
+    "q_closest_role",
+    _BASE + f", {_SETS}, mine AS (SELECT candidate, count(*) AS n FROM owned GROUP BY 1), sc AS (SELECT o.candidate, s.role, round(CAST(count(*) AS DOUBLE) / (any_value(mine.n) + any_value(sizes.n) - count(*)), 4) AS similarity"
+    " FROM owned o JOIN sets s USING (skill) JOIN mine ON mine.candidate = o.candidate JOIN sizes ON sizes.role = s.role GROUP BY 1, 2)"
+    " SELECT candidate, role, similarity FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY similarity DESC, role) AS rn FROM sc) WHERE rn = 1",
+)
+def q_closest_role(s, d):
+    return transitions.closest_role(_owned(s, d), _matrix(s, d), 14.7)
+
+
+# Matching and search
+
+
+@_add(
+    "q_job_match_jaccard",
+    _BASE + ", want(skill) AS (VALUES ('Brand#11'), ('Brand#22'), ('Brand#33'), ('Brand#44')), k AS (SELECT job_id, count(*) AS n, count(w.skill) AS hit FROM brands b LEFT JOIN want w USING (skill) GROUP BY 1)"
+    " SELECT job_id, round(CAST(hit AS DOUBLE) / (n + 4 - hit) * 100, 2) AS score FROM k WHERE hit > 0 ORDER BY score DESC, job_id LIMIT 50",
+)
+def q_job_match_jaccard(s, d):
+    jobs = _brands(s, d).groupBy("job_id").agg(F.collect_set("skill").alias("skills"))
+    return matching.match_by_skills(jobs, F.array(*[F.lit(f"Brand#{i}") for i in (11, 22, 33, 44)]), 50)
+
+
+@_add(
+    "q_job_match_coverage",
+    _BASE + ", want(skill) AS (VALUES ('Brand#11'), ('Brand#22'), ('Brand#33'), ('Brand#44')), k AS (SELECT job_id, count(*) AS n, count(w.skill) AS hit FROM brands b LEFT JOIN want w USING (skill) GROUP BY 1),"
+    " sem AS (SELECT o_orderkey AS job_id, 0.5 AS score FROM orders WHERE o_orderstatus = 'F')"
+    " SELECT job_id, round((0.7 * coalesce(sem.score, 0) + 0.3 * (CAST(hit AS DOUBLE) / n)) * 100, 2) AS score FROM k LEFT JOIN sem USING (job_id)"
+    " WHERE round((0.7 * coalesce(sem.score, 0) + 0.3 * (CAST(hit AS DOUBLE) / n)) * 100, 2) > 0 ORDER BY score DESC, job_id LIMIT 50",
+)
+def q_job_match_coverage(s, d):
+    jobs = _brands(s, d).groupBy("job_id").agg(F.collect_set("skill").alias("skills"))
+    sem = table(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("job_id"), F.lit(0.5).alias("score"))
+    return matching.match_by_text(jobs, F.array(*[F.lit(f"Brand#{i}") for i in (11, 22, 33, 44)]), sem, 50)
+
+
+_COS = (
+    "WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),"
+    " sc AS (SELECT q.id AS query_id, v.id, round(greatest(0, least(1, list_cosine_similarity(q.e, v.e))), 4) AS score FROM v JOIN v q ON v.id <> q.id WHERE q.id < 3),"
+    " top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc) WHERE rank <= {k})"
+)
+
+
+def _vectors(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _near(s, d, k):
+    v = _vectors(s, d)
+    return matching.vector_top_k(v, v.filter("id < 3").select(F.col("id").alias("query_id"), "embedding"), k)
+
+
+@_add("q_cosine_topk", _COS.format(k=10) + " SELECT query_id, rank, id, score FROM top")
+def q_cosine_topk(s, d):
+    return _near(s, d, 10)
+
+
+@_add(
+    "q_hybrid_rerank",
+    _COS.format(k=100) + ", b AS (SELECT DISTINCT l_orderkey AS id, p_brand AS skill FROM lineitem JOIN part ON l_partkey = p_partkey),"
+    " k AS (SELECT t.id, any_value(t.score) AS sem, count(b.skill) AS n, count(CASE WHEN b.skill IN ('Brand#11', 'Brand#22', 'Brand#33') THEN 1 END) AS hit FROM top t LEFT JOIN b ON b.id = t.id WHERE query_id = 1 GROUP BY t.id)"
+    " SELECT id, round(0.6 * sem + 0.4 * (least(1.0, CAST(n AS DOUBLE) / 5) * least(1.0, CAST(hit AS DOUBLE) / 3)), 4) AS score FROM k ORDER BY score DESC, id LIMIT 20",
+)
+def q_hybrid_rerank(s, d):
+    near = _near(s, d, 100).filter("query_id = 1").select("id", F.col("score").alias("sem"))
+    skills = _brands(s, d).groupBy(F.col("job_id").alias("id")).agg(F.collect_set("skill").alias("skills"))
+    rows = near.join(skills, "id", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
+    return matching.hybrid_rank(rows, F.array(*[F.lit(f"Brand#{i}") for i in (11, 22, 33)]), 20)
+
+
+@_add("q_keyword_bonus", "SELECT p_partkey, round(least(0.08, 0.04 * ((CASE WHEN contains(lower(p_type), 'brass') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(p_type), 'small') THEN 1 ELSE 0 END))) + CASE WHEN contains(lower(p_name), 'part') THEN 0.02 ELSE 0 END, 4) AS bonus FROM part")
+def q_keyword_bonus(s, d):
+    return table(s, d, "part").select("p_partkey", F.round(matching.keyword_bonus(F.col("p_type"), F.col("p_name"), ["brass", "small"], ["part"]), 4).alias("bonus"))
+
+
+@_add("q_content_dedup", "SELECT md5(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def q_content_dedup(s, d):
+    return matching.first_by_content(table(s, d, "documents").select("doc_id", "text"), F.col("text"), "doc_id").select("content_hash", "doc_id")
+
+
+@_add(
+    "q_job_texts",
+    "SELECT p_partkey, md5(coalesce(p_name, '') || '::' || coalesce(p_brand, '') || '::' || lower(p_type)) AS job_hash, concat_ws('. ', 'Title: ' || p_name, 'Role: ' || p_type, 'Company: ' || p_brand, 'Skills: ' || p_type) AS job_text FROM part",
+)
+def q_job_texts(s, d):
+    c = F.col
+    return table(s, d, "part").select(
+        "p_partkey",
+        F.md5(matching.job_content(c("p_name"), c("p_brand"), F.array("p_type")).cast("binary")).alias("job_hash"),
+        matching.job_text(c("p_name"), c("p_type"), c("p_brand"), F.lit(None).cast("string"), F.array("p_type")).alias("job_text"),
+    )
+
+
+# Text
+
+_TERMS = [("the", "THE"), ("and", "AND"), ("der", "DER"), ("of the", "OF_THE"), ("que", "QUE"), ("pour", "POUR")]
+
+
+@_add(
+    "q_skill_extract_text",
+    "WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}+#.]+'), lambda x: regexp_replace(x, '^\\.+|\\.+$', '', 'g')), lambda x: x <> '') AS w FROM documents),"
+    " g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)"
+    f" SELECT DISTINCT doc_id, canonical FROM g JOIN (VALUES {', '.join(map(str, _TERMS))}) t(gram, canonical) USING (gram)",
+)
+def q_skill_extract_text(s, d):
+    return text.extract_terms(table(s, d, "documents").select("doc_id", "text"), s.createDataFrame(_TERMS, "alias string, canonical string"), longest=2)
+
+
+@_add(
+    "q_alias_resolution",
+    "SELECT word, n, coalesce(canonical, trim(word)) AS canonical, canonical IS NOT NULL AS known FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(p_type, ' ')) AS word FROM part) GROUP BY word)"
+    " LEFT JOIN (VALUES ('brass', 'Brass alloy'), ('small', 'Small size')) t(alias, canonical) ON lower(trim(word)) = alias",
+)
+def q_alias_resolution(s, d):
+    words = table(s, d, "part").select(F.explode(F.split("p_type", " ")).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    onto = s.createDataFrame([("brass", "Brass alloy"), ("small", "Small size")], "alias string, canonical string")
+    return text.resolve_aliases(words, onto).withColumnRenamed("skill", "word")
+
+
+@_add(
+    "q_regex_fields",
+    f"SELECT doc_id, nullif(regexp_extract(text, '{text.EMAIL}', 0), '') AS email, coalesce({', '.join(f'''nullif(regexp_extract(text, '{p}', 0), '')''' for p in text.PHONES)}) AS phone FROM documents",
+)
+def q_regex_fields(s, d):
+    docs = table(s, d, "documents")
+    return docs.select("doc_id", *text.contact_fields(F.col("text"))).select("doc_id", "email", "phone")
+
+
+@_add(
+    "q_split_terms",
+    "SELECT doc_id, len(t) AS n_terms, coalesce(t[1], '') AS first_term FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,;\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS t FROM documents)",
+)
+def q_split_terms(s, d):
+    t = table(s, d, "documents").select("doc_id", text.split_terms(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.coalesce(F.try_element_at("t", F.lit(1)), F.lit("")).alias("first_term"))
+
+
+@_add("q_text_preview", "SELECT doc_id, coalesce(substring(text, 1, 100), '') AS preview, greatest(CAST(floor(length(text) / 4) AS BIGINT), 0) AS quarter FROM documents")
+def q_text_preview(s, d):
+    return table(s, d, "documents").select("doc_id", text.preview(F.col("text"), 100).alias("preview"), F.floor(F.length("text") / 4).cast("long").alias("quarter"))
+
+
+@_add("q_trailing_number", "SELECT c_custkey, coalesce(try_cast(regexp_extract(c_name, '([0-9]+)[^0-9]*$', 1) AS BIGINT), 0) AS number FROM customer")
+def q_trailing_number(s, d):
+    return table(s, d, "customer").select("c_custkey", text.trailing_number(F.col("c_name")).alias("number"))
+
+
+_SECTIONS = {"alpha": ["the "], "beta": ["and ", "der "], "gamma": ["que "]}
+
+
+@_add(
+    "q_line_sections",
+    "WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),"
+    " h AS (SELECT *, CASE WHEN length(line) <= 60 AND length(line) - length(replace(line, ',', '')) <= 2 AND length(line) - length(replace(line, '.', '')) <= 1 AND length(trim(line, ' ')) > 0 THEN"
+    " CASE WHEN contains(lower(line), 'the ') THEN 'alpha' WHEN contains(lower(line), 'and ') OR contains(lower(line), 'der ') THEN 'beta' WHEN contains(lower(line), 'que ') THEN 'gamma' END END AS header FROM l),"
+    " c AS (SELECT *, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'personal_info') AS section FROM h)"
+    " SELECT doc_id, section, count(*) AS lines, CAST(min(line_no) AS INTEGER) AS first_line FROM c WHERE header IS NULL AND trim(line, ' ') <> '' GROUP BY 1, 2",
+)
+def q_line_sections(s, d):
+    rows = sections.sectioned(sections.lines(table(s, d, "documents")), _SECTIONS)
+    return rows.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"))
+
+
+@_add(
+    "q_section_spans",
+    "WITH p AS (SELECT doc_id, text, instr(text, 'The') AS a, instr(text, 'and') AS b FROM documents WHERE text IS NOT NULL),"
+    " h AS (SELECT doc_id, text, 1 AS start, '_pre_text' AS section, 0 AS o FROM p UNION ALL SELECT doc_id, text, a, 'alpha', 1 FROM p WHERE a > 0 UNION ALL SELECT doc_id, text, b, 'beta', 1 FROM p WHERE b > 0),"
+    " n AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start, o, section), length(text) + 1) AS stop FROM h)"
+    " SELECT doc_id, section, CAST(start AS INTEGER) AS start, CAST(length(trim(substring(text, start, stop - start), ' ')) AS INTEGER) AS n_chars FROM n",
+)
+def q_section_spans(s, d):
+    docs = table(s, d, "documents").filter("text is not null")
+    return sections.spans(docs, {"alpha": "The", "beta": "and"}).select("doc_id", "section", "start", F.length("content").alias("n_chars"))
+
+
+_DOMAINS = [("english", 0, w) for w in ("the ", "with ", "that ")] + [("french", 1, w) for w in ("que ", "pour ", "dans ")] + [("german", 2, w) for w in ("der ", "und ", "nicht ")]
+
+
+@_add(
+    "q_domain_detect",
+    "WITH h AS (SELECT doc_id, " + ", ".join("(" + " + ".join(f"CAST(contains(lower(coalesce(text, '')), '{w}') AS INTEGER)" for x, _, w in _DOMAINS if x == n) + f") AS {n}" for n in ("english", "french", "german")) + " FROM documents)"
+    " SELECT doc_id, CASE WHEN greatest(english, french, german) < 2 THEN NULL WHEN english >= french AND english >= german THEN 'english' WHEN french >= german THEN 'french' ELSE 'german' END AS domain, greatest(english, french, german) AS hits FROM h",
+)
+def q_domain_detect(s, d):
+    return text.detect_domain(table(s, d, "documents"), s.createDataFrame(_DOMAINS, "domain string, ordinal int, keyword string"))
+
+
+@_add(
+    "q_role_normalize",
+    "SELECT p_partkey, CASE WHEN lower(p_type) = 'small brass' THEN 'Brass (small)' ELSE (SELECT string_agg(upper(w[1]) || substring(w, 2), ' ') FROM (SELECT unnest(string_split(trim(regexp_replace(regexp_replace(lower(p_type), 'polished|plated', ' ', 'g'), '\\s+', ' ', 'g'), ' '), ' ')) AS w)) END AS role FROM part",
+)
+def q_role_normalize(s, d):
+    return table(s, d, "part").select("p_partkey", text.normalized_role(F.col("p_type"), {"small brass": "Brass (small)"}, ["polished|plated"]).alias("role"))
+
+
+@_add("q_json_props")
+def q_json_props(s, d):
+    rows = table(s, d, "events").select("event_id", repaired_json(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("fixed"), "props")
+    return rows.select("event_id", F.col("fixed").isNotNull().alias("valid"), F.size(F.json_object_keys("fixed")).alias("n_keys"))
+
+
+@_add(
+    "q_number_drift",
+    "WITH t AS (SELECT doc_id, coalesce(text, '') || ' ' || (doc_id % 7) || ',5% ' || (doc_id % 5) || '.2%' AS text FROM documents),"
+    " said AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '([0-9]+[.,]?[0-9]*)\\s*%', 1), lambda x: try_cast(replace(x, ',', '.') AS DOUBLE))) AS said FROM t)"
+    " SELECT doc_id, count(*) AS numbers, count(CASE WHEN NOT (abs(doc_id % 5 - said) < 0.5) THEN 1 END) AS drifted FROM said GROUP BY 1",
+)
+def q_number_drift(s, d):
+    docs = table(s, d, "documents")
+    tail = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), (F.col("doc_id") % 7).cast("string"), F.lit(",5% "), (F.col("doc_id") % 5).cast("string"), F.lit(".2%"))
+    return evaluate.number_drift(docs.select("doc_id", tail.alias("text")), docs.select("doc_id", (F.col("doc_id") % 5).cast("double").alias("value")))
+
+
+@_add(
+    "q_skill_drift",
+    _BASE + ", a AS (SELECT candidate, lower(skill) AS skill FROM owned), b AS (SELECT candidate, lower(skill) AS skill FROM targets JOIN matrix USING (role)),"
+    " f AS (SELECT coalesce(a.candidate, b.candidate) AS candidate, a.skill AS x, b.skill AS y FROM a FULL OUTER JOIN b ON a.candidate = b.candidate AND a.skill = b.skill)"
+    " SELECT candidate, count(CASE WHEN x IS NULL THEN 1 END) AS hallucinated, count(CASE WHEN y IS NULL THEN 1 END) AS missing, count(y) AS n_said,"
+    " round(greatest(0, least(1, 1 - 3 * (count(CASE WHEN x IS NULL THEN 1 END) / greatest(count(y), 1)) - 0.05 * count(CASE WHEN y IS NULL THEN 1 END))), 4) AS quality FROM f GROUP BY 1",
+)
+def q_skill_drift(s, d):
+    said = _targets(s, d).join(_matrix(s, d), "role").select("candidate", "skill")
+    rows = evaluate.skill_drift(_owned(s, d), said, "candidate")
+    rate = F.col("hallucinated") / F.greatest(F.col("n_said"), F.lit(1))
+    return rows.withColumn("quality", evaluate.quality(rate, F.lit(False), F.lit(0), F.col("missing")))
+
+
+# Fuzzy
+
+
+@_add("q_fuzzy_pairs")
+def q_fuzzy_pairs(s, d):
+    return fuzzy.similar_pairs(fx.part_names(s, d), 60.0)
+
+
+@_add("q_fuzzy_components")
+def q_fuzzy_components(s, d):
+    names = fx.part_names(s, d)
+    freq = names.select("name", F.col("frequency"))
+    return fuzzy.canonical_names(fuzzy.groups(names, fuzzy.similar_pairs(names, 60.0)), freq)
+
+
+# Graph (an inline graph on both sides)
+
+_G = fx.GRAPH_SQL
+
+
+@_add("q_direct_prereqs", f"WITH {_G} SELECT src, string_agg(dst, '|' ORDER BY ordinal) AS neighbours FROM edges WHERE type = 'prerequisite' GROUP BY src")
+def q_direct_prereqs(s, d):
+    return graph.neighbours(fx.edges(s), "prerequisite").select("src", _join("neighbours").alias("neighbours"))
+
+
+@_add(
+    "q_transitive_prereqs",
+    f"WITH RECURSIVE {_G}, walk(goal, skill, depth) AS (SELECT g, g, 0 FROM (VALUES ('rag'), ('mlops')) v(g) UNION ALL SELECT w.goal, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite'"
+    " WHERE e.dst NOT IN ('python') AND w.depth < 24) SELECT goal, skill, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1, 2",
+)
+def q_transitive_prereqs(s, d):
+    return graph.transitive_prerequisites(fx.edges(s), ["rag", "mlops"], ["python"])
+
+
+@_add(
+    "q_missing_prereqs_batch",
+    f"WITH RECURSIVE {_G}, owner(candidate, skill) AS (VALUES (1, 'python'), (2, 'ml'), (2, 'sql')), goals(candidate, goal) AS (VALUES (1, 'rag'), (2, 'rag'), (2, 'mlops')),"
+    " walk(candidate, goal, skill, depth) AS (SELECT candidate, goal, goal, 0 FROM goals UNION ALL SELECT w.candidate, w.goal, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite'"
+    " WHERE NOT EXISTS (SELECT 1 FROM owner o WHERE o.candidate = w.candidate AND o.skill = e.dst) AND w.depth < 8) SELECT candidate, goal, skill, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY ALL",
+)
+def q_missing_prereqs_batch(s, d):
+    owner = s.createDataFrame([(1, "python"), (2, "ml"), (2, "sql")], "candidate int, skill string")
+    goals = s.createDataFrame([(1, "rag"), (2, "rag"), (2, "mlops")], "candidate int, goal string")
+    return graph.missing_prerequisites(goals, owner, fx.edges(s))
+
+
+@_add(
+    "q_learning_path",
+    f"WITH RECURSIVE {_G}, walk(goal, skill, depth) AS (SELECT g, g, 0 FROM (VALUES ('rag'), ('mlops')) v(g) UNION ALL SELECT w.goal, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite'"
+    " WHERE e.dst NOT IN ('python') AND w.depth < 24), m AS (SELECT goal, skill, min(depth) AS depth, 'prerequisite' AS kind FROM walk WHERE depth > 0 GROUP BY 1, 2 UNION ALL SELECT DISTINCT goal, goal, 0, 'target' FROM walk)"
+    " SELECT goal, CAST(row_number() OVER (PARTITION BY goal ORDER BY depth DESC, skill) AS INTEGER) AS step, skill, kind FROM m",
+)
+def q_learning_path(s, d):
+    return graph.learning_path(graph.transitive_prerequisites(fx.edges(s), ["rag", "mlops"], ["python"]))
+
+
+_ALL = "('python'), ('sql'), ('statistics'), ('pandas'), ('ml'), ('dl'), ('nlp'), ('llm'), ('rag'), ('docker'), ('mlops')"
+
+
+@_add(
+    "q_depth",
+    f"WITH RECURSIVE {_G}, walk(skill, at, depth) AS (SELECT n, n, 0 FROM (VALUES {_ALL}) v(n) UNION ALL SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.at AND e.type = 'prerequisite'"
+    " WHERE w.at NOT IN ('python', 'sql') AND w.depth < 24) SELECT skill, CAST(coalesce(min(CASE WHEN at IN ('python', 'sql') THEN depth END), 999) AS INTEGER) AS depth FROM walk GROUP BY skill",
+)
+def q_depth(s, d):
+    return graph.depth_to_owned(fx.edges(s), fx.NODES, ["python", "sql"])
+
+
+@_add(
+    "q_longest_depth",
+    f"WITH RECURSIVE {_G}, walk(skill, at, depth) AS (SELECT n, n, 0 FROM (VALUES {_ALL}) v(n) UNION ALL SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.at AND e.type = 'prerequisite'"
+    " WHERE e.dst NOT IN ('python') AND w.at NOT IN ('python') AND w.depth < 24) SELECT skill, max(depth) AS depth FROM walk GROUP BY skill",
+)
+def q_longest_depth(s, d):
+    return graph.longest_depth(fx.edges(s), fx.NODES, ["python"])
+
+
+@_add(
+    "q_shortest_path",
+    f"WITH RECURSIVE {_G}, both AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), walk(node, path, steps) AS (SELECT 'sql', ['sql'], 0 UNION ALL SELECT b.y, list_append(w.path, b.y), w.steps + 1"
+    " FROM walk w JOIN both b ON b.x = w.node WHERE NOT list_contains(w.path, b.y) AND w.steps < 8 AND w.node <> 'rag') SELECT array_to_string(path, '|') AS path, steps FROM walk WHERE node = 'rag' ORDER BY steps, walk.path LIMIT 1",
+)
+def q_shortest_path(s, d):
+    e = fx.edges(s).select(F.col("src").alias("from"), F.col("dst").alias("to"))
+    return transitions.shortest_path(e, "sql", "rag").select(_join("path").alias("path"), "steps")
+
+
+@_add(
+    "q_first_prereq_chain",
+    f"WITH RECURSIVE {_G}, walk(skill, depth) AS (SELECT 'rag', 0 UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' AND e.ordinal = 0 WHERE w.depth < 24)"
+    " SELECT CAST(max(depth) OVER () - depth AS INTEGER) AS step, skill FROM walk",
+)
+def q_first_prereq_chain(s, d):
+    return graph.first_prerequisite_chain(fx.edges(s), "rag")
+
+
+_OWN = "own(candidate, skill) AS (VALUES (1, 'python'), (1, 'pandas'), (2, 'python'), (2, 'ml'), (2, 'sql'), (3, 'docker'))"
+
+
+@_add(
+    "q_next_skills",
+    f"WITH {_G}, {_OWN}, led AS (SELECT o.candidate, e.dst AS skill, list(DISTINCT o.skill) AS leading FROM own o JOIN edges e ON e.src = o.skill AND e.type = 'leads_to' WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.candidate = o.candidate AND x.skill = e.dst) GROUP BY 1, 2),"
+    " pre AS (SELECT src AS skill, list(DISTINCT dst) AS needed FROM edges WHERE type = 'prerequisite' GROUP BY 1), mine AS (SELECT candidate, list(skill) AS mine FROM own GROUP BY 1),"
+    " sc AS (SELECT candidate, led.skill, len(leading) * CASE WHEN needed IS NULL THEN 1.0 ELSE CAST(len(list_distinct(list_concat(list_intersect(needed, mine), leading))) AS DOUBLE) / len(needed) END AS score, len(leading) AS leading"
+    " FROM led LEFT JOIN pre USING (skill) JOIN mine USING (candidate))"
+    " SELECT candidate, skill, round(score, 4) AS score, leading FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY round(score, 4) DESC, skill) AS rn FROM sc) WHERE rn <= 5",
+)
+def q_next_skills(s, d):
+    return graph.next_skills(fx.owned(s), fx.edges(s))
+
+
+@_add(
+    "q_cluster_coverage",
+    f"WITH {_OWN}, {fx.CLUSTER_SQL}, t AS (SELECT DISTINCT candidate, cluster FROM own JOIN clusters USING (skill))"
+    " SELECT t.candidate, t.cluster, round(count(o.skill) / count(*) * 100, 2) AS pct, coalesce(string_agg(c.skill, '|' ORDER BY c.skill) FILTER (o.skill IS NOT NULL), '') AS have, coalesce(string_agg(c.skill, '|' ORDER BY c.skill) FILTER (o.skill IS NULL), '') AS missing"
+    " FROM t JOIN clusters c USING (cluster) LEFT JOIN own o ON o.candidate = t.candidate AND o.skill = c.skill GROUP BY 1, 2",
+)
+def q_cluster_coverage(s, d):
+    return graph.cluster_coverage(fx.owned(s), fx.clusters(s)).select("candidate", "cluster", "pct", _join("have").alias("have"), _join("missing").alias("missing"))
+
+
+_SOME = "some(skill) AS (VALUES ('python'), ('ml'), ('dl'), ('nlp'), ('llm'), ('docker'))"
+
+
+@_add("q_induced_graph", f"WITH {_G}, {_SOME} SELECT src, dst, type FROM edges WHERE src IN (SELECT skill FROM some) AND dst IN (SELECT skill FROM some)")
+def q_induced_graph(s, d):
+    return graph.induced(fx.edges(s), fx.some(s))
+
+
+@_add(
+    "q_centrality",
+    f"WITH {_G}, {_SOME}, i AS (SELECT * FROM edges WHERE src IN (SELECT skill FROM some) AND dst IN (SELECT skill FROM some)),"
+    " dep AS (SELECT dst AS skill, count(DISTINCT src) AS k FROM i WHERE type = 'prerequisite' GROUP BY 1), deg AS (SELECT src AS skill, count(*) AS k FROM i WHERE type IN ('prerequisite', 'leads_to') GROUP BY 1)"
+    " SELECT skill, coalesce(dep.k, 0) AS dependents, round(coalesce(dep.k, 0) / 5.0, 4) AS centrality, coalesce(deg.k, 0) AS degree, round(coalesce(deg.k, 0) / 5.0, 4) AS degree_centrality FROM some LEFT JOIN dep USING (skill) LEFT JOIN deg USING (skill)",
+)
+def q_centrality(s, d):
+    a = graph.dependent_centrality(fx.edges(s), fx.some(s))
+    return a.join(graph.degree_centrality(fx.edges(s), fx.some(s)).withColumnRenamed("centrality", "degree_centrality"), "skill")
+
+
+@_add("q_prereq_boost", f"WITH {_G}, {_SOME} SELECT dst AS skill, least(1.0 + 0.1 * count(DISTINCT src), 1.5) AS boost FROM edges WHERE type = 'prerequisite' AND src IN (SELECT skill FROM some) GROUP BY 1")
+def q_prereq_boost(s, d):
+    return graph.prerequisite_boost(fx.edges(s), fx.some(s))
+
+
+@_add(
+    "q_skill_trees",
+    f"WITH {_G} SELECT n AS skill, coalesce((SELECT string_agg(dst, '|' ORDER BY ordinal) FROM edges WHERE src = n AND type = 'leads_to'), (SELECT string_agg(dst, '|' ORDER BY ordinal) FROM edges WHERE src = n AND type = 'related'), '') AS children FROM (VALUES {_ALL}) v(n)",
+)
+def q_skill_trees(s, d):
+    return graph.skill_trees(fx.edges(s), fx.nodes(s)).select("skill", _join("children").alias("children"))
+
+
+@_add(
+    "q_prune_topk_per_depth",
+    f"WITH {_G}, {fx.SCORED_SQL}, sc AS (SELECT *, round(relevance * market * centrality * boost * CASE WHEN depth < 2 THEN 1.2 ELSE 1.0 END, 6) AS score FROM scored),"
+    " best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY score DESC, skill) AS rn FROM sc WHERE relevance >= 0.2) WHERE rn <= 2)"
+    " SELECT skill, depth, score, false AS added FROM best UNION ALL SELECT skill, depth, score, true FROM sc WHERE skill IN (SELECT dst FROM edges WHERE type = 'prerequisite' AND src IN (SELECT skill FROM best)) AND skill NOT IN (SELECT skill FROM best)",
+)
+def q_prune_topk_per_depth(s, d):
+    return graph.role_aware_prune(fx.scored(s), fx.edges(s), graph.node_score(), per_depth=2).select("skill", "depth", "score", "added")
+
+
+# Roadmap
+
+_PH = _BASE + f", {_WEAK}, pos AS (SELECT candidate, skill, row_number() OVER (PARTITION BY candidate ORDER BY frequency_pct DESC, skill) AS pos, count(*) OVER (PARTITION BY candidate) AS n FROM weak), ph AS (SELECT candidate, skill, CAST(CASE WHEN n % 5 > 0 AND n % 5 < 2 AND ceil(n / 5.0) > 1 AND (pos - 1) // 5 + 1 = ceil(n / 5.0) THEN ceil(n / 5.0) - 1 ELSE (pos - 1) // 5 + 1 END AS INTEGER) AS phase FROM pos)"
+
+
+def _phases(s, d):
+    pos = F.row_number().over(W.partitionBy("candidate").orderBy(F.desc("frequency_pct"), "skill"))
+    return roadmap.chunk_phases(_weak(s, d).select("candidate", "skill", pos.alias("pos"))).select("candidate", "skill", "phase")
+
+
+@_add("q_phases", _PH + " SELECT candidate, skill, phase FROM ph")
+def q_phases(s, d):
+    return _phases(s, d)
+
+
+@_add(
+    "q_phase_projection",
+    _PH + ", wt AS (SELECT skill, sum(count) AS weight FROM matrix GROUP BY skill), tot AS (SELECT sum(weight) AS total FROM wt),"
+    " ev AS (SELECT candidate, 0 AS phase, sum(weight) AS w FROM owned JOIN wt USING (skill) GROUP BY 1 UNION ALL SELECT candidate, phase, sum(weight) FROM ph JOIN wt USING (skill) GROUP BY 1, 2),"
+    " st AS (SELECT DISTINCT candidate, phase FROM ph UNION SELECT DISTINCT candidate, 0 FROM ph),"
+    " run AS (SELECT st.candidate, st.phase, CAST(round_even(sum(coalesce(w, 0)) OVER (PARTITION BY st.candidate ORDER BY st.phase) / total * 100, 0) AS BIGINT) AS score FROM st LEFT JOIN ev ON ev.candidate = st.candidate AND ev.phase = st.phase, tot)"
+    " SELECT candidate, phase, score, score - coalesce(lag(score) OVER (PARTITION BY candidate ORDER BY phase), score) AS delta FROM run",
+)
+def q_phase_projection(s, d):
+    weights = _matrix(s, d).groupBy("skill").agg(F.sum("count").cast("double").alias("weight"))
+    return roadmap.projection(_owned(s, d), _phases(s, d), weights)
+
+
+@_add("q_overlay", f"WITH {_G}, {_OWN}, gaps(candidate, skill) AS (VALUES (1, 'ml'), (1, 'rag'), (2, 'dl'), (3, 'mlops'), (3, 'nlp')) SELECT candidate, skill, 'completed' AS status FROM own UNION ALL SELECT g.candidate, g.skill, CASE WHEN EXISTS (SELECT 1 FROM edges e JOIN own o ON o.skill = e.dst AND o.candidate = g.candidate WHERE e.src = g.skill AND e.type = 'prerequisite') THEN 'partial' ELSE 'missing' END FROM gaps g")
+def q_overlay(s, d):
+    gaps = s.createDataFrame([(1, "ml"), (1, "rag"), (2, "dl"), (3, "mlops"), (3, "nlp")], "candidate int, skill string")
+    return roadmap.overlay(fx.owned(s), gaps, fx.edges(s))
+
+
+@_add("q_graph_score", f"WITH {fx.RATED_SQL} SELECT candidate, least(100.0, round(sum(weight * completion * (1 - least(0.15 * missing, 0.5)) * market) / sum(weight) * 100, 2)) AS score FROM rated GROUP BY 1")
+def q_graph_score(s, d):
+    return roadmap.graph_score(fx.rated(s))
+
+
+@_add("q_bottlenecks", f"WITH {fx.RATED_SQL} SELECT candidate, CAST(rank AS INTEGER) AS rank, skill, completion FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY completion, ordinal, skill) AS rank FROM rated) WHERE rank <= 3 AND completion < 0.5")
+def q_bottlenecks(s, d):
+    return roadmap.bottlenecks(fx.rated(s))
+
+
+@_add(
+    "q_weighted_score",
+    f"WITH {fx.RATED_SQL}, pairs(a, b) AS (VALUES ('python', 'sql'), ('python', 'ml'), ('dl', 'ml')), bonus AS (SELECT x.candidate, least(0.02 * count(*), 0.10) AS bonus FROM pairs JOIN rated x ON x.skill = a AND x.status = 'owned' JOIN rated y ON y.skill = b AND y.status = 'owned' AND y.candidate = x.candidate GROUP BY 1),"
+    " sc AS (SELECT candidate, sum(weight * mastery * market) / sum(weight) * 100 AS base, product(CASE WHEN status = 'missing' THEN 1 - least(penalty, 0.5) ELSE 1.0 END) AS kept FROM rated GROUP BY 1)"
+    " SELECT candidate, least(100.0, round(base * kept * (1 + coalesce(bonus, 0.0)), 2)) AS score FROM sc LEFT JOIN bonus USING (candidate)",
+)
+def q_weighted_score(s, d):
+    pairs = s.createDataFrame([("python", "sql"), ("python", "ml"), ("dl", "ml")], "a string, b string")
+    return roadmap.weighted_score(fx.rated(s), pairs)
+
+
+@_add(
+    "q_stage_detect",
+    "WITH x AS (SELECT c_custkey AS candidate, CAST(c_custkey % 6 AS DOUBLE) - 1 AS years, c_custkey % 7 AS advanced FROM customer), b AS (SELECT *, CASE WHEN years <= 0 THEN 0 WHEN years <= 1 THEN 1 WHEN years <= 3 THEN 2 ELSE 3 END + CASE WHEN advanced >= 5 THEN 2 WHEN advanced >= 3 THEN 1 ELSE 0 END AS k FROM x)"
+    " SELECT candidate, ['Student', 'Fresher', 'Junior', 'Mid-level', 'Senior'][least(4, k) + 1] AS stage, round(0.7 - CASE WHEN years <= 0 THEN 0.2 ELSE 0 END + CASE WHEN advanced > 0 THEN 0.1 ELSE 0 END, 2) AS confidence FROM b",
+)
+def q_stage_detect(s, d):
+    return table(s, d, "customer").select(F.col("c_custkey").alias("candidate"), *roadmap.career_stage((F.col("c_custkey") % 6).cast("double") - 1, F.col("c_custkey") % 7))
+
+
+@_add(
+    "q_project_select",
+    f"WITH {fx.POOL_SQL}, need(phase_id, stage, skills) AS (VALUES (1, 'Junior', ['Python', 'SQL']), (2, 'Student', ['Docker', 'MLOps']), (3, 'Junior', ['Rust']), (4, 'Senior', ['LLM', 'RAG', 'Python'])),"
+    " allowed(stage, difficulties) AS (VALUES ('Student', ['Beginner']), ('Junior', ['Beginner', 'Intermediate']), ('Senior', ['Intermediate', 'Advanced'])),"
+    " m AS (SELECT phase_id, name, round(CAST(len(list_intersect(list_transform(skills, lambda x: lower(x)), list_transform(primary_skills, lambda x: lower(x)))) AS DOUBLE)"
+    " / len(list_distinct(list_concat(list_transform(skills, lambda x: lower(x)), list_transform(primary_skills, lambda x: lower(x))))), 4) AS match FROM need n, pool p"
+    " WHERE list_contains(p.suitable_stages, n.stage) OR list_contains((SELECT difficulties FROM allowed a WHERE a.stage = n.stage), p.difficulty))"
+    " SELECT phase_id, name, match FROM (SELECT *, row_number() OVER (PARTITION BY phase_id ORDER BY match DESC, name) AS rn FROM m WHERE match >= 0.5) WHERE rn = 1",
+)
+def q_project_select(s, d):
+    need = s.createDataFrame([(1, "Junior", ["Python", "SQL"]), (2, "Student", ["Docker", "MLOps"]), (3, "Junior", ["Rust"]), (4, "Senior", ["LLM", "RAG", "Python"])], "phase_id int, stage string, skills array<string>")
+    return roadmap.select_projects(need, fx.pool(s), {"Student": ["Beginner"], "Junior": ["Beginner", "Intermediate"], "Senior": ["Intermediate", "Advanced"]})
+
+
+@_add("q_skill_priority", f"WITH {fx.RATED_SQL} SELECT candidate, skill, round(0.4 * market + 0.3 * weight * 100 / 100 + 0.2 * completion + 0.1 * least(1.5, 3.0 / (missing + 1)), 3) AS priority FROM rated")
+def q_skill_priority(s, d):
+    c = F.col
+    return fx.rated(s).select("candidate", "skill", roadmap.skill_priority(c("market"), c("weight") * 100, c("completion"), c("missing") + 1).alias("priority"))
+
+
+@_add("q_phase_narrative", _PH + " SELECT candidate, phase, 'Phase ' || phase || ' builds ' || CASE WHEN phase < 1 THEN 'foundations' WHEN phase < 2.5 THEN 'core skills' ELSE 'advanced skills' END || ': ' || string_agg(skill, ', ' ORDER BY skill) || '.' AS narrative FROM ph GROUP BY 1, 2")
+def q_phase_narrative(s, d):
+    rows = _phases(s, d).groupBy("candidate", "phase").agg(F.array_sort(F.collect_list("skill")).alias("skills"))
+    return rows.select("candidate", "phase", roadmap.phase_narrative(F.col("phase"), F.col("skills"), F.col("phase").cast("double")).alias("narrative"))
