@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillweave.llm.common import LOWER, SEPARATORS, mixed, prefix_hash, span_hash, table
+from skillweave.llm.common import LOWER, SEPARATORS, chunks, mixed, prefix_hash, span_hash, table
 
 WINDOW = 64
 STRIDE = 48
@@ -41,24 +41,34 @@ CHUNK = 4096
 
 def _tokens(texts: list[bytes]):
     """Distinct words of the texts (hash, gram ids, gram counts) and each text's words as indices into them."""
-    data = LOWER[np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)]
-    apart = SEPARATORS[data]
-    edge = np.flatnonzero(np.diff(apart, prepend=True) != 0)
-    starts, ends = edge[0::2], edge[1::2]
-    hashes = span_hash(prefix_hash(data), starts, ends)
-    distinct, first, index = np.unique(hashes, return_index=True, return_inverse=True)
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    upto = np.searchsorted(starts, np.cumsum(sizes + 1) + 1, "left")
-    s, n = starts[first] - 1, np.maximum(1, (ends - starts)[first] + 3 - GRAM)
-    owner = np.repeat(np.arange(len(s)), n)
-    place = s[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    padded = np.concatenate([data, np.full(GRAM, 10, np.uint8)]).astype(np.uint64)
-    code = np.zeros(len(place), np.uint64)
-    last = (ends[first])[owner]
-    for i in range(GRAM):
-        code = code * np.uint64(257) + np.where(place + i <= last, padded[np.minimum(place + i, len(padded) - 1)], np.uint64(0))
-    grams = (mixed(code) % np.uint64(GRAM_ROWS)).astype(np.int32)
-    return distinct, grams, n, index, np.concatenate([[0], upto[:-1]]) if len(texts) else upto, upto
+    known, grams, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    words, ends_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in chunks(sizes):
+        data = LOWER[np.frombuffer(b"\n" + b"\n".join(texts[a:b]) + b"\n" * (GRAM + 1), np.uint8)]
+        edge = np.flatnonzero(np.diff(SEPARATORS[data], prepend=True))
+        starts, ends = edge[0::2], edge[1::2]
+        hashes = span_hash(prefix_hash(data), starts, ends)
+        words.append(hashes)
+        ends_at.append(np.diff(np.searchsorted(starts, np.cumsum(sizes[a:b] + 1) + 1, "left"), prepend=0))
+        distinct, first = np.unique(hashes, return_index=True)
+        new = ~np.isin(distinct, np.concatenate(known), assume_unique=True)
+        distinct, first = distinct[new], first[new]
+        start, n = starts[first] - 1, np.maximum(1, (ends - starts)[first] + 3 - GRAM)
+        owner = np.repeat(np.arange(len(start)), n)
+        place = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        last = ends[first][owner]
+        code = np.zeros(len(place), np.uint64)
+        for i in range(GRAM):
+            code = code * np.uint64(257) + np.where(place + i <= last, data[place + i], 0).astype(np.uint64)
+        known.append(distinct)
+        grams.append((mixed(code) % np.uint64(GRAM_ROWS)).astype(np.int32))
+        counts.append(n)
+    distinct = np.concatenate(known)
+    order = np.argsort(distinct)
+    index = order[np.searchsorted(distinct[order], np.concatenate(words))] if len(distinct) else np.zeros(0, np.int64)
+    upto = np.cumsum(np.concatenate(ends_at))
+    return distinct, np.concatenate(grams), np.concatenate(counts), index, upto - np.concatenate(ends_at), upto
 
 
 def _windows(first: np.ndarray, upto: np.ndarray, window: int, stride: int):
