@@ -44,18 +44,29 @@ def best_alias(skills: DataFrame, ontology: DataFrame, threshold: float = THRESH
     return scored.withColumn("rn", rn).filter("rn = 1").select("skill", "canonical", F.round("ratio", 4).alias("ratio"))
 
 
-def groups(names: DataFrame, pairs: DataFrame, rounds: int = 4) -> DataFrame:
-    """(name, root): components of pairs, named by the smallest ordinal. names is a vocabulary of bounded size (TOP_NAMES).
-
-    Each round takes labels one link on and then twice as far, so chains of up to 3**rounds links settle.
+def _union(pdf: pd.DataFrame) -> pd.DataFrame:
+    root: dict[str, int] = {}
+    names = pdf[pdf["b"].isna()]
+    root.update(zip(names["a"], names["ordinal"]))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pdf[pdf["b"].notna()][["a", "b"]].itertuples(index=False):
+            low = min(root[a], root[b])
+            if root[a] != low or root[b] != low:
+                root[a] = root[b] = low
+                changed = True
+    return pd.DataFrame({"name": list(root), "root": list(root.values())})
+
+
+def groups(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(name, root): components of pairs, named by the smallest ordinal.
+
+    names is a vocabulary cut to TOP_NAMES, pairs are pairs of it: at most 19,900 rows, joined in one group.
     """
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(names.select(F.col("name").alias("a"), F.col("name").alias("b")))
-    labels = names.select("name", F.col("ordinal").alias("root"))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("name")).groupBy(F.col("a").alias("name")).agg(F.min("root").alias("root"))
-        by = near.join(names.select(F.col("ordinal").alias("root"), F.col("name").alias("head")), "root")
-        labels = by.join(near.select(F.col("name").alias("head"), F.col("root").alias("top")), "head").select("name", F.least("root", "top").alias("root"))
-    return labels
+    rows = names.select(F.col("name").alias("a"), F.lit(None).cast("string").alias("b"), F.col("ordinal").cast("long").alias("ordinal"))
+    rows = rows.unionByName(pairs.select("a", "b", F.lit(None).cast("long").alias("ordinal")))
+    return rows.groupBy(F.lit(0).alias("all")).applyInPandas(_union, "name string, root long")
 
 
 def canonical_names(grouped: DataFrame, frequency: DataFrame) -> DataFrame:

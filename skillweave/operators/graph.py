@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_LEVELS = 24
+MAX_EDGES = 5000
 
 
 def neighbours(edges: DataFrame, kind: str) -> DataFrame:
@@ -21,21 +22,40 @@ def neighbours(edges: DataFrame, kind: str) -> DataFrame:
     return rows.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "dst"))), lambda x: x["dst"]).alias("neighbours"))
 
 
-def missing_prerequisites(goals: DataFrame, owned: DataFrame, edges: DataFrame, levels: int = 8) -> DataFrame:
+def adjacency(edges: DataFrame, kind: str, most: int = MAX_EDGES) -> Column:
+    """A map column node -> neighbours of a skill graph, which is configuration: more than most edges are refused."""
+    rows = edges.filter(F.col("type") == kind).select("src", "dst", "ordinal").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the graph has more than {most} {kind} edges")
+    by: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r.src, r.ordinal)):
+        by.setdefault(r.src, []).append(r.dst)
+    if not by:
+        return F.create_map().cast("map<string, array<string>>")
+    return F.create_map(*[x for src, dst in by.items() for x in (F.lit(src), F.array(*[F.lit(d) for d in dst]))])
+
+
+def missing_prerequisites(goals: DataFrame, owned: DataFrame, edges: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
     """(candidate, goal, skill, depth): unowned prerequisites of goals at their least depth; owned skills end a walk.
 
-    goals is (candidate, goal), owned (candidate, skill). Nodes further than levels are not reached; a cycle ends by
-    itself, as a node is walked once.
+    goals is (candidate, goal), owned (candidate, skill). The graph is a literal, so every candidate's walk is one projection
+    over its own row: levels steps that each add what the frontier needs and has not been met. Nodes further than levels
+    are not reached; a cycle ends by itself, as a node is met once.
     """
-    needs = edges.filter(F.col("type") == "prerequisite").select("src", "dst").distinct()
-    seen = goals.select("candidate", "goal", F.col("goal").alias("skill"), F.lit(0).alias("depth"))
-    front = seen
-    for level in range(1, levels + 1):
-        step = front.join(needs, F.col("skill") == F.col("src")).select("candidate", "goal", F.col("dst").alias("skill")).distinct()
-        front = step.join(owned, ["candidate", "skill"], "left_anti").join(seen.select("candidate", "goal", "skill"), ["candidate", "goal", "skill"], "left_anti")
-        front = front.withColumn("depth", F.lit(level)).select("candidate", "goal", "skill", "depth")
-        seen = seen.unionByName(front)
-    return seen.filter("depth > 0")
+    need = adjacency(edges, "prerequisite")
+    none = F.array().cast("array<string>")
+    mine = owned.groupBy("candidate").agg(F.collect_set("skill").alias("mine"))
+    rows = goals.join(mine, "candidate", "left").withColumn("mine", F.coalesce("mine", none))
+
+    def step(state, level):
+        reached = F.array_distinct(F.flatten(F.transform(state["front"], lambda x: F.coalesce(F.try_element_at(need, x), none))))
+        front = F.array_except(F.array_except(reached, F.col("mine")), F.transform(state["met"], lambda x: x["skill"]))
+        met = F.concat(state["met"], F.transform(front, lambda x: F.struct(x.alias("skill"), level.alias("depth"))))
+        return F.struct(front.alias("front"), met.alias("met"))
+
+    start = F.struct(F.array("goal").alias("front"), F.array(F.struct(F.col("goal").alias("skill"), F.lit(0).alias("depth"))).alias("met"))
+    walked = rows.select("candidate", "goal", F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, step).alias("w"))
+    return walked.select("candidate", "goal", F.explode("w.met").alias("m")).select("candidate", "goal", "m.skill", "m.depth").filter("depth > 0")
 
 
 def transitive_prerequisites(edges: DataFrame, goals: list[str], owned: list[str], levels: int = MAX_LEVELS) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skillweave.operators.graph import adjacency
+
 MAX_PER_PHASE, MIN_PER_PHASE, MAX_PHASES = 5, 2, 6
 PENALTY, PENALTY_CAP, SYNERGY, SYNERGY_CAP = 0.15, 0.5, 0.02, 0.10
 
@@ -22,14 +24,20 @@ def chunk_phases(ordered: DataFrame, by: str = "candidate", max_per: int = MAX_P
 
 
 def repaired_phases(phases: DataFrame, edges: DataFrame, by: str = "candidate", rounds: int = MAX_PHASES) -> DataFrame:
-    """Moves a skill one phase later while a prerequisite sits in a later phase, rounds times at most."""
-    needs = edges.filter(F.col("type") == "prerequisite").select(F.col("src").alias("skill"), F.col("dst").alias("need")).distinct()
-    out = phases
-    for _ in range(rounds):
-        pre = out.select(F.col(by), F.col("skill").alias("need"), F.col("phase").alias("need_phase"))
-        late = out.select(by, "skill").join(needs, "skill").join(pre, [by, "need"]).groupBy(by, "skill").agg(F.max("need_phase").alias("need_phase"))
-        out = out.join(late, [by, "skill"], "left").withColumn("phase", F.when(F.col("need_phase") > F.col("phase"), F.col("phase") + 1).otherwise(F.col("phase"))).drop("need_phase")
-    return out
+    """(by, skill, phase): a skill moves one phase later while a prerequisite sits in a later phase, rounds times at most.
+
+    A roadmap's skills are few (a role's list), so each roadmap is one array and all rounds are one projection over it.
+    """
+    need = adjacency(edges, "prerequisite")
+    none = F.array().cast("array<string>")
+
+    def repair(state, _):
+        late = lambda s: F.exists(state, lambda o: (o["phase"] > s["phase"]) & F.array_contains(F.coalesce(F.try_element_at(need, s["skill"]), none), o["skill"]))
+        return F.transform(state, lambda s: F.struct(s["skill"].alias("skill"), F.when(late(s), s["phase"] + 1).otherwise(s["phase"]).alias("phase")))
+
+    rows = phases.groupBy(by).agg(F.collect_list(F.struct("skill", F.col("phase").cast("int").alias("phase"))).alias("state"))
+    fixed = rows.select(by, F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("state"), repair)).alias("s"))
+    return fixed.select(by, "s.skill", "s.phase")
 
 
 def projection(owned: DataFrame, phases: DataFrame, weights: DataFrame, by: str = "candidate") -> DataFrame:
