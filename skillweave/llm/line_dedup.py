@@ -71,11 +71,12 @@ def drop_recurring_lines(
 
     Every row stays. Lines end at \\n; the lines that stay are joined by \\n again. Lines of fewer than min_tokens tokens,
     empty ones among them, always stay. A null text stays null and has no line; an empty one has one empty line. Rows that
-    repeat id and text count as one document. An own column named key, n_lines or n_dropped is replaced. An empty table
+    repeat id and text count as one document. An own column named n_lines or n_dropped is replaced, all others pass. An empty table
     gives an empty result.
     """
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "key", "n_lines", "n_dropped", "lines")]
-    keyed = docs.select("doc_id", "text", *[F.col(f"`{c}`") for c in extra]).withColumn("key", _key())
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
+    # Other columns travel in one struct, so that none of their names can meet one of ours.
+    keyed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)]).alias("rest")).withColumn("key", _key())
     found = recurring_lines(keyed.select("key", "doc_id", "text"), depth, min_docs, min_tokens, constant).withColumnRenamed("key", "of")
     tokens = _TOKENS.format(line="l")
     joined = keyed.join(found, F.col("key") == F.col("of"), "left")
@@ -87,10 +88,10 @@ def drop_recurring_lines(
     cut = F.expr(f"parsed IS NOT NULL AND {size('filter(parsed, x -> x.gone AND x.n >= ' + str(min_tokens) + ')')} <= {max_share} * {size('parsed')}")
     parsed = parsed.withColumn("left", F.when(cut, F.expr(f"filter(parsed, x -> NOT (x.gone AND x.n >= {min_tokens}))")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    order = [c for c in docs.columns if c not in ("key", "n_lines", "n_dropped", "lines")]
-    text = F.when(F.col("left").isNotNull(), F.array_join(F.transform("left", lambda x: x.l), "\n")).otherwise(F.col("text")).alias("text")
+    text = F.when(F.col("left").isNotNull(), F.array_join(F.transform("left", lambda x: x.l), "\n")).otherwise(F.col("text"))
+    place = {c: f"rest.c{i}" for i, c in enumerate(extra)}
     return parsed.select(
-        *[text if c == "text" else F.col(f"`{c}`") for c in order],
+        *[text.alias("text") if c == "text" else F.col(place.get(c, c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         n_lines.cast("long").alias("n_lines"),
         F.when(F.col("left").isNotNull(), F.size("parsed") - F.size("left")).otherwise(0).cast("long").alias("n_dropped"),
     )

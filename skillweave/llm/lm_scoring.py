@@ -85,12 +85,12 @@ class Automaton:
 def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU, shards: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id long, held_out boolean, text): counts, base score and score, see SCORED.
 
-    Rows that are not held out train the model. Null and empty texts are the end token alone. Null ids and repeated rows
+    Rows that are not held out (null counts as not) train the model. Null and empty texts are the end token alone. Null ids and repeated rows
     are scored like any other; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     keys = even_keys(spark, shards or shuffle_partitions(spark))
-    bundles = packed(docs.select("doc_id", F.col("held_out").alias("flag"), "text"), keys)
+    bundles = packed(docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("flag"), "text"), keys)
 
     def requests(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, held, texts = unpacked(pdf)
