@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skillweave.functions import sets, text
 from skillweave.functions.repair import repaired_json
-from skillweave.operators import evaluate, fuzzy, gap, graph, market, matching, roadmap, sections, transitions
+from skillweave.operators import evaluate, fuzzy, gap, graph, insights, market, matching, profile, roadmap, sections, transitions
 from skillweave.plans import fixtures as fx
 from skillweave.session import table
 from skillweave.sources import tables
@@ -789,3 +789,111 @@ def q_skill_priority(s, d):
 def q_phase_narrative(s, d):
     rows = _phases(s, d).groupBy("candidate", "phase").agg(F.array_sort(F.collect_list("skill")).alias("skills"))
     return rows.select("candidate", "phase", roadmap.phase_narrative(F.col("phase"), F.col("skills"), F.col("phase").cast("double")).alias("narrative"))
+
+
+# Profiles and insights
+
+
+@_add(
+    "q_head_names",
+    "WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))"
+    " SELECT doc_id, arg_min(trim(line, ' '), n) AS name FROM l WHERE length(trim(line, ' ')) >= 3 AND NOT regexp_matches(line, '[@+|§—]') AND NOT contains(lower(line), 'the ') GROUP BY 1",
+)
+def q_head_names(s, d):
+    return profile.head_name(sections.lines(table(s, d, "documents")), ["the "])
+
+
+@_add(
+    "q_career_profile",
+    "SELECT doc_id, CASE WHEN contains(lower(coalesce(text, '')), 'phd') OR contains(lower(coalesce(text, '')), 'doctor') THEN 'Doctorate' WHEN contains(lower(coalesce(text, '')), 'master') THEN 'Graduate'"
+    " WHEN contains(lower(coalesce(text, '')), 'student') OR contains(lower(coalesce(text, '')), 'university') THEN 'Student' ELSE 'Professional' END AS stage,"
+    " coalesce(try_cast(regexp_extract(lower(coalesce(text, '')), '([0-9]+)\\+? ?years?', 1) AS INTEGER), 0) AS years, substring(string_split(coalesce(text, ''), chr(10))[1], 1, 100) AS role,"
+    " concat_ws('|', CASE WHEN contains(lower(coalesce(text, '')), 'ation') THEN 'a' END, CASE WHEN contains(lower(coalesce(text, '')), 'und') OR contains(lower(coalesce(text, '')), 'que') THEN 'b' END) AS domains FROM documents",
+)
+def q_career_profile(s, d):
+    return profile.career_profile(table(s, d, "documents"), {"a": ["ation"], "b": ["und", "que"]}).withColumn("domains", _join("domains"))
+
+
+@_add(
+    "q_job_profiles",
+    "SELECT 'PART_' || lpad(CAST(row_number() OVER (ORDER BY p_partkey) AS VARCHAR), CAST(greatest(4, length(CAST(count(*) OVER () AS VARCHAR))) AS INTEGER), '0') AS job_id, p_name AS title_original, p_brand AS company, p_type AS skills, 1 AS skill_count FROM part",
+)
+def q_job_profiles(s, d):
+    parts = table(s, d, "part")
+    rec = tables.unified(parts, "PART", "part", "job", "p_partkey", title=F.col("p_name"), skills_raw=F.array("p_type"), company=F.col("p_brand"))
+    out = profile.job_profiles(rec.withColumn("skills_extracted", F.col("skills_raw")), F.col("title"))
+    return out.select("job_id", "title_original", "company", _join("skills").alias("skills"), "skill_count")
+
+
+@_add("q_cv_round_trip", "SELECT c_custkey, c_name AS name, [c_mktsegment] IS NOT NULL AS parsed FROM customer")
+def q_cv_round_trip(s, d):
+    doc = F.to_json(F.struct(F.struct(F.col("c_name").alias("name")).alias("personal_info"), F.array("c_mktsegment").alias("skills")))
+    cv = table(s, d, "customer").select("c_custkey", profile.parse_cv(profile.dump_cv(profile.parse_cv(doc))).alias("cv"))
+    return cv.select("c_custkey", F.col("cv.personal_info.name").alias("name"), F.col("cv.skills").isNotNull().alias("parsed"))
+
+
+@_add("q_token_estimate", "SELECT doc_id, CAST(greatest(floor(len(list_filter(regexp_split_to_array(trim(text, ' '), '\\s+'), lambda x: x <> '')) * 1.3), floor(length(text) / 4)) AS BIGINT) AS tokens FROM documents")
+def q_token_estimate(s, d):
+    return table(s, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+_INS = (
+    f"{_G}, own(candidate, skill) AS (VALUES (1, 'python'), (1, 'pandas'), (2, 'python'), (2, 'ml'), (2, 'sql'), (3, 'docker')), m(role, skill, frequency_pct) AS (VALUES ('AI', 'python', 90.0), ('AI', 'ml', 75.0), ('AI', 'llm', 55.0), ('AI', 'rag', 30.0), ('AI', 'docker', 10.0)), t(candidate, role) AS (VALUES (1, 'AI'), (2, 'AI'), (3, 'AI')),"
+    " w AS (SELECT t.candidate, t.role, m.skill, m.frequency_pct, CASE WHEN frequency_pct >= 70 THEN 'critical' WHEN frequency_pct >= 50 THEN 'medium' ELSE 'optional' END AS severity FROM t JOIN m USING (role) WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.candidate = t.candidate AND o.skill = m.skill)),"
+    " st AS (SELECT t.candidate, t.role, m.skill, m.frequency_pct FROM t JOIN m USING (role) JOIN own o ON o.candidate = t.candidate AND o.skill = m.skill),"
+    " met AS (SELECT 'prerequisite' AS kind, w.candidate, w.role, w.skill AS via, w.frequency_pct, e.dst AS skill, e.ordinal FROM w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' WHERE severity <> 'optional'"
+    " UNION ALL SELECT 'expand', st.candidate, st.role, st.skill, st.frequency_pct, e.dst, e.ordinal FROM st JOIN edges e ON e.src = st.skill AND e.type = 'leads_to' WHERE frequency_pct >= 50"
+    " UNION ALL SELECT 'deepen', w.candidate, w.role, w.skill, w.frequency_pct, e.dst, e.ordinal FROM w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' WHERE severity = 'optional' AND frequency_pct >= 20),"
+    " un AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, candidate, role, skill ORDER BY frequency_pct DESC, via, ordinal) AS rn FROM met WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.candidate = met.candidate AND o.skill = met.skill)) WHERE rn = 1),"
+    " ins AS (SELECT candidate, role, kind, skill, via, CAST(row_number() OVER (PARTITION BY kind, candidate, role ORDER BY frequency_pct DESC, via, ordinal) AS INTEGER) AS pos FROM un)"
+)
+
+
+def _small(s):
+    m = s.createDataFrame([("AI", "python", 90.0), ("AI", "ml", 75.0), ("AI", "llm", 55.0), ("AI", "rag", 30.0), ("AI", "docker", 10.0)], "role string, skill string, frequency_pct double")
+    return fx.owned(s), s.createDataFrame([(1, "AI"), (2, "AI"), (3, "AI")], "candidate int, role string"), m
+
+
+@_add("q_graph_insights", f"WITH {_INS} SELECT * FROM ins")
+def q_graph_insights(s, d):
+    return insights.graph_insights(*_small(s), fx.edges(s))
+
+
+@_add(
+    "q_learning_order",
+    f"WITH {_INS}, l AS (SELECT candidate, role, skill, 0 AS prio, pos FROM ins WHERE kind = 'prerequisite' UNION ALL SELECT candidate, role, skill, 1, row_number() OVER (PARTITION BY candidate, role ORDER BY frequency_pct DESC, skill) FROM w WHERE severity = 'critical'"
+    " UNION ALL SELECT candidate, role, skill, 2, row_number() OVER (PARTITION BY candidate, role ORDER BY frequency_pct DESC, skill) FROM w WHERE severity = 'medium' UNION ALL SELECT candidate, role, skill, 3, pos FROM ins WHERE kind = 'expand' UNION ALL SELECT candidate, role, skill, 4, pos FROM ins WHERE kind = 'deepen'),"
+    " f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate, role, skill ORDER BY prio, pos) AS rn FROM l) WHERE rn = 1)"
+    " SELECT candidate, role, skill, prio, CAST(row_number() OVER (PARTITION BY candidate, role ORDER BY prio, pos, skill) AS INTEGER) AS step FROM f",
+)
+def q_learning_order(s, d):
+    o, t, m = _small(s)
+    return insights.learning_order(gap.weaknesses(o, t, m), insights.graph_insights(o, t, m, fx.edges(s)))
+
+
+@_add(
+    "q_penalty_lengths",
+    f"WITH RECURSIVE {_G}, own(candidate, skill) AS (VALUES (1, 'python'), (1, 'pandas'), (2, 'python'), (2, 'ml'), (2, 'sql'), (3, 'docker')), goals(candidate, goal) AS (VALUES (1, 'rag'), (2, 'rag'), (3, 'mlops'), (2, 'mlops')),"
+    " walk(candidate, goal, skill) AS (SELECT candidate, goal, goal FROM goals UNION SELECT w.candidate, w.goal, e.dst FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.candidate = w.candidate AND o.skill = e.dst))"
+    " SELECT g.candidate, g.goal, (SELECT count(*) FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' WHERE w.candidate = g.candidate AND w.goal = g.goal AND NOT EXISTS (SELECT 1 FROM own o WHERE o.candidate = w.candidate AND o.skill = e.dst)) AS missing FROM goals g",
+)
+def q_penalty_lengths(s, d):
+    goals = s.createDataFrame([(1, "rag"), (2, "rag"), (3, "mlops"), (2, "mlops")], "candidate int, goal string")
+    return insights.penalty_lengths(goals, fx.owned(s), fx.edges(s))
+
+
+@_add(
+    "q_rule_phases",
+    f"WITH {_INS}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate, role, severity ORDER BY frequency_pct DESC, skill) AS rn FROM w)"
+    " SELECT DISTINCT * FROM (SELECT candidate, role, 1 AS phase, skill FROM ins WHERE kind = 'prerequisite' AND pos <= 3 UNION ALL SELECT candidate, role, 2, skill FROM r WHERE severity = 'medium' AND rn <= 2 UNION ALL SELECT candidate, role, 3, skill FROM r WHERE severity = 'critical' AND rn <= 2"
+    " UNION ALL SELECT candidate, role, 3, skill FROM r WHERE severity = 'optional' AND frequency_pct >= 30 AND rn <= 1 UNION ALL SELECT candidate, role, 4, skill FROM ins WHERE kind = 'expand' AND pos <= 2 UNION ALL SELECT DISTINCT candidate, role, 4, 'docker' FROM w)",
+)
+def q_rule_phases(s, d):
+    o, t, m = _small(s)
+    return insights.rule_phases(gap.weaknesses(o, t, m), insights.graph_insights(o, t, m, fx.edges(s)))
+
+
+@_add("q_roadmap_document")
+def q_roadmap_document(s, d):
+    out = insights.roadmap_document(*_small(s), fx.edges(s))
+    return out.select("candidate", "role", "readiness", F.to_json("phases").alias("phases"))
