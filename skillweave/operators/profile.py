@@ -56,7 +56,7 @@ def project_of(block: Column) -> Column:
     first = lambda word: F.when(F.size(F.filter(block, lambda x: F.lower(x).startswith(word))) > 0, after(word))
     rest = F.filter(F.slice(block, 2, 1_000_000), lambda x: ~F.lower(x).startswith("role") & ~F.lower(x).startswith("tech"))
     return F.struct(
-        F.element_at(block, 1).alias("name"), first("role").alias("role"), F.filter(F.transform(F.split(F.coalesce(first("tech"), F.lit("")), "[,;]"), F.trim), lambda x: x != "").alias("technologies"), F.array_join(rest, " ").alias("description")
+        F.element_at(block, 1).alias("name"), first("role").alias("role"), F.filter(F.transform(F.split(F.coalesce(first("tech"), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "").alias("technologies"), F.array_join(rest, " ").alias("description")
     )
 
 

@@ -127,3 +127,30 @@ def test_evaluation(spark):
     assert set(t.select(evaluate.mentioned_skills(F.col("text"))).first()[0]) == {"Python", "SQL", "Docker"}
     known = spark.createDataFrame([(1, 55.0), (1, 13.0)], "doc_id int, value double")
     assert rows(evaluate.number_drift(t, known)) == [(1, 2, 1)]
+
+
+def test_profiles(spark):
+    from skillweave.operators import profile
+
+    docs = spark.createDataFrame([(1, "Curriculum\nann@x.org\nAnn Lee\nMaster student, 3 years")], "doc_id int, text string")
+    assert profile.head_name(sections.lines(docs), ["curriculum"]).first().name == "Ann Lee"
+    career = profile.career_profile(docs, {"ai": ["ml", "student"], "web": ["html"]}).first()
+    assert (career.stage, career.years, career.domains) == ("Graduate", 3, ["ai"])
+    blocks = spark.createDataFrame([(["Shop", "Role: lead", "Tech: A, B", "Sold things"],)], "b array<string>")
+    got = blocks.select(profile.project_of(F.col("b")).alias("p")).first().p
+    assert (got.name, got.role, got.technologies, got.description) == ("Shop", "lead", ["A", "B"], "Sold things")
+    bad = spark.createDataFrame([("no json",), ('{"skills": ["a"]}',)], "j string").select(profile.parse_cv(F.col("j")).alias("cv")).collect()
+    assert (bad[0].cv is None or bad[0].cv.skills is None) and bad[1].cv.skills == ["a"]
+    assert docs.select(profile.prompt("Say {structured_analysis}.", F.struct("doc_id"))).first()[0] == 'Say {"doc_id":1}.'
+
+
+def test_roadmap_documents(spark, gaps):
+    from skillweave.operators import insights
+
+    owned = spark.createDataFrame([(1, "python")], "candidate int, skill string")
+    targets = spark.createDataFrame([(1, "AI")], "candidate int, role string")
+    m = spark.createDataFrame([("AI", "python", 90.0), ("AI", "ml", 75.0), ("AI", "dl", 80.0)], "role string, skill string, frequency_pct double")
+    doc = insights.roadmap_document(owned, targets, m, fx.edges(spark)).first()
+    assert doc.readiness == 37 and [p.skills for p in doc.phases] == [["dl", "ml"]]
+    lengths = insights.penalty_lengths(spark.createDataFrame([(1, "dl")], "candidate int, goal string"), owned, fx.edges(spark))
+    assert lengths.first().missing == 3  # ml; of ml: statistics, pandas
