@@ -599,8 +599,8 @@ _ALL = "('python'), ('sql'), ('statistics'), ('pandas'), ('ml'), ('dl'), ('nlp')
 
 @_add(
     "q_depth",
-    f"WITH RECURSIVE {_G}, walk(skill, at, depth) AS (SELECT n, n, 0 FROM (VALUES {_ALL}) v(n) UNION ALL SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.at AND e.type = 'prerequisite'"
-    " WHERE w.at NOT IN ('python', 'sql') AND w.depth < 24) SELECT skill, CAST(coalesce(min(CASE WHEN at IN ('python', 'sql') THEN depth END), 999) AS INTEGER) AS depth FROM walk GROUP BY skill",
+    f"WITH RECURSIVE {_G}, walk(skill, here, depth) AS (SELECT n, n, 0 FROM (VALUES {_ALL}) v(n) UNION ALL SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.here AND e.type = 'prerequisite'"
+    " WHERE w.here NOT IN ('python', 'sql') AND w.depth < 24) SELECT skill, CAST(coalesce(min(CASE WHEN here IN ('python', 'sql') THEN depth END), 999) AS INTEGER) AS depth FROM walk GROUP BY skill",
 )
 def q_depth(s, d):
     return graph.depth_to_owned(fx.edges(s), fx.NODES, ["python", "sql"])
@@ -608,8 +608,8 @@ def q_depth(s, d):
 
 @_add(
     "q_longest_depth",
-    f"WITH RECURSIVE {_G}, walk(skill, at, depth) AS (SELECT n, n, 0 FROM (VALUES {_ALL}) v(n) UNION ALL SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.at AND e.type = 'prerequisite'"
-    " WHERE e.dst NOT IN ('python') AND w.at NOT IN ('python') AND w.depth < 24) SELECT skill, max(depth) AS depth FROM walk GROUP BY skill",
+    f"WITH RECURSIVE {_G}, walk(skill, here, depth) AS (SELECT n, n, 0 FROM (VALUES {_ALL}) v(n) UNION ALL SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.here AND e.type = 'prerequisite'"
+    " WHERE e.dst NOT IN ('python') AND w.here NOT IN ('python') AND w.depth < 24) SELECT skill, max(depth) AS depth FROM walk GROUP BY skill",
 )
 def q_longest_depth(s, d):
     return graph.longest_depth(fx.edges(s), fx.NODES, ["python"])
@@ -617,8 +617,8 @@ def q_longest_depth(s, d):
 
 @_add(
     "q_shortest_path",
-    f"WITH RECURSIVE {_G}, both AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), walk(node, path, steps) AS (SELECT 'sql', ['sql'], 0 UNION ALL SELECT b.y, list_append(w.path, b.y), w.steps + 1"
-    " FROM walk w JOIN both b ON b.x = w.node WHERE NOT list_contains(w.path, b.y) AND w.steps < 8 AND w.node <> 'rag') SELECT array_to_string(path, '|') AS path, steps FROM walk WHERE node = 'rag' ORDER BY steps, walk.path LIMIT 1",
+    f"WITH RECURSIVE {_G}, ends AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), walk(node, path, steps) AS (SELECT 'sql', ['sql'], 0 UNION ALL SELECT b.y, list_append(w.path, b.y), w.steps + 1"
+    " FROM walk w JOIN ends b ON b.x = w.node WHERE NOT list_contains(w.path, b.y) AND w.steps < 8 AND w.node <> 'rag') SELECT array_to_string(path, '|') AS path, steps FROM walk WHERE node = 'rag' ORDER BY steps, walk.path LIMIT 1",
 )
 def q_shortest_path(s, d):
     e = fx.edges(s).select(F.col("src").alias("from"), F.col("dst").alias("to"))
@@ -639,11 +639,11 @@ _OWN = "own(candidate, skill) AS (VALUES (1, 'python'), (1, 'pandas'), (2, 'pyth
 
 @_add(
     "q_next_skills",
-    f"WITH {_G}, {_OWN}, led AS (SELECT o.candidate, e.dst AS skill, list(DISTINCT o.skill) AS leading FROM own o JOIN edges e ON e.src = o.skill AND e.type = 'leads_to' WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.candidate = o.candidate AND x.skill = e.dst) GROUP BY 1, 2),"
+    f"WITH {_G}, {_OWN}, led AS (SELECT o.candidate, e.dst AS skill, list(DISTINCT o.skill) AS via FROM own o JOIN edges e ON e.src = o.skill AND e.type = 'leads_to' WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.candidate = o.candidate AND x.skill = e.dst) GROUP BY 1, 2),"
     " pre AS (SELECT src AS skill, list(DISTINCT dst) AS needed FROM edges WHERE type = 'prerequisite' GROUP BY 1), mine AS (SELECT candidate, list(skill) AS mine FROM own GROUP BY 1),"
-    " sc AS (SELECT candidate, led.skill, len(leading) * CASE WHEN needed IS NULL THEN 1.0 ELSE CAST(len(list_distinct(list_concat(list_intersect(needed, mine), leading))) AS DOUBLE) / len(needed) END AS score, len(leading) AS leading"
+    " sc AS (SELECT candidate, led.skill, len(via) * CASE WHEN needed IS NULL THEN 1.0 ELSE CAST(len(list_distinct(list_concat(list_intersect(needed, mine), via))) AS DOUBLE) / len(needed) END AS score, len(via) AS n_via"
     " FROM led LEFT JOIN pre USING (skill) JOIN mine USING (candidate))"
-    " SELECT candidate, skill, round(score, 4) AS score, leading FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY round(score, 4) DESC, skill) AS rn FROM sc) WHERE rn <= 5",
+    " SELECT candidate, skill, round(score, 4) AS score, CAST(n_via AS INTEGER) AS \"leading\" FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY round(score, 4) DESC, skill) AS rn FROM sc) WHERE rn <= 5",
 )
 def q_next_skills(s, d):
     return graph.next_skills(fx.owned(s), fx.edges(s))
@@ -659,26 +659,26 @@ def q_cluster_coverage(s, d):
     return graph.cluster_coverage(fx.owned(s), fx.clusters(s)).select("candidate", "cluster", "pct", _join("have").alias("have"), _join("missing").alias("missing"))
 
 
-_SOME = "some(skill) AS (VALUES ('python'), ('ml'), ('dl'), ('nlp'), ('llm'), ('docker'))"
+_SOME = "picked(skill) AS (VALUES ('python'), ('ml'), ('dl'), ('nlp'), ('llm'), ('docker'))"
 
 
-@_add("q_induced_graph", f"WITH {_G}, {_SOME} SELECT src, dst, type FROM edges WHERE src IN (SELECT skill FROM some) AND dst IN (SELECT skill FROM some)")
+@_add("q_induced_graph", f"WITH {_G}, {_SOME} SELECT src, dst, type FROM edges WHERE src IN (SELECT skill FROM picked) AND dst IN (SELECT skill FROM picked)")
 def q_induced_graph(s, d):
     return graph.induced(fx.edges(s), fx.some(s))
 
 
 @_add(
     "q_centrality",
-    f"WITH {_G}, {_SOME}, i AS (SELECT * FROM edges WHERE src IN (SELECT skill FROM some) AND dst IN (SELECT skill FROM some)),"
+    f"WITH {_G}, {_SOME}, i AS (SELECT * FROM edges WHERE src IN (SELECT skill FROM picked) AND dst IN (SELECT skill FROM picked)),"
     " dep AS (SELECT dst AS skill, count(DISTINCT src) AS k FROM i WHERE type = 'prerequisite' GROUP BY 1), deg AS (SELECT src AS skill, count(*) AS k FROM i WHERE type IN ('prerequisite', 'leads_to') GROUP BY 1)"
-    " SELECT skill, coalesce(dep.k, 0) AS dependents, round(coalesce(dep.k, 0) / 5.0, 4) AS centrality, coalesce(deg.k, 0) AS degree, round(coalesce(deg.k, 0) / 5.0, 4) AS degree_centrality FROM some LEFT JOIN dep USING (skill) LEFT JOIN deg USING (skill)",
+    " SELECT skill, coalesce(dep.k, 0) AS dependents, round(coalesce(dep.k, 0) / 5.0, 4) AS centrality, coalesce(deg.k, 0) AS degree, round(coalesce(deg.k, 0) / 5.0, 4) AS degree_centrality FROM picked LEFT JOIN dep USING (skill) LEFT JOIN deg USING (skill)",
 )
 def q_centrality(s, d):
     a = graph.dependent_centrality(fx.edges(s), fx.some(s))
     return a.join(graph.degree_centrality(fx.edges(s), fx.some(s)).withColumnRenamed("centrality", "degree_centrality"), "skill")
 
 
-@_add("q_prereq_boost", f"WITH {_G}, {_SOME} SELECT dst AS skill, least(1.0 + 0.1 * count(DISTINCT src), 1.5) AS boost FROM edges WHERE type = 'prerequisite' AND src IN (SELECT skill FROM some) GROUP BY 1")
+@_add("q_prereq_boost", f"WITH {_G}, {_SOME} SELECT dst AS skill, least(1.0 + 0.1 * count(DISTINCT src), 1.5) AS boost FROM edges WHERE type = 'prerequisite' AND src IN (SELECT skill FROM picked) GROUP BY 1")
 def q_prereq_boost(s, d):
     return graph.prerequisite_boost(fx.edges(s), fx.some(s))
 
