@@ -152,7 +152,7 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 #: Bytes of text hashed at once; a longer text is hashed whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def chunks(sizes: np.ndarray, most: int = CHUNK_BYTES) -> list[tuple[int, int]]:

@@ -18,7 +18,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,48 +184,53 @@ def encode(docs: DataFrame, pieces: Pieces, shards: int | None = None) -> DataFr
     time with the square of its length, so words (not texts) of 100,000 characters are slow.
     """
     spark = docs.sparkSession
-    keys = even_keys(spark, shards or max(4, shuffle_partitions(spark) // 2))
+    keys = even_keys(spark, shards or shuffle_partitions(spark))
     bundles = packed(docs.select("doc_id", F.lit(True).alias("flag"), "text"), keys)
 
-    def names(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = unpacked(pdf)[3]
-        known = np.zeros(0, np.uint64)
-        found_names, found_words = [], []
+    def names(key: tuple, rows: pa.Table) -> pa.Table:
+        texts = unpacked(rows.to_pandas())[3]
+        known, out = np.zeros(0, np.uint64), []
         for a, b in chunks(np.fromiter((len(t) for t in texts), np.int64, len(texts))):
             data, starts, ends, marked, _ = _spans(texts[a:b])
             distinct, first = np.unique(_hashes(data, starts, ends, marked), return_index=True)
             new = ~np.isin(distinct, known, assume_unique=True)
             distinct, first = distinct[new], first[new]
             known = np.concatenate([known, distinct])
-            raw = data.tobytes()
-            found_names.append(distinct.view(np.int64))
-            found_words += [(MARK if m else "") + raw[s:e].decode("utf-8", "surrogatepass") for s, e, m in zip(starts[first].tolist(), ends[first].tolist(), marked[first].tolist())]
-        return pd.DataFrame({"shard": np.int32(key[0]), "name": np.concatenate(found_names) if found_names else np.zeros(0, np.int64), "word": found_words})
+            raw, sign = data.tobytes(), MARK.encode()
+            words = pa.array([(sign if m else b"") + raw[s:e] for s, e, m in zip(starts[first].tolist(), ends[first].tolist(), marked[first].tolist())], pa.binary())
+            out.append(pa.table([pa.array(np.full(len(distinct), key[0].as_py(), np.int32)), pa.array(distinct.view(np.int64)), words.cast(pa.string())], names=["shard", "name", "word"]))
+        return pa.concat_tables(out)
 
-    named = bundles.groupBy("shard").applyInPandas(names, _NAMED)
+    named = bundles.groupBy("shard").applyInArrow(names, _NAMED)
     words = named.groupBy("word").agg(F.collect_list("shard").alias("shards"), F.first("name").alias("name"))
     coded = encode_words(words.select("word"), pieces)
     replies = coded.join(words, "word").select(F.explode("shards").alias("shard"), "name", "ids")
 
-    def lay_out(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, null, _, texts = unpacked(left)
-        names = right["name"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(names)
-        sizes = np.fromiter((len(x) for x in right["ids"]), np.int64, len(right))
-        flat = np.concatenate(list(right["ids"])) if len(right) else np.zeros(0, np.int32)
+    def lay_out(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, null, _, texts = unpacked(left.select(["ids", "nulls", "flags", "sizes", "body"]).to_pandas())
+        del left
+        names = right.column("name").to_numpy().view(np.uint64)
+        lists = right.column("ids").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.cumsum(sizes) - sizes
+        order = np.argsort(names)
         names = names[order]
-        out = []
+        parts, stops, done = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
         for a, b in chunks(np.fromiter((len(t) for t in texts), np.int64, len(texts))):
             data, starts, ends, marked, count = _spans(texts[a:b])
             at = order[np.searchsorted(names, _hashes(data, starts, ends, marked))] if len(starts) else np.zeros(0, np.int64)
             n = sizes[at]
-            pick = np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            stop = np.concatenate([[0], np.cumsum(n)])[np.cumsum(count)] if len(count) else np.zeros(0, np.int64)
-            out += np.split(flat[pick].astype(np.int32), stop[:-1])
-        return pd.DataFrame({"doc_id": pd.array([None if z else i for i, z in zip(ids.tolist(), null)], dtype="Int64"), "ids": out})
-
-    return bundles.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(lay_out, ENCODED)
+            total = np.concatenate([[0], np.cumsum(n)])
+            parts.append(flat[np.repeat(begin[at] - total[:-1], n) + np.arange(total[-1])])
+            stops.append(done + total[np.cumsum(count)])
+            done += int(total[-1])
+        # One list array can hold 2**31 ids; a shard's texts stay far below.
+        coded = pa.ListArray.from_arrays(pa.array(np.concatenate(stops).astype(np.int32)), pa.array(np.concatenate(parts)))
+        return pa.table([pa.array(ids, mask=null), coded], names=["doc_id", "ids"])
+
+    return bundles.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(lay_out, ENCODED)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
