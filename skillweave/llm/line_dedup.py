@@ -48,12 +48,12 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     inside = met.join(crowded, "leaf")
     wanted = inside.groupBy("key").agg(F.collect_set("line").alias("wanted"))
     tokens = _TOKENS.format(line="l")
+    # Masked lines travel as text, tokens side by side; they hold no space themselves.
     texts = docs.select("key", "text").join(wanted, "key").select(
-        F.explode(F.expr(rf"array_distinct(filter(transform(split(text, '\\n'), l -> {tokens}), t -> size(t) >= {min_tokens} AND array_contains(wanted, xxhash64(array_join(t, ' ')))))")).alias("t")
-    )
-    lines = texts.groupBy("t").agg(F.count(F.lit(1)).alias("docs")).select(
-        "docs", "t", F.expr("xxhash64(array_join(t, ' '))").alias("line"), F.expr(f"xxhash64(size(t), array_join(slice(t, 1, {depth}), ' '))").alias("leaf")
+        F.explode(F.expr(rf"array_distinct(filter(transform(split(text, '\\n'), l -> array_join({tokens}, ' ')), m -> array_contains(wanted, xxhash64(m))))")).alias("m")
     )
+    lines = texts.groupBy("m").agg(F.count(F.lit(1)).alias("docs")).select("docs", F.xxhash64("m").alias("line"), F.split("m", " ").alias("t"))
+    lines = lines.select("docs", "t", "line", F.expr(f"xxhash64(size(t), array_join(slice(t, 1, {depth}), ' '))").alias("leaf"))
     places = lines.select("line", "leaf", "docs", F.size("t").alias("n"), F.posexplode("t").alias("place", "token"))
     constants = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("seen")).filter((F.col("seen") >= min_docs) & (F.col("token") != "<*>")).select("leaf", "place", "token")
     kept = places.join(constants, ["leaf", "place", "token"]).groupBy("line", "leaf", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("kept"))
