@@ -10,6 +10,8 @@ from skillweave.functions.sets import clamp, coverage, jaccard, saturating_cover
 
 SEMANTIC_SHARE, SKILL_SHARE = 0.7, 0.3
 SEARCH_SEMANTIC, SEARCH_SKILL = 0.6, 0.4
+#: Queries of one vector search; they are broadcast, so more are refused.
+MAX_QUERIES = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,6 +29,8 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     The queries are the stated, small side: they are replicated to the rows, never rows to rows. Scores are clamped to
     0..1; ties go to the smaller id.
     """
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in one search")
     q = queries.select("query_id", F.col("embedding").alias("q"))
     scored = vectors.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(clamp(cosine(F.col("q"), F.col("embedding"))), 4).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
