@@ -54,11 +54,14 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     )
     lines = texts.groupBy("m").agg(F.count(F.lit(1)).alias("docs")).select("docs", F.xxhash64("m").alias("line"), F.split("m", " ").alias("t"))
     lines = lines.select("docs", "t", "line", F.expr(f"xxhash64(size(t), array_join(slice(t, 1, {depth}), ' '))").alias("leaf"))
-    places = lines.select("line", "leaf", "docs", F.size("t").alias("n"), F.posexplode("t").alias("place", "token"))
-    constants = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("seen")).filter((F.col("seen") >= min_docs) & (F.col("token") != "<*>")).select("leaf", "place", "token")
-    kept = places.join(constants, ["leaf", "place", "token"]).groupBy("line", "leaf", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("kept"))
-    template = F.when(F.size("kept") >= F.lit(constant) * F.col("n"), F.xxhash64("leaf", F.to_json("kept"))).otherwise(F.col("line"))
-    templates = lines.select("line").join(kept, "line", "left").select("line", F.coalesce(template, F.col("line")).alias("template"))
+    # A leaf's token at a place is one hashed name; tokens themselves stay with their line.
+    places = lines.select("line", "leaf", "docs", F.posexplode("t").alias("place", "token")).filter("token <> '<*>'")
+    places = places.select("line", "docs", "place", F.xxhash64("leaf", "place", "token").alias("name"))
+    constants = places.groupBy("name").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs).select("name")
+    kept = places.select("line", "place", "name").join(constants, "name").groupBy("line").agg(F.sort_array(F.collect_list("place")).alias("kept"))
+    shape = F.to_json(F.transform("kept", lambda p: F.struct(p.alias("place"), F.element_at("t", p + 1).alias("token"))))
+    template = F.when(F.size("kept") >= F.lit(constant) * F.size("t"), F.xxhash64("leaf", shape)).otherwise(F.col("line"))
+    templates = lines.select("line", "leaf", "t").join(kept, "line", "left").select("line", F.coalesce(template, F.col("line")).alias("template"))
     used = inside.select("key", "line").join(templates, "line")
     often = used.select("template", "key").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("template")
     return used.join(often, "template").groupBy("key").agg(F.collect_set("line").alias("lines"))
