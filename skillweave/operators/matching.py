@@ -10,8 +10,10 @@ from skillweave.functions.sets import clamp, coverage, jaccard, saturating_cover
 
 SEMANTIC_SHARE, SKILL_SHARE = 0.7, 0.3
 SEARCH_SEMANTIC, SEARCH_SKILL = 0.6, 0.4
-#: Queries of one vector search; they are broadcast, so more are refused.
+#: Queries of one vector search that are broadcast; more are joined in blocks.
 MAX_QUERIES = 10_000
+#: Rows and queries of one block of such a join.
+SHARD, BLOCK = 8192, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,13 +28,22 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): the k rows most similar to each query; vectors (id, embedding), queries (query_id, embedding).
 
-    The queries are the stated, small side: they are replicated to the rows, never rows to rows. Scores are clamped to
-    0..1; ties go to the smaller id.
+    Up to MAX_QUERIES queries are replicated to the rows. More are dealt to blocks and rows to shards, and every block meets
+    every shard under a key of its own, so no task holds more than one of each. Scores are clamped to 0..1; ties go to the
+    smaller id.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one search")
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(clamp(cosine(F.col("q"), F.col("embedding"))), 4).alias("score"))
+    v, q = vectors.select("id", "embedding"), queries.select("query_id", F.col("embedding").alias("q"))
+    n = q.count()
+    if n <= MAX_QUERIES:
+        pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
+    else:
+        shards, blocks = max(1, -(-v.count() // SHARD)), -(-n // BLOCK)
+        number = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        v = v.withColumn("shard", number("id", shards)).withColumn("block", each(blocks))
+        q = q.withColumn("block", number("query_id", blocks)).withColumn("shard", each(shards))
+        pairs = v.join(q, ["shard", "block"]).filter(F.col("id") != F.col("query_id"))
+    scored = pairs.select("query_id", "id", F.round(clamp(cosine(F.col("q"), F.col("embedding"))), 4).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

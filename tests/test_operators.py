@@ -154,3 +154,12 @@ def test_roadmap_documents(spark, gaps):
     assert doc.readiness == 37 and [p.skills for p in doc.phases] == [["dl", "ml"]]
     lengths = insights.penalty_lengths(spark.createDataFrame([(1, "dl")], "candidate int, goal string"), owned, fx.edges(spark))
     assert lengths.first().missing == 3  # ml; of ml: statistics, pandas
+
+
+def test_vector_search_in_blocks_equals_broadcast(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 11) - 5, float(i % 3)]) for i in range(120)] + [(120, [0.0] * 3)], "id long, embedding array<double>")
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    want = rows(matching.vector_top_k(v, q, 4), "query_id", "rank")
+    for name, value in (("MAX_QUERIES", 10), ("SHARD", 50), ("BLOCK", 9)):
+        monkeypatch.setattr(matching, name, value, raising=False)
+    assert len(want) == 121 * 4 and rows(matching.vector_top_k(v, q, 4), "query_id", "rank") == want
