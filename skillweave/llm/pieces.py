@@ -1,7 +1,7 @@
 """Operator 10: SentencePiece encoding and decoding over a relational lattice.
 
-A text is split at spaces; every word carries the mark U+2581 in front, the text's first word as well. Texts are dealt to
-shards, shards name their distinct words, and the distinct words of the corpus become a relation. Its lattice is built by
+A text gets a space in front and is cut before every run of spaces; such a run and what follows it up to the next is one
+word. Texts are dealt to shards, shards name their distinct words, and the distinct words of the corpus become a relation. Its lattice is built by
 joins: all substrings up to the longest piece's length are exploded, the piece table is equi-joined to them (its size is
 that of a vocabulary, at most PIECES_BOUND rows, so it is broadcast), and the edges that remain are grouped by word. A
 higher-order aggregate folds them, ordered by end, into the best path to every position, and a second one reads the path
@@ -9,8 +9,10 @@ back. Shards get the ids of their words and lay them out text by text.
 
 The path is the one with the greatest sum of piece scores; ties go to the longer last piece. A character without a piece is
 an edge of UNKNOWN below the lowest score and becomes its UTF-8 bytes' pieces, so decoding gives every text back exactly.
-Splitting at spaces loses nothing: no piece of the table reaches over a space (checked on load; runs of marks, which some
-tables hold, are left out). Neither does one reach over a line break, so words are cut there too.
+The table writes a space as the mark U+2581; here it stays a space, so that a mark in a text is a character like any other.
+Cutting before runs of spaces loses nothing: in no piece of the table does a space follow another character (checked on
+load), while runs of spaces are pieces and a run's last space may belong to the piece of the word. No piece reaches over a
+line break, so words are cut around those too.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ class Pieces:
 
 
 def load(path: str = MODEL) -> Pieces:
-    """The table of a SentencePiece model file with byte pieces; pieces that hold a mark after their first character are unused."""
+    """The table of a SentencePiece model file with byte pieces; all its normal pieces are used."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -67,17 +69,19 @@ def load(path: str = MODEL) -> Pieces:
         elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
             if "\n" in piece or " " in piece:
                 raise ValueError(f"piece {i} reaches over a space or a line break")
+            if MARK in piece.lstrip(MARK):
+                raise ValueError(f"piece {i} has a mark after another character")
             hexes[i] = piece.replace(MARK, " ").encode().hex()
-            if MARK not in piece[1:]:
-                rows.append((piece, i, m.get_score(i)))
+            rows.append((piece, i, m.get_score(i)))
     return Pieces(rows, byte_ids, hexes)
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) for distinct non-null, non-empty words; marks count as word borders only in first place."""
+    """(word, ids) for distinct non-null, non-empty words, with their spaces in front."""
     spark = words.sparkSession
     longest, unknown = pieces.longest, pieces.unknown
-    rows = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double").select("piece", "id"))
+    spaced = [(p.replace(MARK, " "), i) for p, i, _ in pieces.rows]
+    rows = F.broadcast(spark.createDataFrame(spaced, "piece string, id int"))
     scores = ["0"] * len(pieces.hexes)
     for _, i, s in pieces.rows:
         scores[i] = repr(s)
@@ -87,9 +91,9 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     )
     starts = segment.select("word", "base", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(SEGMENT)))).alias("i"))
     spans = starts.select("word", "base", "part", "i", F.explode(F.sequence(F.lit(1), F.least(F.length("part") - F.col("i") + 1, F.lit(longest)))).alias("len"))
-    spans = spans.select("word", (F.col("base") + F.col("i") + F.col("len") - 1).alias("end"), "len", F.substring("part", F.col("i"), F.col("len")).alias("piece"), (F.col("base") + F.col("i") > 1).alias("inner"))
+    spans = spans.select("word", (F.col("base") + F.col("i") + F.col("len") - 1).alias("end"), "len", F.substring("part", F.col("i"), F.col("len")).alias("piece"))
     joined = spans.join(rows, "piece", "left")
-    allowed = ~(F.col("inner") & F.contains("piece", F.lit(MARK))) & F.col("id").isNotNull()
+    allowed = F.col("id").isNotNull()
     # An edge in one number: its end, then the shorter start first, then the piece (0: unknown character).
     edge = F.expr(f"shiftleft(cast(end AS bigint), 24) + shiftleft(cast({longest} - len AS bigint), 19)").alias("at")
     edges = joined.filter(allowed | (F.col("len") == 1)).select("word", (edge + F.when(allowed, F.col("id") + 1).otherwise(0)).alias("edge"))
@@ -135,41 +139,28 @@ def decode(ids, pieces: Pieces):
 
 
 def _spans(texts: list[bytes]):
-    """Data, starts and ends of all words of texts (cut at spaces and around line breaks) and the number of words a text.
+    """Data, starts and ends of all words of texts (cut before runs of spaces and around line breaks) and the number of words a text.
 
-    A word's mark is not in the data; marked tells which words have one. A text without bytes has no word.
+    A word's spaces are in the data, the one in front of the text as well. A text without bytes has no word.
     """
-    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    data = np.frombuffer(b" " + b" ".join(texts), np.uint8)
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    space = np.flatnonzero(data == 0x20)
-    starts, ends = space[:-1] + 1, space[1:]
-    begin = 1 + np.cumsum(sizes + 1) - (sizes + 1)
+    begin = np.cumsum(sizes + 1) - (sizes + 1)
+    first = data == 0x20
+    first[1:] &= data[:-1] != 0x20
+    first[begin] = True
+    lines = np.flatnonzero(data == 0x0A)
+    first[lines] = True
+    first[(lines + 1)[lines + 1 < len(data)]] = True
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(data))
     text = np.searchsorted(begin, starts, "right") - 1
     real = sizes[text] > 0
-    starts, ends, text = starts[real], ends[real], text[real]
-    lines = np.flatnonzero(data == 0x0A)
-    marked = np.ones(len(starts), bool)
-    if len(lines):
-        # Each break is a word of its own, unmarked, and so is what follows it in the word.
-        own = np.searchsorted(starts, lines, "right") - 1
-        extra_s = np.concatenate([lines, lines + 1])
-        extra_t = np.concatenate([text[own], text[own]])
-        starts = np.concatenate([starts, extra_s])
-        stop = np.concatenate([ends, lines + 1, ends[own]])
-        text = np.concatenate([text, extra_t])
-        marked = np.concatenate([marked, np.zeros(len(extra_s), bool)])
-        nexts = np.append(lines, len(data))
-        kind = np.concatenate([np.zeros(len(ends), bool), np.ones(len(lines), bool), np.zeros(len(lines), bool)])
-        stop = np.where(kind, stop, np.minimum(stop, nexts[np.searchsorted(lines, starts, "left")]))
-        order = np.lexsort((stop, starts))
-        starts, ends, text, marked = starts[order], stop[order], text[order], marked[order]
-        keep = (ends > starts) | marked
-        starts, ends, text, marked = starts[keep], ends[keep], text[keep], marked[keep]
-    return data, starts, ends, marked, np.bincount(text, minlength=len(texts))
-
-
-def _hashes(data, starts, ends, marked) -> np.ndarray:
-    return span_hash(prefix_hash(data), starts, ends) ^ (marked.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return data, starts[real], ends[real], np.bincount(text[real], minlength=len(texts))
+
+
+def _hashes(data, starts, ends) -> np.ndarray:
+    return span_hash(prefix_hash(data), starts, ends)
 
 
 _NAMED = "shard int, name long, word string"
@@ -181,7 +172,7 @@ def encode(docs: DataFrame, pieces: Pieces, shards: int | None = None) -> DataFr
 
     Null and empty texts have no ids; null ids of rows stay null; rows that repeat are encoded alike; other columns are
     ignored; an empty table gives an empty result. Texts of any length are encoded whole; the fold over one word takes
-    time with the square of its length, so words (not texts) of 100,000 characters are slow.
+    time with the square of its length, so words (not texts) and runs of spaces of 100,000 characters are slow.
     """
     spark = docs.sparkSession
     keys = even_keys(spark, shards or shuffle_partitions(spark))
@@ -191,13 +182,13 @@ def encode(docs: DataFrame, pieces: Pieces, shards: int | None = None) -> DataFr
         texts = unpacked(rows.to_pandas())[3]
         known, out = np.zeros(0, np.uint64), []
         for a, b in chunks(np.fromiter((len(t) for t in texts), np.int64, len(texts))):
-            data, starts, ends, marked, _ = _spans(texts[a:b])
-            distinct, first = np.unique(_hashes(data, starts, ends, marked), return_index=True)
+            data, starts, ends, _ = _spans(texts[a:b])
+            distinct, first = np.unique(_hashes(data, starts, ends), return_index=True)
             new = ~np.isin(distinct, known, assume_unique=True)
             distinct, first = distinct[new], first[new]
             known = np.concatenate([known, distinct])
-            raw, sign = data.tobytes(), MARK.encode()
-            words = pa.array([(sign if m else b"") + raw[s:e] for s, e, m in zip(starts[first].tolist(), ends[first].tolist(), marked[first].tolist())], pa.binary())
+            raw = data.tobytes()
+            words = pa.array([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())], pa.binary())
             out.append(pa.table([pa.array(np.full(len(distinct), key[0].as_py(), np.int32)), pa.array(distinct.view(np.int64)), words.cast(pa.string())], names=["shard", "name", "word"]))
         return pa.concat_tables(out)
 
@@ -219,8 +210,8 @@ def encode(docs: DataFrame, pieces: Pieces, shards: int | None = None) -> DataFr
         names = names[order]
         parts, stops, done = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
         for a, b in chunks(np.fromiter((len(t) for t in texts), np.int64, len(texts))):
-            data, starts, ends, marked, count = _spans(texts[a:b])
-            at = order[np.searchsorted(names, _hashes(data, starts, ends, marked))] if len(starts) else np.zeros(0, np.int64)
+            data, starts, ends, count = _spans(texts[a:b])
+            at = order[np.searchsorted(names, _hashes(data, starts, ends))] if len(starts) else np.zeros(0, np.int64)
             n = sizes[at]
             total = np.concatenate([[0], np.cumsum(n)])
             parts.append(flat[np.repeat(begin[at] - total[:-1], n) + np.arange(total[-1])])

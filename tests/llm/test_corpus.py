@@ -170,6 +170,38 @@ def test_pieces_round_trip_and_best_path(spark, docs, table):
         assert list(got[i][0]) == want
 
 
+def test_runs_of_spaces_are_pieces(spark):
+    p = pieces.load()
+    known = {t: (i, s) for t, i, s in p.rows}
+    runs = [t for t in known if len(t) > 1 and not t.strip(pieces.MARK)]
+    assert len(runs) == 14
+    odd = ["a    b", "  lead", "trail   ", "x\n    if y:\n\n  z  = 1", " ", " " * 37 + "q", "a \n b", "a ▁b\n▁c  ▁", "one two"]
+
+    def cost(word):
+        """Viterbi over the whole table and the unsplit text; a mark of the text itself has no piece."""
+        best = [0.0]
+        for end in range(1, len(word) + 1):
+            top = best[end - 1] + p.unknown
+            for start in range(max(0, end - p.longest), end):
+                part = word[start:end]
+                if pieces.MARK not in part and (q := part.replace(" ", pieces.MARK)) in known:
+                    top = max(top, best[start] + known[q][1])
+            best.append(top)
+        return best[-1]
+
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    out = pieces.encode(docs, p)
+    score = {i: s for _, i, s in p.rows}
+    for r in out.select("doc_id", "ids", pieces.decode(F.col("ids"), p).alias("t")).collect():
+        text = odd[r.doc_id]
+        odd_chars = [c for c in text if pieces.MARK == c or c not in known and c != " "]
+        spelled = sum(len(c.encode()) for c in odd_chars)
+        assert r.t == text and sum(i not in score for i in r.ids) == spelled
+        assert sum(score.get(i, 0.0) for i in r.ids) + p.unknown * len(odd_chars) == pytest.approx(cost(" " + text), rel=1e-12)
+    ids = out.filter("doc_id = 0").first().ids
+    assert list(ids) == [known[t][0] for t in ("▁a", "▁▁▁", "▁b")]
+
+
 def test_nothing(spark, table):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(empty).count() == 0
