@@ -4,7 +4,7 @@ A page becomes a tree of block elements (inline markup dissolves into its block;
 composite text density: characters per tag, raised or lowered by the share of characters and tags that are links. A
 node's density sum is the sum of its children's densities. The node with the greatest sum is the content root; the
 smallest density on its way up to the body is the page's threshold, and in every subtree that reaches the threshold the
-node with the greatest sum is content. Elements that are never article text (menus, notices, adverts, forms, scripts,
+node with the greatest sum is content; a node without children counts with its own density. Elements that are never article text (menus, notices, adverts, forms, scripts,
 comments of readers) are cut before densities are taken. One page is one row: nothing is shuffled.
 """
 
@@ -215,30 +215,16 @@ def _content(root: _Node) -> set[int]:
     while x is not None:
         threshold = min(threshold, x.density)
         x = x.parent
-    kept: set[int] = set()
-
-    def top(start: _Node) -> _Node:
-        found, todo = start, [start]
-        while todo:
-            y = todo.pop()
-            if y.total > found.total:
-                found = y
-            todo.extend(reversed(y.kids))
-        return found
-
-    kept.add(id(best))
-    above = set()
-    x = best
-    while x is not None:
-        above.add(id(x))
-        x = x.parent
-    x = best
-    while x.parent is not None:
-        for other in x.parent.kids:
-            if id(other) not in above and other.density >= threshold and other.total >= best.total / 2 and other.kids:
-                kept.add(id(top(other)))
-        x = x.parent
-    return kept
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(reversed(x.kids))
+    # The node of the greatest sum below every node (or itself); a leaf counts with its own density.
+    top: dict[int, tuple[float, _Node]] = {}
+    for x in reversed(order):
+        top[id(x)] = max([(x.total if x.kids else x.density, x), *(top[id(y)] for y in x.kids)], key=lambda t: t[0])
+    return {id(best), *(id(top[id(x)][1]) for x in order if x.chars and x.density >= threshold)}
 
 
 def main_text(source: str | None) -> str:

@@ -83,6 +83,27 @@ def test_page_text():
     assert html_text.main_text("<div>" * 3000 + "deep words" + "</div>" * 3000) == "deep words"
 
 
+def test_page_text_of_nested_pages():
+    text = lambda name, n: f"{name} " + "word " * n + "end"
+    many = lambda tag, name, count, n: "".join(f"<{tag}>{text(f'{name}{i}', n)}</{tag}>" for i in range(count))
+    links = "<div>" + "".join(f"<a href={i}>Go {i}</a> " for i in range(30)) + "</div>"
+
+    def firsts(body):
+        return [x.split(" ")[0] for x in html_text.main_text(f"<html><body>{links}{body}</body></html>").split("\n\n")]
+
+    a, b = [f"A{i}" for i in range(10)], [f"B{i}" for i in range(3)]
+    # Sections beside each other, the second with far less of the density sum.
+    assert firsts(f"<article><section>{many('p', 'A', 10, 60)}</section><section>{many('p', 'B', 3, 80)}</section></article>") == a + b
+    # Plain paragraphs beside the densest block are leaves.
+    assert firsts(f"<article><p>{text('Lead', 150)}</p><div>{many('p', 'A', 10, 60)}</div><p>{text('Tail', 150)}</p></article>") == ["Lead", *a, "Tail"]
+    # A list with more density than its article has beside it.
+    assert firsts(f"<article>{many('p', 'B', 3, 100)}<ul>{many('li', 'A', 10, 40)}</ul></article>") == b + a
+    # Nested one level more, away from the densest node's own path.
+    assert firsts(f"<main><div><section>{many('p', 'A', 10, 60)}</section></div><div><div>{many('p', 'B', 3, 80)}</div></div></main>") == a + b
+    # What stays below the threshold is no content.
+    assert firsts(f"<article><div>{many('p', 'A', 10, 60)}</div></article><p>Short note</p>") == a
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y"), (2, "v", "", "z")], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in html_text.extract_pages(pages).collect()}
