@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from skillweave.llm.common import ASKED, answers, ask, even_keys, mixed, packed, shuffle_partitions, summed, table, unpacked, words_of
 
-ORDER = 2
+#: Order of score_corpus unless it is told another, and of the query.
+ORDER, QUERY_ORDER = 2, 3
 MU = 100.0
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -141,7 +142,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU, shards: in
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return score_corpus(table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text"))
+    return score_corpus(table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text"), order=QUERY_ORDER)
 
 
 QUERIES = {"op7_lm_scoring": op7_lm_scoring}

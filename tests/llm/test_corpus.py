@@ -111,6 +111,30 @@ def test_lm_scoring(spark, docs):
         assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(score)
 
 
+def test_lm_query_scores_histories_of_two_words(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in lm_scoring.op7_lm_scoring(spark, str(tmp_path)).collect()}
+    seqs = {i: ["<s>", *WORD.findall((t or "").translate(LOW)), "</s>"] for i, t in texts()}
+    seen, histories, n = collections.Counter(), collections.Counter(), 0
+    for i, w in seqs.items():
+        if not got[i].held_out:
+            n += len(w) - 1
+            for at in range(1, len(w)):
+                for k in range(min(at, 2) + 1):
+                    seen[tuple(w[at - k : at + 1])] += 1
+                    histories[tuple(w[at - k : at])] += k > 0
+    v = sum(len(g) == 1 for g in seen)
+    assert {r.held_out for r in got.values()} == {True, False}
+    for i, w in seqs.items():
+        score = 0.0
+        for at in range(1, len(w)):
+            p = (seen[(w[at],)] + 1) / (n + v + 1)
+            for k in range(1, min(at, 2) + 1):
+                p = (seen[tuple(w[at - k : at + 1])] + lm_scoring.MU * p) / (histories[tuple(w[at - k : at])] + lm_scoring.MU)
+            score += math.log10(p)
+        assert got[i].score == pytest.approx(score), i
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     words = [w.encode() for w in "a b c d e".split()]
