@@ -1,11 +1,12 @@
-"""Operator 1: exact removal of repeated byte strings by merging shard Burrows-Wheeler transforms.
+"""Operator 1: exact removal of repeated byte strings by hashed strings at content-defined anchors.
+
+The dealt method, merging the shards' Burrows-Wheeler transforms, is not what runs here: no transform, LF step or common
+prefix is built. Anchors and 64-bit hashes of strings take its place; no figures of a form that merges transforms exist.
 
 What is to be found are the blocks of suffixes (of all texts of all shards) that agree on their first WIDTH bytes, and in
-each block the first suffix. Merging the shards' transforms by interleave refinement finds them without a common sort:
-all suffixes start in one block; a refinement step prepends a symbol, so a suffix's new block is named by that symbol and
-by the old block of the suffix one step on (the LF step of each shard's own transform), and a block with one suffix is
-final. The depth at which a suffix's block becomes single is its longest common prefix with any other; blocks that stay
-larger at WIDTH are the repeated intervals. Three things make this work on a cluster:
+each block the first suffix. A block is named by a hash of its string, put together from the hashes of its fixed pieces,
+and a block with one suffix is final; blocks that stay larger at WIDTH are the repeated intervals. Three things make this
+work on a cluster:
 
 * Blocks are named by 64-bit hashes instead of ranks. Every shard refines its own suffixes alone; only names whose fate is
   open go to the hash buckets, which merge the shards' sorted name lists and answer with the block's size and first place.
