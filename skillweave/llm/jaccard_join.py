@@ -8,7 +8,8 @@
 3. Candidates meet on prefix shingles and pass the length and the positional filter; a suffix filter and then the exact
    sets decide. First every class is tried against one pivot of its shingles (the class whose prefix is shared most, in a
    family of copies the original); then every remaining pair of classes that meet on a shingle and are not yet in one
-   component is verified, once. Pairs inside a component are not expanded: they cannot change it. This loses no link.
+   component is verified, once. Pairs inside a component are not expanded: they cannot change it. This
+   loses no component; links inside one are neither all verified nor returned.
 4. Components of links between classes, plus membership, give each document its component.
 
 Hot shingles are harmless: a group whose classes are already one component emits nothing, however large it is. Shingles and
