@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,12 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where it is unset, as in tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (local master) gets a folder of its own; a cluster has to name one.
+    """
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="skillweave-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -247,6 +251,12 @@ def unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     return ids[order], null[order], flags[order], [texts[i] for i in order]
 
 
+def bucket_cuts(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n equal ranges of the 64-bit hashes begins in sorted keys, and their end."""
+    inner = np.searchsorted(keys, np.array([(i << 64) // n for i in range(1, n)], np.uint64), "left") if n > 1 else np.zeros(0, np.int64)
+    return np.concatenate([[0], inner, [len(keys)]]).astype(np.int64)
+
+
 #: What shards ask the key buckets, and what the buckets answer.
 ASKED = "bucket int, shard int, kind int, keys binary, counts binary"
 ANSWERED = "shard int, bucket int, kind int, counts binary, present long, total long"
@@ -255,8 +265,7 @@ ANSWERED = "shard int, bucket int, kind int, counts binary, present long, total
 def ask(shard: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: list[int]) -> list[tuple]:
     """Rows that ask for the corpus counts of a shard's sorted distinct keys, one for each bucket, even if empty."""
     n = len(buckets)
-    cuts = np.searchsorted(keys, np.array([(i << 64) // n for i in range(1, n)], np.uint64), "left") if n > 1 else np.zeros(0, np.int64)
-    at = np.concatenate([[0], cuts, [len(keys)]])
+    at = bucket_cuts(keys, n)
     return [(buckets[i], shard, kind, pack_sorted(keys[at[i] : at[i + 1]]), pack_counts(counts[at[i] : at[i + 1]])) for i in range(n)]
 
 
