@@ -1,14 +1,16 @@
 """Operator 3: recurring lines by a log-template tree, in DataFrame functions only.
 
 Parsing tree of fixed depth: a line goes to a leaf by its number of tokens and its DEPTH leading tokens (tokens with a
-digit are fields and count as <*>). In a leaf that enough documents reach, a token is constant at its position if enough
-documents have it there; the others are variable fields and become <*>. A line whose constants make up at least CONSTANT of
-its tokens has that as its template, any other line its own tokens. A template that MIN_DOCS different documents use recurs
-and its lines are dropped. A document most of whose tokens would go is a copy of others, not a carrier of boilerplate, and
-is left whole for near-duplicate removal, so nothing is lost with all of its copies.
-
-Only hashes travel until the lines of crowded leaves are looked at. Texts cross the network once (the exchange by row key is
-used for both joins). Counts are pre-aggregated, so a line or a leaf may hold any share of the documents.
+digit are fields and count as <*>). In a leaf that MIN_DOCS lines of different texts reach, a token is constant at its
+position if it is met there that often; the others are variable fields and become <*>. A line whose constants make up at
+least CONSTANT of its tokens has that as its template, any other line its own tokens. A template that MIN_DOCS different
+texts use recurs, and its lines are dropped from every text but its holder, the user with the smallest document id, so that
+no content is lost with all of its carriers. Equal texts are one text: copies alone make no line recur, and the copies of a
+holder keep what it keeps. A line of fields only says nothing and is never a template; nor is an empty one.
+
+Only hashes travel until the lines of crowded leaves are looked at, one carrier of each; then the texts travel once to meet
+their lists of lines (as sorted merges at every size). Counts are pre-aggregated. What a join adds is stored first, so a hot leaf, template or text makes
+a skewed join of two plain exchanges, which Spark splits.
 """
 
 from __future__ import annotations
@@ -20,83 +22,80 @@ from skillweave.llm.common import stored, table
 
 DEPTH = 3
 MIN_DOCS = 10
-MIN_TOKENS = 3
 CONSTANT = 0.7
-MAX_SHARE = 0.5
 
-_TOKENS = r"transform(filter(split({line}, '[ \\t\\x0B-\\r]+'), x -> x <> ''), x -> if(x rlike '[0-9]', '<*>', x))"
+#: A line with single spaces between tokens, none around them, and <*> for every token with a digit. The test for what is
+#: to be changed is far cheaper than the change.
+_MASKED = (
+    r"transform(split(text, '\\n'), l -> trim(if(l rlike '[0-9\\t\\x0B-\\r]' OR contains(l, '  '), "
+    r"regexp_replace(regexp_replace(l, '(?<![^ \\t\\x0B-\\r])[^ \\t\\x0B-\\r0-9]*+[0-9][^ \\t\\x0B-\\r]*+', '<*>'), '[ \\t\\x0B-\\r]+', ' '), l)))"
+)
+_TOKENS = "length(m) - length(replace(m, ' ', '')) + 1"
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _leaf(depth: int) -> str:
+    return f"xxhash64({_TOKENS}, substring_index(m, ' ', {depth}))"
 
 
 def _lines(depth: int) -> str:
-    """Per line of text: its hash, leaf and number of tokens."""
-    tokens = _TOKENS.format(line="l")
-    return (
-        rf"transform(transform(split(coalesce(text, ''), '\\n'), l -> {tokens}), "
-        rf"t -> struct(xxhash64(array_join(t, ' ')) AS line, xxhash64(size(t), array_join(slice(t, 1, {depth}), ' ')) AS leaf, size(t) AS n))"
-    )
-
-
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT) -> DataFrame:
-    """(key, lines): the hashes of the recurring lines of every document that has some; docs has key, doc_id and text."""
-    met = docs.select("key", F.explode(F.array_distinct(F.filter(F.expr(_lines(depth)), lambda x: x.n >= min_tokens))).alias("x")).select("key", "x.line", "x.leaf")
-    met = stored(met, "lines")
-    crowded = met.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
-    inside = met.join(crowded, "leaf")
-    wanted = inside.groupBy("key").agg(F.collect_set("line").alias("wanted"))
-    tokens = _TOKENS.format(line="l")
-    # Masked lines travel as text, tokens side by side; they hold no space themselves.
-    texts = docs.select("key", "text").join(wanted, "key").select(
-        F.explode(F.expr(rf"array_distinct(filter(transform(split(text, '\\n'), l -> array_join({tokens}, ' ')), m -> array_contains(wanted, xxhash64(m))))")).alias("m")
-    )
-    lines = texts.groupBy("m").agg(F.count(F.lit(1)).alias("docs")).select("docs", F.xxhash64("m").alias("line"), F.split("m", " ").alias("t"))
-    lines = lines.select("docs", "t", "line", F.expr(f"xxhash64(size(t), array_join(slice(t, 1, {depth}), ' '))").alias("leaf"))
-    # A leaf's token at a place is one hashed name; tokens themselves stay with their line.
-    places = lines.select("line", "leaf", "docs", F.posexplode("t").alias("place", "token")).filter("token <> '<*>'")
+    """The distinct lines of a text that are more than fields: hash and leaf."""
+    useful = f"filter({_MASKED}, m -> m <> '' AND (NOT contains(m, '<*>') OR replace(replace(m, '<*>', ''), ' ', '') <> ''))"
+    return f"array_distinct(transform({useful}, m -> struct(xxhash64(m) AS line, {_leaf(depth)} AS leaf)))"
+
+
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+    """(key, lines): the hashes of the lines that go from each text that loses some; docs has key, doc_id and a text."""
+    met = docs.select("key", "doc_id", F.explode(F.expr(_lines(depth))).alias("x")).select("key", "doc_id", "x.line", "x.leaf")
+    uses = stored(met.groupBy("line", "leaf", "key").agg(F.min("doc_id").alias("owner")), "uses")
+    crowded = stored(uses.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"), "leaves")
+    inside = stored(uses.join(crowded, "leaf"), "inside")
+    wanted = stored(inside.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("key", "owner")).alias("one")), "wanted")
+    # The tokens of a line are read from one row that has it.
+    held = docs.select("key", "doc_id", F.explode(F.expr(f"array_distinct({_MASKED})")).alias("m")).withColumn("of", F.xxhash64("m"))
+    one = wanted.select("line", "leaf", "docs", F.col("one.key").alias("one_key"), F.col("one.owner").alias("one_owner"))
+    found = held.join(one.hint("merge"), (F.col("of") == F.col("line")) & (F.col("key") == F.col("one_key")) & F.col("doc_id").eqNullSafe(F.col("one_owner")))
+    lines = stored(found.dropDuplicates(["line"]).select("line", "leaf", "docs", F.split("m", " ").alias("t")), "tokens")
+    # Leading tokens are constant in a crowded leaf. A leaf's token at a place is one hashed name.
+    places = lines.select("line", "leaf", "docs", F.posexplode("t").alias("place", "token")).filter((F.col("place") >= depth) & (F.col("token") != "<*>"))
     places = places.select("line", "docs", "place", F.xxhash64("leaf", "place", "token").alias("name"))
-    constants = places.groupBy("name").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs).select("name")
-    kept = places.select("line", "place", "name").join(constants, "name").groupBy("line").agg(F.sort_array(F.collect_list("place")).alias("kept"))
-    shape = F.to_json(F.transform("kept", lambda p: F.struct(p.alias("place"), F.element_at("t", p + 1).alias("token"))))
-    template = F.when(F.size("kept") >= F.lit(constant) * F.size("t"), F.xxhash64("leaf", shape)).otherwise(F.col("line"))
-    templates = lines.select("line", "leaf", "t").join(kept, "line", "left").select("line", F.coalesce(template, F.col("line")).alias("template"))
-    used = inside.select("key", "line").join(templates, "line")
-    often = used.select("template", "key").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("template")
-    return used.join(often, "template").groupBy("key").agg(F.collect_set("line").alias("lines"))
-
-
-def drop_recurring_lines(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, max_share: float = MAX_SHARE
-) -> DataFrame:
+    constants = stored(places.groupBy("name").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs).select("name"), "constants")
+    kept = F.coalesce("kept", F.array().cast("array<int>"))
+    leading = F.size(F.filter(F.slice("t", 1, depth), lambda x: x != "<*>"))
+    shape = F.to_json(F.transform(kept, lambda p: F.struct(p.alias("place"), F.element_at("t", p + 1).alias("token"))))
+    template = F.when(leading + F.size(kept) >= F.lit(constant) * F.size("t"), F.xxhash64("leaf", shape)).otherwise(F.col("line"))
+    places_of = places.select("line", "place", "name").join(constants, "name").groupBy("line").agg(F.sort_array(F.collect_list("place")).alias("kept"))
+    templates = stored(lines.select("line", "leaf", "t").join(places_of, "line", "left").select("line", template.alias("template")), "templates")
+    used = stored(inside.select("key", "owner", "line").join(templates, "line"), "used")
+    often = used.groupBy("template", "key").agg(F.min("owner").alias("owner")).groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("owner").alias("holder"))
+    often = stored(often.filter(F.col("docs") >= min_docs).select("template", "holder"), "often")
+    gone = used.join(often, "template").filter(~F.col("owner").eqNullSafe(F.col("holder")))
+    return gone.groupBy("key").agg(F.collect_set("line").alias("lines"))
+
+
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """docs (doc_id, text, ...) with recurring lines taken out of text, and columns n_lines and n_dropped added last.
 
-    Every row stays. Lines end at \\n; the lines that stay are joined by \\n again. Lines of fewer than min_tokens tokens,
-    empty ones among them, always stay. A null text stays null and has no line; an empty one has one empty line. Rows that
-    repeat id and text count as one document. An own column named n_lines or n_dropped is replaced, all others pass. An empty table
-    gives an empty result.
+    Every row stays, if with an empty text. Lines end at \\n; the lines that stay are joined by \\n again; empty lines and
+    lines of nothing but fields always stay. A null text stays null and has no line; an empty one has one empty line. Rows
+    with equal texts lose the same lines. Ids decide who holds a line, null after all others: texts that share the smallest
+    id hold it both. An own column named n_lines or n_dropped is replaced, all others pass. An empty table gives an empty
+    result.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
     # Other columns travel in one struct, so that none of their names can meet one of ours.
-    keyed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)]).alias("rest")).withColumn("key", _key())
-    found = recurring_lines(keyed.select("key", "doc_id", "text"), depth, min_docs, min_tokens, constant).withColumnRenamed("key", "of")
-    tokens = _TOKENS.format(line="l")
-    joined = keyed.join(found, F.col("key") == F.col("of"), "left")
-    parsed = joined.withColumn(
-        "parsed",
-        F.when(F.col("lines").isNotNull(), F.expr(rf"transform(split(text, '\\n'), l -> struct(l AS l, size({tokens}) AS n, array_contains(lines, xxhash64(array_join({tokens}, ' '))) AS gone))")),
-    )
-    size = lambda which: f"aggregate({which}, 0L, (s, x) -> s + x.n)"
-    cut = F.expr(f"parsed IS NOT NULL AND {size('filter(parsed, x -> x.gone AND x.n >= ' + str(min_tokens) + ')')} <= {max_share} * {size('parsed')}")
-    parsed = parsed.withColumn("left", F.when(cut, F.expr(f"filter(parsed, x -> NOT (x.gone AND x.n >= {min_tokens}))")))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    text = F.when(F.col("left").isNotNull(), F.array_join(F.transform("left", lambda x: x.l), "\n")).otherwise(F.col("text"))
+    keyed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)]).alias("rest"))
+    keyed = keyed.withColumn("key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    found = stored(recurring_lines(keyed.filter("text IS NOT NULL").select("key", "doc_id", "text"), depth, min_docs, constant), "gone").withColumnRenamed("key", "of")
+    joined = keyed.join(found.hint("merge"), F.col("key") == F.col("of"), "left")
+    pairs = f"arrays_zip(split(text, '\\\\n'), {_MASKED})"
+    left = F.when(F.col("lines").isNotNull(), F.expr(f"transform(filter({pairs}, x -> NOT array_contains(lines, xxhash64(x.`1`))), x -> x.`0`)"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    text = F.when(F.col("left").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("text"))
     place = {c: f"rest.c{i}" for i, c in enumerate(extra)}
-    return parsed.select(
+    return joined.withColumn("left", left).select(
         *[text.alias("text") if c == "text" else F.col(place.get(c, c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("left").isNotNull(), F.size("parsed") - F.size("left")).otherwise(0).cast("long").alias("n_dropped"),
+        F.when(F.col("left").isNotNull(), n_lines - F.size("left")).otherwise(0).cast("long").alias("n_dropped"),
     )
 
 
@@ -107,15 +106,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same rule for DuckDB: {documents} is a table with doc_id and text, the result adds new_text, n_lines and n_dropped.
 RULE_SQL = r"""
-o_rows AS (SELECT row_number() OVER () AS rid, * FROM {documents}),
-o_lines AS (
-  SELECT rid, unnest(range(1, len(ls) + 1)) AS no, unnest(ls) AS l FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM o_rows WHERE text IS NOT NULL)
+o_texts AS (
+  SELECT row_number() OVER () AS tid, text, min(doc_id) AS owner FROM {documents} WHERE text IS NOT NULL GROUP BY text
+), o_lines AS (
+  SELECT tid, unnest(range(1, len(ls) + 1)) AS no, unnest(ls) AS l FROM (SELECT tid, string_split(text, chr(10)) AS ls FROM o_texts)
 ), o_tok AS (
-  SELECT rid, no, l, list_transform(list_filter(regexp_split_to_array(l, '[ \t\x0B-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM o_lines
+  SELECT tid, no, l, list_transform(list_filter(regexp_split_to_array(l, '[ \t\x0B-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM o_lines
 ), o_met AS (
-  SELECT DISTINCT rid, t, len(t) AS n, t[1:3] AS lead FROM o_tok WHERE len(t) >= 3
+  SELECT DISTINCT tid, owner, t, len(t) AS n, t[1:3] AS lead FROM o_tok JOIN o_texts USING (tid) WHERE replace(replace(array_to_string(t, ' '), '<*>', ''), ' ', '') <> ''
 ), o_crowded AS (
-  SELECT n, lead FROM (SELECT DISTINCT rid, n, lead, t FROM o_met) GROUP BY n, lead HAVING count(*) >= 10
+  SELECT n, lead FROM o_met GROUP BY n, lead HAVING count(*) >= 10
 ), o_in AS (
   SELECT o_met.* FROM o_met JOIN o_crowded USING (n, lead)
 ), o_distinct AS (
@@ -129,28 +129,25 @@ o_lines AS (
 ), o_templates AS (
   SELECT d.t, CASE WHEN len(k.kept) >= 0.7 * d.n THEN 'T' || d.n || CAST(d.lead AS VARCHAR) || CAST(k.kept AS VARCHAR) ELSE 'L' || CAST(d.t AS VARCHAR) END AS template FROM o_distinct d LEFT JOIN o_kept k ON d.t = k.t
 ), o_used AS (
-  SELECT i.rid, i.t, m.template FROM o_in i JOIN o_templates m ON i.t = m.t
+  SELECT i.tid, i.owner, i.t, m.template FROM o_in i JOIN o_templates m ON i.t = m.t
 ), o_often AS (
-  SELECT template FROM (SELECT DISTINCT u.template, r.doc_id, r.text FROM o_used u JOIN o_rows r USING (rid)) GROUP BY template HAVING count(*) >= 10
+  SELECT template, min(owner) AS holder FROM o_used GROUP BY template HAVING count(DISTINCT tid) >= 10
 ), o_gone AS (
-  SELECT DISTINCT rid, t FROM o_used JOIN o_often USING (template)
-), o_marked AS (
-  SELECT k.*, g.t IS NOT NULL AS gone FROM o_tok k LEFT JOIN o_gone g ON k.rid = g.rid AND k.t = g.t
+  SELECT DISTINCT u.tid, u.t FROM o_used u JOIN o_often o USING (template) WHERE u.owner IS DISTINCT FROM o.holder
 ), o_docs AS (
-  SELECT rid, count(*) AS n_lines, coalesce(sum(len(t)) FILTER (gone), 0) <= 0.5 * sum(len(t)) AS cut, count(*) FILTER (gone) AS gone,
-    coalesce(string_agg(l, chr(10) ORDER BY no) FILTER (NOT gone), '') AS left_text
-  FROM o_marked GROUP BY rid
+  SELECT k.tid, count(*) AS n_lines, count(g.t) AS gone, string_agg(k.l, chr(10) ORDER BY k.no) FILTER (g.t IS NULL) AS left_text
+  FROM o_tok k LEFT JOIN o_gone g ON k.tid = g.tid AND k.t = g.t GROUP BY k.tid
 ), o_out AS (
-  SELECT r.* EXCLUDE (rid), CASE WHEN d.cut AND d.gone > 0 THEN d.left_text ELSE r.text END AS new_text,
-    CAST(coalesce(d.n_lines, 0) AS BIGINT) AS n_lines, CAST(CASE WHEN d.cut THEN d.gone ELSE 0 END AS BIGINT) AS n_dropped
-  FROM o_rows r LEFT JOIN o_docs d USING (rid)
+  SELECT r.*, CASE WHEN d.gone > 0 THEN coalesce(d.left_text, '') ELSE r.text END AS new_text,
+    CAST(coalesce(d.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(d.gone, 0) AS BIGINT) AS n_dropped
+  FROM {documents} r LEFT JOIN o_texts x ON r.text = x.text LEFT JOIN o_docs d ON d.tid = x.tid
 )
 """
 
 _SQL = (
     "WITH "
     + RULE_SQL.replace("{documents}", "documents")
-    + "SELECT doc_id, n_lines, coalesce(n_dropped, 0) AS n_dropped, CAST(length(new_text) AS BIGINT) AS n_chars, md5(new_text) AS text_md5 FROM o_out"
+    + "SELECT doc_id, n_lines, n_dropped, CAST(length(new_text) AS BIGINT) AS n_chars, md5(new_text) AS text_md5 FROM o_out"
 )
 
 QUERIES = {"op3_line_dedup": op3_line_dedup}

@@ -41,6 +41,22 @@ def test_mix_promises(spark, docs):
         assert target <= 3 * size + 1e-9 and abs(taken - target) <= largest
 
 
+def test_inclusion_odds(spark):
+    """Probabilities add up to the words missing, the largest documents are certain, ties and repeated rows are taken alike."""
+    sizes = [1] * 50 + [4] * 20 + [9] * 10 + [400] * 2
+    rows = spark.createDataFrame([("a", s, 700.0) for s in sizes], "source string, size long, missing double")
+    r = source_mixing.inclusion_rates(rows.repartition(5)).first()
+    assert r.sure < 400 or r.rate * 20 < 1
+    some = [s for s in sizes if s <= r.sure]
+    assert sum(r.rate * s**0.5 * s for s in some) == pytest.approx(r.open) and sum(s for s in sizes if s > r.sure) + r.open == 700
+    docs = [(i % 30, " ".join(["x"] * (5 + i % 3)), "en", "one", 1) for i in range(90)] + [(200 + i, "y " * 300, "en", "two", 1) for i in range(4)]
+    got = source_mixing.mix_sources(spark.createDataFrame(docs, ODD)).collect()
+    alike = {}
+    for g in got:
+        alike.setdefault((g.doc_id, g.size), set()).add(g.copies)
+    assert len(got) == 94 and all(len(v) == 1 for v in alike.values())
+
+
 def test_mix_of_nothing(spark):
     assert source_mixing.mix_sources(spark.createDataFrame([], ODD)).count() == 0
     assert [r.taken for r in source_mixing.mix_sources(spark.createDataFrame([(1, None, None, None, None)], ODD)).collect()] == [0]
@@ -56,15 +72,30 @@ def lines(spark):
 
 def test_recurring_template_goes(spark):
     out = {r.doc_id: r for r in line_dedup.drop_recurring_lines(lines(spark).withColumn("lines", F.lit(1)).withColumn("parsed", F.lit(2)).withColumn("of", F.lit(3))).collect()}
-    for i in range(12):
+    assert "rights reserved" in out[0].text and out[0].n_dropped == 0  # the holder
+    for i in range(1, 12):
         assert "rights reserved" not in out[i].text and out[i].n_dropped == 1 and f"end{i}" in out[i].text and out[i].parsed == 2 and out[i].of == 3
     assert out[50].text is None and out[50].n_lines == 0 and out[51].text == "" and out[51].n_lines == 1
-    assert out[52].n_dropped == 0  # nothing else in it: a copy, not a carrier
+    assert out[52].text == "" and out[52].n_dropped == out[52].n_lines == 1  # nothing else in it, still not the holder
     assert out[None].text == "only here" and out[53].n_dropped == 0
 
 
+def test_copies_short_lines_and_shares(spark):
+    copy = "whole copy line one\nwhole copy line two"
+    rows = [(i, copy) for i in range(40)] + [(i, copy) for i in (3, 3)]
+    rows += [(100 + i, f"ok\n7 8\nown {chr(97 + i)}x\nshared boiler plate line\n") for i in range(10)]
+    rows += [(100, "shared boiler plate line\nof a repeated id"), (None, "shared boiler plate line\nno id"), (120, "z " * 50_000 + "\nok\n" + "\n".join(["shared boiler plate line"] * 500))]
+    out = [(r.doc_id, r.text) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert out.count((3, copy)) == 3 and sum(t == copy for _, t in out) == 42  # copies make no line recur
+    assert (100, rows[42][1]) in out and (100, "shared boiler plate line\nof a repeated id") in out  # both hold it
+    assert all((100 + i, f"7 8\nown {chr(97 + i)}x\n") in out for i in range(1, 10))  # over half of it goes, fields stay
+    assert (None, "no id") in out and (120, "z " * 50_000) in out
+
+
 def test_lines_equal_sql(spark, tmp_path):
-    df = lines(spark)
+    rows = [(200 + i, f"head of the {w} line {w}{w} by {i} tail\n\t mixed \x0b spaces {w}\nok\nfour <*> tokens here\n{w}") for i, w in enumerate("abcdefghijklmnopqrst")]
+    rows += [(None, "ok\nfour <*> tokens here"), (200, "ok"), (200, "ok\nelse"), (300, "ok"), (300, "ok")]
+    df = lines(spark).union(spark.createDataFrame(rows, "doc_id long, text string"))
     df.coalesce(1).write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
