@@ -262,11 +262,14 @@ ASKED = "bucket int, shard int, kind int, keys binary, counts binary"
 ANSWERED = "shard int, bucket int, kind int, counts binary, present long, total long"
 
 
-def ask(shard: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: list[int]) -> list[tuple]:
-    """Rows that ask for the corpus counts of a shard's sorted distinct keys, one for each bucket, even if empty."""
+def ask(shard: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: list[int], every: bool = False) -> list[tuple]:
+    """Rows that ask for the corpus counts of a shard's sorted distinct keys, one for each bucket that has some.
+
+    every asks the others as well, for the sake of their present and total.
+    """
     n = len(buckets)
     at = bucket_cuts(keys, n)
-    return [(buckets[i], shard, kind, pack_sorted(keys[at[i] : at[i + 1]]), pack_counts(counts[at[i] : at[i + 1]])) for i in range(n)]
+    return [(buckets[i], shard, kind, pack_sorted(keys[at[i] : at[i + 1]]), pack_counts(counts[at[i] : at[i + 1]])) for i in range(n) if every or at[i] < at[i + 1]]
 
 
 def summed(asked: DataFrame, buckets: list[int], apart: int | None = None) -> DataFrame:
@@ -299,4 +302,4 @@ def answers(pdf: pd.DataFrame, kind: int, buckets: list[int]) -> tuple[np.ndarra
     place = {b: i for i, b in enumerate(buckets)}
     part = pdf[pdf["kind"] == kind]
     part = part.iloc[np.argsort(part["bucket"].map(place).to_numpy(), kind="stable")]
-    return np.concatenate([unpack_counts(x) for x in part["counts"]]), int(part["present"].sum()), int(part["total"].sum())
+    return np.concatenate([np.zeros(0, np.int64), *[unpack_counts(x) for x in part["counts"]]]), int(part["present"].sum()), int(part["total"].sum())

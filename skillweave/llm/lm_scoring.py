@@ -9,9 +9,10 @@ its arc further down, and each state's probabilities sum to one.
 
 The n-grams of a corpus do not fit a machine. Texts are dealt to shards; a shard asks the hash buckets for the counts of
 its own distinct n-grams (tokens repeat, so this is far less than the texts), buckets sum what the training texts of all
-shards hold and answer, and the shard, now holding the part of the automaton its texts can reach, traverses each text
-once from left to right. All steps of a shard's texts are taken side by side: at step i the state is known from the words
-before it, whatever was scored. Keys are 64-bit hashes of n-grams.
+shards hold and answer, and the shard builds the part of the automaton its texts can reach: numbered states, arcs by state
+and word, a failure arc for each state. Every text is then read once from left to right: it carries its state, and each
+word follows an arc, or failure arcs until one is found, and adds up their weights. The texts of a shard advance side by
+side, one word a step, so a step is a few array operations. Keys are 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
@@ -45,42 +46,97 @@ def sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, place, begin
 
 
-def grams(tokens: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order the hash of the n-gram that ends at each token; meaningless where place < order - 1."""
-    out = [tokens]
+def grams(tokens: np.ndarray, place: np.ndarray, order: int):
+    """For each order in turn the hash of the n-gram that ends at each token; meaningless where place < order - 1."""
+    last = tokens
+    yield last
     for k in range(1, order):
-        prev = np.concatenate([np.zeros(1, np.uint64), out[-1][:-1]])
-        out.append(mixed(prev * np.uint64(0x9E3779B97F4A7C15) + tokens + np.uint64(k)))
-    return out
+        prev = np.concatenate([np.zeros(1, np.uint64), last[:-1]])
+        last = mixed(prev * np.uint64(0x9E3779B97F4A7C15) + tokens + np.uint64(k))
+        yield last
 
 
-class Automaton:
-    """The states and arcs a shard's texts can reach, as sorted gram keys of every order with their training counts."""
+def numbered(gram: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of the valid places, ascending, and every place's number among them (0 where not valid)."""
+    distinct, back = np.unique(gram[valid], return_inverse=True)
+    index = np.zeros(len(gram), np.int32)
+    index[valid] = back
+    return distinct, index
 
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], vocabulary: int, total: int, mu: float):
-        self.keys, self.counts, self.mu = keys, counts, mu
-        self.unit = 1.0 / (total + vocabulary + 1)
 
-    def count(self, order: int, index: np.ndarray) -> np.ndarray:
-        return self.counts[order][index]
+class Automaton:
+    """States, arcs and failure arcs that a shard's texts can reach; state 0 is the empty history.
 
-    def traverse(self, index: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Base log10 probability, log10 probability and count of every token; index holds each token's gram by order.
+    index holds each place's n-gram number by order, counts the training count of each number. A history is a state if
+    training texts hold it. An arc that training has seen leads to the longest state that its history and word end in; the
+    empty history has an arc for every word, known or not. Failure arcs lead to the history without its first word.
+    """
 
-        From single words upwards, so that an arc missing at an order leaves the failure arc's weight times what the
-        shorter history gave.
-        """
-        count = self.count(0, index[0])
-        p = (count + 1.0) * self.unit
-        base = np.log10(p)
-        for k in range(1, len(index)):
-            valid = place >= k
-            seen = np.where(valid, self.count(k, index[k]), 0)
-            history = np.concatenate([[0], self.count(k - 1, index[k - 1])[:-1]])
-            history = np.where(valid & (place >= 1), history, 0)
-            failure = self.mu / (history + self.mu)
-            p = np.where(history > 0, seen / (history + self.mu) + failure * p, p)
-        return base, np.log10(p), count
+    def __init__(self, index: list[np.ndarray], place: np.ndarray, counts: list[np.ndarray], vocabulary: int, total: int, mu: float):
+        words = len(counts[0])
+        p = (counts[0] + 1.0) / (total + vocabulary + 1)
+        numbers, begin = [], 1
+        for c in counts[: max(1, len(counts) - 1)]:
+            numbers.append(np.where(c > 0, begin + np.cumsum(c > 0) - 1, 0).astype(np.int32))
+            begin += int((c > 0).sum())
+        #: The state a text starts in, by the number of its first token.
+        self.first = numbers[0] if len(counts) > 1 else np.zeros(words, np.int32)
+        self.words = words
+        keys, weights, to = [np.arange(words, dtype=np.int64)], [np.log10(p)], [self.first]
+        self.fail, self.fail_weight = np.zeros(begin, np.int32), np.zeros(begin)
+        if len(counts) > 1:
+            seen = counts[0] > 0
+            self.fail_weight[numbers[0][seen]] = np.log10(mu / (counts[0][seen] + mu))
+        for k in range(1, len(counts)):
+            at = np.zeros(len(counts[k]), np.int64)
+            valid = np.flatnonzero(place >= k)
+            at[index[k][valid]] = valid
+            history, shorter, word = index[k - 1][at - 1], index[k - 1][at], index[0][at]
+            del at, valid
+            seen = counts[k] > 0
+            p = np.where(seen, (counts[k] + mu * p[shorter]) / (counts[k - 1][history] + mu), 0.0)
+            keys.append((numbers[k - 1][history].astype(np.int64) * words + word)[seen])
+            weights.append(np.log10(p[seen]))
+            if k < len(counts) - 1:
+                own = numbers[k][seen]
+                to.append(own)
+                self.fail[own] = numbers[k - 1][shorter][seen]
+                self.fail_weight[own] = np.log10(mu / (counts[k][seen] + mu))
+            else:
+                to.append(numbers[k - 1][shorter][seen])
+        keys, weights, to = np.concatenate(keys), np.concatenate(weights), np.concatenate(to)
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[order]
+        del keys
+        self.weight, self.to = weights[order], to[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probabilities of one word after each state, and the states it leads to."""
+        key = state.astype(np.int64) * self.words + word
+        at = np.searchsorted(self.keys, key)
+        miss = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != key)
+        gain = np.zeros(len(word))
+        state = state.copy()
+        while len(miss):
+            gain[miss] += self.fail_weight[state[miss]]
+            state[miss] = self.fail[state[miss]]
+            key = state[miss].astype(np.int64) * self.words + word[miss]
+            at[miss] = np.searchsorted(self.keys, key)
+            miss = miss[self.keys[np.minimum(at[miss], len(self.keys) - 1)] != key]
+        return gain + self.weight[at], self.to[at]
+
+    def traverse(self, word: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text (word numbers side by side, a start mark first), read once from left to right."""
+        longest = np.argsort(-size, kind="stable")
+        at, ends, total = begin[longest], -size[longest], np.zeros(len(begin))
+        state = self.first[word[at]]
+        for i in range(1, -int(ends[0]) if len(ends) else 0):
+            live = int(np.searchsorted(ends, -i, "left"))
+            gain, state = self.step(state[:live], word[at[:live] + i])
+            total[:live] += gain
+        out = np.empty(len(begin))
+        out[longest] = total
+        return out
 
 
 def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU, shards: int | None = None) -> DataFrame:
@@ -100,8 +156,9 @@ def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU, shards: in
         rows = []
         for k, gram in enumerate(grams(tokens, place, order)):
             valid = place >= k
-            distinct, back = np.unique(gram[valid], return_inverse=True)
-            rows += ask(key[0], k, distinct, np.bincount(back, weights=train[valid], minlength=len(distinct)).astype(np.int64), keys)
+            distinct, index = numbered(gram, valid)
+            counts = np.bincount(index[valid], weights=train[valid], minlength=len(distinct)).astype(np.int64)
+            rows += ask(key[0], k, distinct, counts, keys, every=k == 0)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ASKED.split(", ")])
 
     replies = summed(bundles.groupBy("shard").applyInPandas(requests, ASKED), keys, apart=int(_START))
@@ -109,20 +166,18 @@ def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU, shards: in
     def scores(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids, null, held, texts = unpacked(left)
         tokens, place, begin = sequence(texts)
-        known, counts, index = [], [], []
+        counts, index = [], []
         vocabulary = total = 0
         for k, gram in enumerate(grams(tokens, place, order)):
-            valid = place >= k
-            distinct, back = np.unique(gram[valid], return_inverse=True)
-            at = np.zeros(len(gram), np.int64)
-            at[valid] = back
+            index.append(numbered(gram, place >= k)[1])
             got, present, whole = answers(right, k, keys)
-            known.append(distinct)
             counts.append(got)
-            index.append(at)
             if k == 0:
                 vocabulary, total = present, whole
-        base, score, count = Automaton(known, counts, vocabulary, total, mu).traverse(index, place)
+        del tokens, gram, right, texts
+        score = Automaton(index, place, counts, vocabulary, total, mu).traverse(index[0], begin, np.diff(np.append(begin, len(place))))
+        count = counts[0][index[0]]
+        base = np.log10((count + 1.0) / (total + vocabulary + 1))
         real = place > 0
         add = lambda x: np.add.reduceat(np.where(real, x, 0), begin) if len(begin) else np.zeros(0)
         return pd.DataFrame(
@@ -133,7 +188,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU, shards: in
                 "n_known": add((count > 0).astype(np.int64)),
                 "train_tokens": np.full(len(begin), total),
                 "base_score": add(base),
-                "score": add(score),
+                "score": score,
             }
         )
 

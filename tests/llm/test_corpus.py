@@ -135,6 +135,51 @@ def test_lm_query_scores_histories_of_two_words(spark, docs, tmp_path):
         assert got[i].score == pytest.approx(score), i
 
 
+def test_automaton_states_and_arcs():
+    """The state carried after every word is the longest history below the order that training holds; every failure arc
+    shortens the history by its first word; weights along the path add up to the smoothed probability."""
+    r, order, mu = random.Random(8), 3, 7.0
+    make = lambda n: " ".join(r.choice("abcdef") for _ in range(n)).encode()
+    texts, train = [make(r.randint(0, 14)) for _ in range(30)] + [b"a b x a", b"", b"f " * 40], np.arange(33) < 12
+    tokens, place, begin = lm_scoring.sequence(texts)
+    seqs = [["<s>", *t.decode().split(), "</s>"] for t in texts]
+    flat = [tuple(w[max(0, i - 2) : i + 1]) for w in seqs for i in range(len(w))]
+    seen = collections.Counter(tuple(w[i - k : i + 1]) for w, t in zip(seqs, train) if t for i in range(len(w)) for k in range(min(i, 2) + 1))
+    index, counts, names = [], [], []
+    for k, gram in enumerate(lm_scoring.grams(tokens, place, order)):
+        distinct, number = lm_scoring.numbered(gram, place >= k)
+        name = [None] * len(distinct)
+        for i in np.flatnonzero(place >= k):
+            name[number[i]] = flat[i][-k - 1 :]
+        index.append(number)
+        names.append(name)
+        counts.append(np.array([seen[x] for x in name]))
+    total, vocabulary = sum(c for x, c in seen.items() if len(x) == 1 and x != ("<s>",)), sum(len(x) == 1 and x != ("<s>",) for x in seen)
+    a = lm_scoring.Automaton(index, place, counts, vocabulary, total, mu)
+    history = {0: ()}
+    for k in range(order - 1):
+        for x in names[k]:
+            if seen[x]:
+                history[len(history)] = x
+    assert len(history) == len(a.fail) and all(history[a.fail[s]] == history[s][1:] for s in history if s)
+
+    def p(w, h):
+        if not h:
+            return (seen[(w,)] + 1) / (total + vocabulary + 1)
+        return p(w, h[1:]) if not seen[h] else (seen[(*h, w)] + mu * p(w, h[1:])) / (seen[h] + mu)
+
+    longest = lambda h: next(h[i:] for i in range(len(h) + 1) if not h[i:] or seen[h[i:]])
+    scores = a.traverse(index[0], begin, np.array([len(w) for w in seqs]))
+    for w, b, score in zip(seqs, begin, scores):
+        state, want = a.first[index[0][b : b + 1]], 0.0
+        assert history[state[0]] == longest(("<s>",))
+        for i in range(1, len(w)):
+            gain, state = a.step(state, index[0][b + i : b + i + 1])
+            want += math.log10(p(w[i], tuple(w[max(0, i - 2) : i])))
+            assert history[state[0]] == longest(tuple(w[max(0, i - 1) : i + 1])) or w[i] == "</s>"
+        assert score == pytest.approx(want)
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     words = [w.encode() for w in "a b c d e".split()]
