@@ -6,18 +6,21 @@ windows of WINDOW words, STRIDE apart; the network reads each window in both dir
 text's logit is its highest window's. A logistic curve fitted on rows the network has not trained on turns it into a score.
 
 Learning is by multiple instances: first every window carries its text's label, later each text trains by the windows the
-network now rates highest. The network learns from at most SAMPLE labelled texts (positive ones at most half of them, rank
-by a hash of the id); scoring covers every window of every text. Scoring shuffles nothing: the fitted network has a fixed
-size and goes to the tasks with the function.
+network now rates highest. The network learns from at most SAMPLE labelled texts of SAMPLE_BYTES bytes together (positive
+ones at most a third of them, rank by a hash of the id; texts over TEXT_BYTES are not learned from); scoring covers every
+window of every text. One executor task reads the sample and returns the weights alone. Scoring shuffles nothing: the
+fitted network has a fixed size and goes to the tasks with the function.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +30,14 @@ WINDOW = 64
 STRIDE = 48
 #: Bound of the sample of labelled texts the network is fitted on.
 SAMPLE = 3000
+#: Bound of the sample's bytes, and of one of its texts.
+SAMPLE_BYTES = 32 << 20
+TEXT_BYTES = 1 << 18
 WORD_ROWS = 1 << 15
 GRAM_ROWS = 1 << 15
 WORD_DIM = 8
 GRAM_DIM = 8
-HIDDEN = 8
+HIDDEN = 16
 GRAM = 5
 STEPS = (160, 120, 120)
 BATCH = 192
@@ -296,23 +302,43 @@ def train(texts: list[bytes], labels: np.ndarray, share: float | None = None, se
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[bytes], np.ndarray, float]:
-    """Texts and labels of at most size rows (half of each label at most by right of rank), and the share of label 1.
+def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most: int = SAMPLE_BYTES, longest: int = TEXT_BYTES) -> tuple[DataFrame, float]:
+    """Rows (doc_id, text binary, toxic) to learn from, and the share of label 1 in all that could be learned from.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are left out. labels has doc_id and toxic; null labels are left out; an id
-    that is labelled both ways counts as toxic.
+    At most size rows and most bytes, a third of either at most of label 1, by the hash of the id. Rows whose crc32(doc_id as
+    text) mod 5 is 0 are left out, and so are texts of more than longest bytes. labels has doc_id and toxic; null labels and
+    ids are left out; an id that is labelled both ways counts as toxic; of texts that repeat an id the greatest is taken. A
+    null text is an empty one.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).groupBy("doc_id").agg(F.max("bytes").cast("long").alias("bytes"))
+    known = known.join(sizes.filter(F.col("bytes") <= longest), "doc_id")
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(counts.values())
-    if not total:
-        return [], np.zeros(0), 0.0
-    ranked = lambda k, m: known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(m)
+    rank = (F.xxhash64("doc_id"), F.col("doc_id"))
+
+    def ranked(k: int, rows: int, room: int) -> DataFrame:
+        first = known.filter(F.col("toxic") == k).orderBy(*rank).limit(rows)
+        return first.withColumn("upto", F.sum("bytes").over(W.partitionBy("toxic").orderBy(*rank))).filter(F.col("upto") <= room).select("doc_id", "toxic")
+
     positive = min(counts.get(1, 0), size // 3)
-    chosen = ranked(1, positive).unionByName(ranked(0, size - positive))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select(F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("t"), "toxic").collect()
-    return [bytes(r.t) for r in rows], np.array([r.toxic for r in rows], np.float32), counts.get(1, 0) / total
+    chosen = ranked(1, positive, most // 3).unionByName(ranked(0, size - positive, most - most // 3))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
+    return rows.select("doc_id", F.encode("text", "utf-8").alias("text"), "toxic"), counts.get(1, 0) / total if total else 0.0
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
+    """A network fitted on the labelled sample in one executor task; without labelled rows it scores 0.5 throughout."""
+    rows, share = labelled_sample(docs, labels, sample)
+
+    def run(batches):
+        found = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        net = train([bytes(t) for _, t, _ in found], np.array([y for _, _, y in found], np.float32), share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    out = rows.repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(out[0].net) if out else train([], np.zeros(0))
 
 
 def score_texts(docs: DataFrame, net: Network) -> DataFrame:
@@ -341,11 +367,6 @@ def score_texts(docs: DataFrame, net: Network) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    texts, y, share = labelled_sample(docs, labels, sample)
-    return train(texts, y, share)
-
-
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = fitted(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
