@@ -1,10 +1,11 @@
 """Operator 2: mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
 Sources get water-filled word targets. A document's whole copies (the integer part of its source's factor) are certain;
-the words still missing come from one Pareto order sample per source: every document draws a uniform u, and documents
-are ranked by the odds of u divided by their inclusion odds. Inclusion odds follow the square root of a document's size,
-so probabilities are unequal; a factor common to a source does not change its ranks and is left out. The sample is of
-fixed size in words: ranks are taken up to the document whose middle lies nearest below the words still missing.
+the words still missing come from one Pareto order sample per source. A document's inclusion probability is proportional to
+the square root of its size, at the rate at which the expected words of the sample are the words missing; documents that
+would reach probability 1 are taken for certain, and the rate is set for the rest. Every other document draws a uniform u
+and is ranked by the odds of u divided by the odds of its inclusion. The sample is of fixed size in words: ranks are taken
+up to the document whose middle lies nearest below the words still missing.
 
 The cut in a source is found by two histogram passes over the rank value (4096 buckets, then 4096 inside the bucket that
 holds the cut) and a sort of the few rows in the last bucket; no task sorts a source, so a source may hold any share.
@@ -64,6 +65,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
+def inclusion_rates(sizes: DataFrame) -> DataFrame:
+    """(source, rate, sure, open) of the sources with words missing, from rows (source, size, missing).
+
+    A document of size s is included with probability rate * sqrt(s); those above size sure are taken for certain, and open
+    is how many of the missing words are left to the others. Works on the distinct sizes of a source, not on its rows.
+    """
+    held = sizes.filter("size > 0 AND missing > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.first("missing").alias("missing"))
+    order = W.partitionBy("source").orderBy(F.desc("size"))
+    above = F.coalesce(F.sum(F.col("n") * F.col("size")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    roots = F.sum(F.col("n") * F.col("size") * F.sqrt(F.col("size").cast("double"))).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    tried = held.select("source", "size", (F.col("missing") - above).alias("open"), ((F.col("missing") - above) / roots).alias("rate"))
+    fits = tried.filter(F.col("rate") * F.sqrt(F.col("size").cast("double")) < 1)
+    return fits.groupBy("source").agg(F.max(F.struct(F.col("size").alias("sure"), "rate", "open")).alias("x")).select("source", "x.rate", "x.sure", "x.open")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_factor: int = 3, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row of docs.
 
@@ -82,11 +98,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     plan = targets.withColumn("whole", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).cast("int")).withColumn(
         "missing", F.col("target") - F.col("whole") * F.col("source_size")
     )
+    plan = stored(beside(plan.select("source", "source_size", "target", "whole", F.col("missing").alias("short")), inclusion_rates(beside(sizes, plan.select("source", "missing")))), "plan")
+    plan = plan.withColumn("missing", F.coalesce("open", F.lit(0.0))).drop("open", "short")
     u = draw(F.col("doc_id"), seed)
-    ranked = sizes.withColumn("q", F.when(F.col("size") > 0, (u / (1 - u)) / F.sqrt(F.col("size").cast("double"))))
+    p = F.col("rate") * F.sqrt(F.col("size").cast("double"))
+    placed = beside(sizes, plan.select("source", "rate", "sure")).withColumn("certain", F.coalesce(F.col("size") > F.col("sure"), F.lit(False)))
+    ranked = placed.withColumn("q", F.when((F.col("size") > 0) & ~F.col("certain"), (u / (1 - u)) / (p / (1 - p)))).drop("rate", "sure")
     place = F.col("q") / (1 + F.col("q"))
     ranked = ranked.withColumn("b1", F.floor(place * _BUCKETS).cast("int")).withColumn("b2", F.floor(place * (_BUCKETS * _BUCKETS)).cast("int"))
-    drawn = ranked.filter("size > 0")
+    drawn = ranked.filter("q IS NOT NULL")
 
     def crossing(rows: DataFrame, bucket: str, start: Column) -> DataFrame:
         """The bucket of each source in which the cut lies, and the words before it."""
@@ -113,7 +133,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     )
     here = F.struct("q", "doc_id", "size")
     chosen = (
-        F.when(F.col("size") == 0, False)
+        F.when(F.col("certain"), True)
+        .when(F.col("q").isNull(), False)
         .when(F.col("at1").isNull(), F.col("missing") > 0)
         .when(F.col("b1") != F.col("at1"), F.col("b1") < F.col("at1"))
         .when(F.col("at2").isNull() | (F.col("b2") < F.col("at2")), True)
@@ -163,14 +184,24 @@ WITH sizes AS (
   SELECT s.doc_id, s.size, p.source, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS missing,
     (CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
   FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+), held AS (
+  SELECT source, size, count(*) AS n, any_value(missing) AS missing FROM drawn WHERE size > 0 AND missing > 0 GROUP BY source, size
+), tried AS (
+  SELECT source, size, missing - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open,
+    sum(n * size * sqrt(CAST(size AS DOUBLE))) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS roots
+  FROM held
+), rates AS (
+  SELECT source, max(size) AS sure, max_by(open / roots, size) AS rate, max_by(open, size) AS open FROM tried WHERE open / roots * sqrt(CAST(size AS DOUBLE)) < 1 GROUP BY source
+), odds AS (
+  SELECT d.*, coalesce(r.open, 0) AS open, coalesce(d.size > r.sure, false) AS certain, r.rate * sqrt(CAST(d.size AS DOUBLE)) AS p
+  FROM drawn d LEFT JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 ), ranked AS (
-  SELECT *, CASE WHEN size > 0 THEN sum(size) OVER (PARTITION BY source ORDER BY
-    CASE WHEN size > 0 THEN (u / (1 - u)) / sqrt(CAST(size AS DOUBLE)) END NULLS FIRST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    - size / 2.0 END AS middle
-  FROM drawn
+  SELECT *, CASE WHEN size > 0 AND NOT certain AND p IS NOT NULL THEN sum(size) OVER (PARTITION BY source, certain OR size = 0 ORDER BY
+    (u / (1 - u)) / (p / (1 - p)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 END AS middle
+  FROM odds
 )
 SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN size > 0 THEN (whole + CASE WHEN middle <= missing AND missing > 0 THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
+  CAST(CASE WHEN size > 0 THEN (whole + CASE WHEN certain OR (middle <= open AND open > 0) THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
 FROM ranked
 """
 
