@@ -2,10 +2,16 @@
 
 A page becomes a tree of block elements (inline markup dissolves into its block; links are counted). Every node gets its
 composite text density: characters per tag, raised or lowered by the share of characters and tags that are links. A
-node's density sum is the sum of its children's densities. The node with the greatest sum is the content root; the
-smallest density on its way up to the body is the page's threshold, and in every subtree that reaches the threshold the
-node with the greatest sum is content; a node without children counts with its own density. Elements that are never article text (menus, notices, adverts, forms, scripts,
-comments of readers) are cut before densities are taken. One page is one row: nothing is shuffled.
+node's density sum is the sum of its children's densities. The node with the greatest sum is the content root; the smallest
+density on its way up to the body is the page's threshold, and in every subtree that reaches the threshold the node with the
+greatest sum is content; a node without children counts with its own density. A density grows with the length of a block, so
+the threshold is never above the lower quartile of the root's own link-poor blocks: a paragraph beside the root that is as
+dense as three quarters of the root's is not lost for standing alone. If the root lies in an article (or else a main
+element), all of that element is content but for subtrees that are mostly links and miss the threshold.
+
+Elements that are never article text are cut before densities are taken: by their tags, and by class, id or role where every
+part of a name says so (related-posts, not related-work); single paragraphs, headings and the like are cut only by the names
+of adverts, comments and sharing. One page is one row: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -42,13 +48,22 @@ _IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words in class, id or role that mark what is not article text.
+#: Parts of names in class, id or role that mark what is not article text.
 _ASIDE = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices alert newsletter subscribe subscription signup sidebar comment comments disqus respond reply replies related "
     "recommended share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer popup modal overlay widget toolbar "
     "pagination pager contentinfo complementary search".split()
 )
+#: Parts that may stand beside those without changing what a name says.
+_PLAIN = set(
+    "a and area articles bar block bottom box buttons button column container content form group header icons inner item items left "
+    "links list main message outer page panel policy post posts primary right secondary section site slot stories strip text "
+    "thread title top unit wrap wrapper zone".split()
+)
+#: Parts that cut a single paragraph, heading, list item or the like inside an article.
+_SURE = set("ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments share sharing cookie cookies newsletter breadcrumb breadcrumbs".split())
+_SINGLE = set("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote table tr td th figure figcaption details summary hgroup caption span em strong b i a".split())
 _HEAD = {"header", "masthead", "topbar"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -62,11 +77,14 @@ class _Node:
         self.density = self.total = 0.0
 
 
-def _marked(attributes: str, inside: bool) -> bool:
+def _marked(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether the names of an element say that it is not article text; inside: it stands in an article or main."""
+    telling = _SURE if inside and tag in _SINGLE else _ASIDE
     for _, value in _MARK.findall(attributes):
-        words = set(_SPLIT.split(value.lower()))
-        if words & _ASIDE or (not inside and words & _HEAD):
-            return True
+        for name in value.strip("\"'").lower().split():
+            parts = {x.rstrip("0123456789") for x in _SPLIT.split(name)} - {""}
+            if parts & telling and parts <= _ASIDE | _PLAIN | _HEAD or not inside and parts & _HEAD and parts <= _HEAD | _PLAIN:
+                return True
     return False
 
 
@@ -162,7 +180,7 @@ def parse(source: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         gone = cut or tag in _CUT
         if not gone and (m[3] or tag == "header"):
             inside = any(t in ("article", "main") for t, _, _ in stack)
-            gone = (tag == "header" and not inside) or (bool(m[3]) and _marked(m[3], inside))
+            gone = (tag == "header" and not inside) or (bool(m[3]) and _marked(tag, m[3], inside))
         if tag in _BLOCK or gone:
             flush()
             if not gone:
@@ -203,28 +221,40 @@ def _weigh(order: list[_Node]) -> None:
             x.parent.total += x.density
 
 
-def _content(root: _Node) -> set[int]:
-    """Ids of the nodes whose whole subtree is content."""
+def _content(root: _Node, blocks: list[tuple[_Node, str]]) -> tuple[set[int], set[int]]:
+    """Ids of the nodes whose whole subtree is content, and of those below them whose subtree is not."""
     best, todo = root, [root]
     while todo:
         x = todo.pop()
         if x.total > best.total:
             best = x
         todo.extend(x.kids)
-    threshold, x = best.density, best
+    threshold, x, home = best.density, best, None
     while x is not None:
         threshold = min(threshold, x.density)
+        if x.tag == "article" and home is None or x.tag == "main" and (home is None or home.tag == "main"):
+            home = x
         x = x.parent
-    order, todo = [], [root]
+    order, todo, inside = [], [root], {id(best)}
     while todo:
         x = todo.pop()
         order.append(x)
+        if x.parent is not None and id(x.parent) in inside:
+            inside.add(id(x))
         todo.extend(reversed(x.kids))
+    own = sorted({id(x): x.density for x, _ in blocks if id(x) in inside and x.link_chars * 2 <= x.chars}.values())
+    if own:
+        threshold = min(threshold, own[len(own) // 4])
     # The node of the greatest sum below every node (or itself); a leaf counts with its own density.
     top: dict[int, tuple[float, _Node]] = {}
     for x in reversed(order):
         top[id(x)] = max([(x.total if x.kids else x.density, x), *(top[id(y)] for y in x.kids)], key=lambda t: t[0])
-    return {id(best), *(id(top[id(x)][1]) for x in order if x.chars and x.density >= threshold)}
+    kept = {id(best), *(id(top[id(x)][1]) for x in order if x.chars and x.density >= threshold)}
+    out: set[int] = set()
+    if home is not None:
+        kept.add(id(home))
+        out = {id(x) for x in order if x.link_chars * 2 > x.chars and x.density < threshold and id(x) not in kept}
+    return kept, out
 
 
 def main_text(source: str | None) -> str:
@@ -232,12 +262,12 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     root, blocks = parse(source)
-    kept = _content(root)
+    kept, out = _content(root, blocks)
     found: dict[int, bool] = {}
 
     def within(x: _Node | None) -> bool:
         path = []
-        while x is not None and id(x) not in found and id(x) not in kept:
+        while x is not None and id(x) not in found and id(x) not in kept and id(x) not in out:
             path.append(x)
             x = x.parent
         good = x is not None and (id(x) in kept or found.get(id(x), False))
