@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from skillweave.llm.common import stored, table
 
 SHARD = 8192
-BLOCK = 1024
+BLOCK = 4096
 #: Vectors of a shard that are scored in full to set the first threshold.
 SEED_ROWS = 256
 #: Dimensions probed between two prunings.
@@ -35,14 +35,17 @@ def finite(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(good, F.lit(False))
 
 
-def maxscore(ids: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's k best (id, score) for one query, ties to the smaller id; postings has a row per dimension."""
+def maxscore(ids: np.ndarray, rows: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.ndarray, own_row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's k best (id, score) for one query, ties to the smaller id; postings has a row per dimension.
+
+    rows number the vectors; the one numbered own_row is the query itself.
+    """
     n = len(ids)
     a, b = query * low, query * high
     least, most = np.minimum(a, b), np.maximum(a, b)
     order = np.argsort(least - most, kind="stable")
     rest = np.concatenate([np.cumsum(most[order][::-1])[::-1], [0.0]])
-    own = ids == query_id
+    own = rows == own_row
     seed = np.flatnonzero(~own[:SEED_ROWS])
     scores = query @ postings[:, seed]
     floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
@@ -75,51 +78,57 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, bl
     """(query_id, rank, vec_id, score): for each row of queries the k highest inner products with rows of vectors.
 
     Both need vec_id and terms (array of long, without nulls); a shorter array has zeros at its end. A query is never
-    matched with rows of its own id. Ties go to the smaller id; repeated rows count as rows. Queries against an empty
-    table, and no queries, give no rows. Exact while sums stay below 2**53.
+    matched with its own row: the one of the same number in a column row (long), where vectors has one, else all of its
+    vec_id. Ties go to the smaller id; repeated rows count as rows, as candidates and as queries. Other columns are
+    ignored. Queries against an empty table, and no queries, give no rows. Exact while sums stay below 2**53.
     """
-    vectors, queries = stored(vectors.select("vec_id", "terms"), "vectors"), stored(queries.select("vec_id", "terms"), "queries")
+    row = F.col("row" if "row" in vectors.columns else "vec_id").cast("long").alias("row")
+    vectors, queries = stored(vectors.select("vec_id", row, "terms"), "vectors"), queries.select("vec_id", row, "terms")
+    # Equal rows of queries are told apart by their own number, which is stored with them.
+    queries = stored(queries.withColumn("query", F.monotonically_increasing_id()), "queries")
     shards, blocks = max(1, -(-vectors.count() // shard)), max(1, -(-queries.count() // block))
     width = vectors.select(F.max(F.size("terms"))).first()[0] or 0
     width = max(width, queries.select(F.max(F.size("terms"))).first()[0] or 0)
-    number = lambda n: F.pmod(F.xxhash64("vec_id", "terms"), F.lit(n))
-    spread = lambda rows, own, other, n, m: rows.select("vec_id", "terms", number(n).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
-    schema = "query_id long, vec_id long, score long"
+    number = lambda n: F.pmod(F.xxhash64("row", "terms"), F.lit(n))
+    spread = lambda rows, own, other, n, m: rows.select("*", number(n).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+    schema = "query long, query_id long, vec_id long, score long"
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        ids = left["vec_id"].to_numpy(np.int64)
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query", "query_id", "vec_id", "score")})
+        ids, rows = left["vec_id"].to_numpy(np.int64), left["row"].to_numpy(np.int64)
         m = _matrix(left["terms"], width)
         low, high = m.min(axis=0), m.max(axis=0)
         postings = np.ascontiguousarray(m.T)
-        out = [maxscore(ids, postings, low, high, q, v, k) for q, v in zip(right["vec_id"].to_numpy(np.int64), _matrix(right["terms"], width))]
+        out = [maxscore(ids, rows, postings, low, high, r, v, k) for r, v in zip(right["row"].to_numpy(np.int64), _matrix(right["terms"], width))]
         sizes = [len(x) for x, _ in out]
-        return pd.DataFrame({"query_id": np.repeat(right["vec_id"].to_numpy(np.int64), sizes), "vec_id": np.concatenate([x for x, _ in out]), "score": np.concatenate([s for _, s in out]).astype(np.int64)})
+        asked = {"query": np.repeat(right["query"].to_numpy(np.int64), sizes), "query_id": np.repeat(right["vec_id"].to_numpy(np.int64), sizes)}
+        return pd.DataFrame(asked | {"vec_id": np.concatenate([x for x, _ in out]), "score": np.concatenate([s for _, s in out]).astype(np.int64)})
 
     left = spread(vectors, "shard", "block", shards, blocks).groupBy("shard", "block")
     right = spread(queries, "block", "shard", blocks, shards).groupBy("shard", "block")
     found = left.cogroup(right).applyInPandas(search, schema)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
-    terms = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("terms"))
-    return top_k(terms, terms.filter("vec_id % 50 = 0"), k=5)
+    terms = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    rows = stored(rows.select("vec_id", F.monotonically_increasing_id().alias("row"), terms.alias("terms")), "terms")
+    return top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
 _SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS t FROM embeddings
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS t FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.t, c.t) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_inner_product(q.t, c.t) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 ) WHERE rank <= 5
 """
 
