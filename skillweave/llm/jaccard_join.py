@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     pivot = pivot.select("gram", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.place").alias("pp"))
     star = entries.join(pivot, "gram").filter("node <> pivot").filter(may_link("n", "place", "pn", "pp"))
     votes = star.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("votes"))
-    first = votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("a")).select("a", F.col("node").alias("b"))
+    first = votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot"))
+    first = stored(first.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "tried")
     links = stored(verified(first, index, words, percent), "links")
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -203,7 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     placed = stored(placed.join(open_grams, "gram"), "open")
     other = placed.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
     rest = placed.join(other, (placed.gram == other.gram) & (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & may_link("n", "place", "n2", "place2"))
-    rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    # Pairs that were verified and do not link are not tried again.
+    rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = stored(verified(rest, index, words, percent), "links")
     if more.limit(1).count():
         labels = stored(labelled(links.unionByName(more)), "classes")
