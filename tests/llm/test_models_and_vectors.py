@@ -125,38 +125,72 @@ def test_search_equals_brute_force(spark):
     assert topk_search.top_k(rows.limit(3), rows.limit(1), 5).count() == 2
 
 
+def test_search_query_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.integers(-3, 4, 4) / 8]) for i in range(120)]
+    rows += [(50, rows[50][1]), (50, rows[3][1]), (7, rows[7][1]), (None, rows[1][1]), (150, None), (200, [1.0, None]), (250, [float("nan")] * 4), (300, [float("inf")] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("clash")).withColumn("terms", F.lit(0))
+    df.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(topk_search.ORACLES["op6_topk_search"]).fetchall())
+    got = topk_search.op6_topk_search(spark, str(tmp_path)).collect()
+    assert sorted((g.query_id, g["rank"], g.vec_id, g.score) for g in got) == want
+    assert sum(g.query_id == 50 for g in got) == 15 and any(g.query_id == g.vec_id == 50 for g in got)
+
+
 def test_unusable_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0, None],), ([float("nan")],), ([float("inf")],), (None,)], "v array<double>")
     assert [r[0] for r in df.select(topk_search.finite(F.col("v"))).collect()] == [True, False, False, False, False]
 
 
+def linked(rows, threshold=0.98):
+    """Brute force over (vec_id, embedding, label): links of each row and its component's smallest id."""
+    ok = [k for k, (i, v, label) in enumerate(rows) if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = {k: np.array(rows[k][1]) / np.linalg.norm(rows[k][1]) for k in ok}
+    links, label = [0] * len(rows), list(range(len(rows)))
+    for x, a in enumerate(ok):
+        for b in ok[x + 1 :]:
+            if rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold:
+                links[a] += 1
+                links[b] += 1
+                old, new = label[b], label[a]
+                label = [new if z == old else z for z in label]
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        least.setdefault(label[k], []).append(i)
+    return sorted(((i, links[k], None if None in least[label[k]] else min(least[label[k]])) for k, (i, _, _) in enumerate(rows)), key=str)
+
+
 def test_vector_groups(spark):
     r = np.random.default_rng(9)
     centre = r.standard_normal((6, 32))
-    data, label = [], []
+    rows = []
     for i in range(240):
-        c = centre[i % 6] + r.standard_normal(32) * (0.05 if i % 2 else 2.0)
-        data.append([float(x) for x in c])
-        label.append(None if i % 40 == 39 else i % 3)
-    data[10], data[11], data[12], data[13] = None, [0.0] * 32, [float("nan")] * 32, [1.0, None]
-    rows = spark.createDataFrame([(i, d, k) for i, (d, k) in enumerate(zip(data, label))], "vec_id long, embedding array<double>, label int")
-    got = {g.vec_id: g for g in embedding_dedup.near_vectors(rows, block=16).collect()}
-    ok = [i for i in range(240) if label[i] is not None and i not in (10, 11, 12, 13)]
-    unit = {i: np.array(data[i]) / np.linalg.norm(data[i]) for i in ok}
-    links = {(a, b) for a in ok for b in ok if a < b and label[a] == label[b] and unit[a] @ unit[b] >= 0.98}
-    found = sum(g.n_links for g in got.values()) / 2
-    assert len(got) == 240 and len(links) > 200 and 0.9 * len(links) <= found <= len(links)
-    assert all(got[i].n_links == 0 and got[i].kept for i in (10, 11, 12, 13, 39))
-    assert all(got[g.component_id].kept and g.component_id <= i for i, g in got.items())
-    assert embedding_dedup.near_vectors(rows.limit(0)).count() == 0
-
-
-def test_recall_at_the_threshold():
-    r, books, hit = np.random.default_rng(2), embedding_dedup.code_books(64), 0
-    for _ in range(300):
-        x, z = r.standard_normal((2, 64))
+        c = centre[i % 6] + r.standard_normal(32) * (0.02 if i % 2 else 2.0)
+        rows.append([i, [float(x) for x in c], None if i % 40 == 39 else i % 3])
+    rows[10][1], rows[11][1], rows[12][1], rows[13][1] = None, [0.0] * 32, [float("nan")] * 32, [1.0, None]
+    rows += [[300 + i, [2.0 * x for x in rows[1][1]], 1] for i in range(70)]  # copies of each other, and proportional to another
+    rows += [[1, rows[2][1], 2], [1, rows[1][1], 1], [1, rows[1][1], 1], [None, rows[1][1], 1], [400, [], 1], [401, [1.0], 1], [402, [2.0], 1]]
+    table = spark.createDataFrame([tuple(x) for x in rows], "vec_id long, embedding array<double>, label int")
+    for block in (16, 512):
+        out = embedding_dedup.near_vectors(table.withColumn("node", F.lit(1)).withColumn("links", F.lit("x")).repartition(5), block=block).collect()
+        assert sorted(((g.vec_id, g.n_links, g.component_id) for g in out), key=str) == linked(rows)
+        assert all(g.kept == (g.vec_id == g.component_id) for g in out)
+    assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width,rows", [(16, 300), (64, 300), (768, 80)])
+def test_recall_at_the_threshold(width, rows):
+    r, books, hit, filters = np.random.default_rng(2), embedding_dedup.code_books(width), 0, 0
+    for _ in range(rows):
+        x, z = r.standard_normal((2, width))
         x /= np.linalg.norm(x)
         z -= z @ x * x
         y = 0.98 * x + (1 - 0.98**2) ** 0.5 * z / np.linalg.norm(z)
-        hit += len(np.intersect1d(embedding_dedup.filters_of(x, books), embedding_dedup.filters_of(y, books))) > 0
-    assert hit / 300 > 0.97
+        own = embedding_dedup.filters_of(x, books)
+        filters += len(own)
+        hit += len(np.intersect1d(own, embedding_dedup.filters_of(y, books))) > 0
+    assert hit / rows > 0.98 and filters / rows < 80
