@@ -207,6 +207,18 @@ def frame(schema: str, **columns) -> pd.DataFrame:
     return pd.DataFrame({name: columns[name] for name in (c.split()[0] for c in schema.split(","))})
 
 
+def text_bytes(column: pa.Array) -> tuple[memoryview, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow text column without a copy, and where each text starts and ends; nulls are empty."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if not len(at):
+        at = np.zeros(1, np.int64)
+    starts, ends = at[:-1], at[1:]
+    if column.null_count:
+        ends = np.where(column.is_null().to_numpy(zero_copy_only=False), starts, ends)
+    return memoryview(data) if data is not None else memoryview(b""), starts, ends
+
+
 PACKED = "shard int, ids binary, nulls binary, flags binary, sizes binary, body binary"
 
 
@@ -218,20 +230,21 @@ def packed(docs: DataFrame, keys: list[int], by: list | None = None) -> DataFram
     """
     rows = docs.select("doc_id", "flag", "text", shard_of(by or [F.col("doc_id")], keys).alias("shard"))
 
+    kinds = [pa.int32()] + [pa.binary()] * 5
+
     def run(batches):
         for batch in batches:
             shard = batch.column(3).to_numpy(zero_copy_only=False)
-            texts = batch.column(2).to_pylist()
+            data, starts, ends = text_bytes(batch.column(2))
             null = np.array(batch.column(0).is_null().to_numpy(zero_copy_only=False), bool)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             order = np.argsort(shard, kind="stable")
             out = []
             for group in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
-                body = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in group]
-                sizes = np.array([len(t) for t in body], np.int64)
-                out.append((int(shard[group[0]]), ids[group].tobytes(), null[group].tobytes(), flags[group].tobytes(), sizes.tobytes(), squeeze(b"".join(body))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] + [pa.binary()] * 5)] if out else [pa.array([], t) for t in [pa.int32()] + [pa.binary()] * 5], ["shard", "ids", "nulls", "flags", "sizes", "body"])
+                body = b"".join(data[s:e] for s, e in zip(starts[group].tolist(), ends[group].tolist()))
+                out.append((int(shard[group[0]]), ids[group].tobytes(), null[group].tobytes(), flags[group].tobytes(), (ends - starts)[group].tobytes(), squeeze(body)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["shard", "ids", "nulls", "flags", "sizes", "body"])
 
     return rows.mapInArrow(run, PACKED).repartition(len(keys), "shard")
 

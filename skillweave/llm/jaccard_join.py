@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         labels = stored(labelled(links.unionByName(more)), "classes")
     members = rows.select("doc_id", F.col("node").alias("of")).join(labels, F.col("of") == F.col("node"), "left")
     members = stored(members.select("doc_id", F.col("n").alias("n_shingles"), "component"), "members")
-    smallest = members.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    smallest = stored(members.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
     return members.join(smallest, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillweave.llm.common import LOWER, SEPARATORS, chunks, mixed, prefix_hash, span_hash, table
+from skillweave.llm.common import LOWER, SEPARATORS, chunks, mixed, prefix_hash, span_hash, table, text_bytes
 
 WINDOW = 64
 STRIDE = 48
@@ -42,7 +42,7 @@ GRAM = 5
 STEPS = (160, 120, 120)
 BATCH = 192
 #: Windows read side by side; bounds a task's memory.
-CHUNK = 4096
+CHUNK = 1024
 
 
 def _tokens(texts: list[bytes]):
@@ -353,14 +353,8 @@ def score_texts(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
-            out, size, some = [], 0, []
-            for i, t in enumerate(texts):
-                some.append(t)
-                size += len(t)
-                if size > 2_000_000 or i == len(texts) - 1:
-                    out.append(net.scores(some))
-                    size, some = 0, []
+            data, starts, ends = text_bytes(batch.column(at))
+            out = [net.scores([bytes(data[s:e]) for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]) for a, b in chunks(ends - starts)]
             score = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
 
