@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Field patterns, fixed values.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PHONES = (r"\+84[0-9]{9,10}", r"0[0-9]{9,10}", r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}")
-GITHUB = r"(?:https?://)?(?:www\.)?github\.com/[A-Za-z0-9_-]+"
-LINKEDIN = r"(?:https?://)?(?:www\.)?linkedin\.com/in/[A-Za-z0-9_-]+"
-URL = r"https?://[^\s<>\"]+"
-GPA = r"([0-9]\.[0-9]+)\s*/\s*([0-9](?:\.[0-9]+)?)"
+PHONES = (
+    r"\+84[\s\-]?[0-9]{1,2}[\s\-]?[0-9]{3,4}[\s\-]?[0-9]{3,4}",
+    r"0[0-9]{1,2}[\s\-]?[0-9]{3,4}[\s\-]?[0-9]{3,4}",
+    r"\+[0-9]{1,3}[\s\-]?[0-9]{6,14}",
+)
+GITHUB = r"(?:https?://)?(?:www\.)?github\.com/[a-zA-Z0-9._-]+"
+LINKEDIN = r"(?:https?://)?(?:www\.)?linkedin\.com/in/[a-zA-Z0-9._-]+"
+URL = r"https?://[^\s]+"
+GPA = r"\b(?:GPA|CPA|CGPA)[\s:]*([0-9]+\.[0-9]{2})/([0-9]+\.[0-9]{1,2})\b"
 PERCENT = r"([0-9]+[.,]?[0-9]*)\s*%"
 
 
@@ -46,21 +49,20 @@ def surrogate_key(prefix: str, number: Column, count: Column) -> Column:
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     """The first match of a pattern, or null."""
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def contact_fields(text: Column) -> list[Column]:
-    """email, phone, github, linkedin (with scheme), urls, gpa and gpa_scale, each null or empty where absent."""
-    linked = first_match(text, LINKEDIN)
+    """email, phone, github and linkedin (with scheme), urls and gpa (points/scale), each null or empty where absent."""
+    schemed = lambda c: F.when(F.startswith(c, F.lit("http")), c).otherwise(F.concat(F.lit("https://"), c))
+    points = "(?i)" + GPA
     return [
         first_match(text, EMAIL).alias("email"),
         F.coalesce(*[first_match(text, p) for p in PHONES]).alias("phone"),
-        first_match(text, GITHUB).alias("github"),
-        F.when(F.startswith(linked, F.lit("http")), linked).otherwise(F.concat(F.lit("https://"), linked)).alias("linkedin"),
+        schemed(first_match(text, GITHUB)).alias("github"),
+        schemed(first_match(text, LINKEDIN)).alias("linkedin"),
         F.coalesce(F.regexp_extract_all(text, F.lit(f"({URL})"), F.lit(1)), F.array().cast("array<string>")).alias("urls"),
-        F.regexp_extract(text, GPA, 1).try_cast("double").alias("gpa"),
-        F.regexp_extract(text, GPA, 2).try_cast("double").alias("gpa_scale"),
+        F.concat(first_match(text, points, 1), F.lit("/"), first_match(text, points, 2)).alias("gpa"),
     ]
 
 
@@ -100,29 +102,65 @@ def normalized_role(title: Column, mapping: DataFrame | dict[str, str], strip: l
     return F.when(squeezed == "", F.lit(empty or "Unknown")).otherwise(F.coalesce(look(squeezed), rest))
 
 
-def term_pattern(term: str, strict: bool = True) -> str:
-    """A term as a pattern: literal, its spaces also hyphens, between word borders (strict) or non-word neighbours."""
-    body = re.sub(r"\\? ", r"[\\s\\-]", re.escape(term))
-    return rf"(?iU)\b{body}\b" if strict else rf"(?iU)(?<!\w){body}(?!\w)"
+def enriched_query(query: Column, domain: Column, hints: dict[str, str]) -> Column:
+    """The query behind its domain's hint and '. '; as it is for an unknown or no domain."""
+    hint = F.lit(None).cast("string")
+    for name, text in hints.items():
+        hint = F.when(domain == name, F.lit(text)).otherwise(hint)
+    return F.coalesce(F.concat(hint, F.lit(". "), query), query)
 
 
-def extract_terms(texts: DataFrame, ontology: DataFrame, key: str = "doc_id", longest: int = 4) -> DataFrame:
-    """(key, canonical): distinct canonicals of ontology (alias, canonical) that occur in texts (key, text).
+def markdown_sections(texts: DataFrame, headers: dict[str, str], key: str = "doc_id") -> DataFrame:
+    """(key, section, content): the lines below each heading line (#) that holds one of headers' names, up to the next such.
 
-    Instead of trying every term on every text, a text's word n-grams up to the longest alias meet the aliases in an
-    equi-join; punctuation other than that inside + # . terms separates words. The ontology is a dictionary and small;
-    texts are not shuffled by word but by key, for the distinct.
+    headers maps a name (compared in lower case, in the given order) to a section; lines before the first are left out; of
+    several sections of one name the last is taken. Each text is one array, so nothing is shuffled.
     """
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}+#.]+"), lambda x: x != "")
-    trimmed = F.filter(F.transform(words, lambda x: F.regexp_replace(x, r"^\.+|\.+$", "")), lambda x: x != "")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    found = F.lit(None).cast("string")
+    line = F.col("l")
+    for name, section in reversed(headers.items()):
+        found = F.when(F.contains(F.lower(line), F.lit(name)), F.lit(section)).otherwise(found)
+    rows = texts.select(key, F.posexplode(lines).alias("n", "l")).withColumn("head", F.when(F.startswith(F.trim(line), F.lit("#")), found))
+    order = W.partitionBy(key).orderBy("n")
+    rows = rows.withColumn("part", F.count("head").over(order)).withColumn("section", F.last("head", ignorenulls=True).over(order)).filter("part > 0")
+    joined = rows.groupBy(key, "section", "part").agg(F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("n", "l")))).alias("x"))
+    content = F.array_join(F.transform("x", lambda y: y["l"]), "\n")
+    return joined.groupBy(key, "section").agg(F.max_by(content, "part").alias("content"))
+
+
+#: Dictionaries of at most this many terms are tried on each text; larger ones meet its n-grams in a join.
+TERMS_BOUND = 2_000
+
 
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+def spaced_words(text: Column) -> Column:
+    """The lower-case words of a text with one space around each: + # and inner . belong to words, all else separates them."""
+    out = F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), r"[^\p{L}\p{N}+#.]+", " ")
+    return F.regexp_replace(F.regexp_replace(out, r" \.+|\.+ ", " "), " {2,}", " ")
 
-    grams = F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))
-    rows = texts.select(key, trimmed.alias("w")).filter("size(w) > 0").select(key, F.explode(grams).alias("gram"))
-    aliases = ontology.select(F.regexp_replace(F.lower("alias"), r"[\s\-]+", " ").alias("gram"), "canonical")
-    return rows.join(aliases, "gram").select(key, "canonical").distinct()
+
+def extract_terms(texts: DataFrame, ontology: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, canonical): distinct canonicals of ontology (alias, canonical) that occur in texts (key, text).
+
+    Aliases and the canonical names themselves are terms, of any number of words. The ontology is a dictionary: up to
+    TERMS_BOUND terms become one array that each text filters, and only hits are exploded; more meet the texts' word n-grams
+    of the terms' lengths in an equi-join.
+    """
+    both = ontology.select("canonical", F.explode(F.array("alias", "canonical")).alias("term"))
+    terms = both.select("canonical", spaced_words(F.col("term")).alias("term")).filter("trim(term) <> ''").distinct()
+    few = terms.limit(TERMS_BOUND + 1).collect()
+    rows = texts.select(key, spaced_words(F.col("text")).alias("words"))
+    if len(few) <= TERMS_BOUND:
+        listed = F.array(*[F.struct(F.lit(r.term).alias("term"), F.lit(r.canonical).alias("canonical")) for r in few]) if few else None
+        if listed is None:
+            return rows.filter("false").select(key, F.lit("").alias("canonical"))
+        hits = F.filter(listed, lambda t: F.contains(F.col("words"), t["term"]))
+        return rows.select(key, F.explode(F.array_distinct(F.transform(hits, lambda t: t["canonical"]))).alias("canonical")).distinct()
+    sizes = [r.n for r in terms.select((F.size(F.split(F.trim("term"), " "))).alias("n")).distinct().collect()]
+    words = F.split(F.trim("words"), " ")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.concat(F.lit(" "), F.array_join(F.slice("w", i, n), " "), F.lit(" ")))
+    grams = rows.select(key, words.alias("w")).select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes]))).alias("term"))
+    return grams.join(terms, "term").select(key, "canonical").distinct()
 
 
 def resolve_aliases(skills: DataFrame, ontology: DataFrame) -> DataFrame:

@@ -23,28 +23,53 @@ def severity(pct: Column, critical: float = CRITICAL_PCT, medium: float = MEDIUM
     return F.when(pct >= critical, "critical").when(pct >= medium, "medium").otherwise("optional")
 
 
+class UnknownRole(ValueError):
+    """A target role that the matrix does not have."""
+
+
+def validated(targets: DataFrame, matrix: DataFrame) -> DataFrame:
+    """targets, if the matrix has all their roles by their exact names; else UnknownRole with ten roles it has."""
+    roles = matrix.select("role").distinct()
+    wrong = targets.join(roles, "role", "left_anti").select("role").limit(1).collect()
+    if wrong:
+        known = [r.role for r in roles.orderBy("role").limit(10).collect()]
+        raise UnknownRole(f"role {wrong[0].role!r} is not in the matrix, which has {', '.join(map(repr, known))} and others")
+    return targets
+
+
 def _role_skills(targets: DataFrame, matrix: DataFrame) -> DataFrame:
     return targets.join(matrix.select("role", "skill", "frequency_pct"), "role")
 
 
+def _held(owned: DataFrame) -> DataFrame:
+    """(candidate, low): owned skills without letter case."""
+    return owned.select("candidate", F.lower("skill").alias("low")).distinct()
+
+
 def strengths(owned: DataFrame, targets: DataFrame, matrix: DataFrame, core: float = CORE_PCT, important: float = IMPORTANT_PCT) -> DataFrame:
-    """Owned skills of the role, with their level."""
-    return _role_skills(targets, matrix).join(owned, ["candidate", "skill"], "left_semi").withColumn("level", strength_level(F.col("frequency_pct"), core, important))
+    """Owned skills of the role (letter case aside), with their level."""
+    rows = _role_skills(targets, matrix).withColumn("low", F.lower("skill")).join(_held(owned), ["candidate", "low"], "left_semi").drop("low")
+    return rows.withColumn("level", strength_level(F.col("frequency_pct"), core, important))
 
 
 def weaknesses(owned: DataFrame, targets: DataFrame, matrix: DataFrame, critical: float = CRITICAL_PCT, medium: float = MEDIUM_PCT) -> DataFrame:
-    """Missing skills of the role, with their severity."""
-    return _role_skills(targets, matrix).join(owned, ["candidate", "skill"], "left_anti").withColumn("severity", severity(F.col("frequency_pct"), critical, medium))
+    """Missing skills of the role (letter case aside), with their severity."""
+    rows = _role_skills(targets, matrix).withColumn("low", F.lower("skill")).join(_held(owned), ["candidate", "low"], "left_anti").drop("low")
+    return rows.withColumn("severity", severity(F.col("frequency_pct"), critical, medium))
 
 
 def extra_skills(owned: DataFrame, targets: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Owned skills the role does not list."""
-    return owned.join(targets, "candidate").join(matrix.select("role", "skill"), ["role", "skill"], "left_anti")
+    """Owned skills the role does not list, letter case aside."""
+    listed = matrix.select("role", F.lower("skill").alias("low")).distinct()
+    return owned.join(targets, "candidate").withColumn("low", F.lower("skill")).join(listed, ["role", "low"], "left_anti").drop("low")
 
 
 def readiness(owned: DataFrame, targets: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(candidate, role, readiness): owned share of the role's frequencies in per cent, half to even; 0 without skills."""
-    rows = _role_skills(targets, matrix).join(owned.withColumn("has", F.lit(True)), ["candidate", "skill"], "left")
+    """(candidate, role, readiness): owned share of the role's frequencies in per cent, half to even; 0 without skills.
+
+    Skills match whatever their letter case.
+    """
+    rows = _role_skills(targets, matrix).withColumn("low", F.lower("skill")).join(_held(owned).withColumn("has", F.lit(True)), ["candidate", "low"], "left")
     owned_sum, total = F.sum(F.when(F.col("has"), F.col("frequency_pct")).otherwise(0.0)), F.sum("frequency_pct")
     scores = rows.groupBy("candidate", "role").agg(F.round(owned_sum, 2).alias("owned_weight"), F.round(total, 2).alias("total_weight"))
     scores = scores.withColumn("readiness", F.when(F.col("total_weight") > 0, F.bround(F.col("owned_weight") / F.col("total_weight") * 100, 0)).otherwise(0.0).cast("long"))

@@ -25,6 +25,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def unit(a: Column) -> Column:
+    """A vector of length one; components are null for a zero vector."""
+    norm = F.sqrt(dot(a, a))
+    return F.transform(F.arrays_zip(a.alias("x"), F.array_repeat(norm, F.size(a)).alias("n")), lambda p: F.try_divide(p["x"].cast("double"), p["n"]))
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): the k rows most similar to each query; vectors (id, embedding), queries (query_id, embedding).
 
@@ -32,7 +38,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     every shard under a key of its own, so no task holds more than one of each. Scores are clamped to 0..1; ties go to the
     smaller id.
     """
-    v, q = vectors.select("id", "embedding"), queries.select("query_id", F.col("embedding").alias("q"))
+    v, q = vectors.select("id", unit(F.col("embedding")).alias("embedding")), queries.select("query_id", unit(F.col("embedding")).alias("q"))
     n = q.count()
     if n <= MAX_QUERIES:
         pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
@@ -43,7 +49,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         v = v.withColumn("shard", number("id", shards)).withColumn("block", each(blocks))
         q = q.withColumn("block", number("query_id", blocks)).withColumn("shard", each(shards))
         pairs = v.join(q, ["shard", "block"]).filter(F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", F.round(clamp(cosine(F.col("q"), F.col("embedding"))), 4).alias("score"))
+    scored = pairs.select("query_id", "id", F.round(clamp(dot(F.col("q"), F.col("embedding"))), 4).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -61,29 +67,31 @@ def match_by_text(jobs: DataFrame, skills: Column, semantic: DataFrame, n: int)
     return joined.select("job_id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "job_id").limit(n)
 
 
-def keyword_bonus(role: Column, document: Column, role_words: list[str], document_words: list[str]) -> Column:
-    """min(0.08, 0.04 for each word in the role) + 0.02 if any word is in the document."""
+def keyword_bonus(role: Column, title: Column, document: Column, keywords: list[str]) -> Column:
+    """min(0.08, 0.04 for each of a domain's keywords in the role or the title) + 0.02 if any is in the document."""
     has = lambda c, w: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(w.lower()))
-    hits = sum((has(role, w).cast("int") for w in role_words), F.lit(0))
+    hits = sum(((has(role, w) | has(title, w)).cast("int") for w in keywords), F.lit(0))
     found = F.lit(False)
-    for w in document_words:
+    for w in keywords:
         found = found | has(document, w)
     return F.least(F.lit(0.08), F.lit(0.04) * hits) + F.when(found, 0.02).otherwise(0.0)
 
 
 def hybrid_rank(candidates: DataFrame, query_skills: Column, n: int, bonus: Column | None = None) -> DataFrame:
-    """Re-ranks candidates (id, sem, skills) by 0.6 sem + 0.4 saturating coverage + bonus."""
+    """The n best candidates (query_id, id, sem, skills) of each query by 0.6 sem + 0.4 saturating coverage + bonus; ties by id."""
     shared = F.size(F.array_intersect("skills", query_skills))
     score = F.lit(SEARCH_SEMANTIC) * F.col("sem") + F.lit(SEARCH_SKILL) * saturating_coverage(F.size("skills"), shared)
     if bonus is not None:
         score = score + bonus
-    return candidates.select("id", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+    scored = candidates.select("query_id", "id", F.round(score, 4).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
 def first_by_content(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """One row for each md5 of key: the one smallest in order."""
-    rn = F.row_number().over(W.partitionBy("content_hash").orderBy(order))
-    return rows.withColumn("content_hash", F.md5(key.cast("binary"))).withColumn("rn", rn).filter("rn = 1").drop("rn")
+    """One row for each md5 of key: the one smallest in order, picked by partial aggregates."""
+    named = rows.withColumn("content_hash", F.md5(key.cast("binary")))
+    return named.groupBy("content_hash").agg(F.min_by(F.struct(*rows.columns), F.struct(F.col(order).isNull(), order)).alias("x")).select("x.*", "content_hash")
 
 
 def job_content(title: Column, company: Column, skills: Column) -> Column:

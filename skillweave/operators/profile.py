@@ -40,23 +40,50 @@ def head_name(rows: DataFrame, titles: list[str], key: str = "doc_id") -> DataFr
     return rows.filter(plain).groupBy(key).agg(F.min_by(F.trim("line"), "line_no").alias("name"))
 
 
-def career_profile(texts: DataFrame, domains: dict[str, list[str]], key: str = "doc_id") -> DataFrame:
-    """(key, stage, years, role, domains): stage words in the text, years before 'year', the first line, domains with a keyword."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    has = lambda *words: F.greatest(*[F.contains(low, F.lit(w)) for w in (*words, words[0])])
-    stage = F.when(has("phd", "doctor"), "Doctorate").when(has("master"), "Graduate").when(has("student", "university"), "Student").otherwise("Professional")
-    found = F.filter(F.array(*[F.when(has(*words), F.lit(name)) for name, words in domains.items()]), lambda x: x.isNotNull())
-    years = F.regexp_extract(low, r"([0-9]+)\+? ?years?", 1).try_cast("int")
-    return texts.select(key, stage.alias("stage"), F.coalesce(years, F.lit(0)).alias("years"), F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 100).alias("role"), found.alias("domains"))
+def career_profile(cvs: DataFrame, domains: dict[str, list[str]], key: str = "doc_id") -> DataFrame:
+    """(key, stage, years, role, domains, summary) of sectioned CVs (key, personal_info, education, experience, skills arrays of lines).
+
+    Study words in the education give Student, years before 'năm' or 'year' in the experience turn that into Intern/Junior,
+    anything else is Entry. The role is the first line of the experience. A domain needs a keyword inside a skill. The stage
+    names, study words and the summary's wording are fixed values.
+    """
+    flat = lambda c: F.lower(F.array_join(F.coalesce(c, F.array().cast("array<string>")), " "))
+    education, experience = flat("education"), flat("experience")
+    studying = F.lit(False)
+    for word in ("present", "hiện tại", "nay", "university", "học viện", "trường", "viện"):
+        studying = studying | F.contains(education, F.lit(word))
+    years = F.coalesce(F.regexp_extract(experience, r"([0-9]+\.?[0-9]*)\s*(?:năm|year)", 1).try_cast("double"), F.lit(0.0))
+    stage = F.when(studying & (years > 0), "Intern/Junior").when(studying, "Student").otherwise("Entry")
+    first = lambda c: F.nullif(F.trim(F.try_element_at(F.col(c), F.lit(1))), F.lit(""))
+    held = F.transform(F.coalesce("skills", F.array().cast("array<string>")), F.lower)
+
+    def any_of(words: list[str]) -> Column:
+        return F.exists(held, lambda x: F.array_contains(F.array(*[F.contains(x, F.lit(w)) for w in words]), True))
+
+    found = F.filter(F.array(*[F.when(any_of(words), F.lit(name)) for name, words in domains.items()]), lambda x: x.isNotNull())
+    return cvs.select(
+        key, stage.alias("stage"), years.alias("years"), F.coalesce(F.substring(first("experience"), 1, 100), F.lit("Unknown")).alias("role"), found.alias("domains"),
+        F.coalesce(F.concat(first("personal_info"), F.lit(" - Ứng viên tiềm năng")), F.lit("")).alias("summary"),
+    )
+
+
+#: Words that mark a line of technologies, fixed values.
+TECHNOLOGIES = ("python", "fastapi", "pytorch")
 
 
 def project_of(block: Column) -> Column:
-    """A block of lines as a project: its first line, and what follows role and technology keywords; the rest describes it."""
-    after = lambda word: F.element_at(F.transform(F.filter(block, lambda x: F.lower(x).startswith(word)), lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", ""))), 1)
-    first = lambda word: F.when(F.size(F.filter(block, lambda x: F.lower(x).startswith(word))) > 0, after(word))
-    rest = F.filter(F.slice(block, 2, 1_000_000), lambda x: ~F.lower(x).startswith("role") & ~F.lower(x).startswith("tech"))
+    """A block of lines as a project: its first line without bullets is the name; of the others the last one about a role or
+    position is the role, the last one with a known technology the list of technologies, and the rest describes it."""
+    none = F.array().cast("array<string>")
+    lines = F.transform(F.slice(block, 2, 1_000_000), lambda x: F.trim(x))
+    is_role = lambda x: F.contains(F.lower(x), F.lit("role")) | F.contains(F.lower(x), F.lit("position"))
+    is_tech = lambda x: ~is_role(x) & (F.contains(F.lower(x), F.lit(TECHNOLOGIES[0])) | F.contains(F.lower(x), F.lit(TECHNOLOGIES[1])) | F.contains(F.lower(x), F.lit(TECHNOLOGIES[2])))
+    last = lambda some: F.try_element_at(F.filter(lines, some), F.lit(-1))
     return F.struct(
-        F.element_at(block, 1).alias("name"), first("role").alias("role"), F.filter(F.transform(F.split(F.coalesce(first("tech"), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "").alias("technologies"), F.array_join(rest, " ").alias("description")
+        F.btrim(F.element_at(block, 1), F.lit("•- *")).alias("name"),
+        F.coalesce(last(is_role), F.lit("")).alias("role"),
+        F.coalesce(F.transform(F.split(last(is_tech), ","), lambda x: F.trim(x)), none).alias("technologies"),
+        F.array_join(F.filter(lines, lambda x: ~is_role(x) & ~is_tech(x)), " ").alias("description"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,20 +14,26 @@ PENALTY, PENALTY_CAP, SYNERGY, SYNERGY_CAP = 0.15, 0.5, 0.02, 0.10
 
 
 def chunk_phases(ordered: DataFrame, by: str = "candidate", max_per: int = MAX_PER_PHASE, min_per: int = MIN_PER_PHASE) -> DataFrame:
-    """Adds phase (from 1) to rows (by, pos, ...): chunks of max_per in order of pos; a last chunk below min_per joins the one before."""
+    """Adds phase (from 1) to rows (by, pos, ...): even chunks in order of pos, as few as max_per allows, of min_per at least.
+
+    A last chunk below min_per joins the one before.
+    """
     rank = F.row_number().over(W.partitionBy(by).orderBy("pos")) - 1
     total = F.count(F.lit(1)).over(W.partitionBy(by))
-    phase = F.floor(F.col("_r") / max_per).cast("int") + 1
-    last = F.ceil(F.col("_n") / max_per).cast("int")
-    short = (F.col("_n") % max_per > 0) & (F.col("_n") % max_per < min_per) & (last > 1)
-    out = ordered.withColumn("_r", rank).withColumn("_n", total)
-    return out.withColumn("phase", F.when(short & (phase == last), last - 1).otherwise(phase)).drop("_r", "_n")
+    size = F.greatest(F.lit(min_per), F.ceil(F.col("_n") / F.ceil(F.col("_n") / max_per)).cast("int"))
+    phase = F.floor(F.col("_r") / F.col("_s")).cast("int") + 1
+    last = F.ceil(F.col("_n") / F.col("_s")).cast("int")
+    short = (last > 1) & (F.col("_n") - (last - 1) * F.col("_s") < min_per)
+    out = ordered.withColumn("_r", rank).withColumn("_n", total).withColumn("_s", size)
+    return out.withColumn("phase", F.when(short & (phase == last), last - 1).otherwise(phase)).drop("_r", "_n", "_s")
 
 
-def repaired_phases(phases: DataFrame, edges: DataFrame, by: str = "candidate", rounds: int = MAX_PHASES) -> DataFrame:
-    """(by, skill, phase): a skill moves one phase later while a prerequisite sits in a later phase, rounds times at most.
+def repaired_phases(phases: DataFrame, edges: DataFrame, by: str = "candidate", rounds: int | None = None) -> DataFrame:
+    """(by, skill, phase): a skill moves one phase later while a prerequisite sits in a later phase.
 
-    A roadmap's skills are few (a role's list), so each roadmap is one array and all rounds are one projection over it.
+    A roadmap's skills are few (a role's list), so each roadmap is one array and all rounds are one projection over it. No
+    skill rises above the last phase, so twice as many rounds as skills reach the end; prerequisites in a circle would rise
+    for ever and stop there. rounds bounds the rounds below that, unless it is None.
     """
     need = adjacency(edges, "prerequisite")
     none = F.array().cast("array<string>")
@@ -36,7 +43,7 @@ def repaired_phases(phases: DataFrame, edges: DataFrame, by: str = "candidate",
         return F.transform(state, lambda s: F.struct(s["skill"].alias("skill"), F.when(late(s), s["phase"] + 1).otherwise(s["phase"]).alias("phase")))
 
     rows = phases.groupBy(by).agg(F.collect_list(F.struct("skill", F.col("phase").cast("int").alias("phase"))).alias("state"))
-    fixed = rows.select(by, F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("state"), repair)).alias("s"))
+    fixed = rows.select(by, F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds) if rounds else F.size("state") * 2), F.col("state"), repair)).alias("s"))
     return fixed.select(by, "s.skill", "s.phase")
 
 
@@ -56,12 +63,12 @@ def projection(owned: DataFrame, phases: DataFrame, weights: DataFrame, by: str
 
 
 def graph_score(skills: DataFrame, by: str = "candidate") -> DataFrame:
-    """(by, score): sum of weight * completion * (1 - min(0.15 missing, 0.5)) * market over the sum of weights, at most 100.
+    """(by, score): sum of weight * completion * (1 - min(0.15 missing, 0.5)) * market over the sum of weights, a whole number, at most 100.
 
     skills is (by, skill, weight, completion, missing, market).
     """
     part = F.col("weight") * F.col("completion") * (1 - F.least(F.lit(PENALTY) * F.col("missing"), F.lit(PENALTY_CAP))) * F.col("market")
-    return skills.groupBy(by).agg(F.least(F.lit(100.0), F.round(F.sum(part) / F.sum("weight") * 100, 2)).alias("score"))
+    return skills.groupBy(by).agg(F.bround(F.least(F.lit(100.0), F.sum(part) / F.sum("weight") * 100), 0).cast("long").alias("score"))
 
 
 def bottlenecks(skills: DataFrame, by: str = "candidate") -> DataFrame:
@@ -71,7 +78,8 @@ def bottlenecks(skills: DataFrame, by: str = "candidate") -> DataFrame:
 
 
 def weighted_score(skills: DataFrame, pairs: DataFrame, by: str = "candidate") -> DataFrame:
-    """(by, score): weighted mastery * market, times the product of 1 - min(penalty, 0.5) of missing skills, times 1 + synergy.
+    """(by, score): weighted mastery * market, times the product of 1 - min(penalty, 0.5) of missing skills, times 1 + synergy,
+    a whole number, at most 100.
 
     skills is (by, skill, weight, mastery, market, penalty, status); pairs (a, b) of owned skills add 0.02 each, 0.10 at most.
     """
@@ -81,7 +89,7 @@ def weighted_score(skills: DataFrame, pairs: DataFrame, by: str = "candidate") -
     owned = skills.filter(F.col("status") == "owned").select(by, "skill")
     both = pairs.join(owned.withColumnRenamed("skill", "a"), "a").join(owned.withColumnRenamed("skill", "b"), [by, "b"])
     bonus = both.groupBy(by).agg(F.least(F.lit(SYNERGY) * F.count(F.lit(1)), F.lit(SYNERGY_CAP)).alias("bonus"))
-    score = F.least(F.lit(100.0), F.round(F.col("base") * F.col("kept") * (1 + F.coalesce("bonus", F.lit(0.0))), 2))
+    score = F.bround(F.least(F.lit(100.0), F.col("base") * F.col("kept") * (1 + F.coalesce("bonus", F.lit(0.0)))), 0).cast("long")
     return scores.join(bonus, by, "left").select(by, score.alias("score"))
 
 
@@ -94,19 +102,21 @@ def skill_priority(market: Column, impact: Column, centrality: Column, difficult
     return F.round(F.lit(0.4) * market + F.lit(0.3) * impact / 100 + F.lit(0.2) * centrality + F.lit(0.1) * F.least(F.lit(1.5), F.lit(3.0) / difficulty), 3)
 
 
-STAGES = ("Student", "Fresher", "Junior", "Mid-level", "Senior")
+#: Stage names, fixed values.
+STAGES = ("Student", "Fresher", "Junior", "Middle")
 
 
 def career_stage(years: Column, advanced: Column, title_agrees: Column | None = None) -> list[Column]:
     """stage and confidence from years of experience and the number of advanced skills.
 
-    Years up to 0, 1, 3 and beyond give the base stage; three advanced skills raise it by one, five by two.
+    Unknown years and years up to 0, 1, 3 and beyond give the base stage; three advanced skills raise it by one, five by
+    two, to the last at most. Only unknown years lower the confidence.
     """
     y = F.coalesce(years, F.lit(0.0))
     base = F.when(y <= 0, 0).when(y <= 1, 1).when(y <= 3, 2).otherwise(3)
     stage = F.least(F.lit(len(STAGES) - 1), base + F.when(advanced >= 5, 2).when(advanced >= 3, 1).otherwise(0))
     sure = F.lit(0.7) + F.when(title_agrees if title_agrees is not None else F.lit(False), 0.1).otherwise(0.0)
-    sure = sure - F.when(y <= 0, 0.2).otherwise(0.0) + F.when(advanced > 0, 0.1).otherwise(0.0)
+    sure = sure - F.when(years.isNull(), 0.2).otherwise(0.0) + F.when(advanced > 0, 0.1).otherwise(0.0)
     return [F.element_at(F.array(*[F.lit(s) for s in STAGES]), (stage + 1).cast("int")).alias("stage"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 2).alias("confidence")]
 
 
@@ -145,7 +155,92 @@ def market_insights(matrix: DataFrame, gaps: DataFrame) -> DataFrame:
     )
 
 
-def phase_narrative(phase: Column, skills: Column, depth: Column) -> Column:
-    """One sentence on a phase by its mean depth."""
-    kind = F.when(depth < 1, "foundations").when(depth < 2.5, "core skills").otherwise("advanced skills")
-    return F.format_string("Phase %s builds %s: %s.", phase.cast("string"), kind, F.array_join(skills, ", "))
+#: Titles of the phases, fixed values.
+TITLES = ("Nền tảng cơ bản", "Kỹ năng cốt lõi", "Phát triển chuyên sâu", "Kỹ năng nâng cao", "Production-ready", "Tối ưu & Mở rộng")
+
+
+def phase_reason(depth: Column, count: Column) -> Column:
+    """One sentence on a phase by the mean depth of its skills; the wordings are fixed values."""
+    return (
+        F.when(depth < 1, F.concat(F.lit("Kiến thức nền tảng, "), count.cast("string"), F.lit(" kỹ năng cơ bản")))
+        .when(depth < 2, "Kỹ năng cốt lõi, xây dựng nền tảng vững chắc")
+        .when(depth < 3, "Phát triển chuyên sâu, áp dụng vào dự án thực tế")
+        .otherwise("Kỹ năng nâng cao, tối ưu và mở rộng hệ thống")
+    )
+
+
+def phase_summary(phases: DataFrame, depths: DataFrame, by: str = "candidate") -> DataFrame:
+    """(by, phase, title, skills, skill_count, avg_depth, reason) of phases (by, skill, phase); depths is (skill, depth), 0 if absent."""
+    rows = phases.join(depths.select("skill", "depth"), "skill", "left").fillna({"depth": 0})
+    found = rows.groupBy(by, "phase").agg(F.array_sort(F.collect_list("skill")).alias("skills"), F.avg("depth").alias("mean"))
+    title = F.coalesce(F.try_element_at(F.array(*[F.lit(t) for t in TITLES]), F.col("phase").cast("int")), F.concat(F.lit("Phase "), F.col("phase").cast("string")))
+    n = F.size("skills")
+    return found.select(by, "phase", title.alias("title"), "skills", n.alias("skill_count"), F.round("mean", 2).alias("avg_depth"), phase_reason(F.col("mean"), n).alias("reason"))
+
+
+GRAPH_SCORED = "phase int, score long, delta long, bottlenecks array<string>"
+
+
+def graph_projection(states: DataFrame, edges: DataFrame, by: str = "candidate", most: int = 5000) -> DataFrame:
+    """(by, phase, score, delta, bottlenecks): the graph score today (phase 0) and after each phase, derived from the walk.
+
+    states is (by, skills array<struct<skill, weight, market>>, completed, in_progress array<string>, phases
+    array<array<string>>), one row for each roadmap. A skill that is not completed counts by the share of its shortest way up
+    to a skill in hand (0 without one); a missing one loses 0.15 for every prerequisite met on the walk that is not in
+    hand, 0.5 at most, repeats counted. Scores are whole, half to even, at most 100. The skill graph is configuration and
+    is refused above most edges; roadmaps are scored where they are, in Arrow batches.
+    """
+    rows = edges.filter("type = 'prerequisite'").orderBy("src", "ordinal").select("src", "dst").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} edges")
+    needs: dict[str, list[str]] = {}
+    for r in rows:
+        needs.setdefault(r.src, []).append(r.dst)
+
+    def share(skill: str, held: set) -> float:
+        """1 over the skills on the shortest way from skill up to one in hand."""
+        level, seen, steps = [skill], {skill}, 1
+        while level:
+            if any(s in held for s in level):
+                return 1.0 / steps
+            level = [p for s in level for p in needs.get(s, ()) if p not in seen and not seen.add(p)]
+            steps += 1
+        return 0.0
+
+    def lacking(skill: str, held: set) -> int:
+        queue, done, n = [skill], set(), 0
+        for s in queue:
+            if s not in done:
+                done.add(s)
+                new = [p for p in needs.get(s, ()) if p not in held and p not in done]
+                n += len(new)
+                queue += new
+        return n
+
+    def rate(skills, completed: set, started: set) -> tuple[int, list[str]]:
+        held, total, got, shares = completed | started, 0.0, 0.0, []
+        for x in skills:
+            if not x["weight"]:
+                continue
+            total += x["weight"]
+            part = 1.0 if x["skill"] in completed else share(x["skill"], held)
+            shares.append((part, x["skill"]))
+            kept = 1.0 if x["skill"] in held else 1.0 - min(PENALTY * lacking(x["skill"], held), PENALTY_CAP)
+            got += x["weight"] * part * kept * x["market"]
+        low = [s for p, s in sorted(shares, key=lambda x: x[0])[:3] if p < 0.5]
+        return (round(min(100, got / total * 100)) if total else 0), low
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for who, skills, completed, started, phases in zip(pdf[by], pdf["skills"], pdf["completed"], pdf["in_progress"], pdf["phases"]):
+                have, started = set(completed), set(started)
+                last = None
+                for number, phase in enumerate([[], *phases]):
+                    have |= set(phase)
+                    score, low = rate(skills, have, started - have)
+                    out.append((who, number, score, 0 if last is None else score - last, low))
+                    last = score
+            yield pd.DataFrame(out, columns=[by, "phase", "score", "delta", "bottlenecks"])
+
+    return states.select(by, "skills", "completed", "in_progress", "phases").mapInPandas(run, f"{by} {dict(states.dtypes)[by]}, {GRAPH_SCORED}")

@@ -65,13 +65,26 @@ def seeded(found: DataFrame, seeds: DataFrame, matrix: DataFrame, set_pct: float
 
 
 def closest_role(owned: DataFrame, matrix: DataFrame, set_pct: float = SET_PCT) -> DataFrame:
-    """(candidate, role, similarity): for each candidate the role whose set is most similar; ties by name."""
+    """(candidate, role, similarity): for each candidate with skills the role whose set is most similar; ties by name.
+
+    Without a shared skill it is the role most words of which are skills of the candidate, or else the first by name, with
+    similarity 0.
+    """
     member = matrix.filter(F.col("frequency_pct") >= set_pct).select("role", "skill", F.count(F.lit(1)).over(W.partitionBy("role")).alias("n_role"))
     mine = owned.select("candidate", "skill", F.count(F.lit(1)).over(W.partitionBy("candidate")).alias("n_own"))
     scored = mine.join(member, "skill").groupBy("candidate", "role", "n_own", "n_role").agg(F.count(F.lit(1)).alias("shared"))
     scored = scored.withColumn("similarity", F.round(F.col("shared") / (F.col("n_own") + F.col("n_role") - F.col("shared")), 4))
     rank = F.row_number().over(W.partitionBy("candidate").orderBy(F.desc("similarity"), "role"))
-    return scored.withColumn("rn", rank).filter("rn = 1").select("candidate", "role", "similarity")
+    best = scored.withColumn("rn", rank).filter("rn = 1").select("candidate", "role", "similarity")
+    left = owned.select("candidate", F.lower("skill").alias("word")).distinct().join(best.select("candidate"), "candidate", "left_anti")
+    roles = matrix.select("role").distinct()
+    words = roles.select("role", F.explode(F.array_distinct(F.split(F.trim(F.lower("role")), r"\s+"))).alias("word"))
+    hits = left.join(words, "word").groupBy("candidate", "role").agg(F.count(F.lit(1)).alias("n"))
+    named = hits.groupBy("candidate").agg(F.min(F.struct((-F.col("n")).alias("o"), "role")).alias("x")).select("candidate", F.col("x.role").alias("found"))
+    first = roles.agg(F.min("role").alias("first"))
+    rest = left.select("candidate").distinct().join(named, "candidate", "left").join(F.broadcast(first), F.lit(True))
+    rest = rest.select("candidate", F.coalesce("found", "first").alias("role"), F.lit(0.0).alias("similarity")).filter("role IS NOT NULL")
+    return best.unionByName(rest)
 
 
 def shortest_path(edges: DataFrame, start: str, target: str, max_steps: int = 8) -> DataFrame:

@@ -73,6 +73,14 @@ targets AS (SELECT c_custkey AS candidate, c_mktsegment AS role FROM customer)
 """
 
 
+#: Owned skills as every second candidate would shout them.
+_MIXED = "mixed AS (SELECT candidate, CASE WHEN candidate % 2 = 0 THEN upper(skill) ELSE skill END AS skill FROM owned)"
+
+
+def _mixed(s: SparkSession, d: str) -> DataFrame:
+    return _owned(s, d).withColumn("skill", F.when(F.col("candidate") % 2 == 0, F.upper("skill")).otherwise(F.col("skill")))
+
+
 # Sources and profiles
 
 
@@ -182,10 +190,10 @@ def q_role_stats_lookup(s, d):
 
 @_add(
     "q_strengths",
-    _BASE + "SELECT t.candidate, t.role, m.skill, m.frequency_pct, CASE WHEN frequency_pct >= 15 THEN 'Core' WHEN frequency_pct >= 14 THEN 'Important' ELSE 'Bonus' END AS level FROM targets t JOIN matrix m USING (role) JOIN owned o ON o.candidate = t.candidate AND o.skill = m.skill",
+    _BASE + f", {_MIXED} SELECT t.candidate, t.role, m.skill, m.frequency_pct, CASE WHEN frequency_pct >= 15 THEN 'Core' WHEN frequency_pct >= 14 THEN 'Important' ELSE 'Bonus' END AS level FROM targets t JOIN matrix m USING (role) JOIN mixed o ON o.candidate = t.candidate AND lower(o.skill) = lower(m.skill)",
 )
 def q_strengths(s, d):
-    return gap.strengths(_owned(s, d), _targets(s, d), _matrix(s, d), CORE, IMPORTANT).select("candidate", "role", "skill", "frequency_pct", "level")
+    return gap.strengths(_mixed(s, d), _targets(s, d), _matrix(s, d), CORE, IMPORTANT).select("candidate", "role", "skill", "frequency_pct", "level")
 
 
 _WEAK = "weak AS (SELECT t.candidate, t.role, m.skill, m.frequency_pct, CASE WHEN frequency_pct >= 16 THEN 'critical' WHEN frequency_pct >= 15 THEN 'medium' ELSE 'optional' END AS severity FROM targets t JOIN matrix m USING (role) WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.candidate = t.candidate AND o.skill = m.skill))"
@@ -205,19 +213,19 @@ def q_severity(s, d):
     return _weak(s, d).groupBy("role", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("candidate").alias("candidates"))
 
 
-@_add("q_extra_skills", _BASE + "SELECT o.candidate, t.role, o.skill FROM owned o JOIN targets t USING (candidate) WHERE NOT EXISTS (SELECT 1 FROM matrix m WHERE m.role = t.role AND m.skill = o.skill)")
+@_add("q_extra_skills", _BASE + f", {_MIXED} SELECT o.candidate, t.role, o.skill FROM mixed o JOIN targets t USING (candidate) WHERE NOT EXISTS (SELECT 1 FROM matrix m WHERE m.role = t.role AND lower(m.skill) = lower(o.skill))")
 def q_extra_skills(s, d):
-    return gap.extra_skills(_owned(s, d), _targets(s, d), _matrix(s, d)).select("candidate", "role", "skill")
+    return gap.extra_skills(_mixed(s, d), _targets(s, d), _matrix(s, d)).select("candidate", "role", "skill")
 
 
 @_add(
     "q_readiness",
-    _BASE + "SELECT t.candidate, t.role, round(sum(CASE WHEN o.skill IS NOT NULL THEN frequency_pct ELSE 0 END), 2) AS owned_weight, round(sum(frequency_pct), 2) AS total_weight,"
+    _BASE + f", {_MIXED} SELECT t.candidate, t.role, round(sum(CASE WHEN o.skill IS NOT NULL THEN frequency_pct ELSE 0 END), 2) AS owned_weight, round(sum(frequency_pct), 2) AS total_weight,"
     " CAST(round_even(round(sum(CASE WHEN o.skill IS NOT NULL THEN frequency_pct ELSE 0 END), 2) / round(sum(frequency_pct), 2) * 100, 0) AS BIGINT) AS readiness"
-    " FROM targets t JOIN matrix m USING (role) LEFT JOIN owned o ON o.candidate = t.candidate AND o.skill = m.skill GROUP BY 1, 2",
+    " FROM targets t JOIN matrix m USING (role) LEFT JOIN mixed o ON o.candidate = t.candidate AND lower(o.skill) = lower(m.skill) GROUP BY 1, 2",
 )
 def q_readiness(s, d):
-    return gap.readiness(_owned(s, d), _targets(s, d), _matrix(s, d)).select("candidate", "role", "owned_weight", "total_weight", "readiness")
+    return gap.readiness(_mixed(s, d), _targets(s, d), _matrix(s, d)).select("candidate", "role", "owned_weight", "total_weight", "readiness")
 
 
 @_add(
@@ -315,10 +323,15 @@ def q_predefined_transitions(s, d):
     "q_closest_role",
     _BASE + f", {_SETS}, mine AS (SELECT candidate, count(*) AS n FROM owned GROUP BY 1), sc AS (SELECT o.candidate, s.role, round(CAST(count(*) AS DOUBLE) / (any_value(mine.n) + any_value(sizes.n) - count(*)), 4) AS similarity"
     " FROM owned o JOIN sets s USING (skill) JOIN mine ON mine.candidate = o.candidate JOIN sizes ON sizes.role = s.role GROUP BY 1, 2)"
-    " SELECT candidate, role, similarity FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY similarity DESC, role) AS rn FROM sc) WHERE rn = 1",
+    " SELECT candidate, role, similarity FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY similarity DESC, role) AS rn FROM sc) WHERE rn = 1"
+    " UNION ALL SELECT candidate, CASE WHEN candidate % 3 = 0 THEN 'MACHINERY' ELSE (SELECT min(role) FROM matrix) END, 0.0 FROM (SELECT DISTINCT candidate FROM owned) WHERE candidate NOT IN (SELECT candidate FROM sc)",
 )
 def q_closest_role(s, d):
-    return transitions.closest_role(_owned(s, d), _matrix(s, d), 14.7)
+    # Every third candidate also owns a skill named like a role, which is in no role's set.
+    named = _owned(s, d).select("candidate", F.lit("Machinery").alias("skill")).filter(F.col("candidate") % 3 == 0).distinct()
+    left = transitions.closest_role(_owned(s, d), _matrix(s, d), 14.7).filter("similarity > 0")
+    rest = transitions.closest_role(_owned(s, d).unionByName(named), _matrix(s, d), 14.7).filter("similarity = 0")
+    return left.unionByName(rest)
 
 
 # Matching and search
@@ -349,7 +362,7 @@ def q_job_match_coverage(s, d):
 
 _COS = (
     "WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),"
-    " sc AS (SELECT q.id AS query_id, v.id, round(greatest(0, least(1, list_cosine_similarity(q.e, v.e))), 4) AS score FROM v JOIN v q ON v.id <> q.id WHERE q.id < 3),"
+    " sc AS (SELECT q.id AS query_id, v.id, round(greatest(0, least(1, list_cosine_similarity(q.e, v.e))), 4) AS score FROM v JOIN v q ON v.id <> q.id WHERE q.id % 100 = 0),"
     " top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc) WHERE rank <= {k})"
 )
 
@@ -360,7 +373,7 @@ def _vectors(s, d):
 
 def _near(s, d, k):
     v = _vectors(s, d)
-    return matching.vector_top_k(v, v.filter("id < 3").select(F.col("id").alias("query_id"), "embedding"), k)
+    return matching.vector_top_k(v, v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), k)
 
 
 @_add("q_cosine_topk", _COS.format(k=10) + " SELECT query_id, rank, id, score FROM top")
@@ -371,19 +384,28 @@ def q_cosine_topk(s, d):
 @_add(
     "q_hybrid_rerank",
     _COS.format(k=100) + ", b AS (SELECT DISTINCT l_orderkey AS id, p_brand AS skill FROM lineitem JOIN part ON l_partkey = p_partkey),"
-    " k AS (SELECT t.id, any_value(t.score) AS sem, count(b.skill) AS n, count(CASE WHEN b.skill IN ('Brand#11', 'Brand#22', 'Brand#33') THEN 1 END) AS hit FROM top t LEFT JOIN b ON b.id = t.id WHERE query_id = 1 GROUP BY t.id)"
-    " SELECT id, round(0.6 * sem + 0.4 * (least(1.0, CAST(n AS DOUBLE) / 5) * least(1.0, CAST(hit AS DOUBLE) / 3)), 4) AS score FROM k ORDER BY score DESC, id LIMIT 20",
+    " k AS (SELECT query_id, t.id, any_value(t.score) AS sem, count(b.skill) AS n, count(CASE WHEN b.skill IN ('Brand#11', 'Brand#22', 'Brand#33') THEN 1 END) AS hit FROM top t LEFT JOIN b ON b.id = t.id GROUP BY query_id, t.id),"
+    " r AS (SELECT query_id, id, round(0.6 * sem + 0.4 * (least(1.0, CAST(n AS DOUBLE) / 5) * least(1.0, CAST(hit AS DOUBLE) / 3)), 4) AS score FROM k)"
+    " SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM r) WHERE rank <= 20",
 )
 def q_hybrid_rerank(s, d):
-    near = _near(s, d, 100).filter("query_id = 1").select("id", F.col("score").alias("sem"))
+    near = _near(s, d, 100).select("query_id", "id", F.col("score").alias("sem"))
     skills = _brands(s, d).groupBy(F.col("job_id").alias("id")).agg(F.collect_set("skill").alias("skills"))
     rows = near.join(skills, "id", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
     return matching.hybrid_rank(rows, F.array(*[F.lit(f"Brand#{i}") for i in (11, 22, 33)]), 20)
 
 
-@_add("q_keyword_bonus", "SELECT p_partkey, round(least(0.08, 0.04 * ((CASE WHEN contains(lower(p_type), 'brass') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(p_type), 'small') THEN 1 ELSE 0 END))) + CASE WHEN contains(lower(p_name), 'part') THEN 0.02 ELSE 0 END, 4) AS bonus FROM part")
+_WORDS = ("brass", "small", "7", "2")
+
+
+@_add(
+    "q_keyword_bonus",
+    "SELECT p_partkey, CAST(round(least(0.08, 0.04 * (" + " + ".join(f"(CASE WHEN contains(lower(p_type), '{w}') OR contains(lower(p_name), '{w}') THEN 1 ELSE 0 END)" for w in _WORDS) + "))"
+    " + CASE WHEN " + " OR ".join(f"contains(lower(p_brand), '{w}')" for w in _WORDS) + " THEN 0.02 ELSE 0 END, 4) AS DOUBLE) AS bonus FROM part",
+)
 def q_keyword_bonus(s, d):
-    return table(s, d, "part").select("p_partkey", F.round(matching.keyword_bonus(F.col("p_type"), F.col("p_name"), ["brass", "small"], ["part"]), 4).alias("bonus"))
+    c = F.col
+    return table(s, d, "part").select("p_partkey", F.round(matching.keyword_bonus(c("p_type"), c("p_name"), c("p_brand"), list(_WORDS)), 4).alias("bonus"))
 
 
 @_add("q_content_dedup", "SELECT md5(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
@@ -406,17 +428,19 @@ def q_job_texts(s, d):
 
 # Text
 
-_TERMS = [("the", "THE"), ("and", "AND"), ("der", "DER"), ("of the", "OF_THE"), ("que", "QUE"), ("pour", "POUR")]
+_TERMS = [("the", "THE"), ("and", "AND"), ("der", "Und"), ("of the", "OF_THE"), ("que", "QUE"), ("de la de la de", "LA"), ("pour", "Pour la")]
+_GRAMS = [(t.lower().replace("_", " "), c) for a, c in _TERMS for t in (a, c)]
 
 
 @_add(
     "q_skill_extract_text",
     "WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}+#.]+'), lambda x: regexp_replace(x, '^\\.+|\\.+$', '', 'g')), lambda x: x <> '') AS w FROM documents),"
-    " g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)"
-    f" SELECT DISTINCT doc_id, canonical FROM g JOIN (VALUES {', '.join(map(str, _TERMS))}) t(gram, canonical) USING (gram)",
+    " g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w"
+    " UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) FROM w)"
+    f" SELECT DISTINCT doc_id, canonical FROM g JOIN (VALUES {', '.join(map(str, _GRAMS))}) t(gram, canonical) USING (gram)",
 )
 def q_skill_extract_text(s, d):
-    return text.extract_terms(table(s, d, "documents").select("doc_id", "text"), s.createDataFrame(_TERMS, "alias string, canonical string"), longest=2)
+    return text.extract_terms(table(s, d, "documents").select("doc_id", "text"), s.createDataFrame(_TERMS, "alias string, canonical string"))
 
 
 @_add(
@@ -430,13 +454,21 @@ def q_alias_resolution(s, d):
     return text.resolve_aliases(words, onto).withColumnRenamed("skill", "word")
 
 
+#: What the documents lack, put behind each.
+_TAIL_SQL = "(' www.github.com/a.b-' || doc_id || ' linkedin.com/in/x_y. https://w.example/?q=' || source || CASE WHEN doc_id % 3 = 0 THEN ' cpa: 3.25/4.0' ELSE ' GPA 3.5/4.0' END)"
+
+
 @_add(
     "q_regex_fields",
-    f"SELECT doc_id, nullif(regexp_extract(text, '{text.EMAIL}', 0), '') AS email, coalesce({', '.join(f'''nullif(regexp_extract(text, '{p}', 0), '')''' for p in text.PHONES)}) AS phone FROM documents",
+    f"SELECT doc_id, nullif(regexp_extract(t, '{text.EMAIL}', 0), '') AS email, coalesce({', '.join(f'''nullif(regexp_extract(t, '{p}', 0), '')''' for p in text.PHONES)}) AS phone,"
+    f" {', '.join(f'''CASE WHEN starts_with(regexp_extract(t, '{p}', 0), 'http') THEN regexp_extract(t, '{p}', 0) ELSE 'https://' || nullif(regexp_extract(t, '{p}', 0), '') END AS {n}''' for p, n in ((text.GITHUB, 'github'), (text.LINKEDIN, 'linkedin')))},"
+    f" coalesce(array_to_string(regexp_extract_all(t, '{text.URL}'), '|'), '') AS urls, nullif(regexp_extract(t, '(?i){text.GPA}', 1), '') || '/' || regexp_extract(t, '(?i){text.GPA}', 2) AS gpa"
+    f" FROM (SELECT doc_id, text || {_TAIL_SQL} AS t FROM documents)",
 )
 def q_regex_fields(s, d):
     docs = table(s, d, "documents")
-    return docs.select("doc_id", *text.contact_fields(F.col("text"))).select("doc_id", "email", "phone")
+    tail = F.concat(F.lit(" www.github.com/a.b-"), F.col("doc_id").cast("string"), F.lit(" linkedin.com/in/x_y. https://w.example/?q="), F.col("source"), F.when(F.col("doc_id") % 3 == 0, " cpa: 3.25/4.0").otherwise(" GPA 3.5/4.0"))
+    return docs.select("doc_id", *text.contact_fields(F.concat(F.col("text"), tail))).withColumn("urls", _join("urls"))
 
 
 @_add(
@@ -703,7 +735,7 @@ def q_prune_topk_per_depth(s, d):
 
 # Roadmap
 
-_PH = _BASE + f", {_WEAK}, pos AS (SELECT candidate, skill, row_number() OVER (PARTITION BY candidate ORDER BY frequency_pct DESC, skill) AS pos, count(*) OVER (PARTITION BY candidate) AS n FROM weak), ph AS (SELECT candidate, skill, CAST(CASE WHEN n % 5 > 0 AND n % 5 < 2 AND ceil(n / 5.0) > 1 AND (pos - 1) // 5 + 1 = ceil(n / 5.0) THEN ceil(n / 5.0) - 1 ELSE (pos - 1) // 5 + 1 END AS INTEGER) AS phase FROM pos)"
+_PH = _BASE + f", {_WEAK}, pos AS (SELECT candidate, skill, row_number() OVER (PARTITION BY candidate ORDER BY frequency_pct DESC, skill) AS pos, count(*) OVER (PARTITION BY candidate) AS n FROM weak), sz AS (SELECT *, CAST(greatest(2, ceil(n / ceil(n / 5.0))) AS BIGINT) AS s FROM pos), ph AS (SELECT candidate, skill, CAST(CASE WHEN ceil(n / CAST(s AS DOUBLE)) > 1 AND n - (ceil(n / CAST(s AS DOUBLE)) - 1) * s < 2 AND (pos - 1) // s + 1 = ceil(n / CAST(s AS DOUBLE)) THEN (pos - 1) // s ELSE (pos - 1) // s + 1 END AS INTEGER) AS phase FROM sz)"
 
 
 def _phases(s, d):
@@ -735,7 +767,7 @@ def q_overlay(s, d):
     return roadmap.overlay(fx.owned(s), gaps, fx.edges(s))
 
 
-@_add("q_graph_score", f"WITH {fx.RATED_SQL} SELECT candidate, least(100.0, round(sum(weight * completion * (1 - least(0.15 * missing, 0.5)) * market) / sum(weight) * 100, 2)) AS score FROM rated GROUP BY 1")
+@_add("q_graph_score", f"WITH {fx.RATED_SQL} SELECT candidate, CAST(round_even(least(100.0, sum(weight * completion * (1 - least(0.15 * missing, 0.5)) * market) / sum(weight) * 100), 0) AS BIGINT) AS score FROM rated GROUP BY 1")
 def q_graph_score(s, d):
     return roadmap.graph_score(fx.rated(s))
 
@@ -749,7 +781,7 @@ def q_bottlenecks(s, d):
     "q_weighted_score",
     f"WITH {fx.RATED_SQL}, pairs(a, b) AS (VALUES ('python', 'sql'), ('python', 'ml'), ('dl', 'ml')), bonus AS (SELECT x.candidate, least(0.02 * count(*), 0.10) AS bonus FROM pairs JOIN rated x ON x.skill = a AND x.status = 'owned' JOIN rated y ON y.skill = b AND y.status = 'owned' AND y.candidate = x.candidate GROUP BY 1),"
     " sc AS (SELECT candidate, sum(weight * mastery * market) / sum(weight) * 100 AS base, product(CASE WHEN status = 'missing' THEN 1 - least(penalty, 0.5) ELSE 1.0 END) AS kept FROM rated GROUP BY 1)"
-    " SELECT candidate, least(100.0, round(base * kept * (1 + coalesce(bonus, 0.0)), 2)) AS score FROM sc LEFT JOIN bonus USING (candidate)",
+    " SELECT candidate, CAST(round_even(least(100.0, base * kept * (1 + coalesce(bonus, 0.0))), 0) AS BIGINT) AS score FROM sc LEFT JOIN bonus USING (candidate)",
 )
 def q_weighted_score(s, d):
     pairs = s.createDataFrame([("python", "sql"), ("python", "ml"), ("dl", "ml")], "a string, b string")
@@ -758,11 +790,11 @@ def q_weighted_score(s, d):
 
 @_add(
     "q_stage_detect",
-    "WITH x AS (SELECT c_custkey AS candidate, CAST(c_custkey % 6 AS DOUBLE) - 1 AS years, c_custkey % 7 AS advanced FROM customer), b AS (SELECT *, CASE WHEN years <= 0 THEN 0 WHEN years <= 1 THEN 1 WHEN years <= 3 THEN 2 ELSE 3 END + CASE WHEN advanced >= 5 THEN 2 WHEN advanced >= 3 THEN 1 ELSE 0 END AS k FROM x)"
-    " SELECT candidate, ['Student', 'Fresher', 'Junior', 'Mid-level', 'Senior'][least(4, k) + 1] AS stage, round(0.7 - CASE WHEN years <= 0 THEN 0.2 ELSE 0 END + CASE WHEN advanced > 0 THEN 0.1 ELSE 0 END, 2) AS confidence FROM b",
+    "WITH x AS (SELECT c_custkey AS candidate, CAST(nullif(c_custkey % 6, 5) AS DOUBLE) AS years, c_custkey % 7 AS advanced FROM customer), b AS (SELECT *, CASE WHEN years IS NULL OR years <= 0 THEN 0 WHEN years <= 1 THEN 1 WHEN years <= 3 THEN 2 ELSE 3 END + CASE WHEN advanced >= 5 THEN 2 WHEN advanced >= 3 THEN 1 ELSE 0 END AS k FROM x)"
+    " SELECT candidate, ['Student', 'Fresher', 'Junior', 'Middle'][least(3, k) + 1] AS stage, round(0.7 - CASE WHEN years IS NULL THEN 0.2 ELSE 0 END + CASE WHEN advanced > 0 THEN 0.1 ELSE 0 END, 2) AS confidence FROM b",
 )
 def q_stage_detect(s, d):
-    return table(s, d, "customer").select(F.col("c_custkey").alias("candidate"), *roadmap.career_stage((F.col("c_custkey") % 6).cast("double") - 1, F.col("c_custkey") % 7))
+    return table(s, d, "customer").select(F.col("c_custkey").alias("candidate"), *roadmap.career_stage(F.nullif(F.col("c_custkey") % 6, F.lit(5)).cast("double"), F.col("c_custkey") % 7))
 
 
 @_add(
@@ -785,10 +817,29 @@ def q_skill_priority(s, d):
     return fx.rated(s).select("candidate", "skill", roadmap.skill_priority(c("market"), c("weight") * 100, c("completion"), c("missing") + 1).alias("priority"))
 
 
-@_add("q_phase_narrative", _PH + " SELECT candidate, phase, 'Phase ' || phase || ' builds ' || CASE WHEN phase < 1 THEN 'foundations' WHEN phase < 2.5 THEN 'core skills' ELSE 'advanced skills' END || ': ' || string_agg(skill, ', ' ORDER BY skill) || '.' AS narrative FROM ph GROUP BY 1, 2")
+_TITLES = ", ".join(f"'{t}'" for t in roadmap.TITLES)
+
+
+@_add(
+    "q_phase_narrative",
+    _PH + f" SELECT candidate, phase, coalesce([{_TITLES}][phase], 'Phase ' || phase) AS title, string_agg(skill, '|' ORDER BY skill) AS skills, CAST(count(*) AS INTEGER) AS skill_count, round(avg(CAST(regexp_extract(skill, '[0-9]+$') AS INTEGER) % 5), 2) AS avg_depth,"
+    " CASE WHEN avg(CAST(regexp_extract(skill, '[0-9]+$') AS INTEGER) % 5) < 1 THEN 'Kiến thức nền tảng, ' || count(*) || ' kỹ năng cơ bản' WHEN avg(CAST(regexp_extract(skill, '[0-9]+$') AS INTEGER) % 5) < 2 THEN 'Kỹ năng cốt lõi, xây dựng nền tảng vững chắc'"
+    " WHEN avg(CAST(regexp_extract(skill, '[0-9]+$') AS INTEGER) % 5) < 3 THEN 'Phát triển chuyên sâu, áp dụng vào dự án thực tế' ELSE 'Kỹ năng nâng cao, tối ưu và mở rộng hệ thống' END AS reason FROM ph GROUP BY 1, 2",
+)
 def q_phase_narrative(s, d):
-    rows = _phases(s, d).groupBy("candidate", "phase").agg(F.array_sort(F.collect_list("skill")).alias("skills"))
-    return rows.select("candidate", "phase", roadmap.phase_narrative(F.col("phase"), F.col("skills"), F.col("phase").cast("double")).alias("narrative"))
+    depths = table(s, d, "part").select(F.col("p_brand").alias("skill")).distinct().withColumn("depth", F.regexp_extract("skill", "[0-9]+$", 0).cast("int") % 5)
+    return roadmap.phase_summary(_phases(s, d), depths).withColumn("skills", _join("skills"))
+
+
+@_add("q_graph_projection")
+def q_graph_projection(s, d):
+    """Every customer over the inline graph: what they have follows their key, the AI role's skills are the goal."""
+    skills = F.array(*[F.struct(F.lit(k).alias("skill"), F.lit(w).alias("weight"), F.lit(m).alias("market")) for k, w, m in (("ml", 0.8, 1.1), ("dl", 0.6, 1.0), ("rag", 0.5, 1.2), ("mlops", 0.3, 1.0), ("sql", 0.7, 1.0))])
+    key = F.col("c_custkey")
+    some = F.filter(F.array(*[F.when((key % (i + 2)) == 0, F.lit(k)) for i, k in enumerate(fx.NODES)]), lambda x: x.isNotNull())
+    phases = F.array(F.array(F.lit("ml"), F.lit("sql")), F.array(F.lit("dl"), F.lit("docker")), F.array(F.lit("rag")))
+    states = table(s, d, "customer").select(key.alias("candidate"), skills.alias("skills"), some.alias("completed"), F.array(F.lit("statistics")).alias("in_progress"), phases.alias("phases"))
+    return roadmap.graph_projection(states, fx.edges(s)).withColumn("bottlenecks", _join("bottlenecks"))
 
 
 # Profiles and insights
@@ -805,13 +856,17 @@ def q_head_names(s, d):
 
 @_add(
     "q_career_profile",
-    "SELECT doc_id, CASE WHEN contains(lower(coalesce(text, '')), 'phd') OR contains(lower(coalesce(text, '')), 'doctor') THEN 'Doctorate' WHEN contains(lower(coalesce(text, '')), 'master') THEN 'Graduate'"
-    " WHEN contains(lower(coalesce(text, '')), 'student') OR contains(lower(coalesce(text, '')), 'university') THEN 'Student' ELSE 'Professional' END AS stage,"
-    " coalesce(try_cast(regexp_extract(lower(coalesce(text, '')), '([0-9]+)\\+? ?years?', 1) AS INTEGER), 0) AS years, substring(string_split(coalesce(text, ''), chr(10))[1], 1, 100) AS role,"
-    " concat_ws('|', CASE WHEN contains(lower(coalesce(text, '')), 'ation') THEN 'a' END, CASE WHEN contains(lower(coalesce(text, '')), 'und') OR contains(lower(coalesce(text, '')), 'que') THEN 'b' END) AS domains FROM documents",
+    "WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), x AS (SELECT doc_id, trim(ls[1], ' ') AS name, lower(coalesce(ls[1], '') || ' ' || coalesce(ls[2], '')) AS edu, ls[3:] AS exp, lower(array_to_string(ls[3:], ' ')) AS ex,"
+    " list_transform(list_filter(list_transform(string_split(coalesce(ls[1], ''), ','), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: lower(x)) AS sk FROM l),"
+    " y AS (SELECT *, regexp_matches(edu, 'present|hiện tại|nay|university|học viện|trường|viện') AS st, coalesce(try_cast(nullif(regexp_extract(ex, '([0-9]+\\.?[0-9]*)\\s*(?:năm|year)', 1), '') AS DOUBLE), 0) AS years FROM x)"
+    " SELECT doc_id, CASE WHEN st AND years > 0 THEN 'Intern/Junior' WHEN st THEN 'Student' ELSE 'Entry' END AS stage, years, coalesce(substring(nullif(trim(exp[1], ' '), ''), 1, 100), 'Unknown') AS role,"
+    " concat_ws('|', CASE WHEN len(list_filter(sk, lambda x: contains(x, 'ation'))) > 0 THEN 'a' END, CASE WHEN len(list_filter(sk, lambda x: contains(x, 'und') OR contains(x, 'que'))) > 0 THEN 'b' END) AS domains,"
+    " coalesce(nullif(name, '') || ' - Ứng viên tiềm năng', '') AS summary FROM y",
 )
 def q_career_profile(s, d):
-    return profile.career_profile(table(s, d, "documents"), {"a": ["ation"], "b": ["und", "que"]}).withColumn("domains", _join("domains"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    cvs = table(s, d, "documents").select("doc_id", F.slice(lines, 1, 1).alias("personal_info"), F.slice(lines, 1, 2).alias("education"), F.slice(lines, 3, 1_000_000).alias("experience"), text.split_terms(F.get(lines, 0), ",").alias("skills"))
+    return profile.career_profile(cvs, {"a": ["ation"], "b": ["und", "que"]}).withColumn("domains", _join("domains"))
 
 
 @_add(

@@ -34,10 +34,11 @@ def test_trailing_number_and_keys(spark):
 
 
 def test_fields(spark):
-    t = "Ann\nann.b@example.org 0912345678 github.com/annb linkedin.com/in/ann-b see https://x.example/a GPA 3.5/4.0"
+    t = "Ann\nann.b@example.org 0912345678 github.com/ann.b linkedin.com/in/ann-b see https://x.example/a CPA: 3.52/4.0"
     r = one(spark, *text.contact_fields(F.col("t")), t=t)
-    assert r.email == "ann.b@example.org" and r.phone == "0912345678" and r.github == "github.com/annb"
-    assert r.linkedin == "https://linkedin.com/in/ann-b" and r.urls == ["https://x.example/a"] and (r.gpa, r.gpa_scale) == (3.5, 4.0)
+    assert r.email == "ann.b@example.org" and r.phone == "0912345678" and r.github == "https://github.com/ann.b"
+    assert r.linkedin == "https://linkedin.com/in/ann-b" and r.urls == ["https://x.example/a"] and r.gpa == "3.52/4.0"
+    assert one(spark, *text.contact_fields(F.col("t")), t="call +84 91 234 5678, a 1.5/2").phone == "+84 91 234 5678" and one(spark, *text.contact_fields(F.col("t")), t="x 3.5/4.0").gpa is None
     assert one(spark, *text.contact_fields(F.col("t")), t=None).email is None
 
 
@@ -53,6 +54,24 @@ def test_terms_respect_borders(spark):
     assert found == {(1, "C++"), (1, "ML"), (1, "Node.js")}
 
 
+def test_terms_by_canonical_name_and_of_any_length(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Apache Spark. And. the very long name of it"), (2, "spark sql"), (3, "...")], "doc_id int, text string")
+    onto = spark.createDataFrame([("pyspark", "Apache Spark"), ("very long name of it", "VL"), ("sql", "SQL"), ("...", "dots")], "alias string, canonical string")
+    want = {(1, "Apache Spark"), (1, "VL"), (2, "SQL")}
+    assert {tuple(r) for r in text.extract_terms(docs, onto).collect()} == want
+    monkeypatch.setattr(text, "TERMS_BOUND", 2)
+    assert {tuple(r) for r in text.extract_terms(docs, onto).collect()} == want
+    assert text.extract_terms(docs, onto.limit(0)).count() == 0
+
+
+def test_markdown_and_queries(spark):
+    docs = spark.createDataFrame([(1, "intro\n# Điểm mạnh\ngood\nmore\n## other\nstill\n#  Lộ trình x\nstep\nđiểm mạnh no heading"), (2, None)], "doc_id int, text string")
+    out = {(r.doc_id, r.section): r.content for r in text.markdown_sections(docs, {"điểm mạnh": "strengths", "lộ trình": "path"}).collect()}
+    assert out == {(1, "strengths"): "good\nmore\n## other\nstill", (1, "path"): "step\nđiểm mạnh no heading"}
+    assert one(spark, text.enriched_query(F.col("q"), F.col("d"), {"web": "Web role"}), q="me", d="web")[0] == "Web role. me"
+    assert one(spark, text.enriched_query(F.col("q"), F.col("d"), {"web": "Web role"}), q="me", d=None)[0] == "me"
+
+
 def test_role_names(spark):
     names = {"sre": "SRE"}
     role = lambda t: one(spark, text.normalized_role(F.col("t"), names, [r"\bsenior\b"]), t=t)[0]

@@ -81,7 +81,10 @@ def test_depths_and_paths(spark):
 def test_phases_keep_prerequisites_before(spark):
     ordered = spark.createDataFrame([(1, i, s) for i, s in enumerate(["rag", "llm", "nlp", "dl", "ml", "pandas"])], "candidate int, pos int, skill string")
     first = roadmap.chunk_phases(ordered)
-    assert dict(rows(first.select("skill", "phase")))["pandas"] == 1  # a last chunk of one joins the one before
+    assert dict(rows(first.select("skill", "phase"))) == {"rag": 1, "llm": 1, "nlp": 1, "dl": 2, "ml": 2, "pandas": 2}  # six are three and three
+    for n, want in ((1, [1]), (3, [3]), (5, [5]), (7, [4, 3]), (11, [4, 4, 3]), (13, [5, 5, 3]), (16, [4, 4, 4, 4]), (21, [5, 5, 5, 6])):
+        some = roadmap.chunk_phases(spark.createDataFrame([(1, i) for i in range(n)], "candidate int, pos int"))
+        assert [r[1] for r in rows(some.groupBy("phase").count(), "phase")] == want, n
     split = roadmap.chunk_phases(ordered, max_per=3)
     fixed = dict(rows(roadmap.repaired_phases(split.select("candidate", "skill", "phase"), fx.edges(spark)).select("skill", "phase")))
     for src, dst, kind, _ in fx.EDGES:
@@ -97,8 +100,8 @@ def test_projection_is_monotone(spark):
 
 
 def test_stage(spark):
-    df = spark.createDataFrame([(0.0, 0), (0.0, 2), (2.0, 3), (9.0, 5), (None, 0)], "y double, n int")
-    assert rows(df.select(*roadmap.career_stage(F.col("y"), F.col("n")))) == [("Student", 0.5), ("Student", 0.6), ("Mid-level", 0.8), ("Senior", 0.8), ("Student", 0.5)]
+    df = spark.createDataFrame([(0.0, 0), (0.0, 2), (2.0, 3), (9.0, 5), (None, 0), (None, 5)], "y double, n int")
+    assert rows(df.select(*roadmap.career_stage(F.col("y"), F.col("n")))) == [("Student", 0.7), ("Student", 0.8), ("Middle", 0.8), ("Middle", 0.8), ("Student", 0.5), ("Junior", 0.6)]
 
 
 def test_cosine(spark):
@@ -134,11 +137,20 @@ def test_profiles(spark):
 
     docs = spark.createDataFrame([(1, "Curriculum\nann@x.org\nAnn Lee\nMaster student, 3 years")], "doc_id int, text string")
     assert profile.head_name(sections.lines(docs), ["curriculum"]).first().name == "Ann Lee"
-    career = profile.career_profile(docs, {"ai": ["ml", "student"], "web": ["html"]}).first()
-    assert (career.stage, career.years, career.domains) == ("Graduate", 3, ["ai"])
-    blocks = spark.createDataFrame([(["Shop", "Role: lead", "Tech: A, B", "Sold things"],)], "b array<string>")
+    cvs = spark.createDataFrame(
+        [(1, ["Ann Lee"], ["X University", "2020 - present"], [" Data engineer ", "2.5 years of it"], ["MLflow", "SQL"]), (2, ["Bo"], ["School of life"], ["3 năm"], []), (3, [], ["Học viện A"], [], None), (4, None, None, None, ["html"])],
+        "doc_id int, personal_info array<string>, education array<string>, experience array<string>, skills array<string>",
+    )
+    career = rows(profile.career_profile(cvs, {"ai": ["mlf"], "web": ["html"]}), "doc_id")
+    assert career == [
+        (1, "Intern/Junior", 2.5, "Data engineer", ["ai"], "Ann Lee - Ứng viên tiềm năng"),
+        (2, "Entry", 3.0, "3 năm", [], "Bo - Ứng viên tiềm năng"),
+        (3, "Student", 0.0, "Unknown", [], ""),
+        (4, "Entry", 0.0, "Unknown", ["web"], ""),
+    ]
+    blocks = spark.createDataFrame([(["• Shop -", "My role: lead", "Python, FastAPI , Go", "Sold things", "Position: head", "well"],)], "b array<string>")
     got = blocks.select(profile.project_of(F.col("b")).alias("p")).first().p
-    assert (got.name, got.role, got.technologies, got.description) == ("Shop", "lead", ["A", "B"], "Sold things")
+    assert (got.name, got.role, got.technologies, got.description) == ("Shop", "Position: head", ["Python", "FastAPI", "Go"], "Sold things well")
     bad = spark.createDataFrame([("no json",), ('{"skills": ["a"]}',)], "j string").select(profile.parse_cv(F.col("j")).alias("cv")).collect()
     assert (bad[0].cv is None or bad[0].cv.skills is None) and bad[1].cv.skills == ["a"]
     assert docs.select(profile.prompt("Say {structured_analysis}.", F.struct("doc_id"))).first()[0] == 'Say {"doc_id":1}.'
@@ -163,3 +175,50 @@ def test_vector_search_in_blocks_equals_broadcast(spark, monkeypatch):
     for name, value in (("MAX_QUERIES", 10), ("SHARD", 50), ("BLOCK", 9)):
         monkeypatch.setattr(matching, name, value, raising=False)
     assert len(want) == 121 * 4 and rows(matching.vector_top_k(v, q, 4), "query_id", "rank") == want
+
+
+def test_gaps_without_letter_case(spark, gaps):
+    _, targets, m = gaps
+    shouted = gaps[0].withColumn("skill", F.upper("skill"))
+    for f in (gap.strengths, gap.weaknesses, gap.readiness):
+        assert rows(f(shouted, targets, m)) == rows(f(*gaps))
+    assert rows(gap.extra_skills(shouted, targets, m).select("candidate", F.lower("skill"))) == rows(gap.extra_skills(*gaps).select("candidate", "skill"))
+
+
+def test_unknown_roles(spark, gaps):
+    owned, targets, m = gaps
+    known = targets.join(m.select("role").distinct(), "role", "left_semi")
+    assert gap.validated(known, m).count() == known.count()
+    with pytest.raises(gap.UnknownRole, match="'Pilot'"):
+        gap.validated(known.union(spark.createDataFrame([("Pilot", 9)], "role string, candidate int").select(*known.columns)), m)
+
+
+def test_closest_role_falls_back(spark):
+    m = spark.createDataFrame([("Data Engineer", "sql", 60.0), ("Data Engineer", "spark", 40.0), ("AI Engineer", "ml", 90.0)], "role string, skill string, frequency_pct double")
+    owned = spark.createDataFrame([(1, "sql"), (2, "Data"), (3, "cooking"), (4, "engineer")], "candidate int, skill string")
+    assert rows(transitions.closest_role(owned, m, 30.0), "candidate") == [(1, "Data Engineer", 0.5), (2, "Data Engineer", 0.0), (3, "AI Engineer", 0.0), (4, "AI Engineer", 0.0)]
+
+
+def test_phase_summary(spark):
+    phases = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (1, "c", 2), (1, "d", 7)], "candidate int, skill string, phase int")
+    depths = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "skill string, depth int")
+    out = rows(roadmap.phase_summary(phases, depths).select("phase", "title", "avg_depth", "reason"), "phase")
+    assert out[0] == (1, "Nền tảng cơ bản", 0.5, "Kiến thức nền tảng, 2 kỹ năng cơ bản")
+    assert out[1][2:] == (2.0, "Phát triển chuyên sâu, áp dụng vào dự án thực tế") and out[2][1] == "Phase 7"
+
+
+def test_graph_projection(spark):
+    """By hand: ml needs python, statistics, pandas (pandas needs python); dl needs ml."""
+    skills = [("ml", 0.5, 1.0), ("dl", 0.5, 1.0)]
+    states = spark.createDataFrame(
+        [(1, skills, ["python"], [], [["statistics"], ["ml"]]), (2, skills, [], [], []), (3, skills, [], ["ml"], []), (4, [], ["ml"], [], [["x"]])],
+        "candidate int, skills array<struct<skill: string, weight: double, market: double>>, completed array<string>, in_progress array<string>, phases array<array<string>>",
+    )
+    out = {(r.candidate, r.phase): (r.score, r.delta, r.bottlenecks) for r in roadmap.graph_projection(states, fx.edges(spark)).collect()}
+    # 1: ml is two steps from python (1/2), two missing (0.7): 0.35; dl 1/3, three missing (0.55): 0.1833; together 26.67.
+    assert out[1, 0] == (27, 0, ["dl"])
+    # statistics in hand: ml 1/2 * 0.85, dl 1/3 * 0.7 (ml, pandas): 32.9.
+    assert out[1, 1] == (33, 6, ["dl"])
+    # ml in hand: 1, dl 1/2 with pandas still met on the way? ml is in hand, so nothing is missing: 0.5.
+    assert out[1, 2] == (75, 42, [])
+    assert out[2, 0] == (0, 0, ["ml", "dl"]) and out[3, 0] == (75, 0, []) and out[4, 1] == (0, 0, [])
