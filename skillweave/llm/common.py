@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 
@@ -21,6 +23,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = r"[^\x20\x09-\x0D]+"
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -78,6 +82,13 @@ def shard_of(columns: list, keys: list[int]):
 
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker is used again and would keep the most it ever took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -245,12 +256,14 @@ def packed(docs: DataFrame, keys: list[int], by: list | None = None) -> DataFram
                 body = b"".join(data[s:e] for s, e in zip(starts[group].tolist(), ends[group].tolist()))
                 out.append((int(shard[group[0]]), ids[group].tobytes(), null[group].tobytes(), flags[group].tobytes(), (ends - starts)[group].tobytes(), squeeze(body)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["shard", "ids", "nulls", "flags", "sizes", "body"])
+        release()
 
     return rows.mapInArrow(run, PACKED).repartition(len(keys), "shard")
 
 
 def unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """ids, null marks, flags and texts of the bundles of one shard, by id."""
+    release()
     ids = np.frombuffer(b"".join(pdf["ids"]), np.int64)
     null = np.frombuffer(b"".join(pdf["nulls"]), bool)
     flags = np.frombuffer(b"".join(pdf["flags"]), bool)

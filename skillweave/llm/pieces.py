@@ -282,13 +282,10 @@ def encode(docs: DataFrame, pieces: Pieces, shards: int | None = None) -> DataFr
             counts.append(count)
         texts.clear()
         # The shard asked in the order of its distinct hashes.
-        at = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int32)
-        del hashes
-        lists, done = [], 0
-        for count in counts:
-            words = int(count.sum())
-            coded, n = _taken(flat, sizes, at[done : done + words])
-            done += words
+        names = np.unique(np.concatenate([np.unique(h) for h in hashes]))
+        lists = []
+        for own, count in zip(hashes[1:], counts):
+            coded, n = _taken(flat, sizes, np.searchsorted(names, own))
             stops = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]
             if stops[-1] >= 1 << 31:
                 raise ValueError("texts of one chunk have 2**31 ids or more")

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillweave.llm.common import LOWER, SEPARATORS, chunks, mixed, prefix_hash, span_hash, table, text_bytes
+from skillweave.llm.common import LOWER, SEPARATORS, chunks, mixed, prefix_hash, release, span_hash, table, text_bytes
 
 WINDOW = 64
 STRIDE = 48
@@ -119,14 +119,23 @@ class Network:
         x = np.concatenate([self.p["words"][rows], means], axis=1)
         return x @ self.p["win"] + self.p["bin"], x, rows
 
-    def read(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False):
+    @staticmethod
+    def halves(gates: np.ndarray, pad: bool = False) -> list[np.ndarray]:
+        """Gate inputs of either direction; with pad and a row of zeros at the end."""
+        out = []
+        for half in np.split(gates, 2, axis=1):
+            out.append(np.zeros((len(gates) + pad, half.shape[1]), np.float32))
+            out[-1][: len(gates)] = half
+        return out
+
+    def read(self, halves: list[np.ndarray], ids: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows (rows of ids, right-padded; mask is 0 at padding); with keep, also the trace."""
         p, h = self.p, HIDDEN
         b, steps = ids.shape
         states = np.empty((steps, b, 2 * h), np.float32)
         trace = [{}, {}]
         for d, u, order in ((0, p["uf"], range(steps)), (1, p["ub"], range(steps - 1, -1, -1))):
-            own = np.ascontiguousarray(gates[:, 3 * h * d : 3 * h * (d + 1)])
+            own = halves[d]
             state = np.zeros((b, h), np.float32)
             for t in order:
                 x = own[ids[:, t]]
@@ -150,7 +159,7 @@ class Network:
     def gradients(self, gates, x, rows, grams, n, ids, mask, label):
         """Mean logistic loss and its gradients over a batch of windows."""
         p, h = self.p, HIDDEN
-        logit, (states, trace, bent, weight, pooled) = self.read(gates, ids, mask, True)
+        logit, (states, trace, bent, weight, pooled) = self.read(self.halves(gates), ids, mask, True)
         prob = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         d = ((prob - label) / len(label)).astype(np.float32)
         g = {"out": pooled.T @ d, "outb": np.array([d.sum()], np.float32)}
@@ -190,9 +199,8 @@ class Network:
     def logits(self, texts: list[bytes], window: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
         """Highest window logit of each text; a text without words reads as one empty window."""
         distinct, grams, n, index, first, upto = _tokens(texts)
-        gates = self.inputs(distinct, grams, n)[0]
         start, end, owner = _windows(first, upto, window, stride)
-        logit = self._run(gates, index, start, end)
+        logit = self._run(self.inputs(distinct, grams, n)[0], index, start, end)
         out = np.full(len(texts), float(self.p["outb"][0]), np.float64)
         has = upto > first
         out[has] = -np.inf
@@ -200,13 +208,14 @@ class Network:
         return out
 
     def _run(self, gates, index, start, end) -> np.ndarray:
-        gates = np.concatenate([gates, np.zeros((1, gates.shape[1]), np.float32)])
+        pad, halves = len(gates), self.halves(gates, pad=True)
+        del gates
         logit = np.empty(len(start), np.float32)
         order = np.argsort(end - start, kind="stable")
         for at in range(0, len(order), CHUNK):
             some = order[at : at + CHUNK]
-            ids, mask = _padded(index, start[some], end[some], len(gates) - 1)
-            logit[some] = self.read(gates, ids, mask)
+            ids, mask = _padded(index, start[some], end[some], pad)
+            logit[some] = self.read(halves, ids, mask)
         return logit
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -336,6 +345,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
         found = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
         net = train([bytes(t) for _, t, _ in found], np.array([y for _, _, y in found], np.float32), share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+        release()
 
     out = rows.repartition(1).mapInArrow(run, "net binary").collect()
     return pickle.loads(out[0].net) if out else train([], np.zeros(0))
@@ -357,6 +367,7 @@ def score_texts(docs: DataFrame, net: Network) -> DataFrame:
             out = [net.scores([bytes(data[s:e]) for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]) for a, b in chunks(ends - starts)]
             score = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
+        release()
 
     return docs.mapInArrow(run, schema)
 
