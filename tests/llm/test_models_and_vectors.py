@@ -65,7 +65,52 @@ def test_scores_every_row(spark):
     out = toxicity.score_texts(docs, net).collect()
     assert len(out) == 4 and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score_texts(docs.limit(0), net).count() == 0
-    assert toxicity.train([], np.zeros(0)).scores([b"a"])[0] == 0.5
+    assert toxicity.train([], np.zeros(0)).scores([b"a"])[0] < 0.5  # nothing labelled, nothing rejected
+
+
+def test_forward_pass_step_by_step():
+    net, (texts, _) = toxicity.Network.fresh(3), corpus(5, 8)
+    net.p["attb"] += 0.3
+    distinct, grams, n, index, first, upto = toxicity._tokens(texts)
+    gates = net.inputs(distinct, grams, n)[0].astype(np.float64)
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def one(ids):
+        states = np.zeros((len(ids), 2 * h))
+        for d, u, order in ((0, p["uf"], range(len(ids))), (1, p["ub"], range(len(ids) - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                x, a = gates[ids[t], 3 * h * d : 3 * h * (d + 1)], state @ u
+                r, z = sig(x[:h] + a[:h]), sig(x[h : 2 * h] + a[h : 2 * h])
+                state = (1 - z) * np.tanh(x[2 * h :] + r * a[2 * h :]) + z * state
+                states[t, h * d : h * (d + 1)] = state
+        e = np.exp(np.tanh(states @ p["att"] + p["attb"]) @ p["v"])
+        return (e / e.sum()) @ states @ p["out"] + p["outb"][0]
+
+    want = [max(one(index[a : min(a + 8, b)]) for a in range(s, max(s + 1, b - 4), 4)) for s, b in zip(first, upto)]
+    assert net.logits(texts, 8, 4) == pytest.approx(want, abs=1e-3)
+
+
+def test_labelled_sample(spark):
+    import zlib
+
+    rows = [(i, f"text {i} " + "x" * (i % 9), "clash") for i in range(300)] + [(7, "zz later", "clash"), (None, "none", "c"), (301, "y" * 5000, "long"), (302, None, "c")]
+    labels = [(i, int(i % 4 == 0)) for i in range(303)] + [(9, 1), (9, 0), (None, 1), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found, share = toxicity.labelled_sample(docs, known, 60, longest=1000)
+    got = sorted((r.doc_id, bytes(r.text).decode(), r.toxic) for r in found.collect())
+    again = sorted((r.doc_id, bytes(r.text).decode(), r.toxic) for r in toxicity.labelled_sample(docs.repartition(7), known, 60, longest=1000)[0].collect())
+    usable = [i for i in range(303) if i not in (300, 301) and zlib.crc32(str(i).encode()) % 5]
+    assert got == again and len(got) == 60 and {i for i, _, _ in got} <= set(usable) and sum(y for _, _, y in got) == 20
+    assert share == pytest.approx(sum(i % 4 == 0 or i == 9 for i in usable) / len(usable))
+    everything = {i: (t, y) for i, t, y in ((r.doc_id, bytes(r.text).decode(), r.toxic) for r in toxicity.labelled_sample(docs, known, longest=1000)[0].collect())}
+    assert set(everything) - {i for i in usable if i % 4 == 0 or i == 9} == {i for i in usable if i % 4 and i != 9}
+    assert everything.get(7, ("zz later",))[0] == "zz later" and everything.get(302, ("",))[0] == "" and everything.get(9, (0, 1))[1] == 1
+    small = toxicity.labelled_sample(docs, known, 60, most=300, longest=1000)[0].collect()
+    assert 0 < sum(len(r.text) for r in small) <= 300
+    assert toxicity.labelled_sample(docs, known.limit(0))[0].count() == 0 and toxicity.labelled_sample(docs.limit(0), known)[1] == 0.0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{x}</style><script>var a="</p>";</script></head><body>
@@ -104,6 +149,48 @@ def test_page_text_of_nested_pages():
     assert firsts(f"<article><div>{many('p', 'A', 10, 60)}</div></article><p>Short note</p>") == a
 
 
+def test_article_text_is_not_lost():
+    words = lambda name, n: " ".join([name] + ["word"] * n)
+    paragraphs = lambda name, count, n: "".join(f"<p>{words(name + str(i), n)}</p>" for i in range(count))
+    firsts = lambda page: [x.split(" ")[0] for x in html_text.main_text(page).split("\n\n")]
+    body, names = paragraphs("A", 20, 60), [f"A{i}" for i in range(20)]
+    for n in (300, 80):
+        assert firsts(f"<body><p>{words('Lead', n)}</p><div>{body}</div></body>") == ["Lead", *names]
+    assert firsts(f"<body><div>{body}</div><div>{paragraphs('B', 2, 60)}</div></body>") == [*names, "B0", "B1"]
+    for kind in ('p class="related-work"', 'div class="search-results"', 'p class="alert"', 'p id="notice"'):
+        assert firsts(f"<article><{kind}>{words('Kept', 30)}</{kind.split(' ')[0]}>{body}</article>") == ["Kept", *names], kind
+    for kind in ('div class="related-posts"', 'p class="ad"', 'div class="ad-slot-3 wide"', 'section id="comments"', 'div class="newsletter-signup"', 'div role="navigation"'):
+        assert firsts(f"<article>{body}<{kind}>{words('Gone', 30)}</{kind.split(' ')[0]}></article>") == names, kind
+    links = "".join(f"<li><a href={i}>Some other page {i}</a></li>" for i in range(30))
+    assert firsts(f"<main><article>{body}<ul>{links}</ul><p>Short end</p></article></main>") == [*names, "Short"]
+    assert main_text_of_ties() == ["One", "Two"]
+    assert len(html_text.main_text(f"<article>{paragraphs('Z', 4000, 40)}</article>")) > 700_000
+
+
+def main_text_of_ties():
+    block = "".join(f"<p>{'same words here ' * 20}</p>" for _ in range(5))
+    page = f"<body><section><h2>One</h2>{block}</section><section><h2>Two</h2>{block}</section></body>"
+    return [x for x in html_text.main_text(page).split("\n\n") if len(x) < 9]
+
+
+def test_densities_by_hand():
+    """Composite density and density sums of a small tree, from the page itself."""
+    import math
+
+    root, _ = html_text.parse("<body><div><p>abcd efgh <a href=x>link</a></p><p>ijklmnop</p></div></body>")
+    box = root.kids[0]
+    a, b = box.kids
+
+    def density(chars, tags, link_chars, links):
+        share = 4 / 20
+        base = math.log(chars / max(1, chars - link_chars) * max(1, link_chars) + share * chars + math.e)
+        return chars / max(1, tags) * max(0.0, math.log(max(1.0, chars / max(1, link_chars) * max(1, tags) / max(1, links)))) / base
+
+    assert (a.chars, a.tags, a.link_chars, a.links) == (12, 1, 4, 1) and a.density == pytest.approx(density(12, 1, 4, 1))
+    assert b.density == pytest.approx(density(8, 0, 0, 0)) and box.total == pytest.approx(a.density + b.density)
+    assert (box.chars, box.tags) == (20, 3) and box.density == pytest.approx(density(20, 3, 4, 1))
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y"), (2, "v", "", "z")], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in html_text.extract_pages(pages).collect()}
