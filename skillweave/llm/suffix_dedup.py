@@ -1,24 +1,21 @@
-"""Operator 1: exact removal of repeated byte strings by hashed strings at content-defined anchors.
-
-The dealt method, merging the shards' Burrows-Wheeler transforms, is not what runs here: no transform, LF step or common
-prefix is built. Anchors and 64-bit hashes of strings take its place; no figures of a form that merges transforms exist.
+"""Operator 1: exact removal of repeated byte strings by merging shard Burrows-Wheeler transforms.
 
 What is to be found are the blocks of suffixes (of all texts of all shards) that agree on their first WIDTH bytes, and in
-each block the first suffix. A block is named by a hash of its string, put together from the hashes of its fixed pieces,
-and a block with one suffix is final; blocks that stay larger at WIDTH are the repeated intervals. Three things make this
-work on a cluster:
-
-* Blocks are named by 64-bit hashes instead of ranks. Every shard refines its own suffixes alone; only names whose fate is
-  open go to the hash buckets, which merge the shards' sorted name lists and answer with the block's size and first place.
-* Suffixes are taken sparsely first. Every WIDTH-byte string contains exactly one anchor, the leftmost least-hashed K-byte
-  string in it, so equal strings have equal anchors at equal offsets. Round one refines anchors to depth K and drops
-  singles; round two refines the rest over the whole stretch of strings an anchor owns. Equal stretches are settled by
-  their first place.
-* Only strings whose anchor also occurs in another stretch are refined one by one, over symbols of SYMBOL bytes (so depth
-  WIDTH takes WIDTH / SYMBOL refinements), in round three.
-
-A task holds one shard's texts or one bucket's names. Texts cross the network once, compressed; the shuffle is reused by all
-rounds. A string that occurs any number of times sends one name per shard.
+each block the first suffix. Three things make this work on a cluster:
+
+* Only suffixes that can repeat take part. Every WIDTH-byte string contains exactly one anchor, the leftmost least-hashed
+  K-byte string in it, so equal strings have equal anchors at equal offsets. Round one counts anchors and drops singles.
+* Copies take part once. An anchor owns a stretch of strings; round two finds equal stretches and keeps the first.
+* In round three a shard sorts the stretches left to it, for each range of anchor hashes, into a Burrows-Wheeler transform.
+  The buckets of that range merge the shards' transforms by interleave refinement (see transforms.py): the intervals whose
+  common prefix reaches WIDTH are the repeated strings, wherever their stretches come from. Equal strings have equal
+  anchors, so a bucket holds all suffixes it has to compare, and last-to-first steps never leave it.
+
+An anchor that occurs more than CROWD times could fill a bucket with different stretches around it. Its strings go another
+exact way, in the same round: named by a hash put together from fixed pieces, at most one name per string and shard.
+
+A task holds one shard's texts or one bucket's transforms and names. Texts cross the network once, compressed; the shuffle is
+reused by all rounds.
 """
 
 from __future__ import annotations
@@ -30,11 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillweave.llm.common import chunks, even_keys, mixed, pack_counts, pack_sorted, packed, prefix_hash, shuffle_partitions, span_hash, table, unpack_counts, unpack_sorted, unpacked
+from skillweave.llm.common import chunks, even_keys, mixed, pack_counts, pack_sorted, packed, prefix_hash, shuffle_partitions, span_hash, table, squeeze, unpack_counts, unpack_sorted, unpacked, unsqueeze
+from skillweave.llm.transforms import last_to_first, merge, transform, walked
 
 WIDTH = 100
 K = 36
 SYMBOL = 25
+#: Occurrences of an anchor up to which its stretches are merged as transforms; those of others are named string by string.
+CROWD = 1 << 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 28) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -71,8 +71,8 @@ def anchors(data: np.ndarray, h: np.ndarray, bounds: np.ndarray, width: int, k:
     return place[at], start[at], start[last], text[start[at]]
 
 
-def refine(h: np.ndarray, starts: np.ndarray, width: int, symbol: int) -> np.ndarray:
-    """Names of the depth-width blocks of the suffixes at starts, by prepending symbols from the last to the first."""
+def named(h: np.ndarray, starts: np.ndarray, width: int, symbol: int) -> np.ndarray:
+    """Hashes of the width-byte strings at starts, put together from pieces of symbol bytes, from the last to the first."""
     name = np.zeros(len(starts), np.uint64)
     for at in range(width - symbol if width % symbol == 0 else width - width % symbol, -1, -symbol):
         stop = np.minimum(at + symbol, width)
@@ -122,18 +122,33 @@ class Shard:
             n = self.high[own] - self.low[own] + 1
             owner = np.repeat(own, n)
             start = self.low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            names.append(refine(h, start, self.width, symbol))
+            names.append(named(h, start, self.width, symbol))
             docs.append(self.doc[owner])
             starts.append(start - self.base[owner])
             owners.append(owner)
         return np.concatenate(names), np.concatenate(docs), np.concatenate(starts), np.concatenate(owners)
 
+    def stretches(self, use: np.ndarray, buckets: int) -> list[np.ndarray]:
+        """The anchors marked in use, for each of the ranges of anchor hashes."""
+        which = np.flatnonzero(use)
+        cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+        bucket = np.searchsorted(cuts, self.gram[which], "right")
+        order = np.argsort(bucket, kind="stable")
+        return np.split(which[order], np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
+
+    def transformed(self, own: np.ndarray) -> np.ndarray:
+        """The transform of the stretches of the anchors own."""
+        text, low, high = self.text[own], (self.low - self.base)[own], (self.high - self.base)[own] + self.width
+        return transform([self.texts[t][a:b] for t, a, b in zip(text.tolist(), low.tolist(), high.tolist())])
 
+
+#: The round in which shards send transforms; the others send names.
+TRANSFORMS = 3
 ASKED = "bucket int, shard int, round int, keys binary, counts binary, docs binary, places binary"
 ANSWERED = "shard int, bucket int, round int, counts binary, docs binary, places binary"
 
 
-def _interleave(names: np.ndarray, docs: np.ndarray, places: np.ndarray):
+def _named_blocks(names: np.ndarray, docs: np.ndarray, places: np.ndarray):
     """Blocks of equal names: the distinct names ascending, each row's block, block sizes, and each block's first row."""
     order = np.lexsort((places, docs, names))
     ordered = names[order]
@@ -145,7 +160,7 @@ def _interleave(names: np.ndarray, docs: np.ndarray, places: np.ndarray):
 
 
 def _ask(shard: int, number: int, names, docs, places, buckets: list[int]) -> list[tuple]:
-    keys, _, size, first = _interleave(names, docs, places)
+    keys, _, size, first = _named_blocks(names, docs, places)
     n = len(buckets)
     cuts = np.searchsorted(keys, np.array([(i << 64) // n for i in range(1, n)], np.uint64), "left") if n > 1 else np.zeros(0, np.int64)
     at = np.concatenate([[0], cuts, [len(keys)]])
@@ -156,18 +171,60 @@ def _ask(shard: int, number: int, names, docs, places, buckets: list[int]) -> li
     ]
 
 
-def _merged(asked: DataFrame, buckets: list[int]) -> DataFrame:
-    """Merges the shards' name lists bucket by bucket: each name's block size over all shards and the block's first place."""
+def repeated(transforms: list[np.ndarray], docs: list[np.ndarray], places: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """For each transform, marks of the width-byte strings that also start earlier, string by string of the collection.
+
+    docs and places tell where the strings of a collection start. A string of n bytes has n - width + 1 marks.
+    """
+    order, prefix = merge(transforms, width)
+    owner, length, sizes, strings = [], [], [], 0
+    for t in transforms:
+        o, n, z = walked(t, last_to_first(t))
+        owner.append(o + strings)
+        length.append(n)
+        sizes.append(z)
+        strings += len(z)
+    if not strings:
+        return []
+    owner, length, size = np.concatenate(owner), np.concatenate(length), np.concatenate(sizes)
+    interval = np.cumsum(prefix < width)
+    whole = np.flatnonzero(length[order] >= width)
+    interval, row = interval[whole], order[whole]
+    shared = np.bincount(interval, minlength=1)[interval] > 1
+    interval, row = interval[shared], row[shared]
+    offset = size[owner[row]] - length[row]
+    doc, place = np.concatenate(docs)[owner[row]], np.concatenate(places)[owner[row]] + offset
+    at = np.lexsort((place, doc, interval))
+    head = np.diff(interval[at], prepend=-1) != 0
+    first = at[np.flatnonzero(head)][np.cumsum(head) - 1]
+    again = at[(doc[first] != doc[at]) | (place[first] != place[at])]
+    marks = np.maximum(size - width + 1, 0)
+    found = np.zeros(int(marks.sum()), bool)
+    found[(np.cumsum(marks) - marks)[owner[row[again]]] + offset[again]] = True
+    upto = np.cumsum([np.maximum(z - width + 1, 0).sum() for z in sizes])
+    return np.split(found, upto[:-1])
+
+
+def _merged(asked: DataFrame, buckets: list[int], width: int) -> DataFrame:
+    """Merges the shards' lists bucket by bucket.
+
+    Transforms get the marks of repeated strings, names the block's size over all shards and its first place.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, part in pdf.groupby("round"):
+            if number == TRANSFORMS:
+                unpack = lambda x: np.frombuffer(unsqueeze(x[1:]), np.uint16 if x[:1] == b"2" else np.uint8)
+                marks = repeated([unpack(x) for x in part["keys"]], [unpack_counts(x) for x in part["docs"]], [unpack_counts(x) for x in part["places"]], width)
+                out.extend((shard, key[0], number, squeeze(np.packbits(x).tobytes()), b"", b"") for shard, x in zip(part["shard"], marks))
+                continue
             lists = [unpack_sorted(x) for x in part["keys"]]
             counts = np.concatenate([unpack_counts(x) for x in part["counts"]])
             names = np.concatenate(lists)
             docs = np.concatenate([unpack_counts(x) for x in part["docs"]]) if number > 1 else np.zeros(len(names), np.int64)
             places = np.concatenate([unpack_counts(x) for x in part["places"]]) if number > 1 else docs
-            keys, block, _, first = _interleave(names, docs, places)
+            keys, block, _, first = _named_blocks(names, docs, places)
             size = np.zeros(len(keys), np.int64)
             np.add.at(size, block, counts)
             at = 0
@@ -182,7 +239,7 @@ def _merged(asked: DataFrame, buckets: list[int]) -> DataFrame:
 
 def _answers(pdf: pd.DataFrame, number: int, names, docs, places, buckets: list[int]):
     """Block size and first place over all shards for each of a shard's suffixes."""
-    _, block, _, _ = _interleave(names, docs, places)
+    _, block, _, _ = _named_blocks(names, docs, places)
     at = {b: i for i, b in enumerate(buckets)}
     part = pdf[pdf["round"] == number]
     part = part.iloc[np.argsort(part["bucket"].map(at).to_numpy(), kind="stable")] if len(part) else part
@@ -191,10 +248,36 @@ def _answers(pdf: pd.DataFrame, number: int, names, docs, places, buckets: list[
     return (size, None, None) if number == 1 else (size, join("docs")[block], join("places")[block])
 
 
+def _ask_transforms(s: Shard, shard: int, use: np.ndarray, buckets: list[int]) -> list[tuple]:
+    out = []
+    for bucket, own in zip(buckets, s.stretches(use, len(buckets))):
+        if len(own):
+            found = s.transformed(own)
+            out.append((bucket, shard, TRANSFORMS, b"%d" % found.itemsize + squeeze(found.tobytes()), b"", pack_counts(s.doc[own]), pack_counts((s.low - s.base)[own])))
+    return out
+
+
+def _marked(s: Shard, pdf: pd.DataFrame, use: np.ndarray, buckets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (in their text) and anchors of the strings of the anchors marked in use that also start earlier."""
+    part = pdf[pdf["round"] == TRANSFORMS]
+    bits = dict(zip(part["bucket"], part["counts"]))
+    starts, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for bucket, own in zip(buckets, s.stretches(use, len(buckets))):
+        if not len(own):
+            continue
+        n = s.high[own] - s.low[own] + 1
+        owner = np.repeat(own, n)
+        start = (s.low - s.base)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        again = np.unpackbits(np.frombuffer(unsqueeze(bits[bucket]), np.uint8), count=len(owner)).astype(bool)
+        starts.append(start[again])
+        owners.append(owner[again])
+    return np.concatenate(starts), np.concatenate(owners)
+
+
 SPANS = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept_sha256 string, kept binary"
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, symbol: int = SYMBOL, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, symbol: int = SYMBOL, with_kept: bool = False, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs (doc_id long, text): removed byte spans, the hash of what is kept and, if asked for, the bytes.
 
     A byte goes if a width-byte string that covers it also starts earlier: in a smaller doc_id (null after all others), or
@@ -225,34 +308,37 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, symbol: int
         return pd.DataFrame(_ask(key[0], 2, s.context[go], s.doc[go], s.pos[go], keys), columns=columns)
 
     def open_after_second(s: Shard, right: pd.DataFrame):
-        """Marks of anchors whose strings all repeat, and of anchors whose strings have to be looked at one by one."""
+        """Marks of anchors whose strings all repeat, of anchors whose stretches are merged, and of those too frequent for it."""
         size, go = open_after_first(s, right)
         whole, single = np.zeros(len(size), bool), np.zeros(len(size), bool)
         alike, doc, pos = _answers(right, 2, s.context[go], s.doc[go], s.pos[go], keys)
         first = (doc == s.doc[go]) & (pos == s.pos[go])
         whole[go[~first]] = True
         single[go[first & (size[go] > alike)]] = True
-        return whole, single
+        return whole, single & (size <= crowd), single & (size > crowd)
 
     def third_round(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame([], columns=columns)
         s = Shard(left, width, k)
-        names, docs_, starts, _ = s.strings(open_after_second(s, right)[1], symbol)
-        return pd.DataFrame(_ask(key[0], 3, names, docs_, starts, keys), columns=columns)
+        _, merged, crowded = open_after_second(s, right)
+        names, docs_, starts, _ = s.strings(crowded, symbol)
+        return pd.DataFrame(_ask_transforms(s, key[0], merged, keys) + _ask(key[0], TRANSFORMS + 1, names, docs_, starts, keys), columns=columns)
 
     def removal(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not len(left):
             return pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept_sha256", "kept"])
         s = Shard(left, width, k)
-        whole, single = open_after_second(s, right)
-        names, docs_, starts, owners = s.strings(single, symbol)
-        _, doc, pos = _answers(right, 3, names, docs_, starts, keys)
+        whole, merged, crowded = open_after_second(s, right)
+        names, docs_, starts, owners = s.strings(crowded, symbol)
+        _, doc, pos = _answers(right, TRANSFORMS + 1, names, docs_, starts, keys)
         again = (doc != docs_) | (pos != starts)
-        from_ = np.concatenate([(s.low - s.base)[whole], starts[again]])
-        to = np.concatenate([(s.high - s.base)[whole], starts[again]]) + width
-        text = np.concatenate([s.text[whole], s.text[owners[again]]])
+        more, holders = _marked(s, right, merged, keys)
+        starts, owners = np.concatenate([starts[again], more]), np.concatenate([owners[again], holders])
+        from_ = np.concatenate([(s.low - s.base)[whole], starts])
+        to = np.concatenate([(s.high - s.base)[whole], starts]) + width
+        text = np.concatenate([s.text[whole], s.text[owners]])
         order = np.argsort(text, kind="stable")
         cuts = np.searchsorted(text[order], np.arange(len(s.texts) + 1))
         for i, t in enumerate(s.texts):
@@ -272,10 +358,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, symbol: int
         return frame
 
     left = lambda: bundles.groupBy("shard")
-    one = _merged(left().applyInPandas(first_round, ASKED), keys)
-    two = _merged(left().cogroup(one.groupBy("shard")).applyInPandas(second_round, ASKED), keys)
+    one = _merged(left().applyInPandas(first_round, ASKED), keys, width)
+    two = _merged(left().cogroup(one.groupBy("shard")).applyInPandas(second_round, ASKED), keys, width)
     both = one.unionByName(two)
-    three = _merged(left().cogroup(both.groupBy("shard")).applyInPandas(third_round, ASKED), keys)
+    three = _merged(left().cogroup(both.groupBy("shard")).applyInPandas(third_round, ASKED), keys, width)
     return left().cogroup(both.unionByName(three).groupBy("shard")).applyInPandas(removal, SPANS)
 
 

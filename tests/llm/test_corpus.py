@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skillweave.llm import jaccard_join, lm_scoring, pieces, suffix_dedup
+from skillweave.llm import jaccard_join, lm_scoring, pieces, suffix_dedup, transforms
 from skillweave.llm.common import components, pack_counts, pack_sorted, unpack_counts, unpack_sorted
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -50,7 +50,26 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(61)) and got[200] == 100 and got[300] == 300
 
 
-def test_suffix_dedup(spark, docs):
+def test_transforms_and_their_merge():
+    r = random.Random(5)
+    for trial in range(150):
+        shards = [[bytes(r.choice(b"ab\xff" if trial % 3 == 0 else b"ab") for _ in range(r.randrange(14))) for _ in range(r.randrange(1, 5))] for _ in range(r.randrange(1, 5))]
+        depth, found, rows = r.choice([1, 3, 6, 20]), [transforms.transform(s) for s in shards], []
+        for strings, got in zip(shards, found):
+            want = sorted((tuple(x + 1 for x in s[i:]) + (j - len(strings),), j, len(s) - i, s[i - 1] + 1 if i else 0) for j, s in enumerate(strings) for i in range(len(s) + 1))
+            assert got.tolist() == [w[3] for w in want]
+            owner, length, sizes = transforms.walked(got, transforms.last_to_first(got))
+            assert (owner.tolist(), length.tolist(), sizes.tolist()) == ([w[1] for w in want], [w[2] for w in want], [len(s) for s in strings])
+            rows += [w[0][:-1] for w in want]
+        order, prefix = transforms.merge(found, depth)
+        merged = [rows[i] for i in order]
+        assert sorted(order.tolist()) == list(range(len(rows))) and [m[:depth] for m in merged] == sorted(m[:depth] for m in merged)
+        common = [next((k for k in range(min(len(a), len(b), depth)) if a[k] != b[k]), min(len(a), len(b), depth)) for a, b in zip(merged, merged[1:])]
+        assert prefix.tolist() == [-1, *common]
+
+
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 9, 0])
+def test_suffix_dedup(spark, docs, crowd):
     order = sorted(((1 << 62 if i is None else i, (t or "").encode()) for i, t in texts()))
     seen, want = set(), {}
     for i, b in order:
@@ -61,7 +80,7 @@ def test_suffix_dedup(spark, docs):
             seen.add(b[s : s + 100])
         edge = np.flatnonzero(np.diff(gone, prepend=False, append=False)).reshape(-1, 2)
         want[i] = (len(b), [tuple(e) for e in edge.tolist()], hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
-    got = {(1 << 62 if r.doc_id is None else r.doc_id): (r.n_bytes, [(s.start, s.stop) for s in r.spans], r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    got = {(1 << 62 if r.doc_id is None else r.doc_id): (r.n_bytes, [(s.start, s.stop) for s in r.spans], r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, crowd=crowd).collect()}
     assert got == want and sum(len(w[1]) for w in want.values()) > 10
 
 
