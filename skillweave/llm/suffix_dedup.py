@@ -93,7 +93,7 @@ class Shard:
         for number, (a, b) in enumerate(self.parts):
             data, bounds, h = self.view(number)
             p, low, high, text = anchors(data, h, bounds, width, k)
-            self.gram.append(span_hash(h, p, p + k))
+            self.gram.append(mixed(span_hash(h, p, p + k)))  # mixed again: the least hashes of all would crowd the first bucket
             self.context.append(mixed(span_hash(h, low, high + width) + mixed((p - low).astype(np.uint64) << np.uint64(20) ^ (high - low).astype(np.uint64))))
             self.doc.append(place[a + text])
             self.pos.append(p - bounds[text])
@@ -142,8 +142,8 @@ class Shard:
         return transform([self.texts[t][a:b] for t, a, b in zip(text.tolist(), low.tolist(), high.tolist())])
 
 
-#: The round in which shards send transforms; the others send names.
-TRANSFORMS = 3
+#: The third round sends names as the others do, and as round TRANSFORMS one row for a bucket with the transforms of its SLICES parts.
+NAMES, TRANSFORMS, SLICES = 3, 4, 8
 ASKED = "bucket int, shard int, round int, keys binary, counts binary, docs binary, places binary"
 ANSWERED = "shard int, bucket int, round int, counts binary, docs binary, places binary"
 
@@ -176,17 +176,14 @@ def repeated(transforms: list[np.ndarray], docs: list[np.ndarray], places: list[
 
     docs and places tell where the strings of a collection start. A string of n bytes has n - width + 1 marks.
     """
-    order, prefix = merge(transforms, width)
-    owner, length, sizes, strings = [], [], [], 0
-    for t in transforms:
-        o, n, z = walked(t, last_to_first(t))
-        owner.append(o + strings)
-        length.append(n)
-        sizes.append(z)
-        strings += len(z)
-    if not strings:
-        return []
-    owner, length, size = np.concatenate(owner), np.concatenate(length), np.concatenate(sizes)
+    steps = [last_to_first(t) for t in transforms]
+    order, prefix = merge(transforms, width, steps)
+    strings = [int((t == 0).sum()) for t in transforms]
+    if not sum(strings):
+        return [np.zeros(0, bool) for _ in transforms]
+    base = np.cumsum([0, *[len(t) for t in transforms]])
+    ends = np.concatenate([np.arange(b, b + m) for b, m in zip(base, strings)])
+    owner, length, size = walked(np.concatenate(transforms), np.concatenate([x + np.int32(b) for x, b in zip(steps, base)]), ends)
     interval = np.cumsum(prefix < width)
     whole = np.flatnonzero(length[order] >= width)
     interval, row = interval[whole], order[whole]
@@ -201,8 +198,7 @@ def repeated(transforms: list[np.ndarray], docs: list[np.ndarray], places: list[
     marks = np.maximum(size - width + 1, 0)
     found = np.zeros(int(marks.sum()), bool)
     found[(np.cumsum(marks) - marks)[owner[row[again]]] + offset[again]] = True
-    upto = np.cumsum([np.maximum(z - width + 1, 0).sum() for z in sizes])
-    return np.split(found, upto[:-1])
+    return np.split(found, np.append(0, np.cumsum(marks))[np.cumsum(strings)[:-1]])
 
 
 def _merged(asked: DataFrame, buckets: list[int], width: int) -> DataFrame:
@@ -215,9 +211,18 @@ def _merged(asked: DataFrame, buckets: list[int], width: int) -> DataFrame:
         out = []
         for number, part in pdf.groupby("round"):
             if number == TRANSFORMS:
-                unpack = lambda x: np.frombuffer(unsqueeze(x[1:]), np.uint16 if x[:1] == b"2" else np.uint8)
-                marks = repeated([unpack(x) for x in part["keys"]], [unpack_counts(x) for x in part["docs"]], [unpack_counts(x) for x in part["places"]], width)
-                out.extend((shard, key[0], number, squeeze(np.packbits(x).tobytes()), b"", b"") for shard, x in zip(part["shard"], marks))
+                marks: list[list[bytes]] = [[] for _ in range(len(part))]
+                parts = [_opened(x) for x in part["keys"]]
+                starts = [(unpack_counts(d), unpack_counts(p)) for d, p in zip(part["docs"], part["places"])]
+                used = [0] * len(parts)
+                for at in range(SLICES):
+                    found = [x[at] for x in parts]
+                    n = [int((x == 0).sum()) for x in found]
+                    own = [slice(u, u + m) for u, m in zip(used, n)]
+                    used = [u + m for u, m in zip(used, n)]
+                    for i, x in enumerate(repeated(found, [d[o] for (d, _), o in zip(starts, own)], [p[o] for (_, p), o in zip(starts, own)], width)):
+                        marks[i].append(np.packbits(x).tobytes())
+                out.extend((shard, key[0], number, squeeze(b"".join(x)), b"", b"") for shard, x in zip(part["shard"], marks))
                 continue
             lists = [unpack_sorted(x) for x in part["keys"]]
             counts = np.concatenate([unpack_counts(x) for x in part["counts"]])
@@ -248,27 +253,44 @@ def _answers(pdf: pd.DataFrame, number: int, names, docs, places, buckets: list[
     return (size, None, None) if number == 1 else (size, join("docs")[block], join("places")[block])
 
 
+def _closed(transforms: list[np.ndarray]) -> bytes:
+    """A slice's transform each, side by side, after their lengths and the bytes of a symbol."""
+    kind = max(t.itemsize for t in transforms)
+    head = np.array([kind, *[len(t) for t in transforms]], np.int64).tobytes()
+    return squeeze(head + b"".join(t.astype(f"u{kind}").tobytes() for t in transforms))
+
+
+def _opened(data: bytes) -> list[np.ndarray]:
+    data = unsqueeze(data)
+    kind, *sizes = np.frombuffer(data, np.int64, SLICES + 1).tolist()
+    return np.split(np.frombuffer(data, f"u{kind}", offset=8 * (SLICES + 1)), np.cumsum(sizes)[:-1])
+
+
 def _ask_transforms(s: Shard, shard: int, use: np.ndarray, buckets: list[int]) -> list[tuple]:
-    out = []
-    for bucket, own in zip(buckets, s.stretches(use, len(buckets))):
+    out, slices = [], s.stretches(use, SLICES * len(buckets))
+    for at, bucket in enumerate(buckets):
+        parts = slices[at * SLICES : (at + 1) * SLICES]
+        own = np.concatenate(parts)
         if len(own):
-            found = s.transformed(own)
-            out.append((bucket, shard, TRANSFORMS, b"%d" % found.itemsize + squeeze(found.tobytes()), b"", pack_counts(s.doc[own]), pack_counts((s.low - s.base)[own])))
+            out.append((bucket, shard, TRANSFORMS, _closed([s.transformed(x) for x in parts]), b"", pack_counts(s.doc[own]), pack_counts((s.low - s.base)[own])))
     return out
 
 
 def _marked(s: Shard, pdf: pd.DataFrame, use: np.ndarray, buckets: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Starts (in their text) and anchors of the strings of the anchors marked in use that also start earlier."""
     part = pdf[pdf["round"] == TRANSFORMS]
-    bits = dict(zip(part["bucket"], part["counts"]))
-    starts, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for bucket, own in zip(buckets, s.stretches(use, len(buckets))):
+    bits = {bucket: np.frombuffer(unsqueeze(x), np.uint8) for bucket, x in zip(part["bucket"], part["counts"])}
+    starts, owners, used = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for at, own in enumerate(s.stretches(use, SLICES * len(buckets))):
+        used = used if at % SLICES else 0
         if not len(own):
             continue
         n = s.high[own] - s.low[own] + 1
         owner = np.repeat(own, n)
         start = (s.low - s.base)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        again = np.unpackbits(np.frombuffer(unsqueeze(bits[bucket]), np.uint8), count=len(owner)).astype(bool)
+        size = -(-len(owner) // 8)
+        again = np.unpackbits(bits[buckets[at // SLICES]][used : used + size], count=len(owner)).astype(bool)
+        used += size
         starts.append(start[again])
         owners.append(owner[again])
     return np.concatenate(starts), np.concatenate(owners)
@@ -323,7 +345,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, symbol: int
         s = Shard(left, width, k)
         _, merged, crowded = open_after_second(s, right)
         names, docs_, starts, _ = s.strings(crowded, symbol)
-        return pd.DataFrame(_ask_transforms(s, key[0], merged, keys) + _ask(key[0], TRANSFORMS + 1, names, docs_, starts, keys), columns=columns)
+        return pd.DataFrame(_ask_transforms(s, key[0], merged, keys) + _ask(key[0], NAMES, names, docs_, starts, keys), columns=columns)
 
     def removal(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -332,7 +354,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, symbol: int
         s = Shard(left, width, k)
         whole, merged, crowded = open_after_second(s, right)
         names, docs_, starts, owners = s.strings(crowded, symbol)
-        _, doc, pos = _answers(right, TRANSFORMS + 1, names, docs_, starts, keys)
+        _, doc, pos = _answers(right, NAMES, names, docs_, starts, keys)
         again = (doc != docs_) | (pos != starts)
         more, holders = _marked(s, right, merged, keys)
         starts, owners = np.concatenate([starts[again], more]), np.concatenate([owners[again], holders])
