@@ -329,3 +329,26 @@ def answers(pdf: pd.DataFrame, kind: int, buckets: list[int]) -> tuple[np.ndarra
     part = pdf[pdf["kind"] == kind]
     part = part.iloc[np.argsort(part["bucket"].map(place).to_numpy(), kind="stable")]
     return np.concatenate([np.zeros(0, np.int64), *[unpack_counts(x) for x in part["counts"]]]), int(part["present"].sum()), int(part["total"].sum())
+
+
+def folded(parts: DataFrame, merge, keys: tuple[str, ...] = (), fan: int = 64) -> DataFrame:
+    """parts (keys, place long, body binary) with the bodies of equal keys merged to one: (keys, body).
+
+    place tells the rows of a key apart, as the number of the task that made them does. merge turns a list of bodies, in the
+    order of their places, into one. Rows meet in groups of about fan places at a time, level by level, so no task gets all
+    that many tasks made. An empty table stays empty.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
+    names = [*keys, "place", "body"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bodies = pdf.sort_values("place")["body"].to_list()
+        return pd.DataFrame([(*key, merge(bodies))], columns=names)
+
+    parts = stored(parts.select(*names), "parts")
+    left = (parts.agg(F.max("place")).first()[0] or 0) + 1
+    while left > 1:
+        left = -(-left // fan)
+        grouped = parts.withColumn("place", F.col("place") % left).groupBy(*keys, "place")
+        parts = stored(grouped.applyInPandas(run, schema), "parts")
+    return parts.drop("place")
