@@ -93,10 +93,9 @@ def _mixed(s: SparkSession, d: str) -> DataFrame:
 )
 def q_union_sources(s, d):
     docs = tables.unified(table(s, d, "documents"), "DOC", "documents", "text", "doc_id", description=F.col("text"))
-    conv = table(s, d, "conversations").withColumn("at", F.struct("conv_id", "turn"))
     rows = tables.union_records(
         docs,
-        tables.unified(conv, "CONV", "conversations", "text", "at", description=F.col("text")),
+        tables.unified(table(s, d, "conversations"), "CONV", "conversations", "text", ["conv_id", "turn"], description=F.col("text")),
         tables.unified(table(s, d, "benchmark"), "BENCH", "benchmark", "text", "item_id", description=F.col("text")),
     )
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("description", F.lit("")))).alias("chars"), F.min("record_id").alias("first_id"))

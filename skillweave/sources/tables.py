@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skillweave.functions.text import surrogate_key
+from skillweave.operators.numbering import numbered
+from skillweave.sources.delimited import read_delimited
 
 METADATA = "struct<company: string, location: string, seniority: string, salary_vnd: string, original_id: string>"
 RECORD = f"record_id string, source string, record_type string, title string, description string, skills_raw array<string>, category string, metadata {METADATA}"
@@ -18,22 +20,9 @@ class MissingInput(FileNotFoundError):
     """An input that a caller asked for does not exist."""
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """A CSV with header, quoted line breaks and doubled quotes; the first encoding that leaves no replacement character is used.
-
-    The encoding is tried on the lines Spark reads, in one pass that stops at the first bad one. A byte order mark in the
-    first column's name is dropped.
-    """
-    for encoding in encodings:
-        reader = spark.read.options(header=True, multiLine=True, escape='"', encoding=encoding)
-        df = reader.schema(schema).csv(path) if schema else reader.csv(path)
-        text = [c for c, t in df.dtypes if t == "string"]
-        bad = F.lit(False)
-        for c in text:
-            bad = bad | F.contains(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit("�"))
-        if encoding == encodings[-1] or not df.filter(bad).limit(1).count():
-            break
-    return df.withColumnRenamed(df.columns[0], df.columns[0].removeprefix("\ufeff"))
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
+    """CSV files with header, quoted line breaks and doubled quotes, each file in its own encoding (see delimited)."""
+    return read_delimited(spark, path, schema)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -94,24 +83,32 @@ def ontology(*parts: DataFrame) -> DataFrame:
     return rows.withColumn("rn", rn).filter("rn = 1").select("alias", "canonical")
 
 
-def unified(rows: DataFrame, prefix: str, source: str, record_type: str, order: str, **columns) -> DataFrame:
+def unified(rows: DataFrame, prefix: str, source: str, record_type: str, order: str | list[str], **columns) -> DataFrame:
     """A source's rows as unified records; columns name title, description, skills_raw, category and metadata fields.
 
-    Keys number the rows in the declared order; the numbering sorts one source, which is a file's size.
+    Keys number the rows in the declared order, range by range, so no task sorts a whole source.
     """
     fields = [f.name for f in T._parse_datatype_string(METADATA).fields]
     at = lambda name, kind: columns[name].cast(kind) if name in columns else F.lit(None).cast(kind)
-    n = F.row_number().over(W.orderBy(order))
-    return rows.withColumn("_n", n).withColumn("_all", F.count(F.lit(1)).over(W.partitionBy())).select(
-        surrogate_key(prefix, F.col("_n"), F.col("_all")).alias("record_id"),
-        F.lit(source).alias("source"),
-        F.lit(record_type).alias("record_type"),
+    wanted = rows.select(
+        *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate([order] if isinstance(order, str) else order)],
         at("title", "string").alias("title"),
         at("description", "string").alias("description"),
         at("skills_raw", "array<string>").alias("skills_raw"),
         at("category", "string").alias("category"),
         F.struct(*[at(f, "string").alias(f) for f in fields]).alias("metadata"),
     )
+    counted, total = numbered(wanted, [c for c in wanted.columns if c.startswith("_o")], "_n")
+    return counted.select(
+        surrogate_key(prefix, F.col("_n"), F.lit(total)).alias("record_id"),
+        F.lit(source).alias("source"),
+        F.lit(record_type).alias("record_type"),
+        "title",
+        "description",
+        "skills_raw",
+        "category",
+        "metadata",
+    )
 
 
 def union_records(*sources: DataFrame) -> DataFrame:
