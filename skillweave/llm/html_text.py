@@ -7,15 +7,18 @@ density on its way up to the body is the page's threshold, and in every subtree
 greatest sum is content; a node without children counts with its own density. A density grows with the length of a block, so
 the threshold is never above the lower quartile of the root's own link-poor blocks: a paragraph beside the root that is as
 dense as three quarters of the root's is not lost for standing alone. If the root lies in an article (or else a main
-element), all of that element is content but for subtrees that are mostly links and miss the threshold.
+element), all of that element is content but for subtrees that are mostly links and miss the threshold; else the headings
+and paragraphs right before the root are, and the headings right before its ancestors.
 
 Elements that are never article text are cut before densities are taken: by their tags, and by class, id or role where every
-part of a name says so (related-posts, not related-work); single paragraphs, headings and the like are cut only by the names
-of adverts, comments and sharing. One page is one row: nothing is shuffled.
+part of a name says so (related-posts, not related-work), articles only where another one is not so named; single
+paragraphs, headings and the like are cut only by the names of adverts, comments and sharing. One page is one row: nothing
+is shuffled.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import math
 import re
@@ -26,11 +29,16 @@ from pyspark.sql import functions as F
 
 from skillweave.llm.common import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: Tags whose quotes never close, of which a page may have so many before quotes are ignored: each is looked for to its end.
+_UNCLOSED = 3
+_HOMES = re.compile(r"<(article|main)((?:\s[^>]*)?)>", re.I)
 _MARK = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_CUT = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "template", "svg", "math", "canvas", "object", "audio", "video", "map", "datalist", "fieldset", "head"}
+_CUT = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "template", "svg", "annotation", "annotation-xml", "canvas", "object", "audio", "video", "map", "datalist", "fieldset", "head"}
 _BLOCK = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody thead tfoot tr td th caption ul head".split()
@@ -65,6 +73,8 @@ _PLAIN = set(
 _SURE = set("ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments share sharing cookie cookies newsletter breadcrumb breadcrumbs".split())
 _SINGLE = set("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote table tr td th figure figcaption details summary hgroup caption span em strong b i a".split())
 _HEAD = {"header", "masthead", "topbar"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+_LEADS = _HEADINGS | {"p", "blockquote"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -89,12 +99,20 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def parse(source: str) -> tuple[_Node, list[tuple[_Node, str]]]:
-    """The tree below the body and its text blocks (node, text) in page order."""
+    """The tree below the body and its text blocks (node, text) in page order.
+
+    What is open is known by tag and place on the stack, so a tag costs no walk down the stack but over what it closes: the
+    time is that of the page's length, however deep it nests.
+    """
     root = _Node("body", None)
-    stack: list[tuple[str, _Node, bool]] = []  # open elements: tag, its block node, whether its text is cut
+    stack: list[tuple[str, _Node, bool, int]] = []  # open elements: tag, its block node, whether its text is cut, open links
+    places: dict[str, list[int]] = {}  # where on the stack a tag is open, ascending
+    homes = [_marked(m[1].lower(), m[2], False) for m in _HOMES.finditer(source)]
+    spared = all(homes)  # every article bears a telling name, so none of these names tells
     blocks: list[tuple[_Node, str]] = []
     run: list[str] = []
     node, cut, linked, order = root, False, 0, [root]
+    top = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def flush() -> None:
         if run:
@@ -103,17 +121,16 @@ def parse(source: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             if text:
                 blocks.append((node, text))
 
-    def back() -> None:
-        nonlocal node, cut, linked
-        node = stack[-1][1] if stack else root
-        cut = stack[-1][2] if stack else False
-        linked = sum(t == "a" for t, _, _ in stack)
-
     def close(at: int) -> None:
-        if any(t in _BLOCK for t, _, _ in stack[at:]):
+        nonlocal node, cut, linked
+        if any(x[0] in _BLOCK for x in stack[at:]):
             flush()
+        for x in stack[at:]:
+            places[x[0]].pop()
+            if x[0] in _BLOCK:
+                places["#block"].pop()
         del stack[at:]
-        back()
+        _, node, cut, linked = stack[-1] if stack else ("", root, False, 0)
 
     def say(raw: str) -> None:
         if raw and not cut:
@@ -124,51 +141,53 @@ def parse(source: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             if linked:
                 node.link_chars += n
 
-    at, find, end = 0, _TOKEN.search, len(source)
+    at, end, last, unclosed, said = 0, len(source), source.rfind(">"), 0, 0
     while at < end:
-        m = find(source, at)
-        if m is None:
-            say(source[at:])
+        here = source.find("<", at)
+        if here < 0:
             break
-        say(source[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        m = _OTHER.match(source, here)
+        if m:
+            say(source[said:here])
+            at = said = m.end()
             continue
-        tag = tag.lower()
+        follows = source[here + 1 : here + 3].lstrip("/")
+        if here > last or not (follows[:1].isascii() and follows[:1].isalpha()):
+            at = here + 1
+            continue
+        m = _TAG.match(source, here) if unclosed < _UNCLOSED else _BARE.match(source, here)
+        if m is None:
+            unclosed += 1
+            m = _BARE.match(source, here)
+        if m is None:
+            at = here + 1
+            continue
+        say(source[said:here])
+        at = said = m.end()
+        tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag not in _BLOCK and stack[i][0] in _BLOCK:
-                    break
+            found = top((tag,))
+            if found >= 0 and (tag in _BLOCK or found > top(("#block",))):
+                close(found)
             continue
         if tag in _RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             at = end if stop is None else stop.start()
             close_at = source.find(">", at)
-            at = end if close_at < 0 else close_at + 1
+            at = said = end if close_at < 0 else close_at + 1
             continue
         if tag in ("html", "body"):
             continue
         if tag in _ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in ("table", "td", "th", "button", "object"):
-                    break
+            found = top(("p",))
+            if found > top(("table", "td", "th", "button", "object")):
+                close(found)
         if tag in _IMPLIED:
             ended, limit = _IMPLIED[tag]
-            lowest = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in limit:
-                    break
-                if stack[i][0] in ended:
-                    lowest = i
-            if lowest is not None:
-                close(lowest)
+            bound = top(limit)
+            above = [places[t][i] for t in ended if places.get(t) for i in [bisect.bisect_right(places[t], bound)] if i < len(places[t])]
+            if above:
+                close(min(above))
         if tag == "br" or tag == "hr":
             if tag == "hr":
                 flush()
@@ -179,23 +198,27 @@ def parse(source: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             continue
         gone = cut or tag in _CUT
         if not gone and (m[3] or tag == "header"):
-            inside = any(t in ("article", "main") for t, _, _ in stack)
-            gone = (tag == "header" and not inside) or (bool(m[3]) and _marked(tag, m[3], inside))
-        if tag in _BLOCK or gone:
+            inside = top(("article", "main")) >= 0
+            named = bool(m[3]) and not (spared and tag in ("article", "main")) and _marked(tag, m[3], inside)
+            gone = (tag == "header" and not inside) or named
+        if tag in _BLOCK or tag == "dialog":
             flush()
             if not gone:
                 child = _Node(tag, node)
                 node.kids.append(child)
                 order.append(child)
                 node = child
-        elif tag == "a" and not cut:
+        elif tag == "a" and not gone:
             node.links += 1
             node.tags += 1
-            linked += 1
-        cut = gone
-        stack.append((tag, node, cut))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK:
+            places.setdefault("#block", []).append(len(stack))
+        cut, linked = gone, linked + (tag == "a")
+        stack.append((tag, node, cut, linked))
         if m[3].endswith("/") and tag not in _BLOCK:
             close(len(stack) - 1)
+    say(source[said:])
     flush()
     for x in reversed(order):
         if x.parent is not None:
@@ -251,12 +274,27 @@ def _content(root: _Node, blocks: list[tuple[_Node, str]]) -> tuple[set[int], se
         top[id(x)] = max([(x.total if x.kids else x.density, x), *(top[id(y)] for y in x.kids)], key=lambda t: t[0])
     kept = {id(best), *(id(top[id(x)][1]) for x in order if x.chars and x.density >= threshold)}
     out: set[int] = set()
+    if home is None:
+        kept |= _leads(best)
     if home is not None:
         kept.add(id(home))
         out = {id(x) for x in order if x.link_chars * 2 > x.chars and x.density < threshold and id(x) not in kept}
     return kept, out
 
 
+def _leads(best: _Node) -> set[int]:
+    """Headings and paragraphs right before the root, and headings right before its ancestors: the article's own, however short."""
+    found, x, kinds = set(), best, _LEADS
+    while x.parent is not None:
+        before = x.parent.kids[: next(i for i, y in enumerate(x.parent.kids) if y is x)]
+        for y in reversed(before):
+            if y.tag not in kinds or y.link_chars * 2 > y.chars:
+                break
+            found.add(id(y))
+        x, kinds = x.parent, _HEADINGS
+    return found
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, joined by an empty line; '' for null, empty or textless pages."""
     if not source:

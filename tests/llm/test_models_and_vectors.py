@@ -173,6 +173,118 @@ def main_text_of_ties():
     return [x for x in html_text.main_text(page).split("\n\n") if len(x) < 9]
 
 
+def words(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def paragraphs(name, count, n):
+    return "".join(f"<p>{words(f'{name}{i}x', n)}</p>" for i in range(count))
+
+
+def test_pages_keep_formulas_leads_and_their_only_article():
+    text = html_text.main_text
+    assert text(f"<body><p>Energy <math><mi>E</mi>=<mi>mc2</mi><annotation>tex</annotation></math> is <svg><text>no</text></svg> {words('W', 30)}</p></body>").startswith("Energy E=mc2 is W0 W1")
+    promo = "".join(f"<p>{words(f'P{i}x', 40)}</p>" for i in range(5))
+    assert text(f'<nav><a href=x>menu</a></nav><article class="promo">{promo}</article>').count("\n\n") == 4
+    both = text(f'<article class="promo">{promo}</article><article>{paragraphs("A", 5, 40)}</article>')
+    assert "P0x" not in both and both.count("\n\n") == 4
+    page = f"<body><div><h2>Of all</h2><div><p><a href=x>unrelated link here</a></p><h1>The title</h1><p>{words('Lead', 15)}</p><div>{paragraphs('B', 6, 60)}</div></div></div></body>"
+    assert [x.split(" ")[0] for x in text(page).split("\n\n")][:3] == ["Of", "The", "Lead0"]
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    pages = ["<div>" * 20000 + "deep", "<b>" * 20000 + "<p>x" * 20000, "<i><div>" + "<b>" * 20000 + "</i>" * 20000, "<div>" * 20000 + "<li>x" * 20000, "<div>" * 20000 + "</section>" * 20000]
+    pages += ["<a " * 100000, '<b "> " ' * 40000, "<b \"'>" * 40000, '<span class="x">' * 40000, '<div class="a b">' * 20000 + '<p class="c">z</p>' * 20000, "<!--" * 50000, "<a>" * 40000]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 5, page[:30]
+
+
+def independent(page):
+    """Density sums of a well-formed page of blocks by the standard library's parser, recursively, and the text of the greatest."""
+    import math
+    from html.parser import HTMLParser
+
+    tree = {"tag": "body", "kids": [], "own": 0, "link": 0, "links": 0, "texts": []}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.in_link = [tree], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.in_link += 1
+                self.open[-1]["links"] += 1
+            elif tag not in ("html", "body"):
+                x = {"tag": tag, "kids": [], "own": 0, "link": 0, "links": 0, "texts": []}
+                self.open[-1]["kids"].append(x)
+                self.open[-1]["texts"].append(x)
+                self.open.append(x)
+
+        def handle_endtag(self, tag):
+            if tag == "a":
+                self.in_link -= 1
+            elif tag not in ("html", "body"):
+                self.open.pop()
+
+        def handle_data(self, data):
+            n = len("".join(data.split()))
+            self.open[-1]["own"] += n
+            self.open[-1]["link"] += n * bool(self.in_link)
+            self.open[-1]["texts"].append(data)
+
+    Reader().feed(page)
+    total = lambda x, k: x[k] + sum(total(y, k) for y in x["kids"])
+    count = lambda x: x["links"] + sum(1 + count(y) for y in x["kids"])
+    share = total(tree, "link") / max(1, total(tree, "own"))
+
+    def density(x):
+        chars, link, links, tags = total(x, "own"), total(x, "link"), total(x, "links"), max(1, count(x))
+        if not chars:
+            return 0.0
+        base = math.log(chars / max(1, chars - link) * max(1, link) + share * chars + math.e)
+        return chars / tags * max(0.0, math.log(max(1.0, chars / max(1, link) * tags / max(1, links)))) / base
+
+    every = []
+
+    def visit(x):
+        every.append((sum(density(y) for y in x["kids"]), x))
+        for y in x["kids"]:
+            visit(y)
+
+    visit(tree)
+    best = max(every, key=lambda t: t[0])
+    flat = lambda x: [z for y in x["texts"] for z in (flat(y) if isinstance(y, dict) else [" ".join(y.split())]) if z]
+    return best[0], flat(best[1])
+
+
+def test_root_against_an_independent_selection():
+    for seed in range(60):
+        r = random.Random(seed)
+
+        def block(depth):
+            if depth == 0 or r.random() < 0.4:
+                n = r.choice([2, 8, 40, 120])
+                return f"<p>{words(f'w{r.randrange(9999)}', n)}{' <a>' + words('l', r.choice([1, 9])) + '</a>' if r.random() < 0.3 else ''}</p>"
+            return "<div>" + "".join(block(depth - 1) for _ in range(r.randint(1, 5))) + "</div>"
+
+        page = "<body>" + "".join(block(3) for _ in range(r.randint(2, 5))) + "</body>"
+        root, blocks = html_text.parse(page)
+        todo, best = [root], 0.0
+        while todo:
+            x = todo.pop()
+            best = max(best, x.total)
+            todo += x.kids
+        total, texts = independent(page)
+        assert best == pytest.approx(total)
+        kept = html_text.main_text(page).split("\n\n")
+        assert set(" ".join(texts).split()) <= set(" ".join(kept).split()), page
+
+
 def test_densities_by_hand():
     """Composite density and density sums of a small tree, from the page itself."""
     import math
@@ -269,6 +381,50 @@ def test_vector_groups(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+def odd_vectors(r, kind, n, width):
+    if kind == "sparse":
+        out = np.zeros((n, width))
+        for x in out:
+            x[r.choice(width, 3, replace=False)] = r.standard_normal(3)
+        return out
+    if kind == "one-hot":
+        return np.eye(width)[r.integers(0, width, n)] * r.uniform(0.5, 2, (n, 1))
+    return r.standard_normal((n, 2)) @ r.standard_normal((2, width))
+
+
+@pytest.mark.parametrize("kind", ["sparse", "one-hot", "low-rank"])
+def test_vectors_of_few_directions(spark, kind):
+    """Few filters for each vector, recall at the threshold, and whole results against brute force."""
+    r = np.random.default_rng(5)
+    turn, books = embedding_dedup.rotation(64), embedding_dedup.code_books(64)
+    assert np.abs(turn @ turn.T - np.eye(64)).max() < 1e-12
+    hit, counts = 0, []
+    for x in odd_vectors(r, kind, 200, 64):
+        x /= np.linalg.norm(x)
+        z = r.standard_normal(64)
+        z -= z @ x * x
+        y = 0.98 * x + (1 - 0.98**2) ** 0.5 * z / np.linalg.norm(z)
+        own = embedding_dedup.filters_of(turn @ x, books)
+        counts.append(len(own))
+        hit += len(np.intersect1d(own, embedding_dedup.filters_of(turn @ y, books))) > 0
+    assert hit / 200 > 0.97 and max(counts) < 150 and np.mean(counts) < 30
+    rows = [(i, [float(c) for c in v], i % 2) for i, v in enumerate(odd_vectors(r, kind, 240, 64))]
+    out = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = linked(rows)
+    assert sum(g.n_links for g in out) >= 0.97 * sum(n for _, n, _ in want)
+    assert all(n >= g.n_links for (_, n, _), g in zip(want, sorted(out, key=lambda g: str((g.vec_id, g.n_links, g.component_id)))) if kind == "sparse")
+
+
+def test_thousands_of_sparse_vectors_finish(spark):
+    r = np.random.default_rng(0)
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(odd_vectors(r, "sparse", 3000, 64))]
+    got = {g.vec_id: g.n_links for g in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    assert sum(got.values()) >= 0.97 * links.sum() and all(got[i] <= links[i] for i in got)
+
+
 @pytest.mark.parametrize("width,rows", [(16, 300), (64, 300), (768, 80)])
 def test_recall_at_the_threshold(width, rows):
     r, books, hit, filters = np.random.default_rng(2), embedding_dedup.code_books(width), 0, 0
