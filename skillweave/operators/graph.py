@@ -1,7 +1,8 @@
 """Skill graph: edges (src, dst, type, ordinal) of types prerequisite, related and leads_to, as plain relations.
 
-A prerequisite edge says that src needs dst. Walks are bounded by levels: each level is one join and keeps, for every
-start, a node only once, so a walk's rows are bounded by starts times nodes whatever the number of paths.
+A prerequisite edge says that src needs dst. Candidates are walked together, keyed by candidate. A graph of up to MAX_EDGES
+edges becomes a map literal, and a walk one projection over each row; a larger one is walked level by level (walks). Neither
+way limits the length of a walk.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 24
-MAX_EDGES = 5000
+from skillweave.operators import walks
+
+MAX_EDGES = 2000
 
 
 def neighbours(edges: DataFrame, kind: str) -> DataFrame:
@@ -22,28 +24,57 @@ def neighbours(edges: DataFrame, kind: str) -> DataFrame:
     return rows.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "dst"))), lambda x: x["dst"]).alias("neighbours"))
 
 
-def adjacency(edges: DataFrame, kind: str, most: int = MAX_EDGES) -> Column:
-    """A map column node -> neighbours of a skill graph, which is configuration: more than most edges are refused."""
+def _listed(edges: DataFrame, kind: str, most: int) -> dict[str, list[str]] | None:
+    """Node -> neighbours in order, or None above most edges."""
     rows = edges.filter(F.col("type") == kind).select("src", "dst", "ordinal").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"the graph has more than {most} {kind} edges")
+        return None
     by: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.src, r.ordinal)):
         by.setdefault(r.src, []).append(r.dst)
+    return by
+
+
+def _literal(by: dict[str, list[str]]) -> Column:
     if not by:
         return F.create_map().cast("map<string, array<string>>")
     return F.create_map(*[x for src, dst in by.items() for x in (F.lit(src), F.array(*[F.lit(d) for d in dst]))])
 
 
-def missing_prerequisites(goals: DataFrame, owned: DataFrame, edges: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
+def adjacency(edges: DataFrame, kind: str, most: int = MAX_EDGES) -> Column:
+    """A map column node -> neighbours of a skill graph small enough for a literal; neighbours() gives any graph's as rows."""
+    by = _listed(edges, kind, most)
+    if by is None:
+        raise ValueError(f"the graph has more than {most} {kind} edges")
+    return _literal(by)
+
+
+def _levels(by: dict[str, list[str]]) -> int:
+    """The most steps that the shortest way between two nodes takes."""
+    most = 0
+    for start in by:
+        seen, front, depth = {start}, [start], 0
+        while front := [d for s in front for d in by.get(s, ()) if d not in seen and not seen.add(d)]:
+            depth += 1
+        most = max(most, depth)
+    return most
+
+
+def prerequisites(edges: DataFrame) -> DataFrame:
+    return edges.filter(F.col("type") == "prerequisite").select("src", "dst")
+
+
+def missing_prerequisites(goals: DataFrame, owned: DataFrame, edges: DataFrame, most: int = MAX_EDGES) -> DataFrame:
     """(candidate, goal, skill, depth): unowned prerequisites of goals at their least depth; owned skills end a walk.
 
-    goals is (candidate, goal), owned (candidate, skill). The graph is a literal, so every candidate's walk is one projection
-    over its own row: levels steps that each add what the frontier needs and has not been met. Nodes further than levels
-    are not reached; a cycle ends by itself, as a node is met once.
+    goals is (candidate, goal), owned (candidate, skill). Up to most edges every candidate's walk is one projection over its
+    own row, in as many steps as the graph is deep, that each add what the frontier needs and has not been met; larger
+    graphs are walked level by level (transitive_prerequisites). A cycle ends by itself, as a node is met once.
     """
-    need = adjacency(edges, "prerequisite")
-    none = F.array().cast("array<string>")
+    by = _listed(edges, "prerequisite", most)
+    if by is None:
+        return transitive_prerequisites(goals, owned, edges)
+    need, none = _literal(by), F.array().cast("array<string>")
     mine = owned.groupBy("candidate").agg(F.collect_set("skill").alias("mine"))
     rows = goals.join(mine, "candidate", "left").withColumn("mine", F.coalesce("mine", none))
 
@@ -54,35 +85,24 @@ def missing_prerequisites(goals: DataFrame, owned: DataFrame, edges: DataFrame,
         return F.struct(front.alias("front"), met.alias("met"))
 
     start = F.struct(F.array("goal").alias("front"), F.array(F.struct(F.col("goal").alias("skill"), F.lit(0).alias("depth"))).alias("met"))
-    walked = rows.select("candidate", "goal", F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, step).alias("w"))
+    walked = rows.select("candidate", "goal", F.aggregate(F.sequence(F.lit(1), F.lit(max(1, _levels(by)))), start, step).alias("w"))
     return walked.select("candidate", "goal", F.explode("w.met").alias("m")).select("candidate", "goal", "m.skill", "m.depth").filter("depth > 0")
 
 
-def transitive_prerequisites(edges: DataFrame, goals: list[str], owned: list[str], levels: int = MAX_LEVELS) -> DataFrame:
-    """(goal, skill, depth) as one recursive query for a driver-sized set of goals and one owner."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(goal, skill, depth) AS (
-          SELECT g, g, 0 FROM (SELECT explode(:goals) AS g)
-          UNION ALL
-          SELECT w.goal, e.dst, w.depth + 1 FROM walk w JOIN {{edges}} e ON e.src = w.skill AND e.type = 'prerequisite'
-          WHERE NOT array_contains(:owned, e.dst) AND w.depth < {int(levels)}
-        )
-        SELECT goal, skill, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY goal, skill
-        """,
-        args={"goals": goals, "owned": owned},
-        edges=edges,
-    )
+def transitive_prerequisites(goals: DataFrame, owned: DataFrame, edges: DataFrame) -> DataFrame:
+    """missing_prerequisites for a graph of any size: one level of all candidates' walks after the other."""
+    starts = goals.select("candidate", "goal", F.col("goal").alias("node"))
+    found = walks.reached(starts, prerequisites(edges), ["candidate", "goal"], barred=owned.select("candidate", F.col("skill").alias("node")))
+    return found.filter("depth > 0").withColumnRenamed("node", "skill")
 
 
-def learning_path(prerequisites: DataFrame) -> DataFrame:
-    """(goal, step, skill, kind): prerequisites, deepest first, then the goal."""
-    rows = prerequisites.select("goal", "skill", "depth", F.lit("prerequisite").alias("kind")).unionByName(
-        prerequisites.select("goal").distinct().select("goal", F.col("goal").alias("skill"), F.lit(0).alias("depth"), F.lit("target").alias("kind"))
+def learning_path(prerequisites: DataFrame, by: tuple[str, ...] = ("goal",)) -> DataFrame:
+    """(by, step, skill, kind): prerequisites (by, skill, depth), deepest first, then the goal, which is the last of by."""
+    rows = prerequisites.select(*by, "skill", "depth", F.lit("prerequisite").alias("kind")).unionByName(
+        prerequisites.select(*by).distinct().select(*by, F.col(by[-1]).alias("skill"), F.lit(0).alias("depth"), F.lit("target").alias("kind"))
     )
-    step = F.row_number().over(W.partitionBy("goal").orderBy(F.desc("depth"), "skill"))
-    return rows.select("goal", step.alias("step"), "skill", "kind")
+    step = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("depth"), "skill"))
+    return rows.select(*by, step.alias("step"), "skill", "kind")
 
 
 def next_skills(owned: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
@@ -118,87 +138,67 @@ def first_cluster(skills: DataFrame, clusters: DataFrame) -> DataFrame:
     return skills.join(clusters.groupBy("skill").agg(F.min_by("cluster", F.struct("pos", "cluster")).alias("cluster")), "skill", "left")
 
 
-def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends in nodes (skill)."""
-    return edges.join(nodes.select(F.col("skill").alias("src")), "src", "left_semi").join(nodes.select(F.col("skill").alias("dst")), "dst", "left_semi").select("src", "dst", "type")
-
-
-def dependent_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(skill, dependents, centrality): how many nodes need a skill, over n - 1."""
-    inside = induced(edges.filter(F.col("type") == "prerequisite"), nodes)
-    counts = inside.groupBy(F.col("dst").alias("skill")).agg(F.countDistinct("src").alias("dependents"))
-    n = nodes.agg(F.count(F.lit(1)).alias("n"))
-    rows = nodes.select("skill").join(counts, "skill", "left").fillna({"dependents": 0}).join(F.broadcast(n), F.lit(True))
-    return rows.select("skill", "dependents", F.when(F.col("n") > 1, F.round(F.col("dependents") / (F.col("n") - 1), 4)).otherwise(0.0).alias("centrality"))
-
-
-def degree_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(skill, degree, centrality): prerequisites and leads_to of a skill inside nodes, over n - 1."""
-    inside = induced(edges.filter(F.col("type").isin("prerequisite", "leads_to")), nodes)
-    counts = inside.groupBy(F.col("src").alias("skill")).agg(F.count(F.lit(1)).alias("degree"))
-    n = nodes.agg(F.count(F.lit(1)).alias("n"))
-    rows = nodes.select("skill").join(counts, "skill", "left").fillna({"degree": 0}).join(F.broadcast(n), F.lit(True))
-    return rows.select("skill", "degree", F.when(F.col("n") > 1, F.round(F.col("degree") / (F.col("n") - 1), 4)).otherwise(0.0).alias("centrality"))
-
-
-def prerequisite_boost(edges: DataFrame, role_skills: DataFrame) -> DataFrame:
-    """(skill, boost): 1 + 0.1 for each skill of the role that needs it, at most 1.5."""
-    needed = edges.filter(F.col("type") == "prerequisite").join(role_skills.select(F.col("skill").alias("src")), "src", "left_semi")
-    return needed.groupBy(F.col("dst").alias("skill")).agg(F.least(F.lit(1.0) + F.lit(0.1) * F.countDistinct("src"), F.lit(1.5)).alias("boost"))
-
-
-def depth_to_owned(edges: DataFrame, nodes: list[str], owned: list[str], unreachable: int = 999, levels: int = MAX_LEVELS) -> DataFrame:
-    """(skill, depth): least number of prerequisite steps from a skill to an owned one; owned 0, unreachable as given."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(skill, at, depth) AS (
-          SELECT n, n, 0 FROM (SELECT explode(:nodes) AS n)
-          UNION ALL
-          SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN {{edges}} e ON e.src = w.at AND e.type = 'prerequisite'
-          WHERE NOT array_contains(:owned, w.at) AND w.depth < {int(levels)}
-        )
-        SELECT skill, coalesce(min(CASE WHEN array_contains(:owned, at) THEN depth END), {int(unreachable)}) AS depth FROM walk GROUP BY skill
-        """,
-        args={"nodes": nodes, "owned": owned},
-        edges=edges,
-    )
+def induced(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, src, dst, type): edges with both ends in nodes (by, skill)."""
+    inside = edges.join(nodes.select(*by, F.col("skill").alias("src")).distinct(), "src")
+    return inside.join(nodes.select(*by, F.col("skill").alias("dst")).distinct(), [*by, "dst"], "left_semi").select(*by, "src", "dst", "type")
 
 
-def longest_depth(edges: DataFrame, nodes: list[str], owned: list[str], levels: int = MAX_LEVELS) -> DataFrame:
-    """(skill, depth): length of the longest prerequisite chain inside nodes that leads from a skill, owned skills not walked."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(skill, at, depth) AS (
-          SELECT n, n, 0 FROM (SELECT explode(:nodes) AS n)
-          UNION ALL
-          SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN {{edges}} e ON e.src = w.at AND e.type = 'prerequisite'
-          WHERE array_contains(:nodes, e.dst) AND NOT array_contains(:owned, e.dst) AND NOT array_contains(:owned, w.at) AND w.depth < {int(levels)}
-        )
-        SELECT skill, max(depth) AS depth FROM walk GROUP BY skill
-        """,
-        args={"nodes": nodes, "owned": owned},
-        edges=edges,
-    )
+def _over_others(nodes: DataFrame, counts: DataFrame, name: str, by: tuple[str, ...]) -> DataFrame:
+    """(by, skill, name, centrality): a count over one less than the nodes of by."""
+    rows = nodes.select(*by, "skill").join(counts, [*by, "skill"], "left").fillna({name: 0})
+    n = F.count(F.lit(1)).over(W.partitionBy(*by)) if by else None
+    rows = rows.withColumn("n", n) if by else rows.join(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n"))), F.lit(True))
+    return rows.select(*by, "skill", name, F.when(F.col("n") > 1, F.round(F.col(name) / (F.col("n") - 1), 4)).otherwise(0.0).alias("centrality"))
 
 
-def first_prerequisite_chain(edges: DataFrame, goal: str, levels: int = MAX_LEVELS) -> DataFrame:
-    """(step, skill): the chain of first-listed prerequisites that ends at goal."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(skill, path, depth) AS (
-          SELECT :goal, array(:goal), 0
-          UNION ALL
-          SELECT e.dst, concat(w.path, array(e.dst)), w.depth + 1 FROM walk w JOIN {{edges}} e ON e.src = w.skill AND e.type = 'prerequisite' AND e.ordinal = 0
-          WHERE NOT array_contains(w.path, e.dst) AND w.depth < {int(levels)}
-        )
-        SELECT CAST(max(depth) OVER () - depth AS INT) AS step, skill FROM walk
-        """,
-        args={"goal": goal},
-        edges=edges,
-    )
+def dependent_centrality(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, skill, dependents, centrality): how many nodes need a skill, over n - 1."""
+    inside = induced(edges.filter(F.col("type") == "prerequisite"), nodes, by)
+    return _over_others(nodes, inside.groupBy(*by, F.col("dst").alias("skill")).agg(F.countDistinct("src").alias("dependents")), "dependents", by)
+
+
+def degree_centrality(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, skill, degree, centrality): prerequisites and leads_to of a skill inside nodes, over n - 1."""
+    inside = induced(edges.filter(F.col("type").isin("prerequisite", "leads_to")), nodes, by)
+    return _over_others(nodes, inside.groupBy(*by, F.col("src").alias("skill")).agg(F.count(F.lit(1)).alias("degree")), "degree", by)
+
+
+def prerequisite_boost(edges: DataFrame, role_skills: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, skill, boost): 1 + 0.1 for each skill of the role that needs it, at most 1.5."""
+    needed = edges.filter(F.col("type") == "prerequisite").join(role_skills.select(*by, F.col("skill").alias("src")).distinct(), "src")
+    return needed.groupBy(*by, F.col("dst").alias("skill")).agg(F.least(F.lit(1.0) + F.lit(0.1) * F.countDistinct("src"), F.lit(1.5)).alias("boost"))
+
+
+def depth_to_owned(nodes: DataFrame, owned: DataFrame, edges: DataFrame, unreachable: int = 999) -> DataFrame:
+    """(candidate, skill, depth): least number of prerequisite steps from a skill of nodes to an owned one; owned 0, unreachable as given.
+
+    One search for each candidate, from all owned skills down to what needs them.
+    """
+    down = prerequisites(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    near = walks.reached(owned.select("candidate", F.col("skill").alias("node")), down, ["candidate"]).withColumnRenamed("node", "skill")
+    return nodes.select("candidate", "skill").distinct().join(near, ["candidate", "skill"], "left").select("candidate", "skill", F.coalesce("depth", F.lit(unreachable)).alias("depth"))
+
+
+def longest_depth(nodes: DataFrame, owned: DataFrame, edges: DataFrame) -> DataFrame:
+    """(candidate, skill, depth): length of the longest prerequisite chain inside a candidate's nodes from a skill on, owned skills not walked.
+
+    Chains are followed from their ends: the longest way down to a skill is its depth. A cycle inside nodes raises
+    walks.CyclicGraph.
+    """
+    down = prerequisites(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    every = nodes.select("candidate", "skill").distinct()
+    fresh = every.join(owned.select("candidate", "skill"), ["candidate", "skill"], "left_anti").withColumnRenamed("skill", "node")
+    found = walks.farthest(fresh, down, ["candidate"], inside=fresh).withColumnRenamed("node", "skill")
+    return every.join(found, ["candidate", "skill"], "left").select("candidate", "skill", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def first_prerequisite_chain(goals: DataFrame, edges: DataFrame) -> DataFrame:
+    """(candidate, goal, step, skill): the chain of first-listed prerequisites that ends at each goal (candidate, goal), from step 0."""
+    starts = goals.select("candidate", "goal", F.col("goal").alias("node"))
+    found = walks.reached(starts, edges.filter("type = 'prerequisite' AND ordinal = 0"), ["candidate", "goal"])
+    last = F.max("depth").over(W.partitionBy("candidate", "goal"))
+    return found.select("candidate", "goal", (last - F.col("depth")).cast("int").alias("step"), F.col("node").alias("skill"))
 
 
 def skill_trees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -208,22 +208,38 @@ def skill_trees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(F.col("src").alias("skill"), F.coalesce("a", "b", F.array().cast("array<string>")).alias("children"))
 
 
-def role_aware_prune(
-    nodes: DataFrame, edges: DataFrame, scores: Column, min_relevance: float = 0.2, per_depth: int = 8
-) -> DataFrame:
+def role_aware_prune(nodes: DataFrame, edges: DataFrame, scores: Column, min_relevance: float = 0.2, per_depth: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
     """Nodes kept for a role: relevance at least min_relevance, the best per_depth of each depth, and their direct prerequisites.
 
-    nodes is (skill, relevance, depth, ...); scores is a column over it. Adds score and whether a node came in as a
+    nodes is (by, skill, relevance, depth, ...); scores is a column over it. Adds score and whether a node came in as a
     prerequisite.
     """
     scored = nodes.withColumn("score", scores)
-    rank = F.row_number().over(W.partitionBy("depth").orderBy(F.desc("score"), "skill"))
+    rank = F.row_number().over(W.partitionBy(*by, "depth").orderBy(F.desc("score"), "skill"))
     best = scored.filter(F.col("relevance") >= min_relevance).withColumn("rn", rank).filter(F.col("rn") <= per_depth).drop("rn")
-    needs = edges.filter(F.col("type") == "prerequisite").join(best.select(F.col("skill").alias("src")), "src", "left_semi").select(F.col("dst").alias("skill")).distinct()
-    added = scored.join(needs, "skill", "left_semi").join(best.select("skill"), "skill", "left_anti")
+    needs = edges.filter(F.col("type") == "prerequisite").join(best.select(*by, F.col("skill").alias("src")), "src").select(*by, F.col("dst").alias("skill")).distinct()
+    added = scored.join(needs, [*by, "skill"], "left_semi").join(best.select(*by, "skill"), [*by, "skill"], "left_anti")
     return best.withColumn("added", F.lit(False)).unionByName(added.withColumn("added", F.lit(True)))
 
 
+def pruned_graph(nodes: DataFrame, edges: DataFrame, scores: Column, min_relevance: float = 0.2, per_depth: int = 8, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The kept nodes, the edges between them, and statistics of role_aware_prune.
+
+    Statistics are (by, original_nodes, pruned_nodes, removed_nodes, reduction_ratio, kept_by_relevance, kept_by_dependency,
+    pruned_edges).
+    """
+    kept = role_aware_prune(nodes, edges, scores, min_relevance, per_depth, by)
+    links = induced(edges, kept, by)
+    ok = F.count_if(F.col("relevance") >= min_relevance)
+    stats = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("original_nodes"), ok.alias("kept_by_relevance"))
+    parts = (kept.groupBy(*by).agg(F.count(F.lit(1)).alias("pruned_nodes"), F.count_if("added").alias("kept_by_dependency")), links.groupBy(*by).agg(F.count(F.lit(1)).alias("pruned_edges")))
+    for rows in parts:
+        stats = stats.join(rows, list(by), "left") if by else stats.join(F.broadcast(rows), F.lit(True), "left")
+    stats = stats.fillna(0, ["pruned_nodes", "kept_by_dependency", "pruned_edges"])
+    gone = F.col("original_nodes") - F.col("pruned_nodes")
+    return kept, links, stats.select(*by, "original_nodes", "pruned_nodes", gone.alias("removed_nodes"), F.round(gone / F.col("original_nodes"), 3).alias("reduction_ratio"), "kept_by_relevance", "kept_by_dependency", "pruned_edges")
+
+
 def node_score(depth: str = "depth") -> Column:
     """relevance * market * centrality * boost, a fifth more above depth 2; columns by these names."""
     base = reduce(lambda a, b: a * b, [F.col("relevance"), F.col("market"), F.col("centrality"), F.col("boost")])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skillweave.operators.graph import adjacency
+from skillweave.operators import walks
+from skillweave.operators.graph import depth_to_owned, prerequisites
+from skillweave.storage import Levels
 
 MAX_PER_PHASE, MIN_PER_PHASE, MAX_PHASES = 5, 2, 6
 PENALTY, PENALTY_CAP, SYNERGY, SYNERGY_CAP = 0.15, 0.5, 0.02, 0.10
@@ -28,23 +29,61 @@ def chunk_phases(ordered: DataFrame, by: str = "candidate", max_per: int = MAX_P
     return out.withColumn("phase", F.when(short & (phase == last), last - 1).otherwise(phase)).drop("_r", "_n", "_s")
 
 
-def repaired_phases(phases: DataFrame, edges: DataFrame, by: str = "candidate", rounds: int | None = None) -> DataFrame:
-    """(by, skill, phase): a skill moves one phase later while a prerequisite sits in a later phase.
+def repaired_phases(phases: DataFrame, edges: DataFrame, by: str = "candidate") -> DataFrame:
+    """(by, skill, phase): no skill before its prerequisites.
 
-    A roadmap's skills are few (a role's list), so each roadmap is one array and all rounds are one projection over it. No
-    skill rises above the last phase, so twice as many rounds as skills reach the end; prerequisites in a circle would rise
-    for ever and stop there. rounds bounds the rounds below that, unless it is None.
+    A skill that moves one phase later while a prerequisite sits in a later one ends in the latest phase of all it needs,
+    directly or through other skills of the roadmap; that phase is looked up by a walk inside the roadmap. Prerequisites in
+    a circle meet in one phase.
     """
-    need = adjacency(edges, "prerequisite")
-    none = F.array().cast("array<string>")
+    own = phases.select(by, F.col("skill").alias("node"))
+    needs = walks.reached(phases.select(by, "skill", F.col("skill").alias("node")), prerequisites(edges), [by, "skill"], inside=own)
+    latest = needs.join(phases.select(by, F.col("skill").alias("node"), F.col("phase").cast("int").alias("phase")), [by, "node"])
+    return latest.groupBy(by, "skill").agg(F.max("phase").alias("phase"))
 
-    def repair(state, _):
-        late = lambda s: F.exists(state, lambda o: (o["phase"] > s["phase"]) & F.array_contains(F.coalesce(F.try_element_at(need, s["skill"]), none), o["skill"]))
-        return F.transform(state, lambda s: F.struct(s["skill"].alias("skill"), F.when(late(s), s["phase"] + 1).otherwise(s["phase"]).alias("phase")))
 
-    rows = phases.groupBy(by).agg(F.collect_list(F.struct("skill", F.col("phase").cast("int").alias("phase"))).alias("state"))
-    fixed = rows.select(by, F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds) if rounds else F.size("state") * 2), F.col("state"), repair)).alias("s"))
-    return fixed.select(by, "s.skill", "s.phase")
+def expanded_phases(owned: DataFrame, missing: DataFrame, edges: DataFrame, max_per: int = MAX_PER_PHASE, min_per: int = MIN_PER_PHASE, max_phases: int = MAX_PHASES) -> DataFrame:
+    """(candidate, phase, skill, depth, pos): missing skills (candidate, skill) and all their prerequisites that are not owned, in phases.
+
+    The depth of a skill is the longest chain that leads from an owned skill to it through skills to learn; 0 without one.
+    Skills are cut in order of depth and name into even phases: as many as max_per needs but at most max_phases, of at least
+    min_per skills; then none stays before its prerequisites (repaired_phases). Candidates who miss nothing have no rows.
+    """
+    mine = owned.select("candidate", F.col("skill").alias("node")).distinct()
+    closed = walks.reached(missing.select("candidate", F.col("skill").alias("node")), prerequisites(edges), ["candidate"], barred=mine)
+    learn = closed.select("candidate", "node").join(mine, ["candidate", "node"], "left_anti")
+    down = prerequisites(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    depth = walks.farthest(mine, down, ["candidate"], inside=learn)
+    rows = learn.join(depth, ["candidate", "node"], "left").select("candidate", F.col("node").alias("skill"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    every = W.partitionBy("candidate")
+    pos = F.row_number().over(every.orderBy("depth", "skill"))
+    n = F.count(F.lit(1)).over(every)
+    wanted = F.least(F.lit(max_phases), F.greatest(F.lit(1), F.ceil(F.col("_n") / max_per)))
+    size = F.greatest(F.lit(min_per), F.ceil(F.col("_n") / wanted)).cast("int")
+    cut = rows.withColumn("pos", pos).withColumn("_n", n).withColumn("phase", (F.floor((F.col("pos") - 1) / size) + 1).cast("int")).drop("_n")
+    kept = Levels(owned.sparkSession, "phases")
+    kept.add(0, cut)
+    return kept.at(0).drop("phase").join(repaired_phases(kept.at(0).select("candidate", "skill", "phase"), edges), ["candidate", "skill"])
+
+
+def expanded_reason(depth: Column) -> Column:
+    """One sentence on a phase by the mean depth of its skills; the wordings are fixed values."""
+    return (
+        F.when(depth < 1, "Kiến thức nền tảng, làm quen với các khái niệm cơ bản")
+        .when(depth < 2, "Kỹ năng cốt lõi, xây dựng nền tảng vững chắc")
+        .when(depth < 3, "Phát triển chuyên sâu, áp dụng vào dự án thực tế")
+        .otherwise("Kỹ năng nâng cao, tối ưu và mở rộng hệ thống")
+    )
+
+
+def phase_title(phase: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.array(*[F.lit(t) for t in TITLES]), phase.cast("int")), F.concat(F.lit("Phase "), phase.cast("string")))
+
+
+def expanded_summary(phases: DataFrame) -> DataFrame:
+    """(candidate, phase, title, skills, skill_count, avg_depth, reason) of expanded_phases; skills by depth and name."""
+    found = phases.groupBy("candidate", "phase").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "skill"))), lambda x: x["skill"]).alias("skills"), F.avg("depth").alias("mean"))
+    return found.select("candidate", "phase", phase_title(F.col("phase")).alias("title"), "skills", F.size("skills").alias("skill_count"), F.round("mean", 2).alias("avg_depth"), expanded_reason(F.col("mean")).alias("reason"))
 
 
 def projection(owned: DataFrame, phases: DataFrame, weights: DataFrame, by: str = "candidate") -> DataFrame:
@@ -173,74 +212,41 @@ def phase_summary(phases: DataFrame, depths: DataFrame, by: str = "candidate") -
     """(by, phase, title, skills, skill_count, avg_depth, reason) of phases (by, skill, phase); depths is (skill, depth), 0 if absent."""
     rows = phases.join(depths.select("skill", "depth"), "skill", "left").fillna({"depth": 0})
     found = rows.groupBy(by, "phase").agg(F.array_sort(F.collect_list("skill")).alias("skills"), F.avg("depth").alias("mean"))
-    title = F.coalesce(F.try_element_at(F.array(*[F.lit(t) for t in TITLES]), F.col("phase").cast("int")), F.concat(F.lit("Phase "), F.col("phase").cast("string")))
     n = F.size("skills")
-    return found.select(by, "phase", title.alias("title"), "skills", n.alias("skill_count"), F.round("mean", 2).alias("avg_depth"), phase_reason(F.col("mean"), n).alias("reason"))
-
-
-GRAPH_SCORED = "phase int, score long, delta long, bottlenecks array<string>"
+    return found.select(by, "phase", phase_title(F.col("phase")).alias("title"), "skills", n.alias("skill_count"), F.round("mean", 2).alias("avg_depth"), phase_reason(F.col("mean"), n).alias("reason"))
 
 
-def graph_projection(states: DataFrame, edges: DataFrame, by: str = "candidate", most: int = 5000) -> DataFrame:
-    """(by, phase, score, delta, bottlenecks): the graph score today (phase 0) and after each phase, derived from the walk.
+def graph_projection(skills: DataFrame, owned: DataFrame, phases: DataFrame, edges: DataFrame, in_progress: DataFrame | None = None) -> DataFrame:
+    """(candidate, phase, score, delta, bottlenecks): the graph score today (phase 0) and after each phase.
 
-    states is (by, skills array<struct<skill, weight, market>>, completed, in_progress array<string>, phases
-    array<array<string>>), one row for each roadmap. A skill that is not completed counts by the share of its shortest way up
-    to a skill in hand (0 without one); a missing one loses 0.15 for every prerequisite met on the walk that is not in
-    hand, 0.5 at most, repeats counted. Scores are whole, half to even, at most 100. The skill graph is configuration and
-    is refused above most edges; roadmaps are scored where they are, in Arrow batches.
+    skills is (candidate, skill, weight, market, ordinal), owned and in_progress (candidate, skill), phases (candidate, phase,
+    skill) from 1. A phase's skills are owned from that phase on; all that are owned or in progress are in hand. A skill that is not
+    owned counts by the share of its shortest way up to one in hand (0 without one); a missing one loses 0.15 for every
+    prerequisite met on the way that is not in hand, 0.5 at most, repeats counted. Scores are whole, half to even, at most
+    100; skills of no weight do not count, and a candidate of no weights at all has score 0. bottlenecks are the three
+    skills of the least share (ties by ordinal), of these those below one half. Every phase of a roadmap is one key of one
+    walk for all.
     """
-    rows = edges.filter("type = 'prerequisite'").orderBy("src", "ordinal").select("src", "dst").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} edges")
-    needs: dict[str, list[str]] = {}
-    for r in rows:
-        needs.setdefault(r.src, []).append(r.dst)
-
-    def share(skill: str, held: set) -> float:
-        """1 over the skills on the shortest way from skill up to one in hand."""
-        level, seen, steps = [skill], {skill}, 1
-        while level:
-            if any(s in held for s in level):
-                return 1.0 / steps
-            level = [p for s in level for p in needs.get(s, ()) if p not in seen and not seen.add(p)]
-            steps += 1
-        return 0.0
-
-    def lacking(skill: str, held: set) -> int:
-        queue, done, n = [skill], set(), 0
-        for s in queue:
-            if s not in done:
-                done.add(s)
-                new = [p for p in needs.get(s, ()) if p not in held and p not in done]
-                n += len(new)
-                queue += new
-        return n
-
-    def rate(skills, completed: set, started: set) -> tuple[int, list[str]]:
-        held, total, got, shares = completed | started, 0.0, 0.0, []
-        for x in skills:
-            if not x["weight"]:
-                continue
-            total += x["weight"]
-            part = 1.0 if x["skill"] in completed else share(x["skill"], held)
-            shares.append((part, x["skill"]))
-            kept = 1.0 if x["skill"] in held else 1.0 - min(PENALTY * lacking(x["skill"], held), PENALTY_CAP)
-            got += x["weight"] * part * kept * x["market"]
-        low = [s for p, s in sorted(shares, key=lambda x: x[0])[:3] if p < 0.5]
-        return (round(min(100, got / total * 100)) if total else 0), low
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for who, skills, completed, started, phases in zip(pdf[by], pdf["skills"], pdf["completed"], pdf["in_progress"], pdf["phases"]):
-                have, started = set(completed), set(started)
-                last = None
-                for number, phase in enumerate([[], *phases]):
-                    have |= set(phase)
-                    score, low = rate(skills, have, started - have)
-                    out.append((who, number, score, 0 if last is None else score - last, low))
-                    last = score
-            yield pd.DataFrame(out, columns=[by, "phase", "score", "delta", "bottlenecks"])
-
-    return states.select(by, "skills", "completed", "in_progress", "phases").mapInPandas(run, f"{by} {dict(states.dtypes)[by]}, {GRAPH_SCORED}")
+    from skillweave.operators.insights import penalty_lengths
+
+    stages = skills.select("candidate", F.lit(0).alias("stage")).union(phases.select("candidate", F.col("phase").cast("int"))).distinct()
+    bought = owned.select("candidate", "skill", F.lit(0).alias("since")).unionByName(phases.select("candidate", "skill", F.col("phase").cast("int").alias("since"))).groupBy("candidate", "skill").agg(F.min("since").alias("since"))
+    at = lambda rows: rows.join(stages, "candidate").select(F.struct("candidate", "stage").alias("candidate"), *[c for c in rows.columns if c != "candidate"], "stage")
+    done = at(bought).filter("since <= stage").select("candidate", "skill")
+    begun = done if in_progress is None else done.unionByName(at(in_progress.select("candidate", "skill")).select("candidate", "skill"))
+    wanted = Levels(skills.sparkSession, "wanted")
+    wanted.add(0, at(skills.filter("weight <> 0").select("candidate", "skill", "weight", "market", "ordinal")).drop("stage"))
+    held = Levels(skills.sparkSession, "held")
+    held.add(0, begun.distinct())
+    rows, hand = wanted.at(0), held.at(0)
+    depth = depth_to_owned(rows, hand, edges)
+    lacking = penalty_lengths(rows.select("candidate", F.col("skill").alias("goal")).distinct(), hand, edges).withColumnRenamed("goal", "skill")
+    rated = rows.join(depth, ["candidate", "skill"]).join(lacking, ["candidate", "skill"]).join(done.withColumn("done", F.lit(True)), ["candidate", "skill"], "left")
+    rated = rated.select("candidate", "skill", "weight", "market", "ordinal", F.when(F.col("done"), 1.0).otherwise(completion(F.col("depth"))).alias("completion"), F.when(F.col("depth") == 0, 0).otherwise(F.col("missing")).alias("missing"))
+    scores = graph_score(rated)
+    low = bottlenecks(rated).groupBy("candidate").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "skill"))), lambda x: x["skill"]).alias("bottlenecks"))
+    keys = stages.select(F.struct("candidate", "stage").alias("candidate"))
+    whole = keys.join(scores, "candidate", "left").join(low, "candidate", "left")
+    whole = whole.select("candidate.candidate", F.col("candidate.stage").alias("phase"), F.coalesce("score", F.lit(0).cast("long")).alias("score"), F.coalesce("bottlenecks", F.array().cast("array<string>")).alias("bottlenecks"))
+    order = W.partitionBy("candidate").orderBy("phase")
+    return whole.select("candidate", "phase", "score", (F.col("score") - F.coalesce(F.lag("score").over(order), F.col("score"))).alias("delta"), "bottlenecks")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skillweave.operators import walks
+
 SET_PCT, TOP_PCT, MIN_WEIGHT, SEED_WEIGHT = 30.0, 50.0, 0.25, 0.3
 
 
@@ -64,43 +66,69 @@ def seeded(found: DataFrame, seeds: DataFrame, matrix: DataFrame, set_pct: float
     return found.unionByName(with_skills(weighed, matrix, set_pct, top_pct))
 
 
-def closest_role(owned: DataFrame, matrix: DataFrame, set_pct: float = SET_PCT) -> DataFrame:
+def graph_roles(found: DataFrame) -> DataFrame:
+    """(role): the roles that a transition leaves or enters."""
+    return found.select(F.col("from").alias("role")).union(found.select(F.col("to").alias("role"))).distinct()
+
+
+def closest_role(owned: DataFrame, matrix: DataFrame, set_pct: float = SET_PCT, roles: DataFrame | None = None) -> DataFrame:
     """(candidate, role, similarity): for each candidate with skills the role whose set is most similar; ties by name.
 
-    Without a shared skill it is the role most words of which are skills of the candidate, or else the first by name, with
-    similarity 0.
+    Roles are those of roles (role), as of a transition graph, or all of the matrix. Without a shared skill it is the role
+    most words of which are skills of the candidate, or else the first by name, with similarity 0.
     """
-    member = matrix.filter(F.col("frequency_pct") >= set_pct).select("role", "skill", F.count(F.lit(1)).over(W.partitionBy("role")).alias("n_role"))
+    roles = matrix.select("role").distinct() if roles is None else roles.select("role").distinct()
+    member = matrix.join(roles, "role", "left_semi").filter(F.col("frequency_pct") >= set_pct).select("role", "skill", F.count(F.lit(1)).over(W.partitionBy("role")).alias("n_role"))
     mine = owned.select("candidate", "skill", F.count(F.lit(1)).over(W.partitionBy("candidate")).alias("n_own"))
     scored = mine.join(member, "skill").groupBy("candidate", "role", "n_own", "n_role").agg(F.count(F.lit(1)).alias("shared"))
     scored = scored.withColumn("similarity", F.round(F.col("shared") / (F.col("n_own") + F.col("n_role") - F.col("shared")), 4))
-    rank = F.row_number().over(W.partitionBy("candidate").orderBy(F.desc("similarity"), "role"))
-    best = scored.withColumn("rn", rank).filter("rn = 1").select("candidate", "role", "similarity")
-    left = owned.select("candidate", F.lower("skill").alias("word")).distinct().join(best.select("candidate"), "candidate", "left_anti")
-    roles = matrix.select("role").distinct()
+    best = scored.groupBy("candidate").agg(F.min(F.struct((-F.col("similarity")).alias("o"), "role")).alias("x")).select("candidate", "x.role", (-F.col("x.o")).alias("similarity"))
     words = roles.select("role", F.explode(F.array_distinct(F.split(F.trim(F.lower("role")), r"\s+"))).alias("word"))
-    hits = left.join(words, "word").groupBy("candidate", "role").agg(F.count(F.lit(1)).alias("n"))
-    named = hits.groupBy("candidate").agg(F.min(F.struct((-F.col("n")).alias("o"), "role")).alias("x")).select("candidate", F.col("x.role").alias("found"))
+    hits = owned.select("candidate", F.lower("skill").alias("word")).distinct().join(words, "word").groupBy("candidate", "role").agg(F.count(F.lit(1)).alias("n"))
+    named = hits.groupBy("candidate").agg(F.min(F.struct((-F.col("n")).alias("o"), "role")).alias("x")).select("candidate", F.col("x.role").alias("named"))
     first = roles.agg(F.min("role").alias("first"))
-    rest = left.select("candidate").distinct().join(named, "candidate", "left").join(F.broadcast(first), F.lit(True))
-    rest = rest.select("candidate", F.coalesce("found", "first").alias("role"), F.lit(0.0).alias("similarity")).filter("role IS NOT NULL")
-    return best.unionByName(rest)
-
-
-def shortest_path(edges: DataFrame, start: str, target: str, max_steps: int = 8) -> DataFrame:
-    """(path, steps): the shortest undirected path between two roles, the smallest by names among equals; empty without one."""
-    spark = edges.sparkSession
-    both = edges.select(F.col("from").alias("x"), F.col("to").alias("y")).union(edges.select(F.col("to").alias("x"), F.col("from").alias("y"))).distinct()
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(node, path, steps) AS (
-          SELECT :start, array(:start), 0
-          UNION ALL
-          SELECT e.y, concat(w.path, array(e.y)), w.steps + 1 FROM walk w JOIN {both} e ON e.x = w.node
-          WHERE NOT array_contains(w.path, e.y) AND w.steps < :most AND w.node <> :target
-        )
-        SELECT path, steps FROM walk WHERE node = :target ORDER BY steps, path LIMIT 1
-        """,
-        args={"start": start, "target": target, "most": max_steps},
-        both=both,
-    )
+    rows = owned.select("candidate").distinct().join(best, "candidate", "left").join(named, "candidate", "left").join(F.broadcast(first), F.lit(True))
+    return rows.select("candidate", F.coalesce("role", "named", "first").alias("role"), F.coalesce("similarity", F.lit(0.0)).alias("similarity")).filter("role IS NOT NULL")
+
+
+def shortest_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(start, goal, path, steps): the shortest undirected path of each pair (start, goal) of roles; see walks.shortest_paths."""
+    found = walks.shortest_paths(pairs, edges.select(F.col("from").alias("src"), F.col("to").alias("dst")))
+    return found.withColumn("steps", F.size("path") - 1)
+
+
+def arcs(found: DataFrame) -> DataFrame:
+    """(from, to, shared_skills, skills_to_learn): transitions in both directions, one for each ordered pair of roles.
+
+    Backwards the skills shared are those to learn. Of several the heaviest counts, a forward one first among equals.
+    """
+    ahead = found.select("from", "to", (-F.col("weight")).alias("o"), F.lit(0).alias("back"), "shared_skills", F.col("new_skills_needed").alias("learn"))
+    back = found.select(F.col("to").alias("from"), F.col("from").alias("to"), (-F.col("weight")).alias("o"), F.lit(1).alias("back"), "shared_skills", F.col("shared_skills").alias("learn"))
+    best = ahead.unionByName(back).groupBy("from", "to").agg(F.min(F.struct("o", "back", "shared_skills", "learn")).alias("x"))
+    return best.select("from", "to", "x.shared_skills", F.col("x.learn").alias("skills_to_learn"))
+
+
+def career_roadmaps(owned: DataFrame, targets: DataFrame, found: DataFrame, matrix: DataFrame, set_pct: float = SET_PCT) -> DataFrame:
+    """(candidate, start_role, target_role, path, steps, total_new_skills): the way from a candidate's closest role to the target.
+
+    targets is (candidate, role); a target is met without letter case, spaces around it aside. found is the transition graph;
+    its roles are the possible starts. Candidates without skills start at the first role by name. steps has one struct (from,
+    to, shared_skills, skills_to_learn) for each transition of the shortest path; path and steps are empty where the target
+    is unknown or out of reach, and a path to the start itself is that role alone. Ways are found once for each distinct pair.
+    """
+    roles = graph_roles(found)
+    first = roles.agg(F.min("role").alias("first"))
+    starts = closest_role(owned, matrix, set_pct, roles).select("candidate", F.col("role").alias("closest"))
+    known = roles.groupBy(F.lower("role").alias("low")).agg(F.min("role").alias("goal"))
+    asked = targets.filter("trim(role) <> ''").select("candidate", F.col("role").alias("target_role"), F.lower(F.trim("role")).alias("low"))
+    asked = asked.join(starts, "candidate", "left").join(F.broadcast(first), F.lit(True)).join(known, "low", "left")
+    asked = asked.select("candidate", F.coalesce("closest", "first").alias("start"), "target_role", "goal")
+    ways = walks.shortest_paths(asked.select("start", "goal"), found.select(F.col("from").alias("src"), F.col("to").alias("dst")))
+    hops = ways.filter("size(path) > 1").select("start", "goal", F.posexplode(F.expr("transform(sequence(0, size(path) - 2), i -> struct(path[i] AS f, path[i + 1] AS t))")).alias("at", "hop"))
+    told = hops.join(arcs(found), (F.col("hop.f") == F.col("from")) & (F.col("hop.t") == F.col("to")))
+    steps = told.groupBy("start", "goal").agg(F.array_sort(F.collect_list(F.struct("at", F.struct("from", "to", "shared_skills", "skills_to_learn").alias("s")))).alias("s"))
+    steps = steps.withColumn("steps", F.transform("s", lambda x: x["s"])).withColumn("total", F.array_sort(F.array_distinct(F.flatten(F.transform("steps", lambda x: x["skills_to_learn"])))))
+    none = F.array().cast("array<string>")
+    whole = asked.join(ways, ["start", "goal"], "left").join(steps.select("start", "goal", "steps", "total"), ["start", "goal"], "left")
+    kind = F.array().cast("array<struct<from: string, to: string, shared_skills: array<string>, skills_to_learn: array<string>>>")
+    return whole.select("candidate", F.col("start").alias("start_role"), "target_role", F.coalesce("path", none).alias("path"), F.coalesce("steps", kind).alias("steps"), F.coalesce("total", none).alias("total_new_skills"))

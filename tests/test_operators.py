@@ -63,19 +63,29 @@ def test_transitions_go_from_small_to_large(spark):
 
 def test_prerequisites_agree_in_both_forms(spark):
     e = fx.edges(spark)
-    single = rows(graph.transitive_prerequisites(e, ["rag"], ["ml"]), "depth", "skill")
     goals, owned = spark.createDataFrame([(1, "rag")], "candidate int, goal string"), spark.createDataFrame([(1, "ml")], "candidate int, skill string")
+    single = rows(graph.transitive_prerequisites(goals, owned, e).select("goal", "skill", "depth"), "depth", "skill")
+    assert rows(graph.missing_prerequisites(goals, owned, e, most=3).select("goal", "skill", "depth"), "depth", "skill") == single
     batch = rows(graph.missing_prerequisites(goals, owned, e).select("goal", "skill", "depth"), "depth", "skill")
     assert single == batch == [("rag", "llm", 1), ("rag", "sql", 1), ("rag", "dl", 2), ("rag", "nlp", 2)]
 
 
 def test_depths_and_paths(spark):
     e = fx.edges(spark)
-    assert dict(rows(graph.depth_to_owned(e, ["rag", "docker", "python"], ["python"]))) == {"rag": 4, "docker": 999, "python": 0}
-    assert dict(rows(graph.longest_depth(e, fx.NODES, [])))["rag"] == 6  # llm, nlp, dl, ml, pandas, python
+    own = spark.createDataFrame([(1, "python"), (2, "docker"), (2, "ml")], "candidate int, skill string")
+    some = spark.createDataFrame([(k, s) for k in (1, 2, 3) for s in ("rag", "docker", "python")], "candidate int, skill string")
+    depths = {(r.candidate, r.skill): r.depth for r in graph.depth_to_owned(some, own, e).collect()}
+    assert {s: d for (k, s), d in depths.items() if k == 1} == {"rag": 4, "docker": 999, "python": 0}
+    assert depths[2, "rag"] == 3 and depths[2, "python"] == 999 and depths[3, "rag"] == 999 and len(depths) == 9
+    nodes = spark.createDataFrame([(k, s) for k in (1, 2, 3) for s in fx.NODES], "candidate int, skill string")
+    longest = {(r.candidate, r.skill): r.depth for r in graph.longest_depth(nodes, own, e).collect()}
+    assert longest[3, "rag"] == 6  # llm, nlp, dl, ml, pandas, python
+    assert longest[1, "rag"] == 5 and longest[1, "python"] == 0 and longest[2, "rag"] == 3 and longest[2, "ml"] == 0 and longest[2, "mlops"] == 0
+    chain = graph.first_prerequisite_chain(spark.createDataFrame([(1, "rag"), (1, "mlops")], "candidate int, goal string"), e)
+    assert rows(chain.filter("goal = 'rag'").select("step", "skill"), "step") == [(0, "python"), (1, "ml"), (2, "dl"), (3, "nlp"), (4, "llm"), (5, "rag")]
     paths = e.select(F.col("src").alias("from"), F.col("dst").alias("to"))
-    assert transitions.shortest_path(paths, "docker", "python").first().path == ["docker", "mlops", "ml", "python"]
-    assert transitions.shortest_path(paths, "docker", "nowhere").count() == 0
+    found = transitions.shortest_path(paths, spark.createDataFrame([("docker", "python"), ("docker", "nowhere")], "start string, goal string")).collect()
+    assert [(r.path, r.steps) for r in found] == [(["docker", "mlops", "ml", "python"], 3)]
 
 
 def test_phases_keep_prerequisites_before(spark):
@@ -181,8 +191,8 @@ def test_gaps_without_letter_case(spark, gaps):
     _, targets, m = gaps
     shouted = gaps[0].withColumn("skill", F.upper("skill"))
     for f in (gap.strengths, gap.weaknesses, gap.readiness):
-        assert rows(f(shouted, targets, m)) == rows(f(*gaps))
-    assert rows(gap.extra_skills(shouted, targets, m).select("candidate", F.lower("skill"))) == rows(gap.extra_skills(*gaps).select("candidate", "skill"))
+        assert sorted(rows(f(shouted, targets, m))) == sorted(rows(f(*gaps)))
+    assert sorted(rows(gap.extra_skills(shouted, targets, m).select("candidate", F.lower("skill")))) == sorted(rows(gap.extra_skills(*gaps).select("candidate", "skill")))
 
 
 def test_unknown_roles(spark, gaps):
@@ -209,12 +219,12 @@ def test_phase_summary(spark):
 
 def test_graph_projection(spark):
     """By hand: ml needs python, statistics, pandas (pandas needs python); dl needs ml."""
-    skills = [("ml", 0.5, 1.0), ("dl", 0.5, 1.0)]
-    states = spark.createDataFrame(
-        [(1, skills, ["python"], [], [["statistics"], ["ml"]]), (2, skills, [], [], []), (3, skills, [], ["ml"], []), (4, [], ["ml"], [], [["x"]])],
-        "candidate int, skills array<struct<skill: string, weight: double, market: double>>, completed array<string>, in_progress array<string>, phases array<array<string>>",
-    )
-    out = {(r.candidate, r.phase): (r.score, r.delta, r.bottlenecks) for r in roadmap.graph_projection(states, fx.edges(spark)).collect()}
+    table = lambda rows, schema: spark.createDataFrame(rows, f"candidate int, {schema}")
+    skills = table([(c, s, 0.5, 1.0, i) for c in (1, 2, 3) for i, s in enumerate(("ml", "dl"))] + [(4, "ml", 0.0, 1.0, 0)], "skill string, weight double, market double, ordinal int")
+    owned, started = table([(1, "python"), (4, "ml")], "skill string"), table([(3, "ml")], "skill string")
+    phases = table([(1, 1, "statistics"), (1, 2, "ml"), (4, 1, "x")], "phase int, skill string")
+    got = roadmap.graph_projection(skills, owned, phases, fx.edges(spark), started)
+    out = {(r.candidate, r.phase): (r.score, r.delta, r.bottlenecks) for r in got.collect()}
     # 1: ml is two steps from python (1/2), two missing (0.7): 0.35; dl 1/3, three missing (0.55): 0.1833; together 26.67.
     assert out[1, 0] == (27, 0, ["dl"])
     # statistics in hand: ml 1/2 * 0.85, dl 1/3 * 0.7 (ml, pandas): 32.9.
