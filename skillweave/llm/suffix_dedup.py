@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillweave.llm.common import chunks, even_keys, mixed, pack_counts, pack_sorted, packed, prefix_hash, shuffle_partitions, span_hash, table, squeeze, unpack_counts, unpack_sorted, unpacked, unsqueeze
+from skillweave.llm.common import chunks, even_keys, mixed, pack_counts, pack_sorted, packed, prefix_hash, shuffle_partitions, span_hash, stored, table, squeeze, unpack_counts, unpack_sorted, unpacked, unsqueeze
 from skillweave.llm.transforms import last_to_first, merge, transform, walked
 
 WIDTH = 100
@@ -380,8 +380,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, symbol: int
         return frame
 
     left = lambda: bundles.groupBy("shard")
-    one = _merged(left().applyInPandas(first_round, ASKED), keys, width)
-    two = _merged(left().cogroup(one.groupBy("shard")).applyInPandas(second_round, ASKED), keys, width)
+    # Answers are stored, as later rounds read them again: a bucket answers once, and a lost executor costs only its own.
+    one = stored(_merged(left().applyInPandas(first_round, ASKED), keys, width), "answers")
+    two = stored(_merged(left().cogroup(one.groupBy("shard")).applyInPandas(second_round, ASKED), keys, width), "answers")
     both = one.unionByName(two)
     three = _merged(left().cogroup(both.groupBy("shard")).applyInPandas(third_round, ASKED), keys, width)
     return left().cogroup(both.unionByName(three).groupBy("shard")).applyInPandas(removal, SPANS)
