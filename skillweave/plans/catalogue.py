@@ -13,66 +13,19 @@ from pyspark.sql import functions as F
 
 from skillweave.functions import sets, text
 from skillweave.functions.repair import repaired_json
-from skillweave.operators import evaluate, fuzzy, gap, graph, insights, market, matching, profile, roadmap, sections, transitions
+from skillweave.operators import evaluate, fuzzy, gap, market, matching, profile, roadmap, sections, transitions
 from skillweave.plans import fixtures as fx
+from skillweave.plans.base import BASE as _BASE
+from skillweave.plans.base import CORE, CRITICAL, IMPORTANT, ORACLES, QUERIES
+from skillweave.plans.base import add as _add
+from skillweave.plans.base import brands as _brands
+from skillweave.plans.base import joined as _join
+from skillweave.plans.base import matrix as _matrix
+from skillweave.plans.base import owned as _owned
+from skillweave.plans.base import targets as _targets
 from skillweave.session import table
 from skillweave.sources import tables
 
-NOISE, IMPORTANT, CORE, CRITICAL = 12.0, 14.0, 15.0, 16.0
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def _add(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
-def _join(c):
-    return F.array_join(c, "|")
-
-
-def _jobs(s: SparkSession, d: str) -> DataFrame:
-    orders, customer = table(s, d, "orders"), table(s, d, "customer")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey).select(F.col("o_orderkey").alias("job_id"), F.col("c_mktsegment").alias("role"))
-
-
-def _brands(s: SparkSession, d: str) -> DataFrame:
-    lines, part = table(s, d, "lineitem").select("l_orderkey", "l_partkey"), table(s, d, "part").select("p_partkey", "p_brand")
-    return lines.join(part, lines.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("job_id"), F.col("p_brand").alias("skill")).distinct()
-
-
-def _matrix(s: SparkSession, d: str, noise: float = NOISE) -> DataFrame:
-    jobs = _jobs(s, d)
-    return market.role_skill_matrix(jobs, jobs.join(_brands(s, d), "job_id").select("job_id", "role", "skill"), noise)
-
-
-def _owned(s: SparkSession, d: str) -> DataFrame:
-    urgent = table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("candidate"))
-    return urgent.join(_brands(s, d), "job_id").select("candidate", "skill").distinct()
-
-
-def _targets(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "customer").select(F.col("c_custkey").alias("candidate"), F.col("c_mktsegment").alias("role"))
-
-
-_BASE = """
-WITH jobs AS (SELECT o_orderkey AS job_id, c_mktsegment AS role, o_custkey AS candidate, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
-brands AS (SELECT DISTINCT l_orderkey AS job_id, p_brand AS skill FROM lineitem JOIN part ON l_partkey = p_partkey),
-totals AS (SELECT role, count(*) AS total FROM jobs GROUP BY role),
-allskills AS (SELECT role, skill, round(100.0 * count(*) / any_value(total), 2) AS frequency_pct, count(*) AS count, any_value(total) AS total_jobs_in_role
-  FROM jobs JOIN brands USING (job_id) JOIN totals USING (role) GROUP BY role, skill),
-matrix AS (SELECT * FROM allskills WHERE frequency_pct >= 12),
-owned AS (SELECT DISTINCT o_custkey AS candidate, skill FROM orders JOIN brands ON o_orderkey = job_id WHERE o_orderpriority = '1-URGENT'),
-targets AS (SELECT c_custkey AS candidate, c_mktsegment AS role FROM customer)
-"""
-
-
 #: Owned skills as every second candidate would shout them.
 _MIXED = "mixed AS (SELECT candidate, CASE WHEN candidate % 2 = 0 THEN upper(skill) ELSE skill END AS skill FROM owned)"
 
@@ -584,154 +537,6 @@ def q_fuzzy_components(s, d):
     return fuzzy.canonical_names(fuzzy.groups(names, fuzzy.similar_pairs(names, 60.0)), freq)
 
 
-# Graph (an inline graph on both sides)
-
-_G = fx.GRAPH_SQL
-
-
-@_add("q_direct_prereqs", f"WITH {_G} SELECT src, string_agg(dst, '|' ORDER BY ordinal) AS neighbours FROM edges WHERE type = 'prerequisite' GROUP BY src")
-def q_direct_prereqs(s, d):
-    return graph.neighbours(fx.edges(s), "prerequisite").select("src", _join("neighbours").alias("neighbours"))
-
-
-@_add(
-    "q_transitive_prereqs",
-    f"WITH RECURSIVE {_G}, walk(goal, skill, depth) AS (SELECT g, g, 0 FROM (VALUES ('rag'), ('mlops')) v(g) UNION ALL SELECT w.goal, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite'"
-    " WHERE e.dst NOT IN ('python') AND w.depth < 24) SELECT goal, skill, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1, 2",
-)
-def q_transitive_prereqs(s, d):
-    return graph.transitive_prerequisites(fx.edges(s), ["rag", "mlops"], ["python"])
-
-
-@_add(
-    "q_missing_prereqs_batch",
-    f"WITH RECURSIVE {_G}, owner(candidate, skill) AS (VALUES (1, 'python'), (2, 'ml'), (2, 'sql')), goals(candidate, goal) AS (VALUES (1, 'rag'), (2, 'rag'), (2, 'mlops')),"
-    " walk(candidate, goal, skill, depth) AS (SELECT candidate, goal, goal, 0 FROM goals UNION ALL SELECT w.candidate, w.goal, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite'"
-    " WHERE NOT EXISTS (SELECT 1 FROM owner o WHERE o.candidate = w.candidate AND o.skill = e.dst) AND w.depth < 8) SELECT candidate, goal, skill, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY ALL",
-)
-def q_missing_prereqs_batch(s, d):
-    owner = s.createDataFrame([(1, "python"), (2, "ml"), (2, "sql")], "candidate int, skill string")
-    goals = s.createDataFrame([(1, "rag"), (2, "rag"), (2, "mlops")], "candidate int, goal string")
-    return graph.missing_prerequisites(goals, owner, fx.edges(s))
-
-
-@_add(
-    "q_learning_path",
-    f"WITH RECURSIVE {_G}, walk(goal, skill, depth) AS (SELECT g, g, 0 FROM (VALUES ('rag'), ('mlops')) v(g) UNION ALL SELECT w.goal, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite'"
-    " WHERE e.dst NOT IN ('python') AND w.depth < 24), m AS (SELECT goal, skill, min(depth) AS depth, 'prerequisite' AS kind FROM walk WHERE depth > 0 GROUP BY 1, 2 UNION ALL SELECT DISTINCT goal, goal, 0, 'target' FROM walk)"
-    " SELECT goal, CAST(row_number() OVER (PARTITION BY goal ORDER BY depth DESC, skill) AS INTEGER) AS step, skill, kind FROM m",
-)
-def q_learning_path(s, d):
-    return graph.learning_path(graph.transitive_prerequisites(fx.edges(s), ["rag", "mlops"], ["python"]))
-
-
-_ALL = "('python'), ('sql'), ('statistics'), ('pandas'), ('ml'), ('dl'), ('nlp'), ('llm'), ('rag'), ('docker'), ('mlops')"
-
-
-@_add(
-    "q_depth",
-    f"WITH RECURSIVE {_G}, walk(skill, here, depth) AS (SELECT n, n, 0 FROM (VALUES {_ALL}) v(n) UNION ALL SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.here AND e.type = 'prerequisite'"
-    " WHERE w.here NOT IN ('python', 'sql') AND w.depth < 24) SELECT skill, CAST(coalesce(min(CASE WHEN here IN ('python', 'sql') THEN depth END), 999) AS INTEGER) AS depth FROM walk GROUP BY skill",
-)
-def q_depth(s, d):
-    return graph.depth_to_owned(fx.edges(s), fx.NODES, ["python", "sql"])
-
-
-@_add(
-    "q_longest_depth",
-    f"WITH RECURSIVE {_G}, walk(skill, here, depth) AS (SELECT n, n, 0 FROM (VALUES {_ALL}) v(n) UNION ALL SELECT w.skill, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.here AND e.type = 'prerequisite'"
-    " WHERE e.dst NOT IN ('python') AND w.here NOT IN ('python') AND w.depth < 24) SELECT skill, max(depth) AS depth FROM walk GROUP BY skill",
-)
-def q_longest_depth(s, d):
-    return graph.longest_depth(fx.edges(s), fx.NODES, ["python"])
-
-
-@_add(
-    "q_shortest_path",
-    f"WITH RECURSIVE {_G}, ends AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), walk(node, path, steps) AS (SELECT 'sql', ['sql'], 0 UNION ALL SELECT b.y, list_append(w.path, b.y), w.steps + 1"
-    " FROM walk w JOIN ends b ON b.x = w.node WHERE NOT list_contains(w.path, b.y) AND w.steps < 8 AND w.node <> 'rag') SELECT array_to_string(path, '|') AS path, steps FROM walk WHERE node = 'rag' ORDER BY steps, walk.path LIMIT 1",
-)
-def q_shortest_path(s, d):
-    e = fx.edges(s).select(F.col("src").alias("from"), F.col("dst").alias("to"))
-    return transitions.shortest_path(e, "sql", "rag").select(_join("path").alias("path"), "steps")
-
-
-@_add(
-    "q_first_prereq_chain",
-    f"WITH RECURSIVE {_G}, walk(skill, depth) AS (SELECT 'rag', 0 UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' AND e.ordinal = 0 WHERE w.depth < 24)"
-    " SELECT CAST(max(depth) OVER () - depth AS INTEGER) AS step, skill FROM walk",
-)
-def q_first_prereq_chain(s, d):
-    return graph.first_prerequisite_chain(fx.edges(s), "rag")
-
-
-_OWN = "own(candidate, skill) AS (VALUES (1, 'python'), (1, 'pandas'), (2, 'python'), (2, 'ml'), (2, 'sql'), (3, 'docker'))"
-
-
-@_add(
-    "q_next_skills",
-    f"WITH {_G}, {_OWN}, led AS (SELECT o.candidate, e.dst AS skill, list(DISTINCT o.skill) AS via FROM own o JOIN edges e ON e.src = o.skill AND e.type = 'leads_to' WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.candidate = o.candidate AND x.skill = e.dst) GROUP BY 1, 2),"
-    " pre AS (SELECT src AS skill, list(DISTINCT dst) AS needed FROM edges WHERE type = 'prerequisite' GROUP BY 1), mine AS (SELECT candidate, list(skill) AS mine FROM own GROUP BY 1),"
-    " sc AS (SELECT candidate, led.skill, len(via) * CASE WHEN needed IS NULL THEN 1.0 ELSE CAST(len(list_distinct(list_concat(list_intersect(needed, mine), via))) AS DOUBLE) / len(needed) END AS score, len(via) AS n_via"
-    " FROM led LEFT JOIN pre USING (skill) JOIN mine USING (candidate))"
-    " SELECT candidate, skill, round(score, 4) AS score, CAST(n_via AS INTEGER) AS \"leading\" FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY round(score, 4) DESC, skill) AS rn FROM sc) WHERE rn <= 5",
-)
-def q_next_skills(s, d):
-    return graph.next_skills(fx.owned(s), fx.edges(s))
-
-
-@_add(
-    "q_cluster_coverage",
-    f"WITH {_OWN}, {fx.CLUSTER_SQL}, t AS (SELECT DISTINCT candidate, cluster FROM own JOIN clusters USING (skill))"
-    " SELECT t.candidate, t.cluster, round(count(o.skill) / count(*) * 100, 2) AS pct, coalesce(string_agg(c.skill, '|' ORDER BY c.skill) FILTER (o.skill IS NOT NULL), '') AS have, coalesce(string_agg(c.skill, '|' ORDER BY c.skill) FILTER (o.skill IS NULL), '') AS missing"
-    " FROM t JOIN clusters c USING (cluster) LEFT JOIN own o ON o.candidate = t.candidate AND o.skill = c.skill GROUP BY 1, 2",
-)
-def q_cluster_coverage(s, d):
-    return graph.cluster_coverage(fx.owned(s), fx.clusters(s)).select("candidate", "cluster", "pct", _join("have").alias("have"), _join("missing").alias("missing"))
-
-
-_SOME = "picked(skill) AS (VALUES ('python'), ('ml'), ('dl'), ('nlp'), ('llm'), ('docker'))"
-
-
-@_add("q_induced_graph", f"WITH {_G}, {_SOME} SELECT src, dst, type FROM edges WHERE src IN (SELECT skill FROM picked) AND dst IN (SELECT skill FROM picked)")
-def q_induced_graph(s, d):
-    return graph.induced(fx.edges(s), fx.some(s))
-
-
-@_add(
-    "q_centrality",
-    f"WITH {_G}, {_SOME}, i AS (SELECT * FROM edges WHERE src IN (SELECT skill FROM picked) AND dst IN (SELECT skill FROM picked)),"
-    " dep AS (SELECT dst AS skill, count(DISTINCT src) AS k FROM i WHERE type = 'prerequisite' GROUP BY 1), deg AS (SELECT src AS skill, count(*) AS k FROM i WHERE type IN ('prerequisite', 'leads_to') GROUP BY 1)"
-    " SELECT skill, coalesce(dep.k, 0) AS dependents, round(coalesce(dep.k, 0) / 5.0, 4) AS centrality, coalesce(deg.k, 0) AS degree, round(coalesce(deg.k, 0) / 5.0, 4) AS degree_centrality FROM picked LEFT JOIN dep USING (skill) LEFT JOIN deg USING (skill)",
-)
-def q_centrality(s, d):
-    a = graph.dependent_centrality(fx.edges(s), fx.some(s))
-    return a.join(graph.degree_centrality(fx.edges(s), fx.some(s)).withColumnRenamed("centrality", "degree_centrality"), "skill")
-
-
-@_add("q_prereq_boost", f"WITH {_G}, {_SOME} SELECT dst AS skill, least(1.0 + 0.1 * count(DISTINCT src), 1.5) AS boost FROM edges WHERE type = 'prerequisite' AND src IN (SELECT skill FROM picked) GROUP BY 1")
-def q_prereq_boost(s, d):
-    return graph.prerequisite_boost(fx.edges(s), fx.some(s))
-
-
-@_add(
-    "q_skill_trees",
-    f"WITH {_G} SELECT n AS skill, coalesce((SELECT string_agg(dst, '|' ORDER BY ordinal) FROM edges WHERE src = n AND type = 'leads_to'), (SELECT string_agg(dst, '|' ORDER BY ordinal) FROM edges WHERE src = n AND type = 'related'), '') AS children FROM (VALUES {_ALL}) v(n)",
-)
-def q_skill_trees(s, d):
-    return graph.skill_trees(fx.edges(s), fx.nodes(s)).select("skill", _join("children").alias("children"))
-
-
-@_add(
-    "q_prune_topk_per_depth",
-    f"WITH {_G}, {fx.SCORED_SQL}, sc AS (SELECT *, round(relevance * market * centrality * boost * CASE WHEN depth < 2 THEN 1.2 ELSE 1.0 END, 6) AS score FROM scored),"
-    " best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY score DESC, skill) AS rn FROM sc WHERE relevance >= 0.2) WHERE rn <= 2)"
-    " SELECT skill, depth, score, false AS added FROM best UNION ALL SELECT skill, depth, score, true FROM sc WHERE skill IN (SELECT dst FROM edges WHERE type = 'prerequisite' AND src IN (SELECT skill FROM best)) AND skill NOT IN (SELECT skill FROM best)",
-)
-def q_prune_topk_per_depth(s, d):
-    return graph.role_aware_prune(fx.scored(s), fx.edges(s), graph.node_score(), per_depth=2).select("skill", "depth", "score", "added")
-
-
 # Roadmap
 
 _PH = _BASE + f", {_WEAK}, pos AS (SELECT candidate, skill, row_number() OVER (PARTITION BY candidate ORDER BY frequency_pct DESC, skill) AS pos, count(*) OVER (PARTITION BY candidate) AS n FROM weak), sz AS (SELECT *, CAST(greatest(2, ceil(n / ceil(n / 5.0))) AS BIGINT) AS s FROM pos), ph AS (SELECT candidate, skill, CAST(CASE WHEN ceil(n / CAST(s AS DOUBLE)) > 1 AND n - (ceil(n / CAST(s AS DOUBLE)) - 1) * s < 2 AND (pos - 1) // s + 1 = ceil(n / CAST(s AS DOUBLE)) THEN (pos - 1) // s ELSE (pos - 1) // s + 1 END AS INTEGER) AS phase FROM sz)"
@@ -760,33 +565,6 @@ def q_phase_projection(s, d):
     return roadmap.projection(_owned(s, d), _phases(s, d), weights)
 
 
-@_add("q_overlay", f"WITH {_G}, {_OWN}, gaps(candidate, skill) AS (VALUES (1, 'ml'), (1, 'rag'), (2, 'dl'), (3, 'mlops'), (3, 'nlp')) SELECT candidate, skill, 'completed' AS status FROM own UNION ALL SELECT g.candidate, g.skill, CASE WHEN EXISTS (SELECT 1 FROM edges e JOIN own o ON o.skill = e.dst AND o.candidate = g.candidate WHERE e.src = g.skill AND e.type = 'prerequisite') THEN 'partial' ELSE 'missing' END FROM gaps g")
-def q_overlay(s, d):
-    gaps = s.createDataFrame([(1, "ml"), (1, "rag"), (2, "dl"), (3, "mlops"), (3, "nlp")], "candidate int, skill string")
-    return roadmap.overlay(fx.owned(s), gaps, fx.edges(s))
-
-
-@_add("q_graph_score", f"WITH {fx.RATED_SQL} SELECT candidate, CAST(round_even(least(100.0, sum(weight * completion * (1 - least(0.15 * missing, 0.5)) * market) / sum(weight) * 100), 0) AS BIGINT) AS score FROM rated GROUP BY 1")
-def q_graph_score(s, d):
-    return roadmap.graph_score(fx.rated(s))
-
-
-@_add("q_bottlenecks", f"WITH {fx.RATED_SQL} SELECT candidate, CAST(rank AS INTEGER) AS rank, skill, completion FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY completion, ordinal, skill) AS rank FROM rated) WHERE rank <= 3 AND completion < 0.5")
-def q_bottlenecks(s, d):
-    return roadmap.bottlenecks(fx.rated(s))
-
-
-@_add(
-    "q_weighted_score",
-    f"WITH {fx.RATED_SQL}, pairs(a, b) AS (VALUES ('python', 'sql'), ('python', 'ml'), ('dl', 'ml')), bonus AS (SELECT x.candidate, least(0.02 * count(*), 0.10) AS bonus FROM pairs JOIN rated x ON x.skill = a AND x.status = 'owned' JOIN rated y ON y.skill = b AND y.status = 'owned' AND y.candidate = x.candidate GROUP BY 1),"
-    " sc AS (SELECT candidate, sum(weight * mastery * market) / sum(weight) * 100 AS base, product(CASE WHEN status = 'missing' THEN 1 - least(penalty, 0.5) ELSE 1.0 END) AS kept FROM rated GROUP BY 1)"
-    " SELECT candidate, CAST(round_even(least(100.0, base * kept * (1 + coalesce(bonus, 0.0))), 0) AS BIGINT) AS score FROM sc LEFT JOIN bonus USING (candidate)",
-)
-def q_weighted_score(s, d):
-    pairs = s.createDataFrame([("python", "sql"), ("python", "ml"), ("dl", "ml")], "a string, b string")
-    return roadmap.weighted_score(fx.rated(s), pairs)
-
-
 @_add(
     "q_stage_detect",
     "WITH x AS (SELECT c_custkey AS candidate, CAST(nullif(c_custkey % 6, 5) AS DOUBLE) AS years, c_custkey % 7 AS advanced FROM customer), b AS (SELECT *, CASE WHEN years IS NULL OR years <= 0 THEN 0 WHEN years <= 1 THEN 1 WHEN years <= 3 THEN 2 ELSE 3 END + CASE WHEN advanced >= 5 THEN 2 WHEN advanced >= 3 THEN 1 ELSE 0 END AS k FROM x)"
@@ -796,26 +574,6 @@ def q_stage_detect(s, d):
     return table(s, d, "customer").select(F.col("c_custkey").alias("candidate"), *roadmap.career_stage(F.nullif(F.col("c_custkey") % 6, F.lit(5)).cast("double"), F.col("c_custkey") % 7))
 
 
-@_add(
-    "q_project_select",
-    f"WITH {fx.POOL_SQL}, need(phase_id, stage, skills) AS (VALUES (1, 'Junior', ['Python', 'SQL']), (2, 'Student', ['Docker', 'MLOps']), (3, 'Junior', ['Rust']), (4, 'Senior', ['LLM', 'RAG', 'Python'])),"
-    " allowed(stage, difficulties) AS (VALUES ('Student', ['Beginner']), ('Junior', ['Beginner', 'Intermediate']), ('Senior', ['Intermediate', 'Advanced'])),"
-    " m AS (SELECT phase_id, name, round(CAST(len(list_intersect(list_transform(skills, lambda x: lower(x)), list_transform(primary_skills, lambda x: lower(x)))) AS DOUBLE)"
-    " / len(list_distinct(list_concat(list_transform(skills, lambda x: lower(x)), list_transform(primary_skills, lambda x: lower(x))))), 4) AS match FROM need n, pool p"
-    " WHERE list_contains(p.suitable_stages, n.stage) OR list_contains((SELECT difficulties FROM allowed a WHERE a.stage = n.stage), p.difficulty))"
-    " SELECT phase_id, name, match FROM (SELECT *, row_number() OVER (PARTITION BY phase_id ORDER BY match DESC, name) AS rn FROM m WHERE match >= 0.5) WHERE rn = 1",
-)
-def q_project_select(s, d):
-    need = s.createDataFrame([(1, "Junior", ["Python", "SQL"]), (2, "Student", ["Docker", "MLOps"]), (3, "Junior", ["Rust"]), (4, "Senior", ["LLM", "RAG", "Python"])], "phase_id int, stage string, skills array<string>")
-    return roadmap.select_projects(need, fx.pool(s), {"Student": ["Beginner"], "Junior": ["Beginner", "Intermediate"], "Senior": ["Intermediate", "Advanced"]})
-
-
-@_add("q_skill_priority", f"WITH {fx.RATED_SQL} SELECT candidate, skill, round(0.4 * market + 0.3 * weight * 100 / 100 + 0.2 * completion + 0.1 * least(1.5, 3.0 / (missing + 1)), 3) AS priority FROM rated")
-def q_skill_priority(s, d):
-    c = F.col
-    return fx.rated(s).select("candidate", "skill", roadmap.skill_priority(c("market"), c("weight") * 100, c("completion"), c("missing") + 1).alias("priority"))
-
-
 _TITLES = ", ".join(f"'{t}'" for t in roadmap.TITLES)
 
 
@@ -830,17 +588,6 @@ def q_phase_narrative(s, d):
     return roadmap.phase_summary(_phases(s, d), depths).withColumn("skills", _join("skills"))
 
 
-@_add("q_graph_projection")
-def q_graph_projection(s, d):
-    """Every customer over the inline graph: what they have follows their key, the AI role's skills are the goal."""
-    skills = F.array(*[F.struct(F.lit(k).alias("skill"), F.lit(w).alias("weight"), F.lit(m).alias("market")) for k, w, m in (("ml", 0.8, 1.1), ("dl", 0.6, 1.0), ("rag", 0.5, 1.2), ("mlops", 0.3, 1.0), ("sql", 0.7, 1.0))])
-    key = F.col("c_custkey")
-    some = F.filter(F.array(*[F.when((key % (i + 2)) == 0, F.lit(k)) for i, k in enumerate(fx.NODES)]), lambda x: x.isNotNull())
-    phases = F.array(F.array(F.lit("ml"), F.lit("sql")), F.array(F.lit("dl"), F.lit("docker")), F.array(F.lit("rag")))
-    states = table(s, d, "customer").select(key.alias("candidate"), skills.alias("skills"), some.alias("completed"), F.array(F.lit("statistics")).alias("in_progress"), phases.alias("phases"))
-    return roadmap.graph_projection(states, fx.edges(s)).withColumn("bottlenecks", _join("bottlenecks"))
-
-
 # Profiles and insights
 
 
@@ -891,63 +638,5 @@ def q_token_estimate(s, d):
     return table(s, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-_INS = (
-    f"{_G}, own(candidate, skill) AS (VALUES (1, 'python'), (1, 'pandas'), (2, 'python'), (2, 'ml'), (2, 'sql'), (3, 'docker')), m(role, skill, frequency_pct) AS (VALUES ('AI', 'python', 90.0), ('AI', 'ml', 75.0), ('AI', 'llm', 55.0), ('AI', 'rag', 30.0), ('AI', 'docker', 10.0)), t(candidate, role) AS (VALUES (1, 'AI'), (2, 'AI'), (3, 'AI')),"
-    " w AS (SELECT t.candidate, t.role, m.skill, m.frequency_pct, CASE WHEN frequency_pct >= 70 THEN 'critical' WHEN frequency_pct >= 50 THEN 'medium' ELSE 'optional' END AS severity FROM t JOIN m USING (role) WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.candidate = t.candidate AND o.skill = m.skill)),"
-    " st AS (SELECT t.candidate, t.role, m.skill, m.frequency_pct FROM t JOIN m USING (role) JOIN own o ON o.candidate = t.candidate AND o.skill = m.skill),"
-    " met AS (SELECT 'prerequisite' AS kind, w.candidate, w.role, w.skill AS via, w.frequency_pct, e.dst AS skill, e.ordinal FROM w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' WHERE severity <> 'optional'"
-    " UNION ALL SELECT 'expand', st.candidate, st.role, st.skill, st.frequency_pct, e.dst, e.ordinal FROM st JOIN edges e ON e.src = st.skill AND e.type = 'leads_to' WHERE frequency_pct >= 50"
-    " UNION ALL SELECT 'deepen', w.candidate, w.role, w.skill, w.frequency_pct, e.dst, e.ordinal FROM w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' WHERE severity = 'optional' AND frequency_pct >= 20),"
-    " un AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, candidate, role, skill ORDER BY frequency_pct DESC, via, ordinal) AS rn FROM met WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.candidate = met.candidate AND o.skill = met.skill)) WHERE rn = 1),"
-    " ins AS (SELECT candidate, role, kind, skill, via, CAST(row_number() OVER (PARTITION BY kind, candidate, role ORDER BY frequency_pct DESC, via, ordinal) AS INTEGER) AS pos FROM un)"
-)
-
-
-def _small(s):
-    m = s.createDataFrame([("AI", "python", 90.0), ("AI", "ml", 75.0), ("AI", "llm", 55.0), ("AI", "rag", 30.0), ("AI", "docker", 10.0)], "role string, skill string, frequency_pct double")
-    return fx.owned(s), s.createDataFrame([(1, "AI"), (2, "AI"), (3, "AI")], "candidate int, role string"), m
-
-
-@_add("q_graph_insights", f"WITH {_INS} SELECT * FROM ins")
-def q_graph_insights(s, d):
-    return insights.graph_insights(*_small(s), fx.edges(s))
-
-
-@_add(
-    "q_learning_order",
-    f"WITH {_INS}, l AS (SELECT candidate, role, skill, 0 AS prio, pos FROM ins WHERE kind = 'prerequisite' UNION ALL SELECT candidate, role, skill, 1, row_number() OVER (PARTITION BY candidate, role ORDER BY frequency_pct DESC, skill) FROM w WHERE severity = 'critical'"
-    " UNION ALL SELECT candidate, role, skill, 2, row_number() OVER (PARTITION BY candidate, role ORDER BY frequency_pct DESC, skill) FROM w WHERE severity = 'medium' UNION ALL SELECT candidate, role, skill, 3, pos FROM ins WHERE kind = 'expand' UNION ALL SELECT candidate, role, skill, 4, pos FROM ins WHERE kind = 'deepen'),"
-    " f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate, role, skill ORDER BY prio, pos) AS rn FROM l) WHERE rn = 1)"
-    " SELECT candidate, role, skill, prio, CAST(row_number() OVER (PARTITION BY candidate, role ORDER BY prio, pos, skill) AS INTEGER) AS step FROM f",
-)
-def q_learning_order(s, d):
-    o, t, m = _small(s)
-    return insights.learning_order(gap.weaknesses(o, t, m), insights.graph_insights(o, t, m, fx.edges(s)))
-
-
-@_add(
-    "q_penalty_lengths",
-    f"WITH RECURSIVE {_G}, own(candidate, skill) AS (VALUES (1, 'python'), (1, 'pandas'), (2, 'python'), (2, 'ml'), (2, 'sql'), (3, 'docker')), goals(candidate, goal) AS (VALUES (1, 'rag'), (2, 'rag'), (3, 'mlops'), (2, 'mlops')),"
-    " walk(candidate, goal, skill) AS (SELECT candidate, goal, goal FROM goals UNION SELECT w.candidate, w.goal, e.dst FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.candidate = w.candidate AND o.skill = e.dst))"
-    " SELECT g.candidate, g.goal, (SELECT count(*) FROM walk w JOIN edges e ON e.src = w.skill AND e.type = 'prerequisite' WHERE w.candidate = g.candidate AND w.goal = g.goal AND NOT EXISTS (SELECT 1 FROM own o WHERE o.candidate = w.candidate AND o.skill = e.dst)) AS missing FROM goals g",
-)
-def q_penalty_lengths(s, d):
-    goals = s.createDataFrame([(1, "rag"), (2, "rag"), (3, "mlops"), (2, "mlops")], "candidate int, goal string")
-    return insights.penalty_lengths(goals, fx.owned(s), fx.edges(s))
-
-
-@_add(
-    "q_rule_phases",
-    f"WITH {_INS}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate, role, severity ORDER BY frequency_pct DESC, skill) AS rn FROM w)"
-    " SELECT DISTINCT * FROM (SELECT candidate, role, 1 AS phase, skill FROM ins WHERE kind = 'prerequisite' AND pos <= 3 UNION ALL SELECT candidate, role, 2, skill FROM r WHERE severity = 'medium' AND rn <= 2 UNION ALL SELECT candidate, role, 3, skill FROM r WHERE severity = 'critical' AND rn <= 2"
-    " UNION ALL SELECT candidate, role, 3, skill FROM r WHERE severity = 'optional' AND frequency_pct >= 30 AND rn <= 1 UNION ALL SELECT candidate, role, 4, skill FROM ins WHERE kind = 'expand' AND pos <= 2 UNION ALL SELECT DISTINCT candidate, role, 4, 'docker' FROM w)",
-)
-def q_rule_phases(s, d):
-    o, t, m = _small(s)
-    return insights.rule_phases(gap.weaknesses(o, t, m), insights.graph_insights(o, t, m, fx.edges(s)))
-
-
-@_add("q_roadmap_document")
-def q_roadmap_document(s, d):
-    out = insights.roadmap_document(*_small(s), fx.edges(s))
-    return out.select("candidate", "role", "readiness", F.to_json("phases").alias("phases"))
+# The other catalogue registers its queries beside these.
+from skillweave.plans import graph_catalogue  # noqa: E402, F401

@@ -1,4 +1,4 @@
-"""Small inline relations of the catalogue's graph and roadmap queries, for Spark and as SQL."""
+"""Configuration of the graph and roadmap queries, for Spark and as SQL: a skill graph, clusters, projects, brands as skills."""
 
 from __future__ import annotations
 
@@ -34,13 +34,9 @@ EDGES = [
     ("llm", "rag", "related", 0),
 ]
 CLUSTERS = [("data", "python", 0), ("data", "sql", 1), ("data", "pandas", 2), ("ai", "ml", 0), ("ai", "dl", 1), ("ai", "nlp", 2), ("ops", "docker", 0), ("ops", "mlops", 1)]
-OWNED = [(1, "python"), (1, "pandas"), (2, "python"), (2, "ml"), (2, "sql"), (3, "docker")]
-SOME = ["python", "ml", "dl", "nlp", "llm", "docker"]
-SCORED = [("python", 0.9, 1.0, 0.4, 1.5, 0), ("sql", 0.5, 0.9, 0.1, 1.1, 0), ("pandas", 0.3, 0.8, 0.2, 1.1, 1), ("ml", 0.8, 1.1, 0.3, 1.3, 1), ("statistics", 0.1, 0.8, 0.2, 1.1, 1), ("docker", 0.4, 1.0, 0.1, 1.1, 1), ("dl", 0.6, 1.0, 0.2, 1.2, 2), ("mlops", 0.25, 0.9, 0.0, 1.0, 2)]
-RATED = [
-    (1, "python", 0, 0.9, 1.0, 0, 1.0, 0.9, 0.0, "owned"), (1, "sql", 1, 0.5, 1.0, 0, 0.9, 0.8, 0.0, "owned"), (1, "ml", 2, 0.8, 0.25, 2, 1.1, 0.0, 0.2, "missing"), (1, "dl", 3, 0.6, 0.0, 5, 1.0, 0.0, 0.7, "missing"),
-    (2, "python", 0, 0.9, 1.0, 0, 1.0, 0.7, 0.0, "owned"), (2, "ml", 1, 0.8, 1.0, 0, 1.1, 0.9, 0.0, "owned"), (2, "dl", 2, 0.6, 0.5, 1, 1.0, 0.6, 0.0, "owned"), (2, "rag", 3, 0.7, 0.2, 3, 1.0, 0.0, 0.3, "missing"),
-]
+#: How many of the 25 brands, in order, stand for each node: skills that many or few candidates own.
+BRANDS_PER_NODE = (5, 4, 3, 3, 2, 2, 2, 1, 1, 1, 1)
+PAIRS = [("python", "sql"), ("python", "ml"), ("dl", "ml"), ("pandas", "statistics")]
 POOL = [
     ("Sales dashboard", "Beginner", ["Python", "SQL", "Pandas"], ["Student", "Fresher"]),
     ("Churn model", "Intermediate", ["Python", "SQL"], ["Junior"]),
@@ -56,39 +52,30 @@ def _values(name: str, columns: str, rows) -> str:
 
 GRAPH_SQL = _values("edges", "src, dst, type, ordinal", EDGES)
 CLUSTER_SQL = _values("clusters", "cluster, skill, pos", CLUSTERS)
-SCORED_SQL = _values("scored", "skill, relevance, market, centrality, boost, depth", SCORED)
-RATED_SQL = _values("rated", "candidate, skill, ordinal, weight, completion, missing, market, mastery, penalty, status", RATED)
 POOL_SQL = _values("pool", "name, difficulty, primary_skills, suitable_stages", POOL)
 
 
-def edges(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(EDGES, "src string, dst string, type string, ordinal int")
+def brand_nodes() -> list[tuple[str, str]]:
+    """(brand, node): brands in order, node after node."""
+    names = [f"Brand#{i}" for i in range(1, 26)]
+    return list(zip(names, [n for n, k in zip(NODES, BRANDS_PER_NODE) for _ in range(k)]))
 
 
-def nodes(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(n,) for n in NODES], "skill string")
+BRAND_SQL = _values("brandnode", "brand, node", brand_nodes())
 
 
-def some(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(n,) for n in SOME], "skill string")
+def edges(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(EDGES, "src string, dst string, type string, ordinal int")
 
 
-def owned(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(OWNED, "candidate int, skill string")
+def nodes(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(n,) for n in NODES], "skill string")
 
 
 def clusters(s: SparkSession) -> DataFrame:
     return s.createDataFrame(CLUSTERS, "cluster string, skill string, pos int")
 
 
-def scored(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(SCORED, "skill string, relevance double, market double, centrality double, boost double, depth int")
-
-
-def rated(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(RATED, "candidate int, skill string, ordinal int, weight double, completion double, missing int, market double, mastery double, penalty double, status string")
-
-
 def pool(s: SparkSession) -> DataFrame:
     return s.createDataFrame(POOL, "name string, difficulty string, primary_skills array<string>, suitable_stages array<string>")
 
