@@ -1,4 +1,4 @@
-"""Per-document string repairs that SQL functions do not express: JSON, broken lines. Arrow-batched UDFs."""
+"""JSON repair, which SQL functions do not express, in Arrow batches; rows that cannot be read go to quarantine with a reason."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 _WORDS = {"True": "true", "False": "false", "None": "null"}
@@ -51,18 +53,38 @@ def _in_order(text: str) -> str:
     return re.sub(r",(\s*[}\]])", r"\1", joined)
 
 
-def repair(text: str | None) -> str | None:
-    """Valid JSON text made of near-JSON, or null where that fails."""
+#: How a text was read, and why another one was not.
+STEPS = ("whole", "block", "repaired")
+REASONS = ("null", "empty", "no_bracket", "cut", "malformed")
+
+
+def repair_step(text: str | None) -> tuple[str | None, str]:
+    """Valid JSON text made of near-JSON and the step that read it, or null and the reason.
+
+    whole: as it is, or what a fence holds; block: its first balanced value; repaired: words, quotes, commas and breaks put
+    in order. Reasons: null; empty: nothing but white space; no_bracket: no object or array begins; cut: it ends inside a
+    value and closing it does not help; malformed: anything else.
+    """
     if text is None:
-        return None
+        return None, "null"
+    if not text.strip():
+        return None, "empty"
     fenced = _FENCE.search(text)
-    for attempt in ((lambda t: t), _block, lambda t: _in_order(_block(t))):
-        candidate = attempt(fenced[1] if fenced else text).strip()
+    inner = fenced[1] if fenced else text
+    for step, attempt in zip(STEPS, ((lambda t: t), _block, lambda t: _in_order(_block(t)))):
         try:
-            return json.dumps(json.loads(candidate), ensure_ascii=False)
+            return json.dumps(json.loads(attempt(inner).strip()), ensure_ascii=False), step
         except ValueError:
             continue
-    return None
+    begins = [i for i in (inner.find("{"), inner.find("[")) if i >= 0]
+    if not begins:
+        return None, "no_bracket"
+    return None, "malformed" if inner[min(begins) :].startswith(_block(inner)) else "cut"
+
+
+def repair(text: str | None) -> str | None:
+    """Valid JSON text made of near-JSON, or null where that fails."""
+    return repair_step(text)[0]
 
 
 @pandas_udf(StringType())
@@ -70,31 +92,18 @@ def repaired_json(text: pd.Series) -> pd.Series:
     return text.map(repair)
 
 
-_BULLET = re.compile(r"^\s*(?:[-*•●▪◦]|\d+[.)])\s+")
-_DATE = re.compile(r"\b(?:19|20)\d{2}\b|\b\d{1,2}/\d{4}\b")
-_OPEN_END = (",", "-", "–", "&", "(", "/", ":")
+@pandas_udf(StructType([StructField(c, StringType()) for c in ("fixed", "step", "reason")]))
+def _read(text: pd.Series) -> pd.DataFrame:
+    found = [repair_step(x) for x in text]
+    return pd.DataFrame({"fixed": [f for f, _ in found], "step": [s if f is not None else None for f, s in found], "reason": [None if f is not None else s for f, s in found]})
 
 
-def merge_lines(text: str | None, short: int = 40) -> str | None:
-    """Joins lines that a layout has broken: an open or short line takes the next one unless either is a header, bullet or date."""
-    if text is None:
-        return None
-    lines = [" ".join(x.split()) for x in text.split("\n")]
-    lines = [x for x in lines if x]
-    header = lambda x: sum(c.isupper() for c in x) > 0.7 * len(x)
-    own = lambda x: header(x) or bool(_BULLET.match(x)) or bool(_DATE.search(x))
-    out, i = [], 0
-    while i < len(lines):
-        line = lines[i]
-        if i + 1 < len(lines) and not header(line) and not own(lines[i + 1]) and (line.endswith(_OPEN_END) or (len(line) < short and not _DATE.search(line) and lines[i + 1][:1].islower())):
-            out.append(f"{line} {lines[i + 1]}")
-            i += 2
-        else:
-            out.append(line)
-            i += 1
-    return "\n".join(out)
+def read_json(rows: DataFrame, column: str) -> DataFrame:
+    """rows with fixed, step and reason: every row is read once, and is either repaired or rejected for a reason of REASONS."""
+    return rows.withColumn("_read", _read(F.col(column))).select(*rows.columns, "_read.fixed", "_read.step", "_read.reason")
 
 
-@pandas_udf(StringType())
-def merged_lines(text: pd.Series) -> pd.Series:
-    return text.map(merge_lines)
+def repaired_and_rejected(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(repaired, rejected) of read_json: the rows with fixed and step, and the quarantined ones with reason."""
+    read = read_json(rows, column)
+    return read.filter("reason IS NULL").drop("reason"), read.filter("reason IS NOT NULL").drop("fixed", "step")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.functions.text import percentages
+from skillweave.functions.text import markdown_sections, percentages
 
 TOLERANCE = 0.5
 #: Weights of hallucination, severity drift, number drift and missing skills; fixed values.
@@ -33,6 +33,37 @@ def skill_drift(source: DataFrame, said: DataFrame, key: str = "doc_id") -> Data
     )
 
 
+#: Section headings by a word they hold, in this order, and the sections they open; fixed values.
+SECTION_HEADINGS = {
+    "tổng quan": "overview",
+    "điểm mạnh": "strengths",
+    "khoảng trống quan trọng": "critical_gaps",
+    "khoảng trống trung bình": "medium_gaps",
+    "đánh giá mức độ sẵn sàng": "readiness",
+    "kế hoạch cải thiện": "improvement",
+}
+
+
+def severity_drift(texts: DataFrame, gaps: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, drifted, issues): gaps that a text tells under the other severity.
+
+    texts is (key, text), gaps (key, skill, severity). A text is cut into sections at its headings; a medium gap named in the
+    section of critical gaps and not in that of medium ones has drifted, and the reverse. A skill is named wherever its
+    letters stand, as in a longer word. issues are sorted; texts without a drift have none. Texts of a null key are left out.
+    """
+    sections = markdown_sections(texts.filter(F.col(key).isNotNull()), SECTION_HEADINGS, key)
+    of = lambda name: F.coalesce(F.max(F.when(F.col("section") == name, F.col("content"))), F.lit(""))
+    told = sections.groupBy(key).agg(of("critical_gaps").alias("critical_text"), of("medium_gaps").alias("medium_text"))
+    rows = gaps.select(key, "skill", "severity").distinct().join(told, key)
+    high, low = (F.contains(F.col(f"{x}_text"), F.col("skill")) for x in ("critical", "medium"))
+    issue = F.when((F.col("severity") == "medium") & high & ~low, F.format_string("Medium gap '%s' được nhắc ở section 'Quan trọng'", "skill")).when(
+        (F.col("severity") == "critical") & low & ~high, F.format_string("Critical gap '%s' được nhắc ở section 'Trung bình'", "skill")
+    )
+    found = rows.groupBy(key).agg(F.array_sort(F.collect_list(issue)).alias("found"))
+    issues = F.coalesce("found", F.array().cast("array<string>"))
+    return texts.select(key).distinct().filter(F.col(key).isNotNull()).join(found, key, "left").select(key, (F.size(issues) > 0).alias("drifted"), issues.alias("issues"))
+
+
 def number_drift(texts: DataFrame, known: DataFrame, key: str = "doc_id", tolerance: float = TOLERANCE) -> DataFrame:
     """(key, numbers, drifted): percentages in the text, and those further than the tolerance from every known one; known is (key, value)."""
     said = texts.select(key, F.explode(percentages(F.col("text"))).alias("said"))

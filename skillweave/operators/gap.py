@@ -114,15 +114,36 @@ def merged_order(*lists: DataFrame) -> DataFrame:
     return first.withColumn("step", F.row_number().over(W.partitionBy("candidate", "role").orderBy("prio", "pos", "skill"))).select("candidate", "role", "skill", "prio", "step")
 
 
-def gap_document(owned: DataFrame, targets: DataFrame, matrix: DataFrame, max_actions: int = 5) -> DataFrame:
-    """One nested row per candidate and role: readiness, strengths, gaps by severity, extra skills and actions."""
+def with_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """rows (.., skill) with category, description and importance_reason of metadata (skill, ...); null where it has none."""
+    return rows.join(metadata.select("skill", "category", "description", "importance_reason").dropDuplicates(["skill"]), "skill", "left")
+
+
+def gap_document(
+    owned: DataFrame, targets: DataFrame, matrix: DataFrame, max_actions: int = 5, metadata: DataFrame | None = None, critical: float = CRITICAL_PCT, medium: float = MEDIUM_PCT, core: float = CORE_PCT, important: float = IMPORTANT_PCT
+) -> DataFrame:
+    """One nested row per candidate and role: readiness, strengths, gaps by severity, extra skills and actions.
+
+    With metadata (skill, category, description, importance_reason) strengths, critical and medium gaps and actions carry
+    what it knows of their skills, actions the reason too.
+    """
     key = ["candidate", "role"]
-    by_pct = lambda fields: F.transform(F.array_sort(F.collect_list(F.struct((-F.col("frequency_pct")).alias("o"), *fields))), lambda x: F.struct(x["skill"].alias("skill"), (-x["o"]).alias("frequency_pct"), x["label"].alias("label")))
-    strong = strengths(owned, targets, matrix).withColumnRenamed("level", "label").groupBy(*key).agg(by_pct(["skill", "label"]).alias("strengths"))
-    weak = weaknesses(owned, targets, matrix)
-    gaps = weak.withColumnRenamed("severity", "label").groupBy(*key).agg(by_pct(["skill", "label"]).alias("gaps"))
+    known = (lambda rows: rows) if metadata is None else (lambda rows: with_metadata(rows, metadata))
+    about = [] if metadata is None else ["category", "description"]
+
+    def by_pct(rows: DataFrame, name: str, extra: list[str]) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("frequency_pct")).alias("o"), "skill", "label", *extra)))
+        return rows.groupBy(*key).agg(F.transform(listed, lambda x: F.struct(x["skill"].alias("skill"), (-x["o"]).alias("frequency_pct"), x["label"].alias("label"), *[x[c].alias(c) for c in extra])).alias(name))
+
+    strong = by_pct(known(strengths(owned, targets, matrix, core, important).withColumnRenamed("level", "label")), "strengths", about)
+    weak = weaknesses(owned, targets, matrix, critical, medium)
+    labelled = known(weak.withColumnRenamed("severity", "label"))
+    if metadata is not None:
+        labelled = labelled.select("*").withColumns({c: F.when(F.col("label") != "optional", F.col(c)) for c in about})
+    gaps = by_pct(labelled, "gaps", about)
     extra = extra_skills(owned, targets, matrix).groupBy(*key).agg(F.array_sort(F.collect_list("skill")).alias("extra_skills"))
-    actions = improvement_actions(weak, max_actions=max_actions).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "priority", "skill", "action"))).alias("actions"))
+    reason = [] if metadata is None else ["category", "description", "importance_reason"]
+    actions = known(improvement_actions(weak, max_actions=max_actions)).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "priority", "skill", "action", *reason))).alias("actions"))
     out = readiness(owned, targets, matrix)
     for part in (strong, gaps, extra, actions):
         out = out.join(part, key, "left")

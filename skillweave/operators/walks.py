@@ -82,3 +82,26 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     while levels.add(at, there):
         there, at = levels.at(at).filter("node <> goal").join(step, ["goal", "node"]).select("start", "goal", F.col("next").alias("node")), at + 1
     return levels.all().groupBy("start", "goal").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "node"))), lambda x: x["node"]).alias("path"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root): for each of nodes (node, ordinal) the smallest ordinal reachable over undirected edges (a, b) of nodes.
+
+    Minimum labels spread along the edges and then jump along their own labels, so long chains shorten by half each round;
+    rounds end when no label falls. Each round is stored.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links, rounds = Levels(nodes.sparkSession, "links"), Levels(nodes.sparkSession, "labels")
+    named = nodes.select("node", "ordinal")
+    links.add(0, both.join(named.select(F.col("node").alias("a"), F.col("ordinal").alias("x")), "a").join(named.select(F.col("node").alias("b"), F.col("ordinal").alias("y")), "b").select("x", "y"))
+    rounds.add(0, named.select(F.col("ordinal").alias("x"), F.col("ordinal").alias("label"), F.lit(True).alias("fell")))
+    at = 0
+    while True:
+        old = rounds.at(at).select("x", "label")
+        near = links.at(0).join(old.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
+        mid = old.join(near, "x", "left").select("x", F.least("label", "near").alias("mid"), F.col("label").alias("was"))
+        top = mid.select(F.col("x").alias("mid"), F.col("mid").alias("top"))
+        rounds.add(at + 1, mid.join(top, "mid").select("x", F.least("mid", "top").alias("label"), (F.least("mid", "top") < F.col("was")).alias("fell")))
+        at += 1
+        if rounds.at(at).filter("fell").isEmpty():
+            return named.join(rounds.at(at).select(F.col("x").alias("ordinal"), F.col("label").alias("root")), "ordinal").select("node", "root")

@@ -51,7 +51,7 @@ def required(df: DataFrame | None, what: str) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str, key: str = "alias", value: str = "canonical") -> DataFrame:
     """One JSON object of strings as rows (key, value)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
 
 
@@ -61,7 +61,7 @@ def skill_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     The file holds skills: name -> {category, prerequisites, related, leads_to}, and skill_clusters: name -> names.
     """
     node = "struct<category: string, prerequisites: array<string>, related: array<string>, leads_to: array<string>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.from_json("value", f"skills map<string, {node}>, skill_clusters map<string, array<string>>").alias("g"))
     nodes = parsed.select(F.explode("g.skills").alias("skill", "n"))
     kinds = (("prerequisites", "prerequisite"), ("related", "related"), ("leads_to", "leads_to"))
@@ -73,6 +73,26 @@ def skill_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return nodes.select("skill", "n.category"), edges, clusters.select("cluster", "skill", "pos")
 
 
+PROJECT = "struct<name: string, difficulty: string, primary_skills: array<string>, tech_stack: array<string>, deliverables: array<string>, learning_outcomes: array<string>, estimated_hours: int, suitable_stages: array<string>>"
+
+
+def project_pool(spark: SparkSession, path: str) -> DataFrame:
+    """The projects of a pool file {projects: {name: {...}}}, one row each."""
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"projects map<string, {PROJECT}>").alias("p"))
+    return parsed.select(F.explode("p.projects").alias("key", "project")).select(F.coalesce("project.name", "key").alias("name"), *[f"project.{c}" for c in ("difficulty", "primary_skills", "tech_stack", "deliverables", "learning_outcomes", "estimated_hours", "suitable_stages")])
+
+
+def skill_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(skill, category, description, importance_reason) of a file {skill: {...}}."""
+    kind = "map<string, struct<category: string, description: string, importance_reason: string>>"
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("skill", "m")).select("skill", "m.*")
+
+
+def prompt_template(spark: SparkSession, path: str) -> str:
+    """The text of one template file."""
+    return spark.read.text(path, wholetext=True).first().value
+
+
 def ontology(*parts: DataFrame) -> DataFrame:
     """(alias, canonical): parts (alias, canonical) in order of priority, aliases in lower case, the first one wins."""
     rows = None

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skillweave.functions import sets, text
-from skillweave.functions.repair import merge_lines, repair
+from skillweave.functions.repair import repair
 
 
 def one(spark, *columns, **values):
@@ -92,10 +92,6 @@ def test_json_repair_mends():
     assert repair("nothing here") is None and repair(None) is None
 
 
-def test_merge_lines():
-    assert merge_lines("EDUCATION\nStudied at a school,\nthen worked\n- item one\nand on") == "EDUCATION\nStudied at a school, then worked\n- item one and on"
-    assert merge_lines(None) is None and merge_lines("") == ""
-
 
 def test_ratio_is_difflibs(spark):
     from difflib import SequenceMatcher
