@@ -86,22 +86,6 @@ def clean_terminal(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
-def normalized_role(title: Column, mapping: DataFrame | dict[str, str], strip: list[str], empty: str | None = "Unknown") -> Column:
-    """Role names: lower and squeeze, look up, strip patterns, look up again, else title case.
-
-    mapping is a small dict. A title that strips to nothing is empty, or its own title case if empty is None.
-    """
-    entries = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]) if mapping else None
-    look = (lambda c: F.try_element_at(entries, c)) if entries is not None else (lambda c: F.lit(None).cast("string"))
-    squeezed = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
-    bare = squeezed
-    for p in strip:
-        bare = F.regexp_replace(bare, p, " ")
-    bare = F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), r"^[-,/ ]+|[-,/ ]+$", "")
-    rest = F.when(bare == "", F.lit(empty) if empty is not None else title_case(squeezed)).otherwise(F.coalesce(look(bare), title_case(bare)))
-    return F.when(squeezed == "", F.lit(empty or "Unknown")).otherwise(F.coalesce(look(squeezed), rest))
-
-
 def enriched_query(query: Column, domain: Column, hints: dict[str, str]) -> Column:
     """The query behind its domain's hint and '. '; as it is for an unknown or no domain."""
     hint = F.lit(None).cast("string")

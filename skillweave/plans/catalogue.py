@@ -214,11 +214,6 @@ def q_merged_order(s, d):
     return gap.merged_order(at(weak.filter("severity = 'critical'"), F.desc("skill")), at(weak, "frequency_pct", "skill"))
 
 
-@_add("q_gap_document")
-def q_gap_document(s, d):
-    return gap.gap_document(_owned(s, d), _targets(s, d), _matrix(s, d)).select("candidate", "role", "readiness", F.to_json("strengths").alias("strengths"), F.to_json("optional_gaps").alias("optional_gaps"), _join("extra_skills").alias("extra_skills"), F.to_json("actions").alias("actions"))
-
-
 @_add(
     "q_market_insights",
     _BASE + f", {_WEAK} SELECT k.candidate, m.role, m.skill, m.frequency_pct, CASE w.severity WHEN 'critical' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END AS priority"
@@ -271,21 +266,6 @@ def q_predefined_transitions(s, d):
     return _flat(transitions.seeded(_transitions(s, d), seeds, _matrix(s, d), 14.7, 15.0))
 
 
-@_add(
-    "q_closest_role",
-    _BASE + f", {_SETS}, mine AS (SELECT candidate, count(*) AS n FROM owned GROUP BY 1), sc AS (SELECT o.candidate, s.role, round(CAST(count(*) AS DOUBLE) / (any_value(mine.n) + any_value(sizes.n) - count(*)), 4) AS similarity"
-    " FROM owned o JOIN sets s USING (skill) JOIN mine ON mine.candidate = o.candidate JOIN sizes ON sizes.role = s.role GROUP BY 1, 2)"
-    " SELECT candidate, role, similarity FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY similarity DESC, role) AS rn FROM sc) WHERE rn = 1"
-    " UNION ALL SELECT candidate, CASE WHEN candidate % 3 = 0 THEN 'MACHINERY' ELSE (SELECT min(role) FROM matrix) END, 0.0 FROM (SELECT DISTINCT candidate FROM owned) WHERE candidate NOT IN (SELECT candidate FROM sc)",
-)
-def q_closest_role(s, d):
-    # Every third candidate also owns a skill named like a role, which is in no role's set.
-    named = _owned(s, d).select("candidate", F.lit("Machinery").alias("skill")).filter(F.col("candidate") % 3 == 0).distinct()
-    left = transitions.closest_role(_owned(s, d), _matrix(s, d), 14.7).filter("similarity > 0")
-    rest = transitions.closest_role(_owned(s, d).unionByName(named), _matrix(s, d), 14.7).filter("similarity = 0")
-    return left.unionByName(rest)
-
-
 # Matching and search
 
 
@@ -482,20 +462,6 @@ def q_domain_detect(s, d):
     return text.detect_domain(table(s, d, "documents"), s.createDataFrame(_DOMAINS, "domain string, ordinal int, keyword string"))
 
 
-@_add(
-    "q_role_normalize",
-    "SELECT p_partkey, CASE WHEN lower(p_type) = 'small brass' THEN 'Brass (small)' ELSE (SELECT string_agg(upper(w[1]) || substring(w, 2), ' ') FROM (SELECT unnest(string_split(trim(regexp_replace(regexp_replace(lower(p_type), 'polished|plated', ' ', 'g'), '\\s+', ' ', 'g'), ' '), ' ')) AS w)) END AS role FROM part",
-)
-def q_role_normalize(s, d):
-    return table(s, d, "part").select("p_partkey", text.normalized_role(F.col("p_type"), {"small brass": "Brass (small)"}, ["polished|plated"]).alias("role"))
-
-
-@_add("q_json_props")
-def q_json_props(s, d):
-    rows = table(s, d, "events").select("event_id", repaired_json(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("fixed"), "props")
-    return rows.select("event_id", F.col("fixed").isNotNull().alias("valid"), F.size(F.json_object_keys("fixed")).alias("n_keys"))
-
-
 @_add(
     "q_number_drift",
     "WITH t AS (SELECT doc_id, coalesce(text, '') || ' ' || (doc_id % 7) || ',5% ' || (doc_id % 5) || '.2%' AS text FROM documents),"
@@ -508,35 +474,6 @@ def q_number_drift(s, d):
     return evaluate.number_drift(docs.select("doc_id", tail.alias("text")), docs.select("doc_id", (F.col("doc_id") % 5).cast("double").alias("value")))
 
 
-@_add(
-    "q_skill_drift",
-    _BASE + ", a AS (SELECT candidate, lower(skill) AS skill FROM owned), b AS (SELECT candidate, lower(skill) AS skill FROM targets JOIN matrix USING (role)),"
-    " f AS (SELECT coalesce(a.candidate, b.candidate) AS candidate, a.skill AS x, b.skill AS y FROM a FULL OUTER JOIN b ON a.candidate = b.candidate AND a.skill = b.skill)"
-    " SELECT candidate, count(CASE WHEN x IS NULL THEN 1 END) AS hallucinated, count(CASE WHEN y IS NULL THEN 1 END) AS missing, count(y) AS n_said,"
-    " round(greatest(0, least(1, 1 - 3 * (count(CASE WHEN x IS NULL THEN 1 END) / greatest(count(y), 1)) - 0.05 * count(CASE WHEN y IS NULL THEN 1 END))), 4) AS quality FROM f GROUP BY 1",
-)
-def q_skill_drift(s, d):
-    said = _targets(s, d).join(_matrix(s, d), "role").select("candidate", "skill")
-    rows = evaluate.skill_drift(_owned(s, d), said, "candidate")
-    rate = F.col("hallucinated") / F.greatest(F.col("n_said"), F.lit(1))
-    return rows.withColumn("quality", evaluate.quality(rate, F.lit(False), F.lit(0), F.col("missing")))
-
-
-# Fuzzy
-
-
-@_add("q_fuzzy_pairs")
-def q_fuzzy_pairs(s, d):
-    return fuzzy.similar_pairs(fx.part_names(s, d), 60.0)
-
-
-@_add("q_fuzzy_components")
-def q_fuzzy_components(s, d):
-    names = fx.part_names(s, d)
-    freq = names.select("name", F.col("frequency"))
-    return fuzzy.canonical_names(fuzzy.groups(names, fuzzy.similar_pairs(names, 60.0)), freq)
-
-
 # Roadmap
 
 _PH = _BASE + f", {_WEAK}, pos AS (SELECT candidate, skill, row_number() OVER (PARTITION BY candidate ORDER BY frequency_pct DESC, skill) AS pos, count(*) OVER (PARTITION BY candidate) AS n FROM weak), sz AS (SELECT *, CAST(greatest(2, ceil(n / ceil(n / 5.0))) AS BIGINT) AS s FROM pos), ph AS (SELECT candidate, skill, CAST(CASE WHEN ceil(n / CAST(s AS DOUBLE)) > 1 AND n - (ceil(n / CAST(s AS DOUBLE)) - 1) * s < 2 AND (pos - 1) // s + 1 = ceil(n / CAST(s AS DOUBLE)) THEN (pos - 1) // s ELSE (pos - 1) // s + 1 END AS INTEGER) AS phase FROM sz)"
@@ -626,17 +563,10 @@ def q_job_profiles(s, d):
     return out.select("job_id", "title_original", "company", _join("skills").alias("skills"), "skill_count")
 
 
-@_add("q_cv_round_trip", "SELECT c_custkey, c_name AS name, [c_mktsegment] IS NOT NULL AS parsed FROM customer")
-def q_cv_round_trip(s, d):
-    doc = F.to_json(F.struct(F.struct(F.col("c_name").alias("name")).alias("personal_info"), F.array("c_mktsegment").alias("skills")))
-    cv = table(s, d, "customer").select("c_custkey", profile.parse_cv(profile.dump_cv(profile.parse_cv(doc))).alias("cv"))
-    return cv.select("c_custkey", F.col("cv.personal_info.name").alias("name"), F.col("cv.skills").isNotNull().alias("parsed"))
-
-
 @_add("q_token_estimate", "SELECT doc_id, CAST(greatest(floor(len(list_filter(regexp_split_to_array(trim(text, ' '), '\\s+'), lambda x: x <> '')) * 1.3), floor(length(text) / 4)) AS BIGINT) AS tokens FROM documents")
 def q_token_estimate(s, d):
     return table(s, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-# The other catalogue registers its queries beside these.
-from skillweave.plans import graph_catalogue  # noqa: E402, F401
+# The other catalogues register their queries beside these.
+from skillweave.plans import graph_catalogue, rules_catalogue  # noqa: E402, F401

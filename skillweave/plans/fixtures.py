@@ -80,10 +80,17 @@ def pool(s: SparkSession) -> DataFrame:
     return s.createDataFrame(POOL, "name string, difficulty string, primary_skills array<string>, suitable_stages array<string>")
 
 
+def spelled_parts(s: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, name): part names, four of five spelled in another way."""
+    n, k = F.col("p_name"), F.col("p_partkey") % 5
+    spelled = F.when(k == 1, F.concat(F.substring(n, 1, 1), F.expr("substring(p_name, 3)"))).when(k == 2, F.concat(F.substring(n, 1, 3), F.expr("substring(p_name, 3)"))).when(k == 3, F.upper(n)).when(k == 4, F.concat(n, F.lit("s")))
+    return table(s, d, "part").select("p_partkey", F.coalesce(spelled, n).alias("name"))
+
+
 def part_names(s: SparkSession, d: str) -> DataFrame:
-    """The vocabulary of the most frequent part types: (name, ordinal, frequency)."""
+    """The vocabulary of the most frequent spellings of part names: (name, ordinal, frequency)."""
     from skillweave.operators.fuzzy import TOP_NAMES
     from skillweave.operators.market import top_values
 
-    top = top_values(table(s, d, "part").select(F.col("p_type").alias("name")), "name", TOP_NAMES)
+    top = top_values(spelled_parts(s, d).select("name"), "name", TOP_NAMES)
     return top.select("name", F.row_number().over(W.orderBy(F.desc("n"), "name")).alias("ordinal"), F.col("n").alias("frequency"))

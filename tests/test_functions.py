@@ -71,13 +71,6 @@ def test_markdown_and_queries(spark):
     assert one(spark, text.enriched_query(F.col("q"), F.col("d"), {"web": "Web role"}), q="me", d="web")[0] == "Web role. me"
     assert one(spark, text.enriched_query(F.col("q"), F.col("d"), {"web": "Web role"}), q="me", d=None)[0] == "me"
 
-
-def test_role_names(spark):
-    names = {"sre": "SRE"}
-    role = lambda t: one(spark, text.normalized_role(F.col("t"), names, [r"\bsenior\b"]), t=t)[0]
-    assert role("  Senior   SRE ") == "SRE" and role("senior data engineer") == "Data Engineer" and role("") == "Unknown" and role(None) == "Unknown" and role("Senior") == "Unknown"
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(string.ascii_letters + " ,'", max_size=8), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(string.ascii_letters, min_size=1, max_size=5), x, max_size=3), max_leaves=8))
 def test_json_repair_keeps_valid_json(value):
