@@ -52,17 +52,30 @@ def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _from(text: Column, mark: str, back: int = 0) -> Column:
+    """The text from back characters before a mark on, null without it: what a pattern whose matches hold the mark has to search."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substring(text, F.greatest(at - back, F.lit(1)), F.length(text)))
+
+
 def contact_fields(text: Column) -> list[Column]:
-    """email, phone, github and linkedin (with scheme), urls and gpa (points/scale), each null or empty where absent."""
+    """email, phone, github and linkedin (with scheme), urls and gpa (points/scale), each null or empty where absent.
+
+    Every pattern is tried only from where the first of its matches can start, so a text without marks costs a plain search.
+    """
     schemed = lambda c: F.when(F.startswith(c, F.lit("http")), c).otherwise(F.concat(F.lit("https://"), c))
-    points = "(?i)" + GPA
+    none = F.array().cast("array<string>")
+    low = F.translate(text, "GPAC", "gpac")
+    grades = [F.nullif(F.instr(low, m), F.lit(0)) for m in ("gpa", "cpa")]
+    grade = first_match(F.substring(text, F.greatest(F.least(*grades) - 2, F.lit(1)), F.length(text)), "(?i)" + GPA)
+    host = len("https://www.")
     return [
-        first_match(text, EMAIL).alias("email"),
-        F.coalesce(*[first_match(text, p) for p in PHONES]).alias("phone"),
-        schemed(first_match(text, GITHUB)).alias("github"),
-        schemed(first_match(text, LINKEDIN)).alias("linkedin"),
-        F.coalesce(F.regexp_extract_all(text, F.lit(f"({URL})"), F.lit(1)), F.array().cast("array<string>")).alias("urls"),
-        F.concat(first_match(text, points, 1), F.lit("/"), first_match(text, points, 2)).alias("gpa"),
+        F.when(F.contains(text, F.lit("@")), first_match(text, EMAIL)).alias("email"),
+        F.coalesce(*[first_match(_from(text, m), p) for m, p in zip(("+84", "0", "+"), PHONES)]).alias("phone"),
+        schemed(first_match(_from(text, "github.com", host), GITHUB)).alias("github"),
+        schemed(first_match(_from(text, "linkedin.com", host), LINKEDIN)).alias("linkedin"),
+        F.coalesce(F.regexp_extract_all(_from(text, "://", len("https")), F.lit(f"({URL})"), F.lit(1)), none).alias("urls"),
+        F.when(F.least(*grades).isNotNull(), F.regexp_replace(grade, r"^[^0-9]*", "")).alias("gpa"),
     ]
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skillweave.operators import gap, graph, roadmap
+from skillweave.operators import gap, graph, narratives, roadmap
+from skillweave.storage import Levels
 
 STRONG_PCT, OPTIONAL_PCT = 50.0, 20.0
 
@@ -85,3 +86,46 @@ def roadmap_document(owned: DataFrame, targets: DataFrame, matrix: DataFrame, ed
     phases = roadmap.repaired_phases(roadmap.chunk_phases(ordered.select("candidate", "skill", "pos")).select("candidate", "skill", "phase"), edges)
     listed = phases.groupBy("candidate", "phase").agg(F.array_sort(F.collect_list("skill")).alias("skills")).groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("phase", "skills"))).alias("phases"))
     return gap.readiness(owned, targets, matrix).select("candidate", "role", "readiness").join(listed, "candidate", "left")
+
+
+def ordered_statuses(owned: DataFrame, targets: DataFrame, matrix: DataFrame, edges: DataFrame) -> DataFrame:
+    """(candidate, completed, partial, missing): the role's skills by status, the most frequent first; see roadmap.overlay."""
+    weak = gap.weaknesses(owned, targets, matrix)
+    rows = roadmap.overlay(gap.strengths(owned, targets, matrix).select("candidate", "skill"), weak, edges).join(targets, "candidate").join(matrix.select("role", "skill", "frequency_pct"), ["role", "skill"])
+    listed = lambda status: F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct((-F.col("frequency_pct")).alias("o"), "skill")))), lambda x: x["skill"]).alias(status)
+    return rows.groupBy("candidate").agg(listed("completed"), listed("partial"), listed("missing"))
+
+
+def full_roadmap(owned: DataFrame, targets: DataFrame, matrix: DataFrame, edges: DataFrame, stages: DataFrame, pool: DataFrame, allowed: dict[str, list[str]], threshold: float = 0.5) -> DataFrame:
+    """One nested row for each candidate and role: stage, readiness, scores today and at the end, phases, story and report.
+
+    targets has one role for each candidate, stages is (candidate, stage), pool the projects. A phase is a struct of its
+    number, title, skills, mean depth, reason, paragraph, project (null without a fitting one), score after it and gain.
+    Phases hold the missing skills with all their prerequisites; scores are those of the graph projection with a skill's
+    frequency as weight. The report tells the score from the bottlenecks and the prerequisites that are missing today.
+    Candidates who lack nothing have no phases.
+    """
+    spark = owned.sparkSession
+    plan, scored = Levels(spark, "phases"), Levels(spark, "scores")
+    weak = gap.weaknesses(owned, targets, matrix)
+    plan.add(0, roadmap.expanded_phases(owned, weak, edges))
+    rank = F.row_number().over(W.partitionBy("candidate").orderBy(F.desc("frequency_pct"), "skill"))
+    skills = targets.join(matrix, "role").select("candidate", "skill", (F.col("frequency_pct") / 100).alias("weight"), F.lit(1.0).alias("market"), rank.alias("ordinal"))
+    scored.add(0, roadmap.graph_projection(skills, owned, plan.at(0).select("candidate", "phase", "skill"), edges))
+    scores, summary = scored.at(0), roadmap.expanded_summary(plan.at(0)).join(stages, "candidate", "left")
+    wanted = summary.select(F.struct("candidate", "phase").alias("phase_id"), "stage", "skills")
+    projects = roadmap.select_projects(wanted, pool, allowed, threshold).select("phase_id.candidate", "phase_id.phase", F.col("name").alias("project"))
+    told = narratives.phase_narrative(F.col("phase"), F.col("title"), F.col("skills"), F.col("avg_depth"))
+    parts = summary.withColumn("paragraph", told).join(projects, ["candidate", "phase"], "left").join(scores.select("candidate", "phase", "score", "delta"), ["candidate", "phase"])
+    parts = parts.groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("phase", "title", "skills", "avg_depth", "reason", "paragraph", "project", "score", "delta"))).alias("phases"))
+    today = scores.groupBy("candidate").agg(F.min_by("score", "phase").alias("current_score"), F.max_by("score", "phase").alias("final_score"), F.min_by("bottlenecks", "phase").alias("bottlenecks"))
+    short = penalty_lengths(weak.select("candidate", F.col("skill").alias("goal")), owned, edges).filter("missing > 0")
+    lost = short.groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct(F.col("goal").alias("skill"), F.least(F.lit(roadmap.PENALTY) * F.col("missing"), F.lit(roadmap.PENALTY_CAP)).alias("penalty")))).alias("penalties"))
+    rows = gap.readiness(owned, targets, matrix).select("candidate", "role", "readiness")
+    for part in (stages, today, lost, parts, ordered_statuses(owned, targets, matrix, edges)):
+        rows = rows.join(part, "candidate", "left")
+    rows = rows.withColumn("first_phase", F.try_element_at("phases", F.lit(1))["skills"])
+    story = narratives.personal_story(rows).select("candidate", F.struct("summary", "focus", "advice").alias("story"))
+    report = narratives.score_report(rows).select("candidate", F.struct("report", "weaknesses", "next_actions", "improvement").alias("report"))
+    whole = rows.join(story, "candidate").join(report, "candidate")
+    return whole.select("candidate", "role", "stage", "readiness", "current_score", "final_score", "bottlenecks", "completed", "partial", "missing", "phases", "story", "report")

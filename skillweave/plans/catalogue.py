@@ -537,19 +537,24 @@ def q_head_names(s, d):
     return profile.head_name(sections.lines(table(s, d, "documents")), ["the "])
 
 
+_YEARS = "coalesce(try_cast(nullif(regexp_extract(ex, '([0-9]+\\.?[0-9]*)\\s*(?:năm|year)', 1), '') AS DOUBLE), 0) AS years"
+
+
 @_add(
     "q_career_profile",
-    "WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), x AS (SELECT doc_id, trim(ls[1], ' ') AS name, lower(coalesce(ls[1], '') || ' ' || coalesce(ls[2], '')) AS edu, ls[3:] AS exp, lower(array_to_string(ls[3:], ' ')) AS ex,"
-    " list_transform(list_filter(list_transform(string_split(coalesce(ls[1], ''), ','), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: lower(x)) AS sk FROM l),"
-    " y AS (SELECT *, regexp_matches(edu, 'present|hiện tại|nay|university|học viện|trường|viện') AS st, coalesce(try_cast(nullif(regexp_extract(ex, '([0-9]+\\.?[0-9]*)\\s*(?:năm|year)', 1), '') AS DOUBLE), 0) AS years FROM x)"
-    " SELECT doc_id, CASE WHEN st AND years > 0 THEN 'Intern/Junior' WHEN st THEN 'Student' ELSE 'Entry' END AS stage, years, coalesce(substring(nullif(trim(exp[1], ' '), ''), 1, 100), 'Unknown') AS role,"
-    " concat_ws('|', CASE WHEN len(list_filter(sk, lambda x: contains(x, 'ation'))) > 0 THEN 'a' END, CASE WHEN len(list_filter(sk, lambda x: contains(x, 'und') OR contains(x, 'que'))) > 0 THEN 'b' END) AS domains,"
-    " coalesce(nullif(name, '') || ' - Ứng viên tiềm năng', '') AS summary FROM y",
+    "WITH l AS (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), x AS (SELECT doc_id, trim(ls[1], ' ') AS name, lower(coalesce(ls[1], '') || ' ' || coalesce(ls[2], '')) AS edu, ls[3:] AS exp, lower(array_to_string(ls[3:], ' ')) AS ex,"
+    " list_distinct(list_filter(list_transform(list_concat(regexp_split_to_array(regexp_replace(coalesce(ls[1], ''), '(?s)^[^:]*:', ''), '[;,]'), [lang, source, 'SQL']), lambda x: trim(x, ' ')), lambda x: x <> '')) AS sk FROM l),"
+    f" y AS (SELECT *, regexp_matches(edu, 'present|hiện tại|nay|university|học viện|trường|viện') AS st, {_YEARS},"
+    " list_filter([CASE WHEN len(list_filter(sk, lambda x: contains(lower(x), 'ation'))) > 0 THEN 'a' END, CASE WHEN len(list_filter(sk, lambda x: contains(lower(x), 'und') OR contains(lower(x), 'que'))) > 0 THEN 'b' END], lambda x: x IS NOT NULL) AS dom FROM x)"
+    " SELECT doc_id, CASE WHEN st AND years > 0 THEN 'Intern/Junior' WHEN st THEN 'Student' ELSE 'Entry' END AS stage, years, coalesce(substring(nullif(trim(exp[1], ' '), ''), 1, 100), 'Unknown') AS role, array_to_string(list_sort(sk), '|') AS technology_stack, array_to_string(dom, '|') AS domains,"
+    " CASE WHEN len(dom) > 0 THEN coalesce(nullif(name, '') || ' - Ứng viên tiềm năng | Lĩnh vực: ' || array_to_string(dom, ', '), 'Lĩnh vực chuyên môn: ' || array_to_string(dom, ', ')) ELSE coalesce(nullif(name, '') || ' - Ứng viên tiềm năng', '') END AS summary FROM y",
 )
 def q_career_profile(s, d):
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    cvs = table(s, d, "documents").select("doc_id", F.slice(lines, 1, 1).alias("personal_info"), F.slice(lines, 1, 2).alias("education"), F.slice(lines, 3, 1_000_000).alias("experience"), text.split_terms(F.get(lines, 0), ",").alias("skills"))
-    return profile.career_profile(cvs, {"a": ["ation"], "b": ["und", "que"]}).withColumn("domains", _join("domains"))
+    skills = F.array(F.get(lines, 0), F.concat(F.lit("Tools: "), "lang", F.lit("; "), "source", F.lit(" , SQL")))
+    cvs = table(s, d, "documents").select("doc_id", F.slice(lines, 1, 1).alias("personal_info"), F.slice(lines, 1, 2).alias("education"), F.slice(lines, 3, 1_000_000).alias("experience"), skills.alias("skills"))
+    out = profile.career_profile(cvs, {"a": ["ation"], "b": ["und", "que"]}).drop("skills")
+    return out.withColumn("domains", _join("domains")).withColumn("technology_stack", _join("technology_stack"))
 
 
 @_add(

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skillweave.operators import gap, graph, insights, market, roadmap, transitions
+from skillweave.operators import gap, graph, insights, market, narratives, roadmap, transitions
 from skillweave.plans import fixtures as fx
 from skillweave.plans.base import BASE, add, joined, owned, targets
+from skillweave.session import table
 
 _N = (
     BASE.replace("WITH jobs", "WITH RECURSIVE jobs")
@@ -459,3 +460,55 @@ def q_project_select(s, d):
     stage = F.element_at(F.array(*[F.lit(x) for x in roadmap.STAGES]), (F.col("candidate") % 4 + 1).cast("int"))
     need = phases.groupBy("candidate", "phase").agg(F.collect_list("skill").alias("skills")).select((F.col("candidate") * 100 + F.col("phase")).alias("phase_id"), stage.alias("stage"), "skills")
     return roadmap.select_projects(need, fx.pool(s), _ALLOWED, 0.25)
+
+
+#: The role's skills by status, the most frequent first.
+_STATUS = (
+    ", status AS (SELECT t.candidate, m.skill, m.frequency_pct, CASE WHEN o.skill IS NOT NULL THEN 'completed' WHEN EXISTS (SELECT 1 FROM needs e JOIN own x ON x.skill = e.dst AND x.candidate = t.candidate JOIN m y ON y.role = t.role AND y.skill = e.dst WHERE e.src = m.skill) THEN 'partial' ELSE 'missing' END AS status"
+    " FROM targets t JOIN m USING (role) LEFT JOIN own o ON o.candidate = t.candidate AND o.skill = m.skill),"
+    " st AS (SELECT candidate, coalesce(list(skill ORDER BY frequency_pct DESC, skill) FILTER (status = 'completed'), []) AS c, coalesce(list(skill ORDER BY frequency_pct DESC, skill) FILTER (status = 'partial'), []) AS p, coalesce(list(skill ORDER BY frequency_pct DESC, skill) FILTER (status = 'missing'), []) AS x FROM status GROUP BY 1)"
+)
+
+
+@add(
+    "q_personal_story",
+    _N + _STATUS + ", k AS (SELECT *, ['Student', 'Fresher', 'Junior', 'Middle'][candidate % 4 + 1] AS stage FROM st JOIN targets USING (candidate))"
+    " SELECT candidate, 'Chào bạn! ' || CASE stage WHEN 'Student' THEN 'bạn đang là sinh viên' WHEN 'Fresher' THEN 'bạn mới ra trường' WHEN 'Junior' THEN 'bạn đang ở cấp độ Junior' ELSE 'bạn đã có kinh nghiệm' END || '. Bạn đang nhắm đến vị trí ' || role || '. '"
+    " || CASE WHEN len(c) > 0 THEN 'Điểm mạnh hiện tại của bạn: ' || array_to_string(c[1:5], ', ') || '. ' ELSE 'Bạn đang bắt đầu từ đầu. ' END || CASE WHEN len(p) > 0 THEN 'Bạn đang trong quá trình học ' || array_to_string(p[1:3], ', ') || '. ' ELSE '' END"
+    " || 'Còn thiếu ' || len(x) || ' kỹ năng quan trọng: ' || array_to_string(x[1:3], ', ') || '.' AS summary,"
+    " concat_ws('|', CASE WHEN len(p) > 0 THEN 'Hoàn thành ' || array_to_string(p[1:2], ', ') || ' trước' END, CASE WHEN len(x) > 0 THEN 'Tập trung vào ' || x[1] || ' - đây là kỹ năng cốt lõi' END) AS focus,"
+    " CASE stage WHEN 'Student' THEN 'Tận dụng thời gian ở trường để xây dựng portfolio' WHEN 'Fresher' THEN 'Tập trung xây dựng các dự án cá nhân để chứng minh năng lực' ELSE 'Kết hợp học lý thuyết với thực hành qua dự án thực tế' END AS advice FROM k",
+)
+def q_personal_story(s, d):
+    own, to, m = _all(s, d)
+    stage = F.element_at(F.array(*[F.lit(x) for x in roadmap.STAGES]), (F.col("candidate") % 4 + 1).cast("int"))
+    rows = insights.ordered_statuses(own, to, m, fx.edges(s)).join(to, "candidate").withColumn("stage", stage).withColumn("first_phase", F.array().cast("array<string>"))
+    return narratives.personal_story(rows).select("candidate", "summary", joined("focus").alias("focus"), F.element_at("advice", 1).alias("advice"))
+
+
+@add(
+    "q_score_report",
+    _N + ", k AS (SELECT c_custkey AS candidate, c_mktsegment AS role, c_custkey % 97 AS now, c_custkey % 97 + c_custkey % 5 AS last, CASE WHEN c_custkey % 3 = 0 THEN [] ELSE ['sql', 'ml'] END AS low, c_custkey % 4 AS lost FROM customer)"
+    " SELECT candidate, 'Bạn đạt ' || now || '% mức độ phù hợp cho vị trí ' || role || ' - ' || CASE WHEN now < 30 THEN 'còn rất nhiều khoảng cách' WHEN now < 60 THEN 'đang ở mức trung bình' WHEN now < 80 THEN 'khá tốt' ELSE 'rất tốt' END || '. '"
+    " || CASE WHEN len(low) > 0 THEN 'Điểm nghẽn chính: sql, ml. ' ELSE '' END || CASE WHEN lost > 0 THEN 'Bạn bị trừ ' || lost * 25 || '% do thiếu các kỹ năng nền tảng. ' ELSE '' END"
+    " || CASE WHEN last > now THEN 'Sau khi hoàn thành roadmap, bạn có thể đạt ' || last || '% (tăng ' || (last - now) || '%).' ELSE 'Hoàn thành roadmap giúp bạn đạt ' || last || '%.' END AS report,"
+    " concat_ws('|', CASE WHEN len(low) > 0 THEN 'sql' END, CASE WHEN len(low) > 0 THEN 'ml' END, CASE WHEN lost > 0 THEN 'dl' END) AS weaknesses,"
+    " CASE WHEN len(low) = 0 AND last = now THEN 'Bắt đầu với kỹ năng có độ khó thấp nhất trước' ELSE concat_ws('|', CASE WHEN len(low) > 0 THEN 'Tập trung vào sql - đây là kỹ năng quan trọng nhất còn thiếu' END, CASE WHEN last > now THEN 'Hoàn thành Phase 2 để tăng ' || (last - now) || '% ATS' END) END AS next_actions, last - now AS improvement FROM k",
+)
+def q_score_report(s, d):
+    key = F.col("c_custkey")
+    low = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("sql"), F.lit("ml")))
+    lost = F.when(key % 4 > 0, F.array(F.struct(F.lit("dl").alias("skill"), (key % 4 * 0.25).cast("double").alias("penalty")), F.struct(F.lit("sql").alias("skill"), F.lit(0.0).alias("penalty"))))
+    lost = F.when((key % 4 > 0) & (key % 3 == 0), F.slice(lost, 1, 1)).otherwise(lost)
+    gains = F.array(F.struct(F.lit(1).alias("phase"), F.lit(0).cast("long").alias("delta")), F.struct(F.lit(2).alias("phase"), key % 5 * F.lit(1).cast("long")).cast("struct<phase: int, delta: bigint>"))
+    rows = table(s, d, "customer").select(key.alias("candidate"), F.col("c_mktsegment").alias("role"), (key % 97).alias("current_score"), (key % 97 + key % 5).alias("final_score"), low.alias("bottlenecks"), lost.alias("penalties"), gains.alias("phases"))
+    return narratives.score_report(rows).withColumn("weaknesses", joined("weaknesses")).withColumn("next_actions", joined("next_actions"))
+
+
+@add("q_full_roadmap")
+def q_full_roadmap(s, d):
+    """Every customer's whole roadmap document as JSON; its parts have oracles of their own, tests hold the whole against them."""
+    own, to, m = _all(s, d)
+    stage = F.element_at(F.array(*[F.lit(x) for x in roadmap.STAGES]), (F.col("candidate") % 4 + 1).cast("int"))
+    out = insights.full_roadmap(own, to, m, fx.edges(s), to.select("candidate", stage.alias("stage")), fx.pool(s), _ALLOWED, 0.25)
+    return out.select("candidate", "role", "current_score", "final_score", F.to_json(F.struct("stage", "readiness", "bottlenecks", "phases", "story", "report")).alias("document"))

@@ -212,6 +212,25 @@ def q_skill_lines(s, d):
     return layout.categorised_skills(listed.unionByName(named), "candidate").select("candidate", "line_no", "skill", "category")
 
 
+@add(
+    "q_second_parser",
+    "WITH c AS (SELECT c_custkey, c_name, c_mktsegment, c_custkey % 5 AS k FROM customer)"
+    " SELECT c_custkey, c_name AS name, CASE WHEN k <> 1 THEN 'c' || c_custkey || '@mail.example' END AS email, CASE WHEN k <> 2 THEN 'github.com/u-' || c_custkey END AS github,"
+    " CASE WHEN k <> 3 THEN c_mktsegment || ' University' END AS institution, CASE WHEN k <> 3 THEN '3.' || k || '/4.0' END AS gpa, CASE WHEN k <> 3 AND k <> 4 THEN '09/20' || (10 + k) END AS start_date,"
+    " CASE WHEN k = 3 THEN NULL WHEN k = 4 THEN '01/2024' ELSE 'Present' END AS end_date, CASE WHEN k <> 3 THEN lower(c_mktsegment) END AS field FROM c",
+)
+def q_second_parser(s, d):
+    key, text_of = F.col("c_custkey"), lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i for i in x])
+    k = key % 5
+    contact = text_of("mail ", F.when(k != 1, text_of("c", key.cast("string"), "@mail.example")).otherwise("none"), " or ", F.when(k != 2, text_of("https://GitHub.com/u-", key.cast("string"))).otherwise("none"))
+    personal = F.array(text_of(" ", F.col("c_name"), " "), F.lower(contact))
+    school = F.when(k != 3, text_of(F.col("c_mktsegment"), " University")).otherwise("nowhere")
+    dates = F.when(k == 4, "until 01/2024").otherwise(text_of("09/20", (k + 10).cast("string"), " - Present"))
+    education = F.array(school, F.lit(" "), text_of("GPA: 3.", k.cast("string"), "/4.0"), dates, text_of("Major: ", F.lower("c_mktsegment")))
+    rows = table(s, d, "customer").select("c_custkey", profile.personal_of(personal).alias("p"), profile.education_of(education).alias("e"))
+    return rows.select("c_custkey", "p.name", "p.email", "p.github", "e.institution", "e.gpa", "e.start_date", "e.end_date", "e.field")
+
+
 # Evaluation. What is said under which heading follows a candidate's number.
 
 _TOLD = (

@@ -143,7 +143,8 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header and doubled quotes, as read_csv reads it; no byte order mark."""
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -148,16 +148,20 @@ def test_profiles(spark):
     docs = spark.createDataFrame([(1, "Curriculum\nann@x.org\nAnn Lee\nMaster student, 3 years")], "doc_id int, text string")
     assert profile.head_name(sections.lines(docs), ["curriculum"]).first().name == "Ann Lee"
     cvs = spark.createDataFrame(
-        [(1, ["Ann Lee"], ["X University", "2020 - present"], [" Data engineer ", "2.5 years of it"], ["MLflow", "SQL"]), (2, ["Bo"], ["School of life"], ["3 năm"], []), (3, [], ["Học viện A"], [], None), (4, None, None, None, ["html"])],
+        [(1, ["Ann Lee"], ["X University", "2020 - present"], [" Data engineer ", "2.5 years of it"], ["AI tools: MLflow; SQL", "SQL, Excel"]), (2, ["Bo"], ["School of life"], ["3 năm"], []), (3, [], ["Học viện A"], [], None), (4, None, None, None, ["html"])],
         "doc_id int, personal_info array<string>, education array<string>, experience array<string>, skills array<string>",
     )
-    career = rows(profile.career_profile(cvs, {"ai": ["mlf"], "web": ["html"]}), "doc_id")
+    found = profile.career_profile(cvs, {"ai": ["mlf"], "web": ["html"]})
+    career = [(*r[:4], r.domains, r.summary) for r in found.orderBy("doc_id").collect()]
     assert career == [
-        (1, "Intern/Junior", 2.5, "Data engineer", ["ai"], "Ann Lee - Ứng viên tiềm năng"),
+        (1, "Intern/Junior", 2.5, "Data engineer", ["ai"], "Ann Lee - Ứng viên tiềm năng | Lĩnh vực: ai"),
         (2, "Entry", 3.0, "3 năm", [], "Bo - Ứng viên tiềm năng"),
         (3, "Student", 0.0, "Unknown", [], ""),
-        (4, "Entry", 0.0, "Unknown", ["web"], ""),
+        (4, "Entry", 0.0, "Unknown", ["web"], "Lĩnh vực chuyên môn: web"),
     ]
+    one = found.filter("doc_id = 1").first()
+    assert one.skills == ["MLflow", "SQL", "Excel"] and one.technology_stack == ["Excel", "MLflow", "SQL"]
+    assert rows(profile.career_profile(cvs).select("doc_id", "domains"), "doc_id")[0] == (1, ["AI/ML", "Data Science"])
     blocks = spark.createDataFrame([(["• Shop -", "My role: lead", "Python, FastAPI , Go", "Sold things", "Position: head", "well"],)], "b array<string>")
     got = blocks.select(profile.project_of(F.col("b")).alias("p")).first().p
     assert (got.name, got.role, got.technologies, got.description) == ("Shop", "Position: head", ["Python", "FastAPI", "Go"], "Sold things well")
