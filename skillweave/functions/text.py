@@ -47,15 +47,27 @@ def surrogate_key(prefix: str, number: Column, count: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.repeat(F.lit("0"), F.greatest(F.lit(0), width - F.length(digits))), digits)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
-    """The first match of a pattern, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The first match of a pattern, or null; an empty group is null too."""
+    if not group:
+        return F.regexp_substr(text, F.lit(pattern))
+    return bound(F.regexp_extract(text, pattern, group), lambda x: F.nullif(x, F.lit("")))
+
+
+def _from(text: Column, at: Column, back: int = 0) -> Column:
+    """The text from back characters before a place on, null where the place is 0 or null: what a pattern has to search."""
+    return bound(at, lambda p: F.when(p > 0, F.substring(text, F.greatest(p - back, F.lit(1)), F.lit(2**31 - 1))))
 
 
-def _from(text: Column, mark: str, back: int = 0) -> Column:
-    """The text from back characters before a mark on, null without it: what a pattern whose matches hold the mark has to search."""
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substring(text, F.greatest(at - back, F.lit(1)), F.length(text)))
+def _grade_place(text: Column) -> Column:
+    """Where 'gpa' or 'cpa' stands first, letter case aside; 1 where lower case moves places, 0 without either."""
+    marks = lambda low: F.coalesce(F.array_min(F.filter(F.array(F.instr(low, "gpa"), F.instr(low, "cpa")), lambda x: x > 0)), F.lit(0))
+    return bound(F.lower(text), lambda low: F.when(F.length(low) == F.length(text), marks(low)).otherwise(F.lit(1)))
 
 
 def contact_fields(text: Column) -> list[Column]:
@@ -63,19 +75,16 @@ def contact_fields(text: Column) -> list[Column]:
 
     Every pattern is tried only from where the first of its matches can start, so a text without marks costs a plain search.
     """
-    schemed = lambda c: F.when(F.startswith(c, F.lit("http")), c).otherwise(F.concat(F.lit("https://"), c))
-    none = F.array().cast("array<string>")
-    low = F.translate(text, "GPAC", "gpac")
-    grades = [F.nullif(F.instr(low, m), F.lit(0)) for m in ("gpa", "cpa")]
-    grade = first_match(F.substring(text, F.greatest(F.least(*grades) - 2, F.lit(1)), F.length(text)), "(?i)" + GPA)
+    schemed = lambda c: bound(c, lambda x: F.when(F.startswith(x, F.lit("http")), x).otherwise(F.concat(F.lit("https://"), x)))
+    near = lambda mark, back=0: _from(text, F.instr(text, mark), back)
     host = len("https://www.")
     return [
         F.when(F.contains(text, F.lit("@")), first_match(text, EMAIL)).alias("email"),
-        F.coalesce(*[first_match(_from(text, m), p) for m, p in zip(("+84", "0", "+"), PHONES)]).alias("phone"),
-        schemed(first_match(_from(text, "github.com", host), GITHUB)).alias("github"),
-        schemed(first_match(_from(text, "linkedin.com", host), LINKEDIN)).alias("linkedin"),
-        F.coalesce(F.regexp_extract_all(_from(text, "://", len("https")), F.lit(f"({URL})"), F.lit(1)), none).alias("urls"),
-        F.when(F.least(*grades).isNotNull(), F.regexp_replace(grade, r"^[^0-9]*", "")).alias("gpa"),
+        F.coalesce(*[first_match(near(m), p) for m, p in zip(("+84", "0", "+"), PHONES)]).alias("phone"),
+        schemed(first_match(near("github.com", host), GITHUB)).alias("github"),
+        schemed(first_match(near("linkedin.com", host), LINKEDIN)).alias("linkedin"),
+        F.coalesce(F.regexp_extract_all(near("://", len("https")), F.lit(f"({URL})"), F.lit(1)), F.array().cast("array<string>")).alias("urls"),
+        F.regexp_replace(first_match(_from(text, _grade_place(text), 2), "(?i)" + GPA), r"^[^0-9]*", "").alias("gpa"),
     ]
 
 
