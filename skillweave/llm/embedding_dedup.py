@@ -33,6 +33,8 @@ PARTS = 4
 WORDS = 32
 #: How far below the vector's best filter a filter's inner product may lie, times the square root of the width.
 REACH = 0.4
+#: Filters of a vector in a book are at most as many, its nearest; two vectors at the threshold have the nearest in common.
+MOST = 96
 #: Classes of a bucket that are compared at once are at most about two blocks.
 BLOCK = 512
 #: Pairs of smaller groups are taken side by side.
@@ -65,8 +67,8 @@ def rotation(width: int, seed: int = SEED) -> np.ndarray:
     return q * np.where(np.diag(r) < 0, -1.0, 1.0)
 
 
-def filters_of(x: np.ndarray, books: list[list[np.ndarray]], reach: float = REACH) -> np.ndarray:
-    """All filters of one unit vector, ascending: list decoding of every product code."""
+def filters_of(x: np.ndarray, books: list[list[np.ndarray]], reach: float = REACH, most: int = MOST) -> np.ndarray:
+    """The filters of one unit vector, ascending: list decoding of every product code, the nearest most of each book."""
     reach = reach / max(1, len(x)) ** 0.5
     slices = np.array_split(x, PARTS)
     found = []
@@ -78,9 +80,12 @@ def filters_of(x: np.ndarray, books: list[list[np.ndarray]], reach: float = REAC
         heads = np.flatnonzero(left >= need - right.max())
         order = np.argsort(-right, kind="stable")
         upto = np.searchsorted(-right[order], left[heads] - need, "right")
-        n = len(right)
-        for h, m in zip(heads, upto):
-            found.append((number * len(left) + h) * n + order[:m])
+        head = np.repeat(heads, upto)
+        tail = order[np.arange(len(head)) - np.repeat(np.cumsum(upto) - upto, upto)]
+        filters = (number * len(left) + head) * len(right) + tail
+        if len(filters) > most:
+            filters = filters[np.argsort(-(left[head] + right[tail]), kind="stable")[:most]]
+        found.append(filters)
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 

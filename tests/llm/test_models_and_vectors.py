@@ -407,7 +407,7 @@ def test_vectors_of_few_directions(spark, kind):
         own = embedding_dedup.filters_of(turn @ x, books)
         counts.append(len(own))
         hit += len(np.intersect1d(own, embedding_dedup.filters_of(turn @ y, books))) > 0
-    assert hit / 200 > 0.97 and max(counts) < 150 and np.mean(counts) < 30
+    assert hit / 200 > 0.97 and max(counts) <= embedding_dedup.MOST and np.mean(counts) < 30
     rows = [(i, [float(c) for c in v], i % 2) for i, v in enumerate(odd_vectors(r, kind, 240, 64))]
     out = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     want = linked(rows)
