@@ -103,6 +103,8 @@ def load(path: str = MODEL) -> Pieces:
         elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
             if "\n" in piece or " " in piece:
                 raise ValueError(f"piece {i} reaches over a space or a line break")
+            if len(piece) > 32:
+                raise ValueError(f"piece {i} has more than 32 characters, which an edge's 5 bits for a length cannot hold")
             if MARK in piece.lstrip(MARK):
                 raise ValueError(f"piece {i} has a mark after another character")
             hexes[i] = piece.replace(MARK, " ").encode().hex()

@@ -37,6 +37,8 @@ SYMBOL = 25
 CROWD = 1 << 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 28) - 1)
+#: Bytes of a longer text are looked at in pieces, as a place has 28 bits.
+_PIECE = 1 << 28
 _LAST = np.iinfo(np.int64).max
 
 
@@ -49,6 +51,8 @@ def anchors(data: np.ndarray, h: np.ndarray, bounds: np.ndarray, width: int, k:
     n = len(data)
     if n < width:
         return empty, empty, empty, empty
+    if n > _PIECE:
+        return _anchors_in_pieces(data, bounds, width, k)
     grams = span_hash(h, np.arange(n - k + 1), np.arange(k, n + 1))
     key = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     need, span = width - k + 1, 1
@@ -71,6 +75,20 @@ def anchors(data: np.ndarray, h: np.ndarray, bounds: np.ndarray, width: int, k:
     return place[at], start[at], start[last], text[start[at]]
 
 
+def _anchors_in_pieces(data: np.ndarray, bounds: np.ndarray, width: int, k: int):
+    """anchors() of data too long for the bits of a place: pieces that overlap by less than a string, cut stretches joined again."""
+    step, found = _PIECE - width + 1, []
+    for a in range(0, len(data) - width + 1, step):
+        part = data[a : min(len(data), a + step + width - 1)]
+        place, first, last, text = anchors(part, prefix_hash(part), np.clip(bounds - a, 0, len(part)), width, k)
+        found.append((place + a, first + a, last + a, text))
+    place, first, last, text = (np.concatenate(x) for x in zip(*found))
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (first[1:] != last[:-1] + 1)
+    at = np.flatnonzero(new)
+    return place[at], first[at], last[np.append(at[1:], len(place)) - 1] if len(at) else last, text[at]
+
+
 def named(h: np.ndarray, starts: np.ndarray, width: int, symbol: int) -> np.ndarray:
     """Hashes of the width-byte strings at starts, put together from pieces of symbol bytes, from the last to the first."""
     name = np.zeros(len(starts), np.uint64)

@@ -74,13 +74,27 @@ def _matrix(lists, width: int) -> np.ndarray:
     return out
 
 
+def _whole_numbers(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k highest scores of each query of right in left, by Python's integers."""
+    out = []
+    terms = [[int(c) for c in x] for x in left["terms"]]
+    for query, query_id, row, own in zip(right["query"], right["vec_id"], right["row"], right["terms"]):
+        own = [int(c) for c in own]
+        scores = sorted((-sum(a * b for a, b in zip(own, x)), vec_id) for x, vec_id, r in zip(terms, left["vec_id"], left["row"]) if r != row)[:k]
+        out += [(query, query_id, vec_id, -s) for s, vec_id in scores]
+    if any(not -(2**63) <= s < 2**63 for *_, s in out):
+        raise OverflowError("a score is not a long")
+    return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k highest inner products with rows of vectors.
 
     Both need vec_id and terms (array of long, without nulls); a shorter array has zeros at its end. A query is never
     matched with its own row: the one of the same number in a column row (long), where vectors has one, else all of its
     vec_id. Ties go to the smaller id; repeated rows count as rows, as candidates and as queries. Other columns are
-    ignored. Queries against an empty table, and no queries, give no rows. Exact while sums stay below 2**53.
+    ignored. Queries against an empty table, and no queries, give no rows. Where sums may pass 2**53, whole numbers of any
+    size are added up instead; a score that no long holds raises OverflowError.
     """
     row = F.col("row" if "row" in vectors.columns else "vec_id").cast("long").alias("row")
     vectors, queries = stored(vectors.select("vec_id", row, "terms"), "vectors"), queries.select("vec_id", row, "terms")
@@ -97,6 +111,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, bl
         if not len(left) or not len(right):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query", "query_id", "vec_id", "score")})
         ids, rows = left["vec_id"].to_numpy(np.int64), left["row"].to_numpy(np.int64)
+        most = lambda lists: max((abs(int(c)) for x in lists if len(x) for c in (min(x), max(x))), default=0)
+        if most(left["terms"]) * most(right["terms"]) * max(1, width) >= 2**53:
+            return _whole_numbers(left, right, k)
         m = _matrix(left["terms"], width)
         low, high = m.min(axis=0), m.max(axis=0)
         postings = np.ascontiguousarray(m.T)

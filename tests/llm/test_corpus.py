@@ -296,3 +296,21 @@ def test_nothing(spark, table):
     assert jaccard_join.near_duplicates(empty).count() == 0
     assert lm_scoring.score_corpus(empty.withColumn("held_out", F.lit(False))).count() == 0
     assert pieces.encode(empty, table).count() == 0
+
+
+def test_anchors_of_texts_longer_than_a_piece(monkeypatch):
+    """A text in pieces has the anchors and stretches of the whole, also where a cut falls into a stretch or on a text's border."""
+    import numpy as np
+
+    from skillweave.llm import common, suffix_dedup
+
+    r = np.random.default_rng(3)
+    data = r.integers(97, 101, 6000).astype(np.uint8)
+    data[3000:3400] = data[100:500]
+    data[4000:4200] = 97
+    bounds = np.array([0, 1500, 1500, 3101, 6000])
+    whole = suffix_dedup.anchors(data, common.prefix_hash(data), bounds, 100, 36)
+    for piece in (700, 1499, 6000 - 1, 199):
+        monkeypatch.setattr(suffix_dedup, "_PIECE", piece)
+        parts = suffix_dedup.anchors(data, common.prefix_hash(data), bounds, 100, 36)
+        assert all((a == b).all() for a, b in zip(whole, parts)), piece

@@ -340,6 +340,22 @@ def test_search_query_on_odd_rows(spark, tmp_path):
     assert sum(g.query_id == 50 for g in got) == 15 and any(g.query_id == g.vec_id == 50 for g in got)
 
 
+def test_search_in_whole_numbers(spark):
+    """Sums beyond 53 bits, where doubles would tie: exact scores, and a clear end where no long holds one."""
+    r = random.Random(8)
+    rows = [(i, [r.randrange(-(2**29), 2**29) for _ in range(9)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, terms array<long>").repartition(3)
+    got = {}
+    for x in topk_search.top_k(df, df.filter("vec_id < 4"), 5, shard=20, block=2).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    for q in range(4):
+        want = sorted((-sum(a * b for a, b in zip(rows[q][1], v)), i) for i, v in rows if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in want] and any(abs(s) > 2**53 for s, _ in want)
+    huge = spark.createDataFrame([(1, [2**62, 2**62]), (2, [2**62, 2**62])], "vec_id long, terms array<long>")
+    with pytest.raises(Exception, match="not a long"):
+        topk_search.top_k(huge, huge, 1).collect()
+
+
 def test_unusable_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0, None],), ([float("nan")],), ([float("inf")],), (None,)], "v array<double>")
     assert [r[0] for r in df.select(topk_search.finite(F.col("v"))).collect()] == [True, False, False, False, False]
