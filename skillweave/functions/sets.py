@@ -35,7 +35,3 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 def ordered_union(*arrays: Column) -> Column:
     """Arrays one after the other, each element at its first place only."""
     return F.array_distinct(F.concat(*arrays))
-
-
-def sorted_set(a: Column) -> Column:
-    return F.array_sort(F.array_distinct(a))

@@ -41,14 +41,6 @@ def _literal(by: dict[str, list[str]]) -> Column:
     return F.create_map(*[x for src, dst in by.items() for x in (F.lit(src), F.array(*[F.lit(d) for d in dst]))])
 
 
-def adjacency(edges: DataFrame, kind: str, most: int = MAX_EDGES) -> Column:
-    """A map column node -> neighbours of a skill graph small enough for a literal; neighbours() gives any graph's as rows."""
-    by = _listed(edges, kind, most)
-    if by is None:
-        raise ValueError(f"the graph has more than {most} {kind} edges")
-    return _literal(by)
-
-
 def _levels(by: dict[str, list[str]]) -> int:
     """The most steps that the shortest way between two nodes takes."""
     most = 0

@@ -1,4 +1,4 @@
-"""Sections of documents: header detection by line with carry-forward, spans between header patterns, blocks."""
+"""Sections of documents: header detection by line with carry-forward, spans between header patterns."""
 
 from __future__ import annotations
 
@@ -34,11 +34,6 @@ def sectioned(rows: DataFrame, sections: dict[str, list[str]], first: str = "per
     return marked.filter(F.col("header").isNull() & (F.trim("line") != "")).select(key, "line_no", "line", "section")
 
 
-def upper_header(line: Column, share: float = 0.7) -> Column:
-    """Whether more than a share of a line's characters are upper-case letters."""
-    return F.when(F.length(line) > 0, F.length(F.regexp_replace(line, r"[^\p{Lu}]", "")) / F.length(line) > share).otherwise(False)
-
-
 def spans(docs: DataFrame, patterns: dict[str, str], key: str = "doc_id") -> DataFrame:
     """(key, section, start, content): text between the first hits of patterns; what precedes them is section _pre_text."""
     hits = F.filter(F.array(*[F.struct(F.regexp_instr("text", F.lit(p)).alias("start"), F.lit(n).alias("section")) for n, p in patterns.items()]), lambda x: x["start"] > 0)
@@ -47,18 +42,3 @@ def spans(docs: DataFrame, patterns: dict[str, str], key: str = "doc_id") -> Dat
     after = F.lead("start").over(W.partitionBy(key).orderBy("start", "o", "section"))
     rows = rows.withColumn("stop", F.coalesce(after, F.length("text") + 1))
     return rows.select(key, "section", "start", F.trim(F.substring("text", F.col("start"), F.col("stop") - F.col("start"))).alias("content"))
-
-
-def blocks(rows: DataFrame, is_new: Column, key: str = "doc_id") -> DataFrame:
-    """Lines grouped into blocks: a line for which is_new holds opens the next one."""
-    number = F.sum(is_new.cast("int")).over(W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.withColumn("block", number).groupBy(key, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
-
-
-def skill_lines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, category, skill) of lines such as 'Category: a, b'; lines without a category have a null one."""
-    has = F.instr("line", ":") > 0
-    category = F.when(has, F.trim(F.substring_index("line", ":", 1)))
-    rest = F.when(has, F.expr("substring(line, instr(line, ':') + 1)")).otherwise(F.col("line"))
-    parts = F.filter(F.transform(F.split(rest, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
-    return rows.select(key, category.alias("category"), F.explode(parts).alias("skill"))

@@ -137,6 +137,11 @@ def q_role_stats_lookup(s, d):
     return market.role_stats(_matrix(s, d), "U").select("role", "skill", "frequency_pct", "rank")
 
 
+@_add("q_skill_sets", _BASE + "SELECT role, string_agg(skill, '|' ORDER BY skill) AS skills, CAST(count(*) AS INTEGER) AS n FROM matrix WHERE frequency_pct >= 15 GROUP BY role")
+def q_skill_sets(s, d):
+    return market.skill_sets(_matrix(s, d), CORE).select("role", _join("skills").alias("skills"), F.size("skills").alias("n"))
+
+
 # Gaps
 
 

@@ -14,6 +14,6 @@ def windowed_counts(events: DataFrame, column: str, time: str = "ts", width: str
 
 
 def term_counts(texts: DataFrame, ontology: DataFrame, time: str = "ts", width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Documents per canonical term and window: a stream-static equi-join of words with single-word aliases."""
+    """Alias words of documents, each once a document, by canonical term and window: a stream-static equi-join with single-word aliases."""
     words = texts.withWatermark(time, late).select(time, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}+#]+"))).alias("alias"))
     return words.join(ontology, "alias").groupBy(F.window(time, width), "canonical").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "canonical", "n")

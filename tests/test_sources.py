@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from skillweave.sources import tables
-from skillweave.streaming.frequencies import windowed_counts
+from skillweave.streaming.frequencies import term_counts, windowed_counts
 
 
 def test_csv_encodings_and_mark(spark, tmp_path):
@@ -48,3 +48,14 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.k, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_streaming_terms(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'JS and js, SQL.' AS text UNION ALL SELECT timestamp'2024-01-01 00:20:00', 'sql C++' UNION ALL SELECT timestamp'2024-01-03 02:00:00', NULL")
+    rows.write.parquet(str(tmp_path / "in"))
+    aliases = spark.createDataFrame([("js", "JavaScript"), ("sql", "SQL"), ("c++", "C++")], "alias string, canonical string")
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = term_counts(stream, aliases).writeStream.outputMode("complete").format("memory").queryName("terms").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.canonical, r.n) for r in spark.table("terms").collect()) == [("C++", 1), ("JavaScript", 1), ("SQL", 2)]
