@@ -79,6 +79,22 @@ def test_stages_on_nothing(spark, tables):
         assert out.count() == 0 and (out.columns == COLUMNS or name == corpus_pipeline.STAGES[-1][0])
 
 
+def test_stages_with_clashing_columns(spark, tables):
+    """Columns named like those of the operators pass through every stage with their values."""
+    folder, _ = tables
+    names = ["score", "n_dropped", "n_lines", "copies", "component_id", "size", "key", "rest", "of", "__copies", "__kept_id", "ids", "lines", "flag", "shard", "with space", "a.b"]
+    docs = spark.read.parquet(folder + "/documents.parquet").filter("doc_id < 60 OR doc_id >= 300 OR doc_id IS NULL")
+    marked = docs.select(*docs.columns, *[F.concat(F.lit(n + " of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, folder), stage(spark, marked, folder)
+        assert out.columns == marked.columns
+        rows = out.collect()
+        assert all(row[n] == f"{n} of {'none' if row.doc_id is None else row.doc_id}" for row in rows for n in names), name
+        assert sorted(key(row[:5]) for row in rows) == sorted(key(row) for row in plain.collect()), name
+    last = corpus_pipeline.STAGES[-1][1](spark, marked, folder)
+    assert last.columns == ["doc_id", "ids", "n_pieces"] and last.count() == docs.count()
+
+
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables[0]).collect()
     assert len(out) > 50 and all(row.n_pieces == len(row.ids) for row in out) and not {301, 302, 303, 304} & {row.doc_id for row in out}
