@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skillweave.operators import walks
 from skillweave.operators.graph import depth_to_owned, prerequisites
-from skillweave.storage import Levels
+from skillweave.storage import Levels, stored
 
 MAX_PER_PHASE, MIN_PER_PHASE, MAX_PHASES = 5, 2, 6
 PENALTY, PENALTY_CAP, SYNERGY, SYNERGY_CAP = 0.15, 0.5, 0.02, 0.10
@@ -234,15 +234,12 @@ def graph_projection(skills: DataFrame, owned: DataFrame, phases: DataFrame, edg
     at = lambda rows: rows.join(stages, "candidate").select(F.struct("candidate", "stage").alias("candidate"), *[c for c in rows.columns if c != "candidate"], "stage")
     done = at(bought).filter("since <= stage").select("candidate", "skill")
     begun = done if in_progress is None else done.unionByName(at(in_progress.select("candidate", "skill")).select("candidate", "skill"))
-    wanted = Levels(skills.sparkSession, "wanted")
-    wanted.add(0, at(skills.filter("weight <> 0").select("candidate", "skill", "weight", "market", "ordinal")).drop("stage"))
-    held = Levels(skills.sparkSession, "held")
-    held.add(0, begun.distinct())
-    rows, hand = wanted.at(0), held.at(0)
+    rows = stored(at(skills.filter("weight <> 0").select("candidate", "skill", "weight", "market", "ordinal")).drop("stage"), "wanted")
+    hand = stored(begun.distinct(), "held")
     depth = depth_to_owned(rows, hand, edges)
     lacking = penalty_lengths(rows.select("candidate", F.col("skill").alias("goal")).distinct(), hand, edges).withColumnRenamed("goal", "skill")
     rated = rows.join(depth, ["candidate", "skill"]).join(lacking, ["candidate", "skill"]).join(done.withColumn("done", F.lit(True)), ["candidate", "skill"], "left")
-    rated = rated.select("candidate", "skill", "weight", "market", "ordinal", F.when(F.col("done"), 1.0).otherwise(completion(F.col("depth"))).alias("completion"), F.when(F.col("depth") == 0, 0).otherwise(F.col("missing")).alias("missing"))
+    rated = stored(rated.select("candidate", "skill", "weight", "market", "ordinal", F.when(F.col("done"), 1.0).otherwise(completion(F.col("depth"))).alias("completion"), F.when(F.col("depth") == 0, 0).otherwise(F.col("missing")).alias("missing")), "rated")
     scores = graph_score(rated)
     low = bottlenecks(rated).groupBy("candidate").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "skill"))), lambda x: x["skill"]).alias("bottlenecks"))
     keys = stages.select(F.struct("candidate", "stage").alias("candidate"))

@@ -49,7 +49,8 @@ def matrix(s: SparkSession, d: str, noise: float = NOISE) -> DataFrame:
 
 def owned(s: SparkSession, d: str) -> DataFrame:
     urgent = table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("candidate"))
-    return urgent.join(brands(s, d), "job_id").select("candidate", "skill").distinct()
+    lines, part = table(s, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_partkey"), table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("skill"))
+    return urgent.join(lines, "job_id").join(part, "l_partkey").select("candidate", "skill").distinct()
 
 
 def targets(s: SparkSession, d: str) -> DataFrame:

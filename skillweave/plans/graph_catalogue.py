@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skillweave.operators import gap, graph, insights, market, narratives, roadmap, transitions
+from skillweave.operators import alike, gap, graph, insights, market, narratives, roadmap, transitions
 from skillweave.plans import fixtures as fx
 from skillweave.plans.base import BASE, add, joined, owned, targets
 from skillweave.session import table
+from skillweave.storage import stored
 
 _N = (
     BASE.replace("WITH jobs", "WITH RECURSIVE jobs")
@@ -41,6 +42,12 @@ def _all(s, d):
     return own, targets(s, d), _market(s, d, own)
 
 
+def _stored(s, d):
+    """_all with the owned nodes and the matrix written once, for queries that use them often."""
+    own = stored(_own(s, d), "owned")
+    return own, targets(s, d), stored(_market(s, d, own), "matrix")
+
+
 def _weak(s, d) -> DataFrame:
     return gap.weaknesses(*_all(s, d), 70.0, 50.0)
 
@@ -435,10 +442,15 @@ def q_expanded_phases(s, d):
     " SELECT candidate, CAST(phase AS INTEGER) AS phase, score, score - coalesce(lag(score) OVER (PARTITION BY candidate ORDER BY phase), score) AS delta, coalesce(bottlenecks, '') AS bottlenecks FROM scores LEFT JOIN low USING (candidate, phase)",
 )
 def q_graph_projection(s, d):
-    own, to, m = _all(s, d)
+    own, to, m = _stored(s, d)
     rank = F.row_number().over(W.partitionBy("candidate").orderBy(F.desc("frequency_pct"), "skill"))
-    skills = to.join(m, "role").select("candidate", "skill", (F.col("frequency_pct") / 100).alias("weight"), (F.lit(0.8) + F.col("count") % 5 / 10).alias("market"), rank.alias("ordinal"))
-    return roadmap.graph_projection(skills, own, _expanded(s, d).select("candidate", "phase", "skill"), fx.edges(s)).withColumn("bottlenecks", joined("bottlenecks"))
+
+    def projected(owned, targets):
+        skills = targets.join(m, "role").select("candidate", "skill", (F.col("frequency_pct") / 100).alias("weight"), (F.lit(0.8) + F.col("count") % 5 / 10).alias("market"), rank.alias("ordinal"))
+        phases = roadmap.expanded_phases(owned, gap.weaknesses(owned, targets, m, 70.0, 50.0), fx.edges(s)).select("candidate", "phase", "skill")
+        return roadmap.graph_projection(skills, owned, phases, fx.edges(s)).withColumn("bottlenecks", joined("bottlenecks"))
+
+    return alike.for_each_state(own, to, projected)
 
 
 _ALLOWED = {"Student": ["Beginner"], "Fresher": ["Beginner"], "Junior": ["Beginner", "Intermediate"], "Middle": ["Intermediate", "Advanced"]}

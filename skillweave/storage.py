@@ -40,3 +40,10 @@ class Levels:
     def all(self) -> DataFrame:
         """Every row with its level."""
         return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("level", T.IntegerType())])).option("basePath", self.path).parquet(self.path)
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows written once and read from there, wherever they are used."""
+    kept = Levels(rows.sparkSession, name)
+    kept.add(0, rows)
+    return kept.at(0)
