@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skillweave.operators import gap, graph, narratives, roadmap
-from skillweave.storage import Levels
+from skillweave.storage import Levels, stored
 
 STRONG_PCT, OPTIONAL_PCT = 50.0, 20.0
 
@@ -124,7 +124,7 @@ def full_roadmap(owned: DataFrame, targets: DataFrame, matrix: DataFrame, edges:
     rows = gap.readiness(owned, targets, matrix).select("candidate", "role", "readiness")
     for part in (stages, today, lost, parts, ordered_statuses(owned, targets, matrix, edges)):
         rows = rows.join(part, "candidate", "left")
-    rows = rows.withColumn("first_phase", F.try_element_at("phases", F.lit(1))["skills"])
+    rows = stored(rows.withColumn("first_phase", F.try_element_at("phases", F.lit(1))["skills"]), "documents")
     story = narratives.personal_story(rows).select("candidate", F.struct("summary", "focus", "advice").alias("story"))
     report = narratives.score_report(rows).select("candidate", F.struct("report", "weaknesses", "next_actions", "improvement").alias("report"))
     whole = rows.join(story, "candidate").join(report, "candidate")

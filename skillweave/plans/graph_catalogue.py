@@ -520,7 +520,11 @@ def q_score_report(s, d):
 @add("q_full_roadmap")
 def q_full_roadmap(s, d):
     """Every customer's whole roadmap document as JSON; its parts have oracles of their own, tests hold the whole against them."""
-    own, to, m = _all(s, d)
+    own, to, m = _stored(s, d)
     stage = F.element_at(F.array(*[F.lit(x) for x in roadmap.STAGES]), (F.col("candidate") % 4 + 1).cast("int"))
-    out = insights.full_roadmap(own, to, m, fx.edges(s), to.select("candidate", stage.alias("stage")), fx.pool(s), _ALLOWED, 0.25)
-    return out.select("candidate", "role", "current_score", "final_score", F.to_json(F.struct("stage", "readiness", "bottlenecks", "phases", "story", "report")).alias("document"))
+
+    def documents(owned, targets):
+        out = insights.full_roadmap(owned, targets.select("candidate", "role"), m, fx.edges(s), targets.select("candidate", "stage"), fx.pool(s), _ALLOWED, 0.25)
+        return out.select("candidate", "role", "current_score", "final_score", F.to_json(F.struct("stage", "readiness", "bottlenecks", "phases", "story", "report")).alias("document"))
+
+    return alike.for_each_state(own, to.withColumn("stage", stage), documents)

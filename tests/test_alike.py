@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from skillweave.operators import alike, roadmap
+from skillweave.operators import alike, insights, roadmap
 from skillweave.plans import catalogue, graph_catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,15 @@ def test_projection_is_worked_out_once_for_each_state(spark, monkeypatch):
     assert walked == [rows.select("role", "mine").distinct().count()] and walked[0] < rows.count()
     monkeypatch.setattr(alike, "for_each_state", lambda owned, targets, work: work(owned, targets))
     assert got == sorted(map(tuple, query(spark, SF).collect())) and walked[1] == rows.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_roadmaps_are_worked_out_once_for_each_state(spark, monkeypatch):
+    plain, walked = insights.full_roadmap, []
+    monkeypatch.setattr(insights, "full_roadmap", lambda owned, targets, *rest: walked.append(targets.count()) or plain(owned, targets, *rest))
+    got = catalogue.QUERIES["q_full_roadmap"](spark, SF).collect()
+    own, to, _ = graph_catalogue._all(spark, SF)
+    rows = to.join(own.groupBy("candidate").agg(F.array_sort(F.collect_set("skill")).alias("mine")), "candidate", "left").collect()
+    state = {r.candidate: (r.role, r.candidate % 4, tuple(r.mine or ())) for r in rows}
+    assert sorted(r.candidate for r in got) == sorted(state) and walked == [len(set(state.values()))] and walked[0] < len(state)
+    assert len({(state[r.candidate], r.document) for r in got}) == walked[0] and all(r.role == state[r.candidate][0] for r in got)
