@@ -25,6 +25,7 @@ from skillweave.plans.base import owned as _owned
 from skillweave.plans.base import targets as _targets
 from skillweave.session import table
 from skillweave.sources import tables
+from skillweave.storage import stored
 
 #: Owned skills as every second candidate would shout them.
 _MIXED = "mixed AS (SELECT candidate, CASE WHEN candidate % 2 = 0 THEN upper(skill) ELSE skill END AS skill FROM owned)"
@@ -326,8 +327,10 @@ def q_cosine_topk(s, d):
     " SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM r) WHERE rank <= 20",
 )
 def q_hybrid_rerank(s, d):
-    near = _near(s, d, 100).select("query_id", "id", F.col("score").alias("sem"))
-    skills = _brands(s, d).groupBy(F.col("job_id").alias("id")).agg(F.collect_set("skill").alias("skills"))
+    near = stored(_near(s, d, 100).select("query_id", "id", F.col("score").alias("sem")), "near")
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey").join(near.select("id").distinct(), "id", "left_semi")
+    part = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("skill"))
+    skills = lines.join(part, "l_partkey").groupBy("id").agg(F.collect_set("skill").alias("skills"))
     rows = near.join(skills, "id", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
     return matching.hybrid_rank(rows, F.array(*[F.lit(f"Brand#{i}") for i in (11, 22, 33)]), 20)
 

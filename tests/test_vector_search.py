@@ -1,12 +1,17 @@
 """Vector search in blocks against the score's definition, pair by pair."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skillweave.operators import matching
+from skillweave.plans import catalogue
+from skillweave.session import table
 
+SF = "/root/testdata/sf0.001"
 NAN = float("nan")
 
 
@@ -50,3 +55,23 @@ def test_vector_search_names_few_pairs(spark, monkeypatch):
     near = np.round(np.clip(v @ v[:64].T, 0, 1), 4)
     near[ids[:64], ids[:64]] = -1
     assert all(row[query == j].tolist() == np.lexsort((ids, -near[:, j]))[:5].tolist() for j in range(64)) and sum(summed) < 64 * 4096 / 50
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_rerank_makes_the_brands_of_found_rows_only(spark, monkeypatch):
+    def of_all(*_):
+        raise AssertionError("brands of every order were asked for")
+
+    found = [(0, i, 0.5 + i / 1000) for i in range(1, 60)] + [(100, 7, 0.9), (100, 10**9, 0.8)]
+    monkeypatch.setattr(catalogue, "_brands", of_all)
+    monkeypatch.setattr(catalogue, "_near", lambda s, d, k: s.createDataFrame(found, "query_id long, id long, score double"))
+    lines, part = (table(spark, SF, n).collect() for n in ("lineitem", "part"))
+    brand, owned = {p.p_partkey: p.p_brand for p in part}, {}
+    for x in lines:
+        owned.setdefault(x.l_orderkey, set()).add(brand[x.l_partkey])
+    want = {}
+    for q, i, sem in found:
+        have = owned.get(i, set())
+        want.setdefault(q, []).append((-round(0.6 * sem + 0.4 * min(1, len(have) / 5) * min(1, len(have & {"Brand#11", "Brand#22", "Brand#33"}) / 3), 4), i))
+    got = {(r.query_id, r["rank"]): (-r.score, r.id) for r in catalogue.QUERIES["q_hybrid_rerank"](spark, SF).collect()}
+    assert got == {(q, n + 1): x for q, rows in want.items() for n, x in enumerate(sorted(rows)[:20])}
